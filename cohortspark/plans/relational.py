@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
-from cohortspark.functions.categories import preterm
+
 from cohortspark.functions.dates import age_years
 from cohortspark.functions.numbers import bmi_from
 from cohortspark.operators import concepts, features, joins, matching, models, timeline
@@ -15,7 +15,11 @@ from cohortspark.session import broadcast_if_small
 from cohortspark.sources.views import sql
 
 EPISODE = ["pat_id", "instance", "episode_id"]
-N = F.count(F.lit(1)).alias("n")
+
+
+def count_rows():
+    return F.count(F.lit(1)).alias("n")
+
 
 # ---- filters -----------------------------------------------------------------------------------------------------
 
@@ -51,12 +55,12 @@ def filter_eligibility(v):
 
 @query("filter_like", sql("SELECT product, count(*) AS n FROM dose WHERE product LIKE '%MODERNA%' OR product LIKE '%PFIZER%' GROUP BY 1", "dose"))
 def filter_like(v):
-    return v.dose.where(F.col("product").like("%MODERNA%") | F.col("product").like("%PFIZER%")).groupBy("product").agg(N)
+    return v.dose.where(F.col("product").like("%MODERNA%") | F.col("product").like("%PFIZER%")).groupBy("product").agg(count_rows())
 
 
 @query("filter_not_like", sql("SELECT product, count(*) AS n FROM dose WHERE product NOT LIKE '%BIVALENT%' GROUP BY 1", "dose"))
 def filter_not_like(v):
-    return v.dose.where(~F.col("product").like("%BIVALENT%")).groupBy("product").agg(N)
+    return v.dose.where(~F.col("product").like("%BIVALENT%")).groupBy("product").agg(count_rows())
 
 
 @query("filter_isin", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
@@ -67,7 +71,7 @@ def filter_isin(v):
 @query("filter_code_predicate", sql("SELECT dx_id, count(*) AS n FROM dx WHERE dx_id % 4 IN (0, 1) GROUP BY 1", "dx"))
 def filter_code_predicate(v):
     kept = concepts.filter_by_codes(v.dx, v.records.condition_ids, ["diabetes", "asthma"], ["dx_id", "instance"])
-    return kept.groupBy("dx_id").agg(N)
+    return kept.groupBy("dx_id").agg(count_rows())
 
 
 @query("drop_null_keys", sql("SELECT pat_id, instance, death_date FROM person WHERE death_date IS NOT NULL", "person"))
@@ -145,7 +149,7 @@ def join_semi(v):
   GROUP BY ALL""")
 def join_broadcast(v):
     place = v.t("nation").join(broadcast_if_small(v.t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return v.t("customer").join(broadcast_if_small(place), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name").agg(N)
+    return v.t("customer").join(broadcast_if_small(place), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name").agg(count_rows())
 
 
 @query("join_interval_between", sql("""SELECT e.pat_id, e.instance, e.episode_id, count(dx_date) AS n_dx FROM episode e LEFT JOIN dx ON dx.pat_id = e.pat_id
@@ -194,7 +198,7 @@ def join_asof_last(v):
 @query("join_range_hint", sql("SELECT pat_id, instance, segment, count(*) AS n FROM person JOIN episode USING (pat_id, instance) GROUP BY ALL", "person", "episode"))
 def join_range_hint(v):
     """The hint applied to an equi join has no effect on Spark, so it is left out."""
-    return v.person.join(v.episode, PERSON).groupBy(*PERSON, "segment").agg(N)
+    return v.person.join(v.episode, PERSON).groupBy(*PERSON, "segment").agg(count_rows())
 
 
 @query("join_multi_key_fanin", sql("""SELECT pat_id, instance, day, n_dx, n_tests, n_orders FROM (SELECT pat_id, instance, dx_date AS day, count(*) AS n_dx FROM dx GROUP BY ALL) a
@@ -301,7 +305,7 @@ def join_geo(v):
   count(*) OVER (PARTITION BY o_custkey) AS n FROM orders""")
 def window_full_partition(v):
     """A whole-partition aggregate on every row, as an aggregate joined back (a hot person is not sorted in one task)."""
-    per = v.t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), N)
+    per = v.t("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), count_rows())
     return v.t("orders").join(per, "o_custkey").select("o_orderkey", F.round("total", 2).alias("total"), "n")
 
 
@@ -317,7 +321,7 @@ def window_first_last(v):
 def window_row_number(v):
     """Global row numbers over grouped values, without a single-partition window."""
     from cohortspark.operators.ranks import ranked
-    counted = v.t("orders").groupBy(F.to_date("o_orderdate").alias("o_orderdate_day"), "o_orderpriority").agg(N)
+    counted = v.t("orders").groupBy(F.to_date("o_orderdate").alias("o_orderdate_day"), "o_orderpriority").agg(count_rows())
     return ranked(counted, [], ["o_orderdate_day", "o_orderpriority"], "row_id")
 
 
