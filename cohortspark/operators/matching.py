@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -49,46 +53,89 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str], balanced:
         *df.columns, "propensity", "logit")
 
 
-def match_one_to_one(df: DataFrame, key: str, treated: str, score: str, caliper: float, max_rounds: int = 200,
-                     rounds_per_cut: int = 4, partitions: int | None = None) -> DataFrame:
-    """Greedy one-to-one matching without replacement: repeatedly the closest remaining treated/control pair.
+def match_one_to_one(df: DataFrame, key: str, treated: str, score: str, caliper: float,
+                     rows_per_partition: int = 100_000, max_rounds: int = 500) -> DataFrame:
+    """Greedy one-to-one matching without replacement: always the closest remaining treated/control pair.
 
-    On a line the closest pair is always made of neighbours, so no candidate pairs are generated: rows are
-    range-partitioned once by score (ties in the order of a hash of the key) and in every round each row looks at the nearest row of
-    the other kind on either side. Rows whose choice is mutual are matched and removed; the overall closest pair
-    is always among them, so rounds end. The first and last rows of each partition cross over through a
-    table with one row per partition. Result: (treated id, control id, distance). Rows left have no partner inside
-    the caliper. The order of pairs is (distance, place of the left row, place of the right row).
+    On a line the closest pair is made of neighbours, so no candidate pairs are generated. Rows are range-partitioned
+    by score (ties in the order of a hash of the key), so partitions stay even whatever the scores. Every partition
+    settles the pairs that no row outside it could change. Then one round over all rows lets each look at the nearest
+    row of the other kind on either side, across partitions: mutual choices are matched (the overall closest pair is
+    always one), and rows that see nobody inside the caliper are dropped, since neighbours only leave. The rest is
+    partitioned anew. Equally distant pairs go by the right row, then the nearest left one. Result: (treated_id, control_id, distance).
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     base = df.select(F.col(key).alias("id"), F.col(treated).cast("int").alias("t"), F.col(score).cast("double").alias("s"))
-    order = ["s", "h", "id"]
-    placed = base.where("s is not null").withColumn("h", F.xxhash64("id")).repartitionByRange(n, *order)
-    left = durable(placed.withColumn("part", F.spark_partition_id()))
-    pairs = None
-    for start in range(0, max_rounds, rounds_per_cut):
-        state = left.withColumn("mate", F.lit(None).cast(left.schema["id"].dataType)).withColumn("gap", F.lit(None).cast("double"))
-        for _ in range(rounds_per_cut):
-            state = _match_round(state, order, caliper)
-        state = durable(state)
-        found = state.where("mate is not null and t = 1").select("id", "mate", "gap")
-        if found.isEmpty():
+    free = durable(base.where("s is not null").withColumn("h", F.xxhash64("id")))
+    columns = ["id", "t", "s", "h"]
+    mate_type = free.schema["id"].dataType.simpleString()
+    pairs = []
+    for _ in range(max_rounds):
+        rows = free.count()
+        if not rows:
             break
-        pairs = found if pairs is None else pairs.unionByName(found)
-        left = state.where("mate is null").select(*left.columns)
+        n = -(-rows // rows_per_partition)
+        cut = free.repartitionByRange(n, "s", "h", "id").sortWithinPartitions("s", "h", "id")
+        near = durable(cut.mapInPandas(partial(_settle, caliper=caliper, alone=n == 1),
+                                       f"id {mate_type}, t int, s double, h bigint, mate {mate_type}, gap double").withColumn(
+            "part", F.spark_partition_id()))
+        pairs.append(near.where("mate is not null and t = 1").select(
+            F.col("id").alias("treated_id"), F.col("mate").alias("control_id"), F.col("gap").alias("distance")))
+        state = durable(_choose(near.where("mate is null").select(*columns, "part"), caliper))
+        pairs.append(state.where("mutual and t = 1").select(
+            F.col("id").alias("treated_id"), F.col("pair.mate").alias("control_id"), F.col("pair.gap").alias("distance")))
+        free = state.where("not mutual").select(*columns)
     else:
         raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
-    if pairs is None:
-        pairs = base.limit(0).select("id", F.col("id").alias("mate"), F.col("s").alias("gap"))
-    return pairs.select(F.col("id").alias("treated_id"), F.col("mate").alias("control_id"), F.col("gap").alias("distance"))
+    if not pairs:
+        return base.limit(0).select(F.col("id").alias("treated_id"), F.col("id").alias("control_id"), F.col("s").alias("distance"))
+    return reduce(DataFrame.unionByName, pairs)
 
 
-def _match_round(state: DataFrame, order: Sequence[str], caliper: float) -> DataFrame:
-    free = state.where("mate is null")
-    done = state.where("mate is not null")
-    me = F.struct("s", "h", "id")
-    kinds = {0: F.when(F.col("t") == 0, me), 1: F.when(F.col("t") == 1, me)}
+def _settle(batches: Iterator[pd.DataFrame], caliper: float, alone: bool) -> Iterator[pd.DataFrame]:
+    """Closest-pair matching inside one sorted partition, for pairs closer to each other than to its unsettled edges."""
+    parts = [b for b in batches if len(b)]
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True)
+    s, t, n = rows["s"].to_numpy(), rows["t"].to_numpy(), len(rows)
+    low, high = (-np.inf, np.inf) if alone else (s[0], s[-1])
+    before, after = list(range(-1, n - 1)), list(range(1, n)) + [-1]
+    mate, taken = np.full(n, -1), np.zeros(n, dtype=bool)
+    heap = [(s[i + 1] - s[i], i + 1, -i) for i in range(n - 1) if t[i] != t[i + 1] and s[i + 1] - s[i] <= caliper]
+    heapq.heapify(heap)
+    while heap:
+        gap, j, i = heapq.heappop(heap)
+        i = -i
+        if taken[i] or taken[j] or after[i] != j:
+            continue
+        if not (gap < s[i] - low and gap < high - s[j]):
+            # An outside row may be as close: from here on this stretch counts as outside as well.
+            if not gap < s[i] - low:
+                low = max(low, s[j])
+            if not gap < high - s[j]:
+                high = min(high, s[i])
+            continue
+        mate[i], mate[j], taken[i], taken[j] = j, i, True, True
+        p, q = before[i], after[j]
+        if p >= 0:
+            after[p] = q
+        if q >= 0:
+            before[q] = p
+        if p >= 0 and q >= 0 and t[p] != t[q] and s[q] - s[p] <= caliper:
+            heapq.heappush(heap, (s[q] - s[p], q, -p))
+    ids = rows["id"]
+    rows["mate"] = [ids[m] if m >= 0 else None for m in mate]
+    rows["gap"] = [abs(s[k] - s[m]) if m >= 0 else None for k, m in enumerate(mate)]
+    if rows["mate"].notna().any():
+        rows["mate"] = rows["mate"].astype(pd.Int64Dtype() if ids.dtype.kind == "i" else object)
+    yield rows[["id", "t", "s", "h", "mate", "gap"]]
+
+
+def _choose(free: DataFrame, caliper: float) -> DataFrame:
+    """Rows with somebody inside the caliper, the pair they prefer, and whether the other member prefers it too."""
+    order, me = ["s", "h", "id"], F.struct("s", "h", "id")
+    kinds = {k: F.when(F.col("t") == k, me) for k in (0, 1)}
+    # First and last row of either kind per partition, carried over to the partitions after and before.
     ends = free.groupBy("part").agg(*[f(kinds[k]).alias(f"{n}{k}") for k in kinds for n, f in (("lo", F.min), ("hi", F.max))])
     prior = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -100,28 +147,19 @@ def _match_round(state: DataFrame, order: Sequence[str], caliper: float) -> Data
                        *[F.last(kinds[k], ignorenulls=True).over(down).alias(f"r{k}") for k in kinds]).join(carry, "part")
 
     def side(name: str, carried: str):
-        other = lambda k: F.coalesce(F.col(f"{name}{k}"), F.col(f"{carried}{k}"))
-        return F.when(F.col("t") == 1, other(0)).otherwise(other(1))
-
-    look = look.withColumn("_l", side("l", "before")).withColumn("_r", side("r", "after"))
+        other = [F.coalesce(F.col(f"{name}{k}"), F.col(f"{carried}{k}")) for k in (0, 1)]
+        return F.when(F.col("t") == 1, other[0]).otherwise(other[1])
 
     def pair(first, second, there):
         gap = F.abs(F.col("s") - there["s"])
-        return F.when(there.isNotNull() & (gap <= caliper),
-                      F.struct(gap.alias("gap"), first.alias("a"), second.alias("b"), there["id"].alias("mate")))
-
-    best = F.least(pair(F.col("_l"), me, F.col("_l")), pair(me, F.col("_r"), F.col("_r")))
-    chosen = look.withColumn("_p", best).select(*state.columns, "_p")
-    # A pair is chosen twice exactly when both of its members picked it.
-    mutual = chosen.where("_p is not null").groupBy(
-        F.col("_p.a.id").alias("_a"), F.col("_p.b.id").alias("_b")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 2")
-    both = mutual.select(F.explode(F.array(F.struct(F.col("_a").alias("id"), F.col("_b").alias("_m")),
-                                           F.struct(F.col("_b").alias("id"), F.col("_a").alias("_m")))).alias("_x"))
-    both = both.select("_x.*")
-    joined = chosen.join(both, "id", "left")
-    matched = joined.select(*[c for c in state.columns if c not in ("mate", "gap")], F.col("_m").alias("mate"),
-                            F.when(F.col("_m").isNotNull(), F.col("_p.gap")).alias("gap"))
-    return matched.unionByName(done)
+        return F.when(there.isNotNull() & (gap <= caliper), F.struct(
+            gap.alias("gap"), second.alias("b"), first.alias("a"), there["id"].alias("mate")))
+
+    look = look.withColumn("_l", side("l", "before")).withColumn("_r", side("r", "after"))
+    chosen = look.select(*free.columns, F.least(pair(F.col("_l"), me, F.col("_l")), pair(me, F.col("_r"), F.col("_r"))).alias("pair"))
+    # A chosen pair contains its chooser, so at most two rows share one: both members when the choice is mutual.
+    both = Window.partitionBy("pair.a.id", "pair.b.id")
+    return chosen.where("pair is not null").withColumn("mutual", F.count(F.lit(1)).over(both) == 2)
 
 
 def effect_sizes(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:

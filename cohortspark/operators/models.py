@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators.features import latest_row
 from cohortspark.operators.ranks import one_row, running_totals
+from cohortspark.session import durable
 
 # Class weights of the positive and negative rows.
 POSITIVE_WEIGHT, NEGATIVE_WEIGHT = 0.99, 0.01
@@ -81,7 +82,7 @@ def cross_validate(df: DataFrame, key: str, features: Sequence[str], label: str,
     """Accuracy of a logistic model per fold; folds come from a hash of the key."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     fold = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % folds).cast("int")
-    marked = df.withColumn("fold", fold).cache()
+    marked = durable(df.withColumn("fold", fold))
     out = None
     for k in range(folds):
         model = logistic(marked.where(F.col("fold") != k), features, label)

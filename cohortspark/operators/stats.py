@@ -112,34 +112,42 @@ def contingency(df: DataFrame, group: str, category: str) -> DataFrame:
 
 
 def fisher_2x2(df: DataFrame, group: str, flag: str) -> DataFrame:
-    """Exact two-sided test of a 0/1 flag between groups 1 and 0, and the sample odds ratio.
-
-    The four counts come from one aggregate; the support of the hypergeometric law is spread over the cluster.
-    """
+    """Exact two-sided test of a 0/1 flag between groups 1 and 0, and the sample odds ratio."""
     g, f = F.col(group).cast("int"), F.col(flag).cast("int")
     cell = lambda i, j: F.coalesce(F.sum(((g == i) & (f == j)).cast("bigint")), F.lit(0))
     row = df.agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d")).first()
-    return fisher_counts(df.sparkSession, row["a"], row["b"], row["c"], row["d"])
-
-
-def fisher_counts(spark, a: int, b: int, c: int, d: int) -> DataFrame:
-    """The test from four counts: total probability of the tables no likelier than the observed one."""
-    r1, c1, n = a + b, a + c, a + b + c + d
-    low, high = max(0, c1 - (n - r1)), min(r1, c1)
-    def ln_p(k):
-        return -(ln_factorial(k) + ln_factorial(F.lit(r1) - k) + ln_factorial(F.lit(c1) - k)
-                 + ln_factorial(F.lit(n - r1 - c1) + k))
-    base = ln_p(F.col("id"))
-    seen = spark.range(low, high + 1).withColumn("_lp", base).withColumn("_obs", ln_p(F.lit(a).cast("bigint")))
-    top = F.exp(F.col("_lp") - F.col("_obs"))
-    # Probabilities relative to the observed table; the mode may be much likelier, so it is the common scale.
-    mode = max(low, min(high, (r1 + 1) * (c1 + 1) // (n + 2)))
-    rel = F.exp(F.col("_lp") - ln_p(F.lit(mode).cast("bigint")))
-    out = seen.agg((F.sum(F.when(top <= 1 + 1e-7, rel).otherwise(0.0)) / F.sum(rel)).alias("p_value"))
-    odds = a * d / (b * c) if b * c else None
-    return out.select(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"), F.lit(c).cast("bigint").alias("c"),
-                      F.lit(d).cast("bigint").alias("d"), F.lit(odds).cast("double").alias("odds_ratio"),
-                      F.least(F.col("p_value"), F.lit(1.0)).alias("p_value"))
+    return fisher_tables(df.sparkSession, [tuple(row)]).drop("test")
+
+
+def fisher_tables(spark, tables: Sequence[tuple[int, int, int, int]]) -> DataFrame:
+    """The test for a handful of 2 x 2 tables (a, b, c, d): total probability of the tables no likelier than the observed one.
+
+    The supports of all tests lie one after the other on one range, which is spread over the cluster.
+    """
+    specs, start = [], 0
+    for a, b, c, d in tables:
+        r1, c1, n = a + b, a + c, a + b + c + d
+        low, high = max(0, c1 - (n - r1)), min(r1, c1)
+        mode = max(low, min(high, (r1 + 1) * (c1 + 1) // (n + 2)))
+        specs.append((start, low, r1, c1, n - r1 - c1, a, mode))
+        start += high - low + 1
+    rows = spark.range(start)
+    test = F.lit(0)
+    for i, spec in enumerate(specs[1:], 1):
+        test = F.when(F.col("id") >= spec[0], F.lit(i)).otherwise(test)
+    rows = rows.withColumn("test", test)
+    part = lambda j: F.get(F.array(*[F.lit(s[j]).cast("bigint") for s in specs]), F.col("test"))
+    k = F.col("id") - part(0) + part(1)
+
+    def ln_p(x: Column) -> Column:
+        return -(ln_factorial(x) + ln_factorial(part(2) - x) + ln_factorial(part(3) - x) + ln_factorial(part(4) + x))
+
+    # Probabilities are taken relative to the mode, so neither end of a long support overflows.
+    rel = rows.select("test", F.exp(ln_p(k) - ln_p(part(6))).alias("p"), (ln_p(k) <= ln_p(part(5)) + 1e-7).alias("counted"))
+    found = rel.groupBy("test").agg(F.least(F.sum(F.when(F.col("counted"), F.col("p")).otherwise(0.0)) / F.sum("p"), F.lit(1.0)).alias("p_value"))
+    counts = [(i, a, b, c, d, a * d / (b * c) if b * c else None) for i, (a, b, c, d) in enumerate(tables)]
+    base = spark.createDataFrame(counts, "test int, a bigint, b bigint, c bigint, d bigint, odds_ratio double")
+    return base.join(found, "test")
 
 
 def _table(counts: DataFrame, group: str, category: str) -> np.ndarray:
@@ -296,14 +304,11 @@ def protection_rate(df: DataFrame, group: str, infected: Column) -> DataFrame:
 
 def pairwise_fisher(rates: DataFrame, group: str) -> DataFrame:
     """Exact tests between all groups of a protection table (one row per group, a handful of groups)."""
-    spark, rows = rates.sparkSession, sorted(rates.select(group, "n", "n_protected").collect())
-    out = None
-    for i, a in enumerate(rows):
-        for b in rows[i + 1:]:
-            test = fisher_counts(spark, a[2], a[1] - a[2], b[2], b[1] - b[2]).select(
-                F.lit(a[0]).alias("group_1"), F.lit(b[0]).alias("group_2"), "odds_ratio", "p_value")
-            out = test if out is None else out.unionByName(test)
-    return out
+    rows = sorted(rates.select(group, "n", "n_protected").collect())
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1:]]
+    tests = fisher_tables(rates.sparkSession, [(a[2], a[1] - a[2], b[2], b[1] - b[2]) for a, b in pairs])
+    names = rates.sparkSession.createDataFrame([(i, a[0], b[0]) for i, (a, b) in enumerate(pairs)], "test int, group_1 string, group_2 string")
+    return names.join(tests, "test").select("group_1", "group_2", "odds_ratio", "p_value")
 
 
 def pearson(df: DataFrame, columns: Sequence[str], outcome: str) -> DataFrame:

@@ -244,7 +244,7 @@ def stat_vif(v):
     return stats.variance_inflation(people(v), ["balance", "age", "n_episodes"]).withColumn("vif", F.round("vif", 6))
 
 
-@query("stat_anova_rm", """WITH x AS (SELECT s, c, coalesce(y, 0) AS y FROM (SELECT DISTINCT CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS s FROM orders), (VALUES ('F'), ('O')) k(c)
+@query("stat_anova_rm", """WITH x AS (SELECT s, c, coalesce(y, 0) AS y FROM (SELECT DISTINCT CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS s FROM orders) m CROSS JOIN (VALUES ('F'), ('O')) k(c)
   LEFT JOIN (SELECT CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS s, o_orderstatus AS c, 100.0 * count(*) FILTER (o_orderpriority = '1-URGENT') / count(*) AS y FROM orders GROUP BY 1, 2) USING (s, c)),
   g AS (SELECT avg(y) AS m FROM x), sc AS (SELECT sum(n * (a - m) ** 2) AS v FROM (SELECT c, avg(y) AS a, count(*) AS n FROM x GROUP BY 1), g), ss AS (SELECT sum(n * (a - m) ** 2) AS v FROM (SELECT s, avg(y) AS a, count(*) AS n FROM x GROUP BY 1), g),
   st AS (SELECT sum((y - m) ** 2) AS v FROM x, g), d AS (SELECT count(DISTINCT c) - 1 AS d1, (count(DISTINCT c) - 1) * (count(DISTINCT s) - 1) AS d2 FROM x)
