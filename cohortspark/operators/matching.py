@@ -213,9 +213,12 @@ def nearest_controls(df: DataFrame, key: str, treated: str, covariates: Sequence
     while n_cells:
         lo, hi = F.greatest(F.col("home") - width, F.lit(0)), F.least(F.col("home") + width, F.lit(n_cells - 1))
         fresh = F.filter(F.sequence(lo, hi), lambda c: (c < F.col("lo")) | (c > F.col("hi")))
-        visits = open_rows.select("id", "x", F.explode(fresh).alias("cell")).join(cands, "cell")
+        worst = F.when(F.size("best") >= n, F.element_at("best", -1)["d"])
+        visits = open_rows.select("id", "x", "axis", worst.alias("worst"), F.explode(fresh).alias("cell")).join(cands, "cell").where(
+            F.col("worst").isNull() | (F.abs(F.col("axis") - F.col("c_axis")) <= F.col("worst")))
         gap = F.aggregate(F.zip_with("x", "cx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        seen = visits.select("id", F.struct(F.sqrt(gap).alias("d"), "control_id").alias("hit"))
+        seen = visits.select("id", "worst", F.struct(F.sqrt(gap).alias("d"), "control_id").alias("hit")).where(
+            F.col("worst").isNull() | (F.col("hit.d") <= F.col("worst")))
         per_cell = seen.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, n).alias("found"))
         merged = open_rows.join(per_cell, "id", "left").withColumn(
             "best", F.slice(F.array_sort(F.concat("best", F.coalesce("found", F.array().cast(best_type)))), 1, n)).drop("found")
