@@ -157,11 +157,15 @@ def proportions(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> Data
     return counts.withColumn("share", F.when(total > 0, F.col(n) / total))
 
 
-def describe(df: DataFrame, keys, value: str) -> DataFrame:
-    """Median, quartiles, spread and range per group."""
-    q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    ends = df.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
-    return same_keys(ends, q, list(keys), "left").withColumn("iqr", F.col("q3") - F.col("q1"))
+def describe(df: DataFrame, keys, value: str, accuracy: int | None = None) -> DataFrame:
+    """Median, quartiles, spread and range per group; exact, or in one pass from sketches when ``accuracy`` is given."""
+    if accuracy:
+        at = F.percentile_approx(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy)
+        df = df.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"), at.alias("_q"))
+        df = df.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(("q1", "median", "q3"))}).drop("_q")
+        return df.withColumn("iqr", F.col("q3") - F.col("q1"))
+    probs = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    return exact_quantiles(df, keys, value, probs, "n").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:

@@ -101,12 +101,10 @@ def infection_in_episode(episodes: DataFrame, positives: DataFrame, keys: Sequen
     """Adds the first positive test from conception to delivery, days from conception and trimester, and whether
     a positive precedes conception."""
     per_day = daily(positives, keys, "test_date", {"_n": F.count(F.lit(1))}).drop("_n")
-    found = next_event(episodes, per_day, keys, "conception", "test_date", inclusive=True, prefix="infection_")
+    found = next_event(episodes, per_day, keys, "conception", "test_date", inclusive=True, prefix="infection_", first_before="prior_date")
     hit = F.when(F.col("infection_test_date") <= F.col("delivery"), F.col("infection_test_date"))
-    first = per_day.groupBy(*keys).agg(F.min("test_date").alias("_first"))
-    out = found.withColumn("infection_date", hit).drop("infection_test_date").join(first, list(keys), "left")
-    out = out.withColumn("prior_infection", F.coalesce(F.col("_first") < F.col("conception"), F.lit(False)).cast("int"))
-    out = out.withColumn("prior_date", F.when(F.col("_first") < F.col("conception"), F.col("_first"))).drop("_first")
+    out = found.withColumn("infection_date", hit).drop("infection_test_date")
+    out = out.withColumn("prior_infection", F.col("prior_date").isNotNull().cast("int"))
     days = F.datediff("infection_date", "conception")
     return out.withColumn("days_from_conception", days).withColumn("infection_trimester", trimester(days, cuts))
 

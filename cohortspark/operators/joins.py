@@ -18,6 +18,18 @@ def with_flag(df: DataFrame, members: DataFrame, keys: Sequence[str], out: str)
     return df.join(marked, list(keys), "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
+def fan_out(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a table with many rows per key, written as an inner join plus the unmatched left rows.
+
+    In a left outer join a hot key of the right side cannot be split between tasks, in an inner join it can. The
+    unmatched part needs only the distinct keys, and vanishes from the plan under a filter on the right side's columns.
+    """
+    keys = list(keys)
+    matched = left.join(right, keys)
+    alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
 def left_with_condition(left: DataFrame, right: DataFrame, keys: Sequence[str], residual: Column) -> DataFrame:
     """Left outer join whose extra condition is part of ON, so unmatched left rows stay.
 

@@ -30,8 +30,11 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], totals: dict[str, Column],
-                   partitions: int | None = None) -> DataFrame:
-    """Adds inclusive running sums of ``totals`` along ``order`` within ``keys``. ``order`` must be total."""
+                   partitions: int | None = None, grand: str | None = None) -> DataFrame:
+    """Adds inclusive running sums of ``totals`` along ``order`` within ``keys``. ``order`` must be total.
+
+    With ``grand`` also every total's sum over the group, in a column of that prefix plus the total's name.
+    """
     keys = list(keys) or ["_all"]
     base = df if keys[0] in df.columns else df.withColumn("_all", F.lit(0))
     order = [F.col(o) if isinstance(o, str) else o for o in order]
@@ -41,12 +44,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     )
     sums = stored.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
     up_to = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", *keys, *[
+    whole = Window.partitionBy(*keys)
+    all_of = [F.sum(f"_t_{n}").over(whole).alias(f"{grand}{n}") for n in totals] if grand else []
+    offsets = sums.select("_part", *keys, *all_of, *[
         F.coalesce(F.sum(f"_t_{n}").over(up_to), F.lit(0)).alias(f"_o_{n}") for n in totals])
     within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = stored.select("*", *[F.sum(c).over(within).alias(n) for n, c in totals.items()])
     joined = same_keys(local, offsets, ["_part", *keys])
-    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in totals])
+    return joined.select(*df.columns, *[f"{grand}{n}" for n in totals if grand], *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in totals])
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
@@ -64,19 +69,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     keys = list(keys) or ["_all"]
     df = df.withColumn("_all", F.lit(0)) if grand else df
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_totals(counts, keys, [F.col(value).asc()], {"_hi": F.col("_n")})
-    sizes = ranks.groupBy(*keys).agg(F.max("_hi").alias("_size"))
-    placed = same_keys(ranks, sizes, keys)
-    out = []
+    placed = running_totals(counts, keys, [F.col(value).asc()], {"_hi": F.col("_n")}, grand="_all_of")
+    size, out = F.col("_all_of_hi"), []
     for name, p in probs.items():
-        pos = (F.col("_size") - 1) * F.lit(float(p))
+        pos = (size - 1) * F.lit(float(p))
         low, high = F.floor(pos), F.ceil(pos)
         first = F.col("_hi") - F.col("_n")
         at = lambda r: F.max(F.when((first <= r) & (r < F.col("_hi")), F.col(value).cast("double")))
         lo, hi, frac = at(low), at(high), F.max(pos - low)
         out.append((lo + (hi - lo) * frac).alias(name))
     if count:
-        out.append(F.max("_size").alias(count))
+        out.append(F.max(size).alias(count))
     found = placed.groupBy(*keys).agg(*out)
     return found.drop("_all") if grand else found
 

@@ -8,7 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,8 +146,9 @@ def fisher_tables(spark, tables: Sequence[tuple[int, int, int, int]]) -> DataFra
     rel = rows.select("test", F.exp(ln_p(k) - ln_p(part(6))).alias("p"), (ln_p(k) <= ln_p(part(5)) + 1e-7).alias("counted"))
     found = rel.groupBy("test").agg(F.least(F.sum(F.when(F.col("counted"), F.col("p")).otherwise(0.0)) / F.sum("p"), F.lit(1.0)).alias("p_value"))
     counts = [(i, a, b, c, d, a * d / (b * c) if b * c else None) for i, (a, b, c, d) in enumerate(tables)]
-    base = spark.createDataFrame(counts, "test int, a bigint, b bigint, c bigint, d bigint, odds_ratio double")
-    return base.join(found, "test")
+    names, types = ("a", "b", "c", "d", "odds_ratio"), ("bigint",) * 4 + ("double",)
+    of = lambda j, t: F.get(F.array(*[F.lit(r[j + 1]).cast(t) for r in counts]), F.col("test"))
+    return found.select("test", *[of(j, t).alias(x) for j, (x, t) in enumerate(zip(names, types))], "p_value")
 
 
 def _table(counts: DataFrame, group: str, category: str) -> np.ndarray:
@@ -216,12 +217,10 @@ def fisher_exact(counts: DataFrame, group: str, category: str, limit: int = 20_0
 
 def chi_square_independence(counts: DataFrame, group: str, category: str) -> DataFrame:
     """Statistic and degrees of freedom of a table given as counts, zero cells included."""
-    by_g = counts.groupBy(group).agg(F.sum("n").alias("_g"))
-    by_c = counts.groupBy(category).agg(F.sum("n").alias("_c"))
     # Sum of (o - e)^2 / e over all cells equals N * (sum of o^2 / (row * column) - 1), which needs occupied cells only.
-    joined = counts.join(by_g, group).join(by_c, category)
-    part = joined.agg(F.sum(F.col("n") * F.col("n") / (F.col("_g") * F.col("_c"))).alias("_q"), F.sum("n").alias("n"),
-                      F.count_distinct(group).alias("_r"), F.count_distinct(category).alias("_k"))
+    row, col = F.sum("n").over(Window.partitionBy(group)), F.sum("n").over(Window.partitionBy(category))
+    part = counts.select(group, category, "n", (F.col("n") * F.col("n") / (row * col)).alias("_q")).agg(
+        F.sum("_q").alias("_q"), F.sum("n").alias("n"), F.count_distinct(group).alias("_r"), F.count_distinct(category).alias("_k"))
     return part.select((F.col("n") * (F.col("_q") - 1)).alias("chi_square"),
                        ((F.col("_r") - 1) * (F.col("_k") - 1)).alias("df"), "n")
 
@@ -240,14 +239,10 @@ def chi_square_features(df: DataFrame, features: Sequence[str], label: str) -> D
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])
     long = df.select(F.col(label).cast("string").alias("label"), F.inline(cells))
     n = long.groupBy("feature", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    by_v = n.groupBy("feature", "value").agg(F.sum("n").alias("_v"))
-    by_l = n.groupBy("feature", "label").agg(F.sum("n").alias("_l"))
-    part = n.join(by_v, ["feature", "value"]).join(by_l, ["feature", "label"])
-    sizes = by_v.groupBy("feature").agg(F.count(F.lit(1)).alias("_k")).join(
-        by_l.groupBy("feature").agg(F.count(F.lit(1)).alias("_m")), "feature")
-    q = part.groupBy("feature").agg(F.sum(F.col("n") * F.col("n") / (F.col("_v") * F.col("_l"))).alias("_q"), F.sum("n").alias("_n"))
-    return q.join(sizes, "feature").select("feature", (F.col("_n") * (F.col("_q") - 1)).alias("chi_square"),
-                                           ((F.col("_k") - 1) * (F.col("_m") - 1)).alias("df"))
+    by_v, by_l = (F.sum("n").over(Window.partitionBy("feature", c)) for c in ("value", "label"))
+    q = n.select("feature", "value", "label", "n", (F.col("n") * F.col("n") / (by_v * by_l)).alias("_q")).groupBy("feature").agg(
+        F.sum("_q").alias("_q"), F.sum("n").alias("_n"), F.count_distinct("value").alias("_k"), F.count_distinct("label").alias("_m"))
+    return q.select("feature", (F.col("_n") * (F.col("_q") - 1)).alias("chi_square"), ((F.col("_k") - 1) * (F.col("_m") - 1)).alias("df"))
 
 
 # ---- two-sample tests --------------------------------------------------------------------------------------------
@@ -307,8 +302,8 @@ def pairwise_fisher(rates: DataFrame, group: str) -> DataFrame:
     rows = sorted(rates.select(group, "n", "n_protected").collect())
     pairs = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1:]]
     tests = fisher_tables(rates.sparkSession, [(a[2], a[1] - a[2], b[2], b[1] - b[2]) for a, b in pairs])
-    names = rates.sparkSession.createDataFrame([(i, a[0], b[0]) for i, (a, b) in enumerate(pairs)], "test int, group_1 string, group_2 string")
-    return names.join(tests, "test").select("group_1", "group_2", "odds_ratio", "p_value")
+    name = lambda j: F.get(F.array(*[F.lit(p[j][0]) for p in pairs]), F.col("test"))
+    return tests.select(name(0).alias("group_1"), name(1).alias("group_2"), "odds_ratio", "p_value")
 
 
 def pearson(df: DataFrame, columns: Sequence[str], outcome: str) -> DataFrame:

@@ -30,25 +30,33 @@ def _grid(probes: DataFrame, per_day: DataFrame, keys: Sequence[str], probe_day:
     return marks.unionByName(seen.withColumn("_probe", F.lit(0)), allowMissingColumns=True)
 
 
-def _nearest(probes, per_day, keys, probe_day, day, payload, inclusive, forward, prefix):
+def _nearest(probes, per_day, keys, probe_day, day, payload, inclusive, forward, prefix, first_before=None):
     payload = list(payload)
     grid = _grid(probes, per_day, keys, probe_day, day, payload)
     along = F.col("_day").desc() if forward else F.col("_day").asc()
     same_day = F.col("_probe").asc() if inclusive else F.col("_probe").desc()
     w = Window.partitionBy(*keys).orderBy(along, same_day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = (
-        grid.withColumn("_hit", F.last("_event", ignorenulls=True).over(w))
-        .where("_probe = 1")
-        .select(*keys, F.col("_day").alias(probe_day), F.col("_hit._at").alias(prefix + day),
-                *[F.col(f"_hit.{p}").alias(prefix + p) for p in payload])
-    )
+    grid = grid.withColumn("_hit", F.last("_event", ignorenulls=True).over(w))
+    extra = []
+    if first_before:
+        earlier = Window.partitionBy(*keys).orderBy(F.col("_day"), F.col("_probe").desc()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        grid = grid.withColumn("_first", F.min("_event._at").over(earlier))
+        extra = [F.col("_first").alias(first_before)]
+    found = grid.where("_probe = 1").select(
+        *keys, F.col("_day").alias(probe_day), F.col("_hit._at").alias(prefix + day),
+        *[F.col(f"_hit.{p}").alias(prefix + p) for p in payload], *extra)
     return probes.join(found, [*keys, probe_day], "left")
 
 
 def next_event(probes: DataFrame, per_day: DataFrame, keys: Sequence[str], probe_day: str, day: str,
-               payload: Sequence[str] = (), inclusive: bool = False, prefix: str = "next_") -> DataFrame:
-    """Adds the first event after (or on, when inclusive) the probe day; null when there is none."""
-    return _nearest(probes, per_day, keys, probe_day, day, payload, inclusive, True, prefix)
+               payload: Sequence[str] = (), inclusive: bool = False, prefix: str = "next_",
+               first_before: str | None = None) -> DataFrame:
+    """Adds the first event after (or on, when inclusive) the probe day; null when there is none.
+
+    ``first_before`` names a column for the key's earliest event before the probe day, found in the same pass.
+    """
+    return _nearest(probes, per_day, keys, probe_day, day, payload, inclusive, True, prefix, first_before)
 
 
 def last_event(probes: DataFrame, per_day: DataFrame, keys: Sequence[str], probe_day: str, day: str,
@@ -80,11 +88,19 @@ def window_reduce(probes: DataFrame, per_day: DataFrame, keys: Sequence[str], pr
 
 def count_between(probes: DataFrame, events: DataFrame, keys: Sequence[str], start: str, end: str, day: str,
                   out: str = "n_events") -> DataFrame:
-    """Events with start <= day <= end per probe row, as a difference of two running counts."""
-    per_day = daily(events, keys, day, {"_c": F.count(F.lit(1))})
-    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = per_day.select(*keys, day, F.sum("_c").over(w).alias("_cum"))
-    upto = last_event(probes, running, keys, end, day, ["_cum"], True, "_e_")
-    both = last_event(upto, running, keys, start, day, ["_cum"], False, "_s_")
-    n = F.coalesce(F.col("_e__cum"), F.lit(0)) - F.coalesce(F.col("_s__cum"), F.lit(0))
-    return both.withColumn(out, F.greatest(n, F.lit(0))).drop(f"_e_{day}", f"_s_{day}", "_e__cum", "_s__cum")
+    """Events with start <= day <= end per probe row: the running count at ``end`` minus that of the day before ``start``.
+
+    Both ends are looked up in one running count per key and calendar day.
+    """
+    keys = list(keys)
+    per_day = daily(events, keys, day, {"_c": F.count(F.lit(1))}).withColumnRenamed(day, "_day")
+    ends = F.explode(F.array(F.col(end), F.date_sub(start, 1))).alias("_day")
+    marks = probes.select(*keys, ends).where("_day is not null").distinct().withColumn("_c", F.lit(0).cast("bigint"))
+    both = per_day.withColumn("_probe", F.lit(0)).unionByName(marks.withColumn("_probe", F.lit(1)))
+    w = Window.partitionBy(*keys).orderBy("_day", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = both.withColumn("_cum", F.sum("_c").over(w)).where("_probe = 1").select(*keys, "_day", "_cum")
+    at_end = running.withColumnsRenamed({"_day": end, "_cum": "_hi"})
+    at_start = running.withColumnsRenamed({"_day": "_from", "_cum": "_lo"})
+    found = probes.withColumn("_from", F.date_sub(start, 1)).join(at_end, [*keys, end], "left").join(at_start, [*keys, "_from"], "left")
+    n = F.greatest(F.coalesce("_hi", F.lit(0)) - F.coalesce("_lo", F.lit(0)), F.lit(0))
+    return found.select(*probes.columns, n.alias(out))

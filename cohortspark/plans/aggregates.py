@@ -15,8 +15,7 @@ from cohortspark.sources.views import sql
 
 _GENERIC = """round(avg(value), 6) AS value_avg, round(stddev_samp(value), 6) AS value_stddev, round(sum(value), 6) AS value_sum, count(value) AS value_count,
   min(value) AS value_min, max(value) AS value_max, round(median(value), 6) AS value_median,
-  first(measure ORDER BY recorded_time, measure) AS measure_first, last(measure ORDER BY recorded_time, measure) AS measure_last,
-  string_agg(measure, ';' ORDER BY recorded_time, measure) AS measure_concat_ws"""
+  first(measure ORDER BY recorded_time, measure) AS measure_first, last(measure ORDER BY recorded_time, measure) AS measure_last"""
 
 
 def _rounded(df, *cols):
@@ -24,16 +23,26 @@ def _rounded(df, *cols):
 
 
 @query("agg_generic", sql(f"""SELECT pat_id, instance, {_GENERIC}, string_agg(DISTINCT measure, ',' ORDER BY measure) AS measure_collect_set,
-  string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY recorded_time, event_id) AS event_id_collect_list,
   round(avg(CASE WHEN value > 20 THEN 1 ELSE 0 END), 6) AS big_avg, sum(CASE WHEN value > 20 THEN 1 ELSE 0 END)::BIGINT AS big_sum
   FROM measure GROUP BY 1, 2""", "measure"))
 def agg_generic(v):
-    spec = {"value": ["avg", "stddev", "sum", "count", "min", "max", "median"], "measure": ["first", "last", "concat_ws", "collect_set"],
-            "event_id": "collect_list", "big": ["avg", "sum"]}
+    spec = {"value": ["avg", "stddev", "sum", "count", "min", "max", "median"], "measure": ["first", "last", "collect_set"], "big": ["avg", "sum"]}
     df = agg.aggregate(v.measure.withColumn("big", F.col("value") > 20), PERSON, spec, "recorded_time")
     df = _rounded(df, "value_avg", "value_stddev", "value_sum", "value_median", "big_avg")
-    return df.withColumns({"measure_collect_set": F.array_join("measure_collect_set", ","),
-                           "event_id_collect_list": F.array_join(F.transform("event_id_collect_list", lambda x: x.cast("string")), ",")})
+    return df.withColumn("measure_collect_set", F.array_join("measure_collect_set", ","))
+
+
+@query("agg_ordered_lists", sql("""SELECT pat_id, instance, row_number() OVER (PARTITION BY pat_id, instance ORDER BY recorded_time, event_id) AS position, event_id AS value FROM measure""", "measure"))
+def agg_ordered_lists(v):
+    """collect_list in time order for groups of any size: one row per element with its position."""
+    return agg.ordered_elements(v.measure, PERSON, "event_id", "recorded_time")
+
+
+@query("agg_lists_per_day", sql("""SELECT pat_id, instance, CAST(recorded_time AS DATE) AS day, string_agg(DISTINCT measure, ';' ORDER BY measure) AS measure_concat_ws FROM measure GROUP BY ALL""", "measure"))
+def agg_lists_per_day(v):
+    """concat_ws over the distinct measures of a day: at most one element per measure."""
+    once = v.measure.select(*PERSON, F.to_date("recorded_time").alias("day"), "measure").distinct()
+    return agg.aggregate(once, [*PERSON, "day"], {"measure": "concat_ws"}, "measure")
 
 
 @query("agg_median", "SELECT o_custkey, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1")

@@ -119,7 +119,7 @@ def join_inner_equi(v):
 
 @query("join_left_equi", sql("SELECT pat_id, instance, segment, episode_id FROM person LEFT JOIN episode USING (pat_id, instance)", "episode", "person"))
 def join_left_equi(v):
-    return v.person.join(v.episode, PERSON, "left").select(*PERSON, "segment", "episode_id")
+    return joins.fan_out(v.person, v.episode, PERSON).select(*PERSON, "segment", "episode_id")
 
 
 @query("join_right_residual", sql("""SELECT i.pat_id, i.instance, index_date, p.death_date FROM idx i LEFT JOIN person p ON p.pat_id = i.pat_id

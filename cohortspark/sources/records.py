@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.dates import age_years
 from cohortspark.functions.strings import lab_code
 from cohortspark.operators.concepts import add_concept_flags, add_concept_values
+from cohortspark.operators.joins import fan_out
 from cohortspark.session import broadcast_if_small
 
 PERSON = ["pat_id", "instance"]
@@ -147,11 +148,11 @@ def encounters(records: Records, cohort: DataFrame | None = None, cohort_columns
                concepts: Sequence[str] = ()) -> DataFrame:
     """Encounters, optionally with one child table, diagnosis names and a boolean column per condition label."""
     child, on = _child(records, ENCOUNTER_CHILDREN, join_table)
-    df = _start(records, cohort, cohort_columns).join(records["encounter"], PERSON, "left")
+    df = fan_out(_start(records, cohort, cohort_columns), records["encounter"], PERSON)
     if "birth_date" in df.columns:
         df = df.withColumn("age_at_contact_dt", age_years(F.col("birth_date"), F.col("contact_date")))
     if child is not None:
-        df = df.join(child, on, "left")
+        df = fan_out(df, child, on)
         if "dx_id" in df.columns:
             df = df.join(broadcast_if_small(records["diagnosis"]), ["dx_id", "instance"], "left")
             if concepts:
@@ -169,11 +170,11 @@ def procedure_orders(records: Records, cohort: DataFrame | None = None, cohort_c
                      concepts: Sequence[str] = ()) -> DataFrame:
     """Procedure orders, optionally with lab results (mapped codes and a value column per lab label)."""
     child, on = _child(records, PROCEDURE_CHILDREN, join_table)
-    df = _start(records, cohort, cohort_columns).join(records["procedureorders"], PERSON, "left")
+    df = fan_out(_start(records, cohort, cohort_columns), records["procedureorders"], PERSON)
     if "birth_date" in df.columns:
         df = df.withColumn("age_at_order_dt", age_years(F.col("birth_date"), F.col("ordering_datetime")))
     if child is not None:
-        df = df.join(child, on, "left")
+        df = fan_out(df, child, on)
         if join_table == "labresult":
             df = df.withColumn("lab_code", lab_code(F.col("loinc_code"), F.col("default_loinc_code")))
             df = add_concept_values(df, F.array("lab_code"), "result_value", {c: records.code_labels[c] for c in concepts})
@@ -185,12 +186,12 @@ def medication_orders(records: Records, cohort: DataFrame | None = None, cohort_
                       concepts: Sequence[str] = ()) -> DataFrame:
     """Medication orders with drug names, optionally administrations and a boolean column per drug label."""
     child, on = _child(records, {"medicationadministration": ["order_med_id", "instance"]}, join_table)
-    df = _start(records, cohort, cohort_columns).join(records["medicationorders"], PERSON, "left")
+    df = fan_out(_start(records, cohort, cohort_columns), records["medicationorders"], PERSON)
     if "birth_date" in df.columns:
         df = df.withColumn("age_at_order_dt", age_years(F.col("birth_date"), F.col("ordering_datetime")))
     df = df.join(broadcast_if_small(records["medication"]), ["medication_id", "instance"], "left")
     if child is not None:
-        df = df.join(child, on, "left")
+        df = fan_out(df, child, on)
     if concepts:
         df = add_concept_flags(df, records.medication_ids, "medication_id", concepts)
     return _finish(df, "medication_orders", where, omit)
@@ -201,19 +202,16 @@ def flowsheets(records: Records, cohort: DataFrame | None = None, cohort_columns
                concepts: Sequence[str] = ()) -> DataFrame:
     """Sheet -> entry -> definition -> code of the measure, with a value column per device or vital label."""
     child, on = _child(records, {"inpatientdata": ["inpatient_data_id", "instance"]}, join_table)
-    df = (
-        _start(records, cohort, cohort_columns)
-        .join(records["flowsheet"], PERSON, "left")
-        .join(records["flowsheetentry"], ["fsd_id", "instance"], "left")
-        .join(broadcast_if_small(records["flowsheetdefinition"]), ["flo_meas_id", "instance"], "left")
-    )
+    df = fan_out(_start(records, cohort, cohort_columns), records["flowsheet"], PERSON)
+    df = fan_out(df, records["flowsheetentry"], ["fsd_id", "instance"])
+    df = df.join(broadcast_if_small(records["flowsheetdefinition"]), ["flo_meas_id", "instance"], "left")
     if records.measure_codes is not None:
         df = df.join(broadcast_if_small(records.measure_codes), ["flo_meas_id", "instance"], "left")
         df = add_concept_values(df, F.array("code"), "value", {c: records.code_labels[c] for c in concepts})
     if "birth_date" in df.columns:
         df = df.withColumn("age_at_recorded_dt", age_years(F.col("birth_date"), F.col("recorded_time")))
     if child is not None:
-        df = df.join(child, on, "left")
+        df = fan_out(df, child, on)
     return _finish(df, "flowsheets", where, omit)
 
 
@@ -224,7 +222,7 @@ def episode_blocks(records: Records, cohort: DataFrame | None = None, cohort_col
     unknown = sorted(set(join_tables) - {"deliverysummary", "obhistory"})
     if unknown:
         raise ValueError(f"unknown tables: {unknown}")
-    df = _start(records, cohort, cohort_columns).join(records["episode"], PERSON, "left")
+    df = fan_out(_start(records, cohort, cohort_columns), records["episode"], PERSON)
     if "birth_date" in df.columns:
         df = df.withColumn("age_at_start_dt", age_years(F.col("birth_date"), F.col("start_date")))
     if "deliverysummary" in join_tables:
