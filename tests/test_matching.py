@@ -25,7 +25,7 @@ def greedy(rows, caliper, h):
     return out
 
 
-@pytest.mark.parametrize("kind,size", [("spread", 15), ("ties", 25), ("runs", 12), ("spread", 100000)])
+@pytest.mark.parametrize("kind,size", [("spread", 40), ("ties", 40), ("runs", 40), ("spread", 100000)])
 def test_one_to_one_equals_brute_force(spark, kind, size):
     rng = random.Random(5)
     rows = []
