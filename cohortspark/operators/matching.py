@@ -47,10 +47,9 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str], balanced:
         weight = F.lit(1.0)
     ready = VectorAssembler(inputCols=list(covariates), outputCol="_x").transform(df.withColumn("_w", weight))
     model = LogisticRegression(featuresCol="_x", labelCol=treated, weightCol="_w", maxIter=50, standardization=True).fit(ready)
-    p = vector_to_array("probability")[1]
-    scored = model.transform(ready).withColumn("propensity", p)
-    return scored.withColumn("logit", F.ln(F.col("propensity") / (1 - F.col("propensity")))).select(
-        *df.columns, "propensity", "logit")
+    # The margin is the logit itself, so certain cases (propensity 0 or 1) keep a finite value.
+    return model.transform(ready).withColumn("propensity", vector_to_array("probability")[1]).withColumn(
+        "logit", vector_to_array("rawPrediction")[1]).select(*df.columns, "propensity", "logit")
 
 
 def match_one_to_one(df: DataFrame, key: str, treated: str, score: str, caliper: float,
@@ -268,8 +267,9 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
             if new.isEmpty():
                 break
             done = new if done is None else done.unionByName(new)
-            c = durable(c.join(new.select("case_id"), "case_id", "left_anti"))
-            p = durable(p.join(new.select("control_id"), "control_id", "left_anti"))
+            c = c.join(new.select("case_id"), "case_id", "left_anti")
+            p = p.join(new.select("control_id"), "control_id", "left_anti")
+        c, p = durable(c), durable(p)
         if c.isEmpty():
             break
     if done is None:

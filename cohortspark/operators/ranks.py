@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 from cohortspark.session import durable
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys where null equals null; the left frame's key columns are kept."""
     if not keys:
@@ -33,13 +29,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
                    partitions: int | None = None, grand: str | None = None) -> DataFrame:
     """Adds inclusive running sums of ``totals`` along ``order`` within ``keys``. ``order`` must be total.
 
-    With ``grand`` also every total's sum over the group, in a column of that prefix plus the total's name.
+    With ``grand`` also every total's sum over the group, in a column of that prefix plus the total's name. Without
+    ``partitions`` adaptive execution joins small neighbouring ranges; the stored copy fixes what each range holds.
     """
     keys = list(keys) or ["_all"]
     base = df if keys[0] in df.columns else df.withColumn("_all", F.lit(0))
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     stored = durable(
-        base.repartitionByRange(partitions or _partitions(df), *[F.col(k).asc() for k in keys], *order)
+        base.repartitionByRange(*([partitions] if partitions else []), *[F.col(k).asc() for k in keys], *order)
         .withColumn("_part", F.spark_partition_id())
     )
     sums = stored.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
@@ -54,13 +51,14 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return joined.select(*df.columns, *[f"{grand}{n}" for n in totals if grand], *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in totals])
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "rank",
+           partitions: int | None = None) -> DataFrame:
     """Adds row numbers from 1 along a total ``order`` within ``keys``."""
-    return running_totals(df, keys, order, {out: F.lit(1).cast("bigint")})
+    return running_totals(df, keys, order, {out: F.lit(1).cast("bigint")}, partitions)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    count: str | None = None) -> DataFrame:
+                    count: str | None = None, partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group; nulls are ignored. One row per group with a value.
 
     Equal values are counted together before anything is ordered.
@@ -69,7 +67,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     keys = list(keys) or ["_all"]
     df = df.withColumn("_all", F.lit(0)) if grand else df
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(counts, keys, [F.col(value).asc()], {"_hi": F.col("_n")}, grand="_all_of")
+    placed = running_totals(counts, keys, [F.col(value).asc()], {"_hi": F.col("_n")}, partitions, "_all_of")
     size, out = F.col("_all_of_hi"), []
     for name, p in probs.items():
         pos = (size - 1) * F.lit(float(p))

@@ -55,11 +55,11 @@ def test_running_totals_and_quantiles(spark):
     rng = random.Random(2)
     rows = [(("hot" if rng.random() < 0.6 else rng.choice(["a", "b", None])), float(rng.randint(0, 20)), i) for i in range(200)] + [("a", None, 999)]
     df = spark.createDataFrame(rows, "g string, x double, id int")
-    got = ranks.ranked(df.where("x is not null"), ["g"], ["x", "id"], "r").collect()
+    got = ranks.ranked(df.where("x is not null"), ["g"], ["x", "id"], "r", partitions=7).collect()
     for g in ("hot", "a", "b", None):
         mine = sorted((r["x"], r["id"]) for r in got if r["g"] == g)
         assert [r["r"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: (r["x"], r["id"]))] == list(range(1, len(mine) + 1))
-    q = {r["g"]: (r["q1"], r["m"], r["n"]) for r in ranks.exact_quantiles(df, ["g"], "x", {"q1": 0.25, "m": 0.5}, "n").collect()}
+    q = {r["g"]: (r["q1"], r["m"], r["n"]) for r in ranks.exact_quantiles(df, ["g"], "x", {"q1": 0.25, "m": 0.5}, "n", partitions=7).collect()}
     for g, found in q.items():
         xs = sorted(x for h, x, _ in rows if h == g and x is not None)
         want = statistics.quantiles(xs, n=4, method="inclusive")
