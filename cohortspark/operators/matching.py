@@ -215,7 +215,8 @@ def nearest_controls(df: DataFrame, key: str, treated: str, covariates: Sequence
         worst = F.when(F.size("best") >= n, F.element_at("best", -1)["d"])
         visits = open_rows.select("id", "x", "axis", worst.alias("worst"), F.explode(fresh).alias("cell")).join(cands, "cell").where(
             F.col("worst").isNull() | (F.abs(F.col("axis") - F.col("c_axis")) <= F.col("worst")))
-        gap = F.aggregate(F.zip_with("x", "cx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        steps = [F.get("x", F.lit(i)) - F.get("cx", F.lit(i)) for i in range(len(covariates))]
+        gap = reduce(lambda a, b: a + b, [x * x for x in steps])
         seen = visits.select("id", "worst", F.struct(F.sqrt(gap).alias("d"), "control_id").alias("hit")).where(
             F.col("worst").isNull() | (F.col("hit.d") <= F.col("worst")))
         per_cell = seen.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, n).alias("found"))

@@ -7,8 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from cohortspark.functions.dates import age_years
-from cohortspark.operators import aggregate as agg
-from cohortspark.operators import cohorts, features, matching, models, stats, survival
+from cohortspark.operators import cohorts, matching, models, stats, survival
 from cohortspark.operators.cohorts import PERSON
 from cohortspark.plans.clinical import infections, states
 from cohortspark.plans.registry import query
@@ -130,8 +129,6 @@ def exposed_infected(v):
         "exposed", F.col("state").isin("full", "boosted").cast("int"))
 
 
-_LF = "lgamma(CAST({0} AS DOUBLE) + 1)"
-
 
 @query("stat_fisher_2x2", sql("""SELECT a, b, c, d, round(CAST(a * d AS DOUBLE) / (b * c), 6) AS odds_ratio, (SELECT round(least(sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp - lm) ELSE 0 END) / sum(exp(lp - lm)), 1), 6) FROM (
   SELECT lp, max(lp) OVER () AS lm, max(CASE WHEN k = a THEN lp END) OVER () AS lo FROM (SELECT k, -(lgamma(k + 1) + lgamma(a + b - k + 1) + lgamma(a + c - k + 1) + lgamma(d - a + k + 1)) AS lp

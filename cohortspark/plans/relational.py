@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-
 from cohortspark.functions.dates import age_years
 from cohortspark.functions.numbers import bmi_from
-from cohortspark.operators import concepts, features, joins, matching, models, timeline
+from cohortspark.functions.strings import coverage_group
+from cohortspark.operators import cohorts, concepts, features, joins, matching, models, timeline
 from cohortspark.operators.cohorts import PERSON, eligible
+from cohortspark.operators.ranks import ranked
 from cohortspark.plans.registry import query
 from cohortspark.session import broadcast_if_small
 from cohortspark.sources.views import sql
@@ -161,7 +163,6 @@ def join_interval_between(v):
 @query("join_inequality_window", sql("""SELECT pat_id, instance, episode_id, first_date, infection_date FROM infection JOIN history USING (pat_id, instance)
   WHERE first_date + 14 < infection_date""", "infection", "history"))
 def join_inequality_window(v):
-    from cohortspark.operators import cohorts
     infected = cohorts.infection_in_episode(v.episode, v.positive)
     history = cohorts.exposure_history(v.dose).select(*PERSON, "first_date")
     return infected.join(history, PERSON).where(F.date_add("first_date", 14) < F.col("infection_date")).select(
@@ -320,7 +321,6 @@ def window_first_last(v):
   SELECT CAST(o_orderdate AS DATE) AS o_orderdate_day, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)""")
 def window_row_number(v):
     """Global row numbers over grouped values, without a single-partition window."""
-    from cohortspark.operators.ranks import ranked
     counted = v.t("orders").groupBy(F.to_date("o_orderdate").alias("o_orderdate_day"), "o_orderpriority").agg(count_rows())
     return ranked(counted, [], ["o_orderdate_day", "o_orderpriority"], "row_id")
 
@@ -347,7 +347,6 @@ def window_earliest_test(v):
 
 @query("window_nth_distinct", sql("SELECT pat_id, instance, n_doses, first_date, second_date, third_date, first_product, second_product FROM history", "history"))
 def window_nth_distinct(v):
-    from cohortspark.operators import cohorts
     return cohorts.exposure_history(v.dose).select(*PERSON, "n_doses", "first_date", "second_date", "third_date", "first_product", "second_product")
 
 
@@ -379,7 +378,6 @@ def dedup_keys(v):
 @query("topk_first_by_rank", sql("""SELECT pat_id, instance, split_part(min(CASE financial_class WHEN 'Medicaid' THEN '1_Medicaid' WHEN 'Commercial' THEN '3_Commercial'
   WHEN 'Self-pay' THEN '4_Uninsured-Self-Pay' WHEN 'OTHER GOVERNMENT' THEN '5_Other-Government' END), '_', 2) AS label FROM chain GROUP BY ALL""", "person", extra=CHAIN))
 def topk_first_by_rank(v):
-    from cohortspark.functions.strings import coverage_group
     chain = joins.coverage_chain(v.person.select(*PERSON), *coverage_tables(v))
     best = chain.groupBy(*PERSON).agg(F.min(coverage_group(F.col("financial_class"))).alias("g"))
     return best.select(*PERSON, F.get(F.split("g", "_"), F.lit(1)).alias("label"))
@@ -393,7 +391,6 @@ def setop_union_distinct(v):
 @query("setop_union_many", sql("""SELECT pat_id, dose_date AS day FROM dose UNION SELECT pat_id, test_date FROM test UNION SELECT pat_id, dx_date FROM dx
   UNION SELECT pat_id, delivery FROM episode""", "dose", "test", "dx", "episode"))
 def setop_union_many(v):
-    from functools import reduce
     parts = [(v.dose, "dose_date"), (v.test, "test_date"), (v.dx, "dx_date"), (v.episode, "delivery")]
     return reduce(lambda a, b: a.unionByName(b), [d.select("pat_id", F.col(c).alias("day")) for d, c in parts]).distinct()
 
