@@ -9,6 +9,7 @@ and document boundaries are the running sums of ``lengths``. Shards follow each
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -139,6 +140,7 @@ def encoder(name: str) -> Encoder:
     """One encoder per worker process. Functions travel by value, so it is kept where it outlives a task."""
     held = sys.modules.setdefault("_cohortspark_encoders", types.ModuleType("_cohortspark_encoders")).__dict__
     if name not in held:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
 
         held[name] = Encoder(public_tokenizers.path(name) if "/" not in name else name)
