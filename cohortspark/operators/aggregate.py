@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.functions.dates import defined_index, time_index
-from cohortspark.operators.ranks import exact_quantiles, running_totals, same_keys
+from cohortspark.operators.ranks import exact_quantiles, one_row, running_totals, same_keys
 
 FUNCTIONS = (
     "avg", "mean", "collect_list", "collect_set", "concat_ws", "count", "first", "last", "max", "min", "median",
@@ -67,12 +67,13 @@ def aggregate(df: DataFrame, keys, spec: dict[str, str | list[str]], order_by=No
     keys, spec, order = _checked(df, keys, spec, order_by)
     names = [(c, f, f"{c}_{f}") for c, fs in spec.items() for f in fs]
     plain = [_expression(df, c, f, order).alias(n) for c, f, n in names if f != "median"]
-    out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
+    out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct() if keys else None
     for c, f, n in names:
         if f == "median":
             number = df.withColumn(c, F.col(c).cast("double") if not isinstance(df.schema[c].dataType, T.BooleanType)
                                    else F.col(c).cast("int").cast("double"))
-            out = same_keys(out, exact_quantiles(number, keys, c, {n: 0.5}), keys, "left")
+            middle = exact_quantiles(number, keys, c, {n: 0.5})
+            out = same_keys(out, middle, keys, "left") if keys else middle if out is None else one_row(out, middle)
     return out.select(*keys, *[n for _, _, n in names])
 
 
@@ -113,6 +114,8 @@ def aggregate_by_index(df: DataFrame, keys, index: str, spec, order_by=None, nam
     long = aggregate(df, [*keys, index], spec, order)
     columns = [f"{c}_{f}" for c, fs in spec.items() for f in fs]
     fits = max_wide // max(len(columns), 1)
+    if not fits:
+        return long.select(*keys, index, text.alias(label), *columns)
     found = df.select(index).where(idx.isNotNull()).distinct().limit(fits + 1).collect()
     if len(found) > fits:
         return long.select(*keys, index, text.alias(label), *columns)
@@ -168,29 +171,41 @@ def describe(df: DataFrame, keys, value: str, accuracy: int | None = None) -> Da
     return exact_quantiles(df, keys, value, probs, "n").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int) -> DataFrame:
-    """Rows per fixed-width bin of [low, high); every bin appears. Values outside are not counted."""
+def histogram(df: DataFrame, value: Column, low: float | None = None, high: float | None = None, bins: int = 10) -> DataFrame:
+    """Rows per fixed-width bin; every bin appears, and every row with a value is counted.
+
+    Without bounds they are the least and greatest value, the last bin closed. With bounds, [low, high): values below are
+    bin -1 (no start), values from ``high`` on are bin ``bins``. One bin of width 1 stands for a column of one value.
+    """
+    held = df.select(value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    open_ = low is None or high is None
+    if open_:
+        least, most = held.agg(F.min("v"), F.max("v")).first()
+        low, high = (least if low is None else low), (most if high is None else high)
+        low, high = (0.0, 1.0) if low is None else (low, high if high > low else low + 1)
     width = (high - low) / bins
-    bucket = F.floor((value - F.lit(low)) / F.lit(width)).cast("int")
-    counted = df.select(bucket.alias("bin")).where(F.col("bin").between(0, bins - 1)).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("n"))
-    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    bucket = F.when(F.col("v") < low, -1).when(F.col("v") > high, bins).when(F.col("v") == high, bins - 1 if open_ else bins).otherwise(
+        F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)))
+    counted = held.select(bucket.cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    spine = df.sparkSession.range(-1, bins + 1).select(F.col("id").cast("int").alias("bin")).where(F.lit(not open_) | F.col("bin").between(0, bins - 1))
     return spine.join(counted, "bin", "left").select(
-        "bin", (F.lit(low) + F.col("bin") * F.lit(width)).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n"))
+        "bin", F.when(F.col("bin") >= 0, F.lit(float(low)) + F.col("bin") * F.lit(float(width))).alias("bin_start"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def weekly_rate(df: DataFrame, day: str, event: Column, start: str, weeks: int, min_denominator: int = 10,
+def weekly_rate(df: DataFrame, day: str, event: Column, start: str, weeks: int = 0, min_denominator: int = 10,
                 by: Sequence[str] = (), offset: int = 0) -> DataFrame:
-    """100 * events / rows per 7-day bucket since ``start``; 0 when a bucket has too few rows.
+    """100 * events / rows per 7-day bucket counted from ``start``; 0 when a bucket has too few rows.
 
-    ``offset=6`` gives the uneven first bucket (one day) of the original report.
+    The buckets reach from the first to the last that holds a row, week 0 and ``weeks`` buckets at least; those before
+    ``start`` are negative. Rows without a day are left out. ``offset=6`` gives the uneven first bucket (one day) of the
+    original report.
     """
     since = F.datediff(F.col(day), F.to_date(F.lit(start)))
     week = F.floor((since + offset) / 7).cast("int")
-    per_day = df.where(since >= 0).select(*by, week.alias("week"), event.cast("bigint").alias("_e"))
-    counted = per_day.where(F.col("week") < weeks).groupBy(*by, "week").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_e").alias("n_events"))
-    spine = F.explode(F.sequence(F.lit(0), F.lit(weeks - 1)))
+    per_day = df.where(since.isNotNull()).select(*by, week.alias("week"), event.cast("bigint").alias("_e"))
+    counted = per_day.groupBy(*by, "week").agg(F.count(F.lit(1)).alias("n"), F.sum("_e").alias("n_events"))
+    first, last = per_day.agg(F.min("week"), F.max("week")).first()
+    spine = F.explode(F.sequence(F.lit(min(first or 0, 0)), F.lit(max(last or 0, weeks - 1, 0))))
     groups = counted.select(*by).distinct() if by else df.sparkSession.range(1)
     grid = groups.select(*by, spine.alias("week"))
     joined = same_keys(grid, counted, [*by, "week"], "left")

@@ -19,15 +19,8 @@ def with_flag(df: DataFrame, members: DataFrame, keys: Sequence[str], out: str)
 
 
 def fan_out(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join to a table with many rows per key, written as an inner join plus the unmatched left rows.
-
-    In a left outer join a hot key of the right side cannot be split between tasks, in an inner join it can. The
-    unmatched part needs only the distinct keys, and vanishes from the plan under a filter on the right side's columns.
-    """
-    keys = list(keys)
-    matched = left.join(right, keys)
-    alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    """Left join to a table with many rows per key; the left side is read once, and adaptive execution splits its hot keys."""
+    return left.join(right, list(keys), "left")
 
 
 def left_with_condition(left: DataFrame, right: DataFrame, keys: Sequence[str], residual: Column) -> DataFrame:
@@ -41,9 +34,10 @@ def left_with_condition(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def spine_join(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """All keys of all sources, each source joined back: a full outer join of many tables."""
-    spine = reduce(DataFrame.unionByName, [s.select(*keys) for s in sources]).distinct()
-    return reduce(lambda acc, s: same_keys(acc, s, list(keys), "left"), sources, spine)
+    """Full outer join of tables that have one row per key (null is a key): their union, folded by one aggregate."""
+    values = [c for s in sources for c in s.columns if c not in keys]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    return stacked.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
 
 
 def parent_child(df: DataFrame, type_col: str, parent_type: str, child_type: str, key: str, parent_ref: str,

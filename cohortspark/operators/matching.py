@@ -19,14 +19,14 @@ from cohortspark.session import durable
 
 
 def fill_with_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls and NaN replaced by the column's exact median; the medians are single numbers."""
-    out = df
-    for c in columns:
-        clean = df.select(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c))
-        row = exact_quantiles(clean, [], c, {"m": 0.5}).first()
-        value = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        out = out.withColumn(c, F.coalesce(value, F.lit(row["m"] if row else None).cast("double")))
-    return out
+    """Nulls and NaN replaced by the column's exact median; all columns' medians come from one pass."""
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    if not clean:
+        return df
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in clean.items()])
+    found = exact_quantiles(df.select(F.inline(cells)), ["column"], "value", {"m": 0.5})
+    middle = {r["column"]: r["m"] for r in found.collect()}
+    return df.withColumns({c: F.coalesce(v, F.lit(middle.get(c)).cast("double")) for c, v in clean.items()})
 
 
 def feature_frame(df: DataFrame, impute: Sequence[str], flip: Sequence[str] = ()) -> DataFrame:

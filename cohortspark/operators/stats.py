@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -181,7 +182,7 @@ def fisher_simulated(counts: DataFrame, group: str, category: str, replicates: i
                     left = left - take
                     stat -= lgam(take + 1.0).sum()
                 stat -= lgam(left + 1.0).sum()
-                hits.append(int(stat <= observed * (1 - 1e-7 * (1 if observed > 0 else -1))))
+                hits.append(int(stat <= observed + 1e-7 * abs(observed)))
             yield pd.DataFrame({"hit": hits})
 
     drawn = spark.range(replicates).mapInPandas(draw, "hit int")
@@ -190,28 +191,32 @@ def fisher_simulated(counts: DataFrame, group: str, category: str, replicates: i
         "method", F.lit("simulated"))
 
 
-def fisher_exact(counts: DataFrame, group: str, category: str, limit: int = 20_000_000) -> DataFrame:
-    """Exact test of a 2 x c table by listing all tables with its margins; simulated when there are more than ``limit``.
+def fisher_exact(counts: DataFrame, group: str, category: str) -> DataFrame:
+    """Exact r x c test: all tables with the observed margins, built one column at a time.
 
-    Tables are listed one column at a time by exploding the counts that column can take.
+    A state is what is left of the row margins with the log weight so far; a column's states come from exploding the counts
+    each row can take, and states that agree are merged with their number of ways, so the work follows distinct states and
+    not tables. There is no size limit; ``fisher_simulated`` is the choice for tables too rich to enumerate.
     """
     spark, table = counts.sparkSession, _table(counts, group, category)
-    table = table[:, np.argsort(table.sum(axis=0))]
-    if table.shape[0] != 2 or math.prod(int(min(c, table[0].sum())) + 1 for c in table.sum(axis=0)[:-1]) > limit:
-        return fisher_simulated(counts, group, category)
-    cols, r1 = [int(x) for x in table.sum(axis=0)], int(table[0].sum())
-    def ln_c(n: int, k: Column) -> Column:
-        return F.lit(math.lgamma(n + 1)) - ln_factorial(k) - ln_factorial(F.lit(n) - k)
-    df = spark.range(0, min(cols[0], r1) + 1).select(F.col("id").alias("used"), ln_c(cols[0], F.col("id")).alias("lp"))
-    for j in range(1, len(cols) - 1):
-        room = F.least(F.lit(cols[j]).cast("bigint"), F.lit(r1) - F.col("used"))
-        df = df.select("used", "lp", F.explode(F.sequence(F.lit(0).cast("bigint"), room)).alias("k")).select(
-            (F.col("used") + F.col("k")).alias("used"), (F.col("lp") + ln_c(cols[j], F.col("k"))).alias("lp"))
-    rest = F.lit(r1) - F.col("used")
-    df = df.where((rest >= 0) & (rest <= cols[-1])).select((F.col("lp") + ln_c(cols[-1], rest)).alias("lp"))
-    ln_all = math.lgamma(sum(cols) + 1) - math.lgamma(r1 + 1) - math.lgamma(sum(cols) - r1 + 1)
-    ln_obs = sum(math.lgamma(c + 1) - math.lgamma(x + 1) - math.lgamma(c - x + 1) for c, x in zip(cols, table[0].tolist()))
-    p = F.sum(F.when(F.col("lp") <= ln_obs + 1e-7, F.exp(F.col("lp") - ln_all)).otherwise(0.0))
+    if min(table.shape, default=0) < 2:
+        return spark.range(1).select(F.lit(1.0).alias("p_value"), F.lit(0.0).alias("std_error"), F.lit("exact").alias("method"))
+    table = table if table.shape[0] <= table.shape[1] else table.T
+    rows, cols = [int(x) for x in table.sum(axis=1)], sorted(int(x) for x in table.sum(axis=0))
+    names = [f"r{i}" for i in range(len(rows))]
+    total = lambda cs: reduce(lambda x, y: x + y, cs)
+    df = spark.range(1).select(*[F.lit(n).cast("bigint").alias(c) for n, c in zip(rows, names, strict=True)], F.lit(0.0).alias("lp"), F.lit(1.0).alias("ways"))
+    for c in cols[:-1]:
+        df = df.withColumn("left", F.lit(c).cast("bigint"))
+        for i, name in enumerate(names):
+            low = F.greatest(F.col("left") - total([F.col(n) for n in names[i + 1:]]), F.lit(0)) if i + 1 < len(names) else F.col("left")
+            df = df.select("*", F.explode(F.sequence(low, F.least("left", name))).alias("k")) if i + 1 < len(names) else df.withColumn("k", F.col("left"))
+            df = df.withColumns({name: F.col(name) - F.col("k"), "left": F.col("left") - F.col("k"), "lp": F.col("lp") - ln_factorial(F.col("k"))}).drop("k")
+        df = df.groupBy(*names, F.round("lp", 9).alias("lp")).agg(F.sum("ways").alias("ways"))
+    lp = F.col("lp") - total([ln_factorial(F.col(n)) for n in names])
+    ln_all = math.lgamma(sum(rows) + 1) - sum(math.lgamma(x + 1) for x in [*rows, *cols])
+    ln_obs = -sum(math.lgamma(x + 1) for x in table.ravel().tolist())
+    p = F.sum(F.when(lp <= ln_obs + 1e-7, F.col("ways") * F.exp(lp - ln_all)).otherwise(0.0))
     return df.agg(F.least(p, F.lit(1.0)).alias("p_value")).withColumn("std_error", F.lit(0.0)).withColumn("method", F.lit("exact"))
 
 
@@ -226,12 +231,17 @@ def chi_square_independence(counts: DataFrame, group: str, category: str) -> Dat
 
 
 def chi_square_fit(observed: DataFrame, expected: DataFrame, category: str) -> DataFrame:
-    """Goodness of fit of observed counts to another group's counts scaled to the same total."""
-    both = observed.select(category, F.col("n").alias("o")).join(expected.select(category, F.col("n").alias("e")), category)
-    t = both.agg(F.sum("o").alias("_o"), F.sum("e").alias("_e"), F.sum(F.col("o") * F.col("o") / F.col("e")).alias("_q"),
-                 F.count(F.lit(1)).alias("_k"))
+    """Goodness of fit of observed counts to another group's counts scaled to the same total.
+
+    Every category of either side counts. The statistic is null where one was observed that is not expected at all.
+    """
+    sides = observed.select(category, F.col("n").alias("o"), F.lit(0).alias("e")).unionByName(
+        expected.select(category, F.lit(0).alias("o"), F.col("n").alias("e")))
+    both = sides.groupBy(category).agg(F.sum("o").alias("o"), F.sum("e").alias("e")).where("o > 0 OR e > 0")
+    t = both.agg(F.sum("o").alias("_o"), F.sum("e").alias("_e"), F.sum(F.when(F.col("e") > 0, F.col("o") * F.col("o") / F.col("e"))).alias("_q"),
+                 F.count(F.lit(1)).alias("_k"), F.coalesce(F.bool_or((F.col("e") == 0) & (F.col("o") > 0)), F.lit(False)).alias("_new"))
     # With e scaled by _o/_e: sum (o - e')^2 / e' = _q * _e / _o - _o.
-    return t.select((F.col("_q") * F.col("_e") / F.col("_o") - F.col("_o")).alias("chi_square"), (F.col("_k") - 1).alias("df"))
+    return t.select(F.when(~F.col("_new"), F.col("_q") * F.col("_e") / F.col("_o") - F.col("_o")).alias("chi_square"), (F.col("_k") - 1).alias("df"))
 
 
 def chi_square_features(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -205,15 +205,22 @@ def agg_parity_counts(v):
 
 
 @query("agg_weekly_rate", sql("""SELECT w.week, coalesce(n, 0) AS n, coalesce(n_events, 0)::BIGINT AS n_events, round(CASE WHEN n > 9 THEN 100.0 * n_events / n ELSE 0 END, 8) AS rate
-  FROM (SELECT CAST(unnest(range(0, 91)) AS INTEGER) AS week) w LEFT JOIN (SELECT date_diff('day', DATE '1998-01-26', delivery) // 7 AS week, count(*) AS n,
-  sum(CASE WHEN infection_date IS NOT NULL THEN 1 ELSE 0 END) AS n_events FROM infection WHERE delivery >= DATE '1998-01-26' GROUP BY 1) x USING (week)""", "infection"))
+  FROM (SELECT CAST(unnest(range((SELECT least(min(week), 0) FROM x), (SELECT greatest(max(week) + 1, 91) FROM x))) AS INTEGER) AS week) w LEFT JOIN x USING (week)""", "infection",
+  extra="""x AS (SELECT CAST(floor(date_diff('day', DATE '1998-01-26', delivery) / 7) AS INTEGER) AS week, count(*) AS n, sum(CASE WHEN infection_date IS NOT NULL THEN 1 ELSE 0 END) AS n_events
+  FROM infection WHERE delivery IS NOT NULL GROUP BY 1)"""))
 def agg_weekly_rate(v):
     infected = cohorts.infection_in_episode(v.episode, v.positive)
     df = agg.weekly_rate(infected, "delivery", F.col("infection_date").isNotNull(), "1998-01-26", 91)
     return df.withColumn("rate", F.round("rate", 8))
 
 
-@query("agg_histogram", """SELECT CAST(b AS INTEGER) AS bin, CAST(b * 20 AS DOUBLE) AS bin_start, (SELECT count(*) FROM orders WHERE date_diff('day', DATE '1997-01-01', CAST(o_orderdate AS DATE)) >= b * 20
-  AND date_diff('day', DATE '1997-01-01', CAST(o_orderdate AS DATE)) < (b + 1) * 20) AS n FROM range(0, 40) r(b)""")
+@query("agg_histogram", """WITH d AS (SELECT date_diff('day', DATE '1997-01-01', CAST(o_orderdate AS DATE)) AS d FROM orders) SELECT CAST(b AS INTEGER) AS bin, CASE WHEN b >= 0 THEN CAST(b * 20 AS DOUBLE) END AS bin_start,
+  (SELECT count(*) FROM d WHERE CASE b WHEN -1 THEN d < 0 WHEN 40 THEN d >= 800 ELSE d >= b * 20 AND d < (b + 1) * 20 END) AS n FROM range(-1, 41) r(b)""")
 def agg_histogram(v):
     return agg.histogram(v.t("orders"), days_from("1997-01-01", F.to_date("o_orderdate")), 0, 800, 40)
+
+
+@query("agg_histogram_range", """WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS v FROM lineitem), r AS (SELECT min(v) AS lo, (max(v) - min(v)) / 12 AS w FROM d)
+  SELECT CAST(b AS INTEGER) AS bin, lo + b * w AS bin_start, (SELECT count(*) FROM d WHERE least(floor((v - lo) / w), 11) = b) AS n FROM r, range(0, 12) t(b)""")
+def agg_histogram_range(v):
+    return agg.histogram(v.t("lineitem"), F.col("l_quantity"), bins=12)

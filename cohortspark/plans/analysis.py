@@ -170,7 +170,7 @@ def stat_chi_square(v):
 
 
 @query("stat_chi_square_fit", """WITH o AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), e AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
-  SELECT round(sum((o.n - x) ** 2 / x), 6) AS chi_square, count(*) - 1 AS df FROM o JOIN (SELECT k, n * (SELECT sum(n) FROM o) / (SELECT sum(n) FROM e) AS x FROM e) e USING (k)""")
+  SELECT CASE WHEN count(*) FILTER (x IS NULL) = 0 THEN round(sum((coalesce(o.n, 0) - x) ** 2 / x), 6) END AS chi_square, count(*) - 1 AS df FROM o FULL JOIN (SELECT k, n * (SELECT sum(n) FROM o) / (SELECT sum(n) FROM e) AS x FROM e) e USING (k)""")
 def stat_chi_square_fit(v):
     n = v.t("lineitem").groupBy("l_linestatus", F.col("l_returnflag").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     df = stats.chi_square_fit(n.where("l_linestatus = 'F'"), n.where("l_linestatus = 'O'"), "k")

@@ -101,6 +101,25 @@ def test_weekly_rate_and_histogram(spark):
     assert literal[0] == sum(1 for d, _ in rows if d == D0)
 
 
+def test_no_row_leaves_the_histogram_or_the_weeks(spark):
+    df = spark.createDataFrame([(x,) for x in (-5.0, 0.0, 1.5, 9.99, 10.0, 12.0, None)], "x double")
+    got = {r["bin"]: (r["bin_start"], r["n"]) for r in agg.histogram(df, F.col("x"), 0, 10, 2).collect()}
+    assert got == {-1: (None, 1), 0: (0.0, 2), 1: (5.0, 1), 2: (10.0, 2)}
+    whole = {r["bin"]: r["n"] for r in agg.histogram(df, F.col("x"), bins=17).collect()}
+    assert sum(whole.values()) == 6 and whole[0] == 1 and whole[16] == 1 and len(whole) == 17
+    assert [r["n"] for r in agg.histogram(df.where("x = 12"), F.col("x"), bins=1).collect()] == [1]
+    assert sum(r["n"] for r in agg.histogram(df.limit(0), F.col("x"), bins=3).collect()) == 0
+    days = spark.createDataFrame([(day(-8), True), (day(0), False), (day(40), True)], "d date, e boolean")
+    weeks = {r["week"]: r["n"] for r in agg.weekly_rate(days, "d", F.col("e"), "2020-01-01", 2).collect()}
+    assert weeks == {w: int(w in (-2, 0, 5)) for w in range(-2, 6)}
+
+
+def test_median_without_keys(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 4.0), (3, None)], "k int, x double")
+    assert agg.aggregate(df, [], {"x": ["median", "sum"]}).collect() == [(3.0, 6.0)]
+    assert agg.aggregate(df, [], {"x": "median"}).collect() == [(3.0,)]
+
+
 def test_fan_out_is_a_left_join(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, x string")
     right = spark.createDataFrame([(1, 5), (1, 6), (3, None)], "k int, y int")

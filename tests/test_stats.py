@@ -48,10 +48,48 @@ def test_fisher_two_by_c(spark):
     assert drawn["p_value"] == pytest.approx(want, abs=5 * drawn["std_error"])
     again = stats.fisher_simulated(counts.repartition(3), "g", "c", 3000).first()
     assert again["p_value"] == drawn["p_value"]
-    assert stats.fisher_exact(counts, "g", "c", limit=1).first()["method"] == "simulated"
     assert len(cols) == 3
 
 
+def _counts(spark, table):
+    return spark.createDataFrame([(i, j, n) for i, r in enumerate(table) for j, n in enumerate(r)], "g int, c int, n bigint")
+
+
+def test_simulated_fisher_counts_ties(spark):
+    exact = stats.fisher_exact(_counts(spark, [[3, 1], [1, 3]]), "g", "c").first()["p_value"]
+    assert exact == pytest.approx(34 / 70)
+    drawn = stats.fisher_simulated(_counts(spark, [[3, 1], [1, 3]]), "g", "c", 2000).first()
+    assert drawn["p_value"] == pytest.approx(exact, abs=4 * drawn["std_error"])
+
+
+def test_fisher_three_by_three_equals_enumeration(spark):
+    table = [[3, 1, 2], [0, 4, 1], [2, 2, 5]]
+    rows, cols = [sum(r) for r in table], [sum(c) for c in zip(*table)]
+    weight = lambda t: 1 / math.prod(math.factorial(x) for r in t for x in r)
+    seen, low = 0.0, 0.0
+    for a in range(rows[0] + 1):
+        for b in range(rows[0] + 1 - a):
+            for d in range(rows[1] + 1):
+                for e in range(rows[1] + 1 - d):
+                    t = [[a, b, rows[0] - a - b], [d, e, rows[1] - d - e]]
+                    t.append([c - x - y for c, x, y in zip(cols, *t)])
+                    if min(t[2]) >= 0:
+                        seen += weight(t)
+                        low += weight(t) if weight(t) <= weight(table) * (1 + 1e-7) else 0
+    for shown in (table, [list(c) for c in zip(*table)]):
+        got = stats.fisher_exact(_counts(spark, shown), "g", "c").first()
+        assert got["p_value"] == pytest.approx(low / seen) and got["method"] == "exact"
+    assert stats.fisher_exact(_counts(spark, [[3, 4, 5]]), "g", "c").first()["p_value"] == 1.0
+
+
+def test_chi_square_fit_keeps_one_sided_categories(spark):
+    side = lambda d: spark.createDataFrame(list(d.items()), "k string, n bigint")
+    unseen = stats.chi_square_fit(side({"a": 10, "b": 20, "z": 70}), side({"a": 50, "b": 50, "y": 5}), "k").first()
+    assert unseen["chi_square"] is None and unseen["df"] == 3
+    got = stats.chi_square_fit(side({"a": 10, "b": 20}), side({"a": 50, "b": 50, "y": 20}), "k").first()
+    assert got["chi_square"] == pytest.approx((10 - 12.5) ** 2 / 12.5 + (20 - 12.5) ** 2 / 12.5 + 5) and got["df"] == 2
+
+
 def test_mann_whitney_with_ties(spark):
     a, b = [1, 2, 2, 3, 5], [2, 3, 4, 5, 5, 6]
     df = spark.createDataFrame([(1, x) for x in a] + [(0, x) for x in b], "g int, x int")
