@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.session import durable
+from cohortspark.session import durable, scratch_path
 
 # A word is a run of anything but these six ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -43,6 +43,13 @@ def broadcast_measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(kept) if held <= limit else kept
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cuts lineage like a checkpoint, by a compressed table in the shared folder, of which later reads take columns."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys where null equals null; of the keys only the left ones stay. Other names must differ."""
     other = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])

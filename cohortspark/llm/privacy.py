@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import BLANKS, no_null, span_list, span_text, unwrapped, with_spans, wrapped
+from cohortspark.llm.common import BLANKS, no_null, span_list, span_text, stored, unwrapped, with_spans, wrapped
 from cohortspark.llm.registry import query, read
 from cohortspark.session import durable
 
@@ -102,15 +102,17 @@ def find(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataF
     """
     blob = F.sha2(no_null(F.col("text")), 256)
     texts = docs.groupBy(blob.alias("_blob")).agg(F.first(no_null(F.col("text"))).alias("text"))
-    found = durable(entities(texts).withColumn("keys", _entity_keys()))
+    found = stored(entities(texts).withColumn("keys", _entity_keys()), "entities")
+    holders = found.where(F.size("keys") > 0).select("_blob", "text", "keys")
     told = revealing(found.select("text", "keys"), share, support)
-    per_text = found.where(F.size("keys") > 0).select("_blob", F.explode("keys").alias("entity")).join(told, "entity") \
-        .groupBy("_blob").agg(F.collect_set("term").alias("told"))
-    quoted = F.array_join(F.transform(F.reverse(F.array_sort(F.col("told"))), lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
+    per_text = holders.select("_blob", F.explode("keys").alias("entity")).join(told, "entity").groupBy("_blob").agg(F.collect_set("term").alias("told"))
+    quoted = F.array_join(F.transform(F.reverse(F.array_sort(F.col("told"))), lambda t: F.concat(
+        F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![^\x20\x09-\x0D\p{Punct}])(?:"), quoted, F.lit(r")(?![^\x20\x09-\x0D\p{Punct}])"))
-    marked = found.join(per_text.select(F.col("_blob").alias("_of"), pattern.alias("_pattern")), F.col("_blob") == F.col("_of"), "left").drop("_of")
-    marked = with_spans(marked.withColumn("_in", F.when(F.col("_pattern").isNotNull(), F.col("text"))), "_in", {"term": F.col("_pattern")})
-    out = marked.select(F.col("_blob").alias("_of"), *KINDS, "term")
+    # Only texts that hold entities are moved again.
+    marked = holders.select("_blob", "text").join(per_text.select("_blob", pattern.alias("_pattern")), "_blob")
+    marked = with_spans(marked, "text", {"term": F.col("_pattern")}).select(F.col("_blob").alias("_told"), "term")
+    out = found.select(F.col("_blob").alias("_of"), *KINDS).join(marked, F.col("_of") == F.col("_told"), "left").drop("_told")
     joined = wrapped(docs, blob=blob).join(out, F.col("blob") == F.col("_of"), "left")
     return unwrapped(joined, docs.columns, **{k: k for k in (*KINDS, "term")})
 
