@@ -79,12 +79,24 @@ def t_tail(t: float, df: float) -> float:
     return beta_inc(df / 2, 0.5, df / (df + t * t))
 
 
+def r_tail(r: float, n: float) -> float:
+    """Tail of a correlation of n pairs; two pairs or fewer say nothing."""
+    if n <= 2:
+        return 1.0
+    return t_tail(r * math.sqrt((n - 2) / (1 - r * r)), n - 2) if r * r < 1 else 0.0
+
+
 def f_tail(f: float, d1: float, d2: float) -> float:
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
 def chi2_tail(x: float, df: float) -> float:
-    return gamma_upper(df / 2, x / 2)
+    """1 without degrees of freedom: a table of one row or column cannot differ."""
+    return gamma_upper(df / 2, x / 2) if df > 0 else 1.0
+
+
+def one_degree_tail(x: float) -> float:
+    return chi2_tail(x, 1)
 
 
 def with_p(df: DataFrame, tail, *inputs: str, out: str = "p_value") -> DataFrame:
@@ -221,13 +233,13 @@ def fisher_exact(counts: DataFrame, group: str, category: str) -> DataFrame:
 
 
 def chi_square_independence(counts: DataFrame, group: str, category: str) -> DataFrame:
-    """Statistic and degrees of freedom of a table given as counts, zero cells included."""
+    """Statistic, degrees of freedom and p-value of a table given as counts, zero cells included."""
     # Sum of (o - e)^2 / e over all cells equals N * (sum of o^2 / (row * column) - 1), which needs occupied cells only.
     row, col = F.sum("n").over(Window.partitionBy(group)), F.sum("n").over(Window.partitionBy(category))
     part = counts.select(group, category, "n", (F.col("n") * F.col("n") / (row * col)).alias("_q")).agg(
         F.sum("_q").alias("_q"), F.sum("n").alias("n"), F.count_distinct(group).alias("_r"), F.count_distinct(category).alias("_k"))
-    return part.select((F.col("n") * (F.col("_q") - 1)).alias("chi_square"),
-                       ((F.col("_r") - 1) * (F.col("_k") - 1)).alias("df"), "n")
+    return with_p(part.select((F.col("n") * (F.col("_q") - 1)).alias("chi_square"),
+                              ((F.col("_r") - 1) * (F.col("_k") - 1)).alias("df"), "n"), chi2_tail, "chi_square", "df")
 
 
 def chi_square_fit(observed: DataFrame, expected: DataFrame, category: str) -> DataFrame:
@@ -241,7 +253,8 @@ def chi_square_fit(observed: DataFrame, expected: DataFrame, category: str) -> D
     t = both.agg(F.sum("o").alias("_o"), F.sum("e").alias("_e"), F.sum(F.when(F.col("e") > 0, F.col("o") * F.col("o") / F.col("e"))).alias("_q"),
                  F.count(F.lit(1)).alias("_k"), F.coalesce(F.bool_or((F.col("e") == 0) & (F.col("o") > 0)), F.lit(False)).alias("_new"))
     # With e scaled by _o/_e: sum (o - e')^2 / e' = _q * _e / _o - _o.
-    return t.select(F.when(~F.col("_new"), F.col("_q") * F.col("_e") / F.col("_o") - F.col("_o")).alias("chi_square"), (F.col("_k") - 1).alias("df"))
+    fit = t.select(F.when(~F.col("_new"), F.col("_q") * F.col("_e") / F.col("_o") - F.col("_o")).alias("chi_square"), (F.col("_k") - 1).alias("df"))
+    return with_p(fit, chi2_tail, "chi_square", "df")
 
 
 def chi_square_features(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -252,7 +265,8 @@ def chi_square_features(df: DataFrame, features: Sequence[str], label: str) -> D
     by_v, by_l = (F.sum("n").over(Window.partitionBy("feature", c)) for c in ("value", "label"))
     q = n.select("feature", "value", "label", "n", (F.col("n") * F.col("n") / (by_v * by_l)).alias("_q")).groupBy("feature").agg(
         F.sum("_q").alias("_q"), F.sum("n").alias("_n"), F.count_distinct("value").alias("_k"), F.count_distinct("label").alias("_m"))
-    return q.select("feature", (F.col("_n") * (F.col("_q") - 1)).alias("chi_square"), ((F.col("_k") - 1) * (F.col("_m") - 1)).alias("df"))
+    out = q.select("feature", (F.col("_n") * (F.col("_q") - 1)).alias("chi_square"), ((F.col("_k") - 1) * (F.col("_m") - 1)).alias("df"))
+    return with_p(out, chi2_tail, "chi_square", "df")
 
 
 # ---- two-sample tests --------------------------------------------------------------------------------------------
@@ -266,7 +280,7 @@ def t_test(df: DataFrame, group: str, value: Column) -> DataFrame:
     dof = F.col("n_1") + F.col("n_0") - 2
     pooled = ((F.col("n_1") - 1) * F.col("_v1") + (F.col("n_0") - 1) * F.col("_v0")) / dof
     t = (F.col("mean_1") - F.col("mean_0")) / F.sqrt(pooled * (1 / F.col("n_1") + 1 / F.col("n_0")))
-    return m.select("n_1", "n_0", "mean_1", "mean_0", t.alias("t"), dof.alias("df"))
+    return with_p(m.select("n_1", "n_0", "mean_1", "mean_0", t.alias("t"), dof.alias("df")), t_tail, "t", "df")
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -287,7 +301,8 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     mean = F.col("n_1") * F.col("n_0") / 2
     var = F.col("n_1") * F.col("n_0") / 12 * ((n + 1) - F.col("_tie") / (n * (n - 1)))
     z = (u - mean - F.signum(u - mean) * 0.5) / F.sqrt(var)
-    return s.select(F.col("n_1").cast("bigint").alias("n_1"), F.col("n_0").cast("bigint").alias("n_0"), u.alias("u"), z.alias("z"))
+    out = s.select(F.col("n_1").cast("bigint").alias("n_1"), F.col("n_0").cast("bigint").alias("n_0"), u.alias("u"), z.alias("z"))
+    return with_p(out, normal_tail, "z")
 
 
 # ---- proportions and association ---------------------------------------------------------------------------------
@@ -317,10 +332,12 @@ def pairwise_fisher(rates: DataFrame, group: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, columns: Sequence[str], outcome: str) -> DataFrame:
-    """Correlation of every column with the outcome, in one aggregate."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(outcome).cast("double")).alias(f"_{i}") for i, c in enumerate(columns)])
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{i}").alias("r")) for i, c in enumerate(columns)])
-    return row.select(F.inline(cells))
+    """Correlation of every column with the outcome, number of pairs and p-value, in one aggregate."""
+    x, y = [F.col(c).cast("double") for c in columns], F.col(outcome).cast("double")
+    row = df.agg(*[F.corr(c, y).alias(f"_r{i}") for i, c in enumerate(x)],
+                 *[F.count(F.when(c.isNotNull() & y.isNotNull(), 1)).alias(f"_n{i}") for i, c in enumerate(x)])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("r"), F.col(f"_n{i}").alias("n")) for i, c in enumerate(columns)])
+    return with_p(row.select(F.inline(cells)), r_tail, "r", "n")
 
 
 def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -347,7 +364,7 @@ def repeated_anova(df: DataFrame, subject: str, condition: str, value: str) -> D
     ss_total, ss_s, ss_c = F.col("_nk") * F.col("_v"), F.col("_ss") - grand, F.col("_cc") - grand
     df1, df2 = F.col("_c") - 1, (F.col("_c") - 1) * (F.col("_s") - 1)
     f = (ss_c / df1) / ((ss_total - ss_s - ss_c) / df2)
-    return t.select(f.alias("f"), df1.alias("df_1"), df2.alias("df_2"))
+    return with_p(t.select(f.alias("f"), df1.alias("df_1"), df2.alias("df_2")), f_tail, "f", "df_1", "df_2")
 
 
 # ---- distributions -----------------------------------------------------------------------------------------------

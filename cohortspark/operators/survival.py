@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.stats import one_degree_tail, with_p
 from cohortspark.operators.timeline import daily, next_event
 
 HORIZON_DAYS = 182
@@ -60,4 +61,5 @@ def logrank(df: DataFrame, group: str, time: str = "time", event: str = "event")
                       (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     total = at.agg(F.sum("d1").alias("observed"), F.sum(expected).alias("expected"), F.sum(variance).alias("variance"))
     gap = F.col("observed") - F.col("expected")
-    return total.withColumn("chi_square", F.when(F.col("variance") > 0, gap * gap / F.col("variance")))
+    tested = total.withColumn("chi_square", F.when(F.col("variance") > 0, gap * gap / F.col("variance")))
+    return with_p(tested, one_degree_tail, "chi_square")

@@ -17,6 +17,27 @@ from cohortspark.sources.views import sql, state_sql
 COVARIATES = ["balance", "age", "n_episodes", "nation"]
 
 
+def _integral(f: str, upper: str) -> str:
+    """SQL for the integral of f(``{x}``) from 0 to ``upper`` by Simpson's rule."""
+    weight = "CASE WHEN k_ IN (0, 2000) THEN 1 WHEN k_ % 2 = 1 THEN 4 ELSE 2 END"
+    return f"list_sum(list_transform(range(0, 2001), lambda k_: ({weight}) * {f.format(x=f'({upper} * k_ / 2000)')})) * {upper} / 6000"
+
+
+def _t_tail(t: str, df: str) -> str:
+    area = _integral(f"pow(1 + pow({{x}}, 2) / {df}, -({df} + 1) / 2)", f"abs({t})")
+    return f"greatest(1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * {area}, 0)"
+
+
+def _chi_tail(x: str, df: str) -> str:
+    area = _integral(f"pow({{x}}, {df} - 1) * exp(-pow({{x}}, 2) / 2)", f"least(sqrt({x}), 45)")
+    return f"greatest(1 - 2 * exp(-{df} / 2 * ln(2) - lgamma({df} / 2)) * {area}, 0)"
+
+
+def _tested(body: str, p: str, stat: str, digits: int = 6) -> str:
+    """``body`` with its statistic rounded only after the p-value was taken from it."""
+    return f"SELECT * REPLACE (round({stat}, {digits}) AS {stat}), round({p}, 6) AS p_value FROM ({body})"
+
+
 def people(v):
     """Person rows with the treatment flag (any dose) and covariates."""
     n = v.episode.groupBy(*PERSON).agg(F.count(F.lit(1)).alias("n_episodes"))
@@ -111,12 +132,12 @@ def surv_kaplan_meier(v):
     return survival.kaplan_meier(survival_frame(v), "state").withColumn("survival", F.round("survival", 8))
 
 
-@query("surv_logrank", sql("""SELECT sum(d1)::BIGINT AS observed, round(sum(e), 6) AS expected, round(sum(vv), 6) AS variance, round((sum(d1) - sum(e)) ** 2 / sum(vv), 6) AS chi_square FROM (SELECT d1, d * n1 / n AS e,
+@query("surv_logrank", sql(_tested("""SELECT sum(d1)::BIGINT AS observed, round(sum(e), 6) AS expected, round(sum(vv), 6) AS variance, (sum(d1) - sum(e)) ** 2 / sum(vv) AS chi_square FROM (SELECT d1, d * n1 / n AS e,
   CASE WHEN n > 1 THEN d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) ELSE 0 END AS vv FROM (SELECT time, sum(event) AS d, sum(event * g) AS d1, CAST(sum(count(*)) OVER (ORDER BY time DESC) AS DOUBLE) AS n,
-  CAST(sum(sum(g)) OVER (ORDER BY time DESC) AS DOUBLE) AS n1 FROM (SELECT *, CASE WHEN state = 'boosted' THEN 1 ELSE 0 END AS g FROM surv) GROUP BY 1))""", *_SV, extra=SURV))
+  CAST(sum(sum(g)) OVER (ORDER BY time DESC) AS DOUBLE) AS n1 FROM (SELECT *, CASE WHEN state = 'boosted' THEN 1 ELSE 0 END AS g FROM surv) GROUP BY 1))""", _chi_tail("chi_square", "1"), "chi_square"), *_SV, extra=SURV))
 def surv_logrank(v):
     df = survival_frame(v).withColumn("g", (F.col("state") == "boosted").cast("int"))
-    return survival.logrank(df, "g").withColumns({c: F.round(c, 6) for c in ("expected", "variance", "chi_square")})
+    return survival.logrank(df, "g").withColumns({c: F.round(c, 6) for c in ("expected", "variance", "chi_square", "p_value")})
 
 
 # ---- tables ------------------------------------------------------------------------------------------------------
@@ -162,46 +183,48 @@ def stat_fisher_rxc_exact(v):
     return out.select(F.round("p_value", 6).alias("p_value"), "method")
 
 
-@query("stat_chi_square", sql("""SELECT round(sum((n - e) ** 2 / e), 6) AS chi_square, (count(DISTINCT i) - 1) * (count(DISTINCT state) - 1) AS df, sum(n)::BIGINT AS n FROM (SELECT i, state, n,
-  sum(n) OVER (PARTITION BY i) * sum(n) OVER (PARTITION BY state) / sum(n) OVER () AS e FROM (SELECT infection_date IS NOT NULL AS i, state, count(*) AS n FROM state GROUP BY 1, 2))""", "infection", "history", extra=INF))
+@query("stat_chi_square", sql(_tested("""SELECT sum((n - e) ** 2 / e) AS chi_square, (count(DISTINCT i) - 1) * (count(DISTINCT state) - 1) AS df, sum(n)::BIGINT AS n FROM (SELECT i, state, n,
+  sum(n) OVER (PARTITION BY i) * sum(n) OVER (PARTITION BY state) / sum(n) OVER () AS e FROM (SELECT infection_date IS NOT NULL AS i, state, count(*) AS n FROM state GROUP BY 1, 2))""",
+                                      _chi_tail("chi_square", "df"), "chi_square"), "infection", "history", extra=INF))
 def stat_chi_square(v):
     df = stats.chi_square_independence(stats.contingency(exposed_infected(v), "infected", "state"), "infected", "state")
-    return df.withColumn("chi_square", F.round("chi_square", 6))
+    return df.withColumns({c: F.round(c, 6) for c in ("chi_square", "p_value")})
 
 
-@query("stat_chi_square_fit", """WITH o AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), e AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
-  SELECT CASE WHEN count(*) FILTER (x IS NULL) = 0 THEN round(sum((coalesce(o.n, 0) - x) ** 2 / x), 6) END AS chi_square, count(*) - 1 AS df FROM o FULL JOIN (SELECT k, n * (SELECT sum(n) FROM o) / (SELECT sum(n) FROM e) AS x FROM e) e USING (k)""")
+@query("stat_chi_square_fit", _tested("""WITH o AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1), e AS (SELECT l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1)
+  SELECT CASE WHEN count(*) FILTER (x IS NULL) = 0 THEN sum((coalesce(o.n, 0) - x) ** 2 / x) END AS chi_square, count(*) - 1 AS df FROM o FULL JOIN (SELECT k, n * (SELECT sum(n) FROM o) / (SELECT sum(n) FROM e) AS x FROM e) e USING (k)""",
+                                      "CASE WHEN chi_square IS NOT NULL THEN " + _chi_tail("chi_square", "df") + " END", "chi_square"))
 def stat_chi_square_fit(v):
     n = v.t("lineitem").groupBy("l_linestatus", F.col("l_returnflag").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     df = stats.chi_square_fit(n.where("l_linestatus = 'F'"), n.where("l_linestatus = 'O'"), "k")
-    return df.withColumn("chi_square", F.round("chi_square", 6))
+    return df.withColumns({c: F.round(c, 6) for c in ("chi_square", "p_value")})
 
 
-@query("stat_chi_square_features", """WITH x AS (SELECT unnest([{'f': 'priority', 'v': o_orderpriority}, {'f': 'month', 'v': strftime(o_orderdate, '%m')}]) AS u, o_orderstatus AS y FROM orders),
+@query("stat_chi_square_features", _tested("""WITH x AS (SELECT unnest([{'f': 'priority', 'v': o_orderpriority}, {'f': 'month', 'v': strftime(o_orderdate, '%m')}]) AS u, o_orderstatus AS y FROM orders),
   c AS (SELECT u.f AS f, u.v AS v, y, count(*) AS n FROM x GROUP BY ALL), e AS (SELECT f, v, y, n, sum(n) OVER (PARTITION BY f, v) * sum(n) OVER (PARTITION BY f, y) / sum(n) OVER (PARTITION BY f) AS e FROM c)
-  SELECT f AS feature, round(sum((n - e) ** 2 / e), 6) AS chi_square, (count(DISTINCT v) - 1) * (count(DISTINCT y) - 1) AS df FROM e GROUP BY 1""")
+  SELECT f AS feature, sum((n - e) ** 2 / e) AS chi_square, (count(DISTINCT v) - 1) * (count(DISTINCT y) - 1) AS df FROM e GROUP BY 1""", _chi_tail("chi_square", "df"), "chi_square"))
 def stat_chi_square_features(v):
     df = v.t("orders").select(F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "MM").alias("month"), "o_orderstatus")
-    return stats.chi_square_features(df, ["priority", "month"], "o_orderstatus").withColumn("chi_square", F.round("chi_square", 6))
+    return stats.chi_square_features(df, ["priority", "month"], "o_orderstatus").withColumns({c: F.round(c, 6) for c in ("chi_square", "p_value")})
 
 
 # ---- samples -----------------------------------------------------------------------------------------------------
 
 
-@query("stat_t_test", sql("""SELECT n1 AS n_1, n0 AS n_0, round(m1, 6) AS mean_1, round(m0, 6) AS mean_0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)), 6) AS t, n1 + n0 - 2 AS df
+@query("stat_t_test", sql(_tested("""SELECT n1 AS n_1, n0 AS n_0, round(m1, 6) AS mean_1, round(m0, 6) AS mean_0, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1 / n1 + 1 / n0)) AS t, n1 + n0 - 2 AS df
   FROM (SELECT count(price) FILTER (i) AS n1, count(price) FILTER (NOT i) AS n0, avg(price) FILTER (i) AS m1, avg(price) FILTER (NOT i) AS m0, var_samp(price) FILTER (i) AS v1, var_samp(price) FILTER (NOT i) AS v0
-  FROM (SELECT price, infection_date IS NOT NULL AS i FROM infection))""", "infection"))
+  FROM (SELECT price, infection_date IS NOT NULL AS i FROM infection))""", _t_tail("t", "df"), "t"), "infection"))
 def stat_t_test(v):
     df = infections(v).withColumn("g", F.col("infection_date").isNotNull().cast("int"))
-    return stats.t_test(df, "g", F.col("price")).withColumns({c: F.round(c, 6) for c in ("mean_1", "mean_0", "t")})
+    return stats.t_test(df, "g", F.col("price")).withColumns({c: F.round(c, 6) for c in ("mean_1", "mean_0", "t", "p_value")})
 
 
-@query("stat_mann_whitney", sql("""SELECT n1 AS n_1, n0 AS n_0, u, round((u - n1 * n0 / 2 - sign(u - n1 * n0 / 2) * 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))), 6) AS z FROM (
+@query("stat_mann_whitney", sql(_tested("""SELECT n1 AS n_1, n0 AS n_0, u, (u - n1 * n0 / 2 - sign(u - n1 * n0 / 2) * 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM (
   SELECT count(*) FILTER (i) AS n1, count(*) FILTER (NOT i) AS n0, sum(r) FILTER (i) - count(*) FILTER (i) * (count(*) FILTER (i) + 1) / 2 AS u, sum(CAST(t AS DOUBLE) * t - 1) AS tie FROM (SELECT infection_date IS NOT NULL AS i,
-  rank() OVER (ORDER BY gest_days) + (count(*) OVER (PARTITION BY gest_days) - 1) / 2 AS r, count(*) OVER (PARTITION BY gest_days) AS t FROM infection))""", "infection"))
+  rank() OVER (ORDER BY gest_days) + (count(*) OVER (PARTITION BY gest_days) - 1) / 2 AS r, count(*) OVER (PARTITION BY gest_days) AS t FROM infection))""", _chi_tail("(z * z)", "1"), "z"), "infection"))
 def stat_mann_whitney(v):
     df = infections(v).withColumn("g", F.col("infection_date").isNotNull().cast("int"))
-    return stats.mann_whitney(df, "g", "gest_days").withColumn("z", F.round("z", 6))
+    return stats.mann_whitney(df, "g", "gest_days").withColumns({c: F.round(c, 6) for c in ("z", "p_value")})
 
 
 _WILSON = "((p + z*z/(2*n) {0} z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n))"
@@ -222,17 +245,23 @@ def stat_protection_rate(v):
     return df.withColumns({c: F.round(c, 8) for c in ("rate", "ci_low", "ci_high")})
 
 
-@query("stat_protection_pairs", sql("""SELECT x.state AS group_1, y.state AS group_2, round(CAST(x.p * (y.n - y.p) AS DOUBLE) / ((x.n - x.p) * y.p), 6) AS odds_ratio
-  FROM r x JOIN r y ON x.state < y.state""", "infection", "history", extra=INF + ", r AS (SELECT state, count(*) AS n, count(*) FILTER (infection_date IS NULL) AS p FROM state GROUP BY 1)"))
+_LN_WAYS = "-(lgamma({k} + 1) + lgamma(a + b - {k} + 1) + lgamma(a + c - {k} + 1) + lgamma(d - a + {k} + 1))"
+
+
+@query("stat_protection_pairs", sql(f"""SELECT group_1, group_2, round(any_value(CAST(a * d AS DOUBLE) / nullif(b * c, 0)), 6) AS odds_ratio, round(least(sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp - lm) ELSE 0 END) / sum(exp(lp - lm)), 1), 6) AS p_value FROM (
+  SELECT *, {_LN_WAYS.format(k='a')} AS lo, {_LN_WAYS.format(k='k')} AS lp, max({_LN_WAYS.format(k='k')}) OVER (PARTITION BY group_1, group_2) AS lm FROM (SELECT *, CAST(unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS DOUBLE) AS k FROM (
+  SELECT x.state AS group_1, y.state AS group_2, x.p AS a, x.n - x.p AS b, y.p AS c, y.n - y.p AS d FROM r x JOIN r y ON x.state < y.state))) GROUP BY 1, 2""", "infection", "history",
+                                    extra=INF + ", r AS (SELECT state, count(*) AS n, count(*) FILTER (infection_date IS NULL) AS p FROM state GROUP BY 1)"))
 def stat_protection_pairs(v):
     rates = stats.protection_rate(exposed_infected(v), "state", F.col("infected") == 1)
     df = stats.pairwise_fisher(rates, "state")
-    return df.where(F.col("p_value").between(0, 1)).select("group_1", "group_2", F.round("odds_ratio", 6).alias("odds_ratio"))
+    return df.withColumns({c: F.round(c, 6) for c in ("odds_ratio", "p_value")})
 
 
-@query("stat_pearson", sql("SELECT c AS feature, round(corr(x, treated), 8) AS r FROM people UNPIVOT (x FOR c IN (balance, age, n_episodes, nation)) GROUP BY 1", "person", "episode", "dose", extra=PEOPLE))
+@query("stat_pearson", sql(_tested("SELECT c AS feature, corr(x, treated) AS r, regr_count(treated, x)::BIGINT AS n FROM people UNPIVOT (x FOR c IN (balance, age, n_episodes, nation)) GROUP BY 1",
+                                   _t_tail("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)"), "r", 8), "person", "episode", "dose", extra=PEOPLE))
 def stat_pearson(v):
-    return stats.pearson(people(v), COVARIATES, "treated").withColumn("r", F.round("r", 8))
+    return stats.pearson(people(v), COVARIATES, "treated").withColumns({"r": F.round("r", 8), "p_value": F.round("p_value", 6)})
 
 
 @query("stat_vif", sql("""SELECT unnest(['balance', 'age', 'n_episodes']) AS feature, unnest([round((1 - c * c) / det, 6), round((1 - b * b) / det, 6), round((1 - a * a) / det, 6)]) AS vif FROM (
@@ -241,18 +270,18 @@ def stat_vif(v):
     return stats.variance_inflation(people(v), ["balance", "age", "n_episodes"]).withColumn("vif", F.round("vif", 6))
 
 
-@query("stat_anova_rm", """WITH x AS (SELECT s, c, coalesce(y, 0) AS y FROM (SELECT DISTINCT CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS s FROM orders) m CROSS JOIN (VALUES ('F'), ('O')) k(c)
+@query("stat_anova_rm", _tested("""WITH x AS (SELECT s, c, coalesce(y, 0) AS y FROM (SELECT DISTINCT CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS s FROM orders) m CROSS JOIN (VALUES ('F'), ('O')) k(c)
   LEFT JOIN (SELECT CAST(strftime(o_orderdate, '%Y%m') AS INTEGER) AS s, o_orderstatus AS c, 100.0 * count(*) FILTER (o_orderpriority = '1-URGENT') / count(*) AS y FROM orders GROUP BY 1, 2) USING (s, c)),
   g AS (SELECT avg(y) AS m FROM x), sc AS (SELECT sum(n * (a - m) ** 2) AS v FROM (SELECT c, avg(y) AS a, count(*) AS n FROM x GROUP BY 1), g), ss AS (SELECT sum(n * (a - m) ** 2) AS v FROM (SELECT s, avg(y) AS a, count(*) AS n FROM x GROUP BY 1), g),
   st AS (SELECT sum((y - m) ** 2) AS v FROM x, g), d AS (SELECT count(DISTINCT c) - 1 AS d1, (count(DISTINCT c) - 1) * (count(DISTINCT s) - 1) AS d2 FROM x)
-  SELECT round((sc.v / d1) / ((st.v - sc.v - ss.v) / d2), 5) AS f, d1 AS df_1, d2 AS df_2 FROM sc, ss, st, d""")
+  SELECT (sc.v / d1) / ((st.v - sc.v - ss.v) / d2) AS f, d1 AS df_1, d2 AS df_2 FROM sc, ss, st, d""", _t_tail("sqrt(f)", "df_2"), "f", 5))
 def stat_anova_rm(v):
     """F between two monthly rate series, the month as the subject."""
     month = F.date_format("o_orderdate", "yyyyMM").cast("int").alias("s")
     wide = v.t("orders").groupBy(month).agg(*[F.coalesce(100.0 * F.count(F.when((F.col("o_orderstatus") == c) & (F.col("o_orderpriority") == "1-URGENT"), 1)) /
                                                          F.nullif(F.count(F.when(F.col("o_orderstatus") == c, 1)), F.lit(0)), F.lit(0.0)).alias(c) for c in ("F", "O")])
     long = wide.select("s", F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("y")) for c in ("F", "O")])))
-    return stats.repeated_anova(long, "s", "c", "y").withColumn("f", F.round("f", 5))
+    return stats.repeated_anova(long, "s", "c", "y").withColumns({"f": F.round("f", 5), "p_value": F.round("p_value", 6)})
 
 
 _PROBS = [(i + 1) / 20 for i in range(19)]
