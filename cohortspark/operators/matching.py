@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 from functools import partial, reduce
 
 import numpy as np
@@ -53,7 +54,7 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str], balanced:
 
 
 def match_one_to_one(df: DataFrame, key: str, treated: str, score: str, caliper: float,
-                     rows_per_partition: int = 100_000, max_rounds: int = 500) -> DataFrame:
+                     rows_per_partition: int = 100_000) -> DataFrame:
     """Greedy one-to-one matching without replacement: always the closest remaining treated/control pair.
 
     On a line the closest pair is made of neighbours, so no candidate pairs are generated. Rows are range-partitioned
@@ -68,10 +69,8 @@ def match_one_to_one(df: DataFrame, key: str, treated: str, score: str, caliper:
     columns = ["id", "t", "s", "h"]
     mate_type = free.schema["id"].dataType.simpleString()
     pairs = []
-    for _ in range(max_rounds):
-        rows = free.count()
-        if not rows:
-            break
+    # Every round matches a pair or drops a row, so the loop ends.
+    while rows := free.count():
         n = -(-rows // rows_per_partition)
         cut = free.repartitionByRange(n, "s", "h", "id").sortWithinPartitions("s", "h", "id")
         near = durable(cut.mapInPandas(partial(_settle, caliper=caliper, alone=n == 1),
@@ -83,8 +82,6 @@ def match_one_to_one(df: DataFrame, key: str, treated: str, score: str, caliper:
         pairs.append(state.where("mutual and t = 1").select(
             F.col("id").alias("treated_id"), F.col("pair.mate").alias("control_id"), F.col("pair.gap").alias("distance")))
         free = state.where("not mutual").select(*columns)
-    else:
-        raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
     if not pairs:
         return base.limit(0).select(F.col("id").alias("treated_id"), F.col("id").alias("control_id"), F.col("s").alias("distance"))
     return reduce(DataFrame.unionByName, pairs)
@@ -244,39 +241,74 @@ def nearest_controls(df: DataFrame, key: str, treated: str, covariates: Sequence
 
 
 def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end: str, index: str,
-                   horizon: int = 182, max_shift: int = 7, max_rounds: int = 50) -> DataFrame:
+                   horizon: int = 182, max_shift: int | None = None) -> DataFrame:
     """A control per case: same (else nearest) start day, under observation at the case's index date for ``horizon``
-    days; without replacement; the control inherits the index date.
+    days; without replacement; the control inherits the index date. Every case is in the result once: those without
+    a control have nulls. Keys are unique; rows with a null take no part as controls and stay unmatched as cases.
 
     For one day shift the control's start is fixed, so the rule is a threshold on its end: end >= index + horizon.
-    Cases in order of threshold meet controls in order of falling end by their rank on that start day, so no pairs are
-    generated; the pair of the first ranks is feasible whenever any is, so a round either
-    pairs somebody or ends the shift. Cases left after ``max_shift`` days stay unmatched and can be anti-joined.
+    As many pairs are made as can be (``_most_pairs``): the k smallest thresholds meet the k latest ends in order, ties
+    by md5 of the key. Shifts go 0, -1, 1, -2, 2 and on until no control is left that a case left could take;
+    ``max_shift`` ends earlier where a calliper on the start day is wanted.
     """
-    c = cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date"))
+    everyone = cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date"))
     p = pool.select(F.col(key).alias("control_id"), F.col(start).alias("control_start"), F.col(end).alias("control_end"))
-    c, p, done = durable(c), durable(p), None
-    for shift in [0] + [s * k for k in range(1, max_shift + 1) for s in (-1, 1)]:
-        for _ in range(max_rounds):
-            day = F.date_add("case_start", shift)
-            a = ranked(c.withColumn("_day", day).where(F.col("_day") <= F.col("index_date")), ["_day"], ["index_date", F.xxhash64("case_id"), "case_id"], "_k")
-            b = ranked(p.withColumn("_day", F.col("control_start")), ["_day"],
-                       [F.col("control_end").desc(), F.xxhash64("control_id"), "control_id"], "_k")
-            ok = F.col("control_end") >= F.date_add("index_date", horizon)
-            new = durable(a.join(b, ["_day", "_k"]).where(ok).select(
-                "case_id", "control_id", "index_date", "case_start", "control_start"))
-            if new.isEmpty():
-                break
-            done = new if done is None else done.unionByName(new)
-            c = c.join(new.select("case_id"), "case_id", "left_anti")
-            p = p.join(new.select("control_id"), "control_id", "left_anti")
-        c, p = durable(c), durable(p)
-        if c.isEmpty():
-            break
+    c, p, done, shift = durable(everyone.dropna()), durable(p.dropna()), None, 0
+    while (shift := _reachable_shift(c, p, shift, horizon, max_shift)) is not None:
+        day = F.date_add("case_start", shift)
+        a = c.withColumn("_day", day).where(F.col("_day") <= F.col("index_date")).withColumn("_at", F.date_add("index_date", horizon))
+        b = p.withColumnRenamed("control_start", "_day").withColumnRenamed("control_end", "_at")
+        most = _most_pairs(a, b)
+        a = ranked(a, ["_day"], ["_at", F.md5(F.col("case_id").cast("string")), "case_id"], "_i")
+        b = ranked(b, ["_day"], [F.col("_at").desc(), F.md5(F.col("control_id").cast("string")), "control_id"], "_j")
+        a = a.join(most, "_day").where("_i <= _k").withColumn("_j", F.col("_k") + 1 - F.col("_i"))
+        new = durable(a.join(b.drop("_at"), ["_day", "_j"]).select("case_id", "control_id", F.col("_day").alias("control_start")))
+        done = new if done is None else done.unionByName(new)
+        c = durable(c.join(new.select("case_id"), "case_id", "left_anti"))
+        p = durable(p.join(new.select("control_id"), "control_id", "left_anti"))
+        shift = _next_shift(shift)
     if done is None:
-        done = c.limit(0).select("case_id", F.col("case_id").alias("control_id"), "index_date", "case_start",
-                                 F.col("case_start").alias("control_start"))
-    return done
+        done = p.limit(0).select(F.lit(None).cast(everyone.schema["case_id"].dataType).alias("case_id"), "control_id", "control_start")
+    return everyone.join(done, "case_id", "left").select("case_id", "control_id", "index_date", "case_start", "control_start")
+
+
+def _next_shift(shift: int) -> int:
+    return -shift if shift < 0 else -shift - 1
+
+
+def _most_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per ``_day`` the greatest k for which the k smallest thresholds of ``a`` all find ends among ``b`` (both ``_at``).
+
+    At every threshold x the cases at or above it, k less those below, must not outnumber the ends at or above it; so k
+    is the least of (cases below x + ends not below x) over all x, and at most the number of cases.
+    """
+    marks = a.select("_day", "_at", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        b.select("_day", "_at", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    counts = marks.groupBy("_day", "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    run = running_totals(counts, ["_day"], ["_at"], {"_ta": F.col("_a"), "_tb": F.col("_b")}, grand="_all")
+    room = F.col("_ta") - F.col("_a") + F.col("_all_tb") - (F.col("_tb") - F.col("_b"))
+    return run.groupBy("_day").agg(F.least(F.min(F.when(F.col("_a") > 0, room)), F.max("_all_ta")).alias("_k")).where("_k > 0")
+
+
+def _reachable_shift(c: DataFrame, p: DataFrame, shift: int, horizon: int, max_shift: int | None) -> int | None:
+    """The next shift, from ``shift`` on, at which some start day's cases may find a control; none: null.
+
+    Works on one line per calendar day of either side, so what reaches the driver is bounded by the calendar.
+    """
+    cases = c.groupBy("case_start").agg(F.min("index_date"), F.max("index_date")).collect()
+    ends = {r[0]: r[1] for r in p.groupBy("control_start").agg(F.max("control_end")).collect()}
+    limit = max_shift
+    if cases and ends:
+        days = [r[0] for r in cases]
+        widest = max((max(days) - min(ends)).days, (max(ends) - min(days)).days, 0)
+        limit = widest if max_shift is None else min(widest, max_shift)
+    while cases and ends and abs(shift) <= limit:
+        for day, first, last in cases:
+            there = day + timedelta(days=shift)
+            if there <= last and there in ends and ends[there] >= first + timedelta(days=horizon):
+                return shift
+        shift = _next_shift(shift)
+    return None
 
 
 def keep_matched(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -97,9 +97,26 @@ def match_knn_euclidean(v):
     return df.withColumn("distance", F.round("distance", 5))
 
 
-@query("match_risk_set")
+def _risk_set_sql(shifts: tuple[int, ...]) -> str:
+    """The rule tried out: for every start day each number of pairs k is tested rank by rank, and the largest is kept."""
+    steps = ["""c0 AS MATERIALIZED (SELECT episode_id AS case_id, conception AS case_start, full_date AS index_date FROM state WHERE full_date IS NOT NULL AND full_date >= conception),
+      p0 AS MATERIALIZED (SELECT episode_id AS control_id, conception AS d, delivery AS stop FROM state WHERE state IN ('never', 'later'))"""]
+    for n, shift in enumerate(shifts):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY d ORDER BY stop, md5(CAST(case_id AS VARCHAR)), case_id) AS i FROM (SELECT *, case_start + ({shift}) AS d, index_date + 182 AS stop FROM c{n}) WHERE d <= index_date),
+      b{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY d ORDER BY stop DESC, md5(CAST(control_id AS VARCHAR)), control_id) AS j FROM p{n}),
+      k{n} AS MATERIALIZED (SELECT d, max(k) AS k FROM (SELECT q.d, q.i AS k FROM a{n} q JOIN a{n} a ON a.d = q.d AND a.i <= q.i JOIN b{n} b ON b.d = q.d AND b.j = q.i + 1 - a.i
+        GROUP BY q.d, q.i HAVING count(*) FILTER (a.stop <= b.stop) = q.i) GROUP BY d),
+      m{n} AS MATERIALIZED (SELECT a.case_id, b.control_id, k.d AS control_start FROM k{n} k JOIN a{n} a ON a.d = k.d AND a.i <= k.k JOIN b{n} b ON b.d = k.d AND b.j = k.k + 1 - a.i),
+      c{n + 1} AS MATERIALIZED (SELECT * FROM c{n} ANTI JOIN m{n} USING (case_id)), p{n + 1} AS MATERIALIZED (SELECT * FROM p{n} ANTI JOIN m{n} USING (control_id))""")
+    pairs = " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(len(shifts)))
+    return sql(f"SELECT case_id, control_id, index_date, case_start, control_start FROM c0 LEFT JOIN ({pairs}) m USING (case_id)",
+               "episode", "history", extra=", ".join([state_sql("episode", "delivery"), *steps]))
+
+
+@query("match_risk_set", _risk_set_sql((0, -1, 1)))
 def match_risk_set(v):
-    """Fully exposed episodes against never-exposed ones with the same (or a near) conception day."""
+    """Fully exposed episodes against never-exposed ones whose conception day is at most one day off (a caliper); cases
+    without such a control have nulls."""
     s = states(v)
     cases = s.where("full_date is not null and full_date >= conception").select("episode_id", "conception", "full_date")
     pool = s.where("state in ('never', 'later')").select("episode_id", "conception", "delivery")

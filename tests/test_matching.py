@@ -59,23 +59,46 @@ def test_nearest_controls_equal_brute_force(spark):
     assert got == want
 
 
-def test_risk_set_pairs_are_valid_and_complete(spark):
+@pytest.mark.parametrize("max_shift", [1, None])
+def test_risk_set_pairs_are_valid_and_complete(spark, max_shift):
     rng = random.Random(9)
     day = lambda n: f"2020-{1 + n // 28:02d}-{1 + n % 28:02d}"
     cases = [(i, day(rng.randint(0, 5)), day(rng.randint(20, 60))) for i in range(40)]
     pool = [(1000 + i, day(rng.randint(0, 5)), day(rng.randint(200, 300))) for i in range(60)]
     c = spark.createDataFrame(cases, "id bigint, s string, x string").selectExpr("id", "date(s) as s", "date(x) as x")
     p = spark.createDataFrame(pool, "id bigint, s string, e string").selectExpr("id", "date(s) as s", "date(e) as e")
-    got = matching.match_risk_set(c, p, "id", "s", "e", "x", horizon=182, max_shift=1).collect()
+    rows = matching.match_risk_set(c, p, "id", "s", "e", "x", horizon=182, max_shift=max_shift).collect()
+    assert sorted(r["case_id"] for r in rows) == list(range(40))
+    got = [r for r in rows if r["control_id"] is not None]
     end = {r["id"]: r["e"] for r in p.collect()}
-    assert len({r["case_id"] for r in got}) == len({r["control_id"] for r in got}) == len(got) > 10
+    assert len({r["control_id"] for r in got}) == len(got) > 10
     for r in got:
         assert (end[r["control_id"]] - r["index_date"]).days >= 182
-        assert r["control_start"] <= r["index_date"] and abs((r["control_start"] - r["case_start"]).days) <= 1
-    # No case left over could still take a control left over on its own day.
-    used = {r["control_id"] for r in got}
-    done = {r["case_id"] for r in got}
+        assert r["control_start"] <= r["index_date"] and (max_shift is None or abs((r["control_start"] - r["case_start"]).days) <= max_shift)
+    # No case left over could still take a control left over within the shifts.
+    used, done = {r["control_id"] for r in got}, {r["case_id"] for r in got}
     for a in c.collect():
         for b in p.collect():
-            if a["id"] not in done and b["id"] not in used and a["s"] == b["s"]:
+            if a["id"] not in done and b["id"] not in used and b["s"] <= a["x"] and (max_shift is None or abs((a["s"] - b["s"]).days) <= max_shift):
                 assert (b["e"] - a["x"]).days < 182
+    # On the same start day as many pairs are made as any assignment can make.
+    same = {}
+    def take(a, seen):
+        for b in p_rows:
+            if b["id"] not in seen and b["s"] == a["s"] and (b["e"] - a["x"]).days >= 182:
+                seen.add(b["id"])
+                if b["id"] not in same or take(same[b["id"]], seen):
+                    same[b["id"]] = a
+                    return True
+        return False
+    p_rows = p.collect()
+    assert sum(take(a, set()) for a in c.collect()) == sum(r["control_start"] == r["case_start"] for r in got)
+
+
+def test_risk_set_keeps_late_ends_for_late_cases(spark):
+    c = spark.sql("SELECT * FROM VALUES (1L, date'2020-01-01', date'2020-01-10'), (2L, date'2020-01-01', date'2020-02-10'), (3L, date'2020-01-01', null) AS t(id, s, x)")
+    p = spark.sql("SELECT * FROM VALUES (7L, date'2020-01-01', date'2020-08-20'), (8L, date'2020-01-01', date'2020-07-20') AS t(id, s, e)")
+    got = matching.match_risk_set(c, p, "id", "s", "e", "x").collect()
+    assert sorted((r["case_id"], r["control_id"] or 0) for r in got) == [(1, 8), (2, 7), (3, 0)]
+    assert matching.match_risk_set(c.limit(0), p, "id", "s", "e", "x").count() == 0
+    assert [r["control_id"] for r in matching.match_risk_set(c, p.limit(0), "id", "s", "e", "x").collect()] == [None] * 3
