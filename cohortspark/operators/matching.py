@@ -47,7 +47,7 @@ def propensity(df: DataFrame, treated: str, covariates: Sequence[str], balanced:
     else:
         weight = F.lit(1.0)
     ready = VectorAssembler(inputCols=list(covariates), outputCol="_x").transform(df.withColumn("_w", weight))
-    model = LogisticRegression(featuresCol="_x", labelCol=treated, weightCol="_w", maxIter=50, standardization=True).fit(ready)
+    model = LogisticRegression(featuresCol="_x", labelCol=treated, weightCol="_w", maxIter=1000, tol=1e-14, standardization=True).fit(ready)
     # The margin is the logit itself, so certain cases (propensity 0 or 1) keep a finite value.
     return model.transform(ready).withColumn("propensity", vector_to_array("probability")[1]).withColumn(
         "logit", vector_to_array("rawPrediction")[1]).select(*df.columns, "propensity", "logit")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -42,8 +43,8 @@ def _assembled(features: Sequence[str]) -> list:
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)]
 
 
-def logistic(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, iterations: int = 50) -> PipelineModel:
-    lr = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=iterations, **({"weightCol": weight} if weight else {}))
+def logistic(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, iterations: int = 1000) -> PipelineModel:
+    lr = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=iterations, tol=1e-14, **({"weightCol": weight} if weight else {}))
     return Pipeline(stages=[*_assembled(features), lr]).fit(df)
 
 
@@ -59,7 +60,7 @@ def importance_table(spark: SparkSession, model: PipelineModel, features: Sequen
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def boosted_classifier(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, seed: int = 1) -> PipelineModel:
+def boosted_classifier(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 3, seed: int = 1) -> PipelineModel:
     gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
     return Pipeline(stages=[*_assembled(features), gbt]).fit(df)
 
@@ -69,7 +70,7 @@ def random_forest(df: DataFrame, features: Sequence[str], label: str, trees: int
     return Pipeline(stages=[*_assembled(features), rf]).fit(df)
 
 
-def boosted_regressor(df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, seed: int = 1) -> PipelineModel:
+def boosted_regressor(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 3, seed: int = 1) -> PipelineModel:
     gbt = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=depth, seed=seed)
     return Pipeline(stages=[*_assembled(features), gbt]).fit(df)
 
@@ -100,7 +101,7 @@ def score_thresholds(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve, average precision, mean squared error and R2 of a score."""
+    """Area under the ROC curve, average precision, squared and absolute errors and R2 of a score; null where undefined."""
     points = score_thresholds(df, score, label)
     ends = points.agg(F.max("tp").cast("double").alias("_tp"), F.max("fp").cast("double").alias("_fp"))
     area = points.agg(
@@ -108,10 +109,43 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum(F.col("_n") * (F.col("tp") - F.col("_p") / 2)).alias("_area"),
         F.sum(F.col("_p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("_ap"))
     y = F.col(label).cast("double")
-    err = df.agg(F.avg((y - F.col(score)) * (y - F.col(score))).alias("mse"), F.var_pop(y).alias("_vy"))
+    gap = y - F.col(score)
+    err = df.agg(F.avg(gap * gap).alias("mse"), F.avg(F.abs(gap)).alias("mae"), F.var_pop(y).alias("_vy"))
     t = one_row(ends, area, err)
-    return t.select((F.col("_area") / (F.col("_tp") * F.col("_fp"))).alias("auc"), (F.col("_ap") / F.col("_tp")).alias("average_precision"),
-                    "mse", (1 - F.col("mse") / F.col("_vy")).alias("r2"))
+    return t.select(F.try_divide("_area", F.col("_tp") * F.col("_fp")).alias("auc"), F.try_divide("_ap", "_tp").alias("average_precision"),
+                    "mse", F.sqrt("mse").alias("rmse"), "mae", (1 - F.try_divide("mse", "_vy")).alias("r2"))
+
+
+def precision_recall(df: DataFrame, score: str, label: str) -> DataFrame:
+    """``precision`` and ``recall`` at every distinct score; recall is null without positive rows."""
+    points = score_thresholds(df, score, label)
+    total = points.agg(F.max("tp").alias("_all"))
+    return points.join(F.broadcast(total)).select(score, (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "_all").alias("recall"))
+
+
+MODELS = {"boosted_classifier": boosted_classifier, "random_forest": random_forest, "boosted_regressor": boosted_regressor}
+
+
+def evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, top: int = 5, again: Sequence[str] = ("boosted_regressor",)) -> DataFrame:
+    """(model, n_features, n_test, metrics): each tree model scored on rows it has not seen; the models named in ``again``
+    are also fitted on their ``top`` most important features alone."""
+    train, test = durable(train), durable(test)
+    out = []
+
+    def scores(name: str, model: PipelineModel, n: int) -> DataFrame:
+        seen = model.transform(test)
+        scored = seen.select(score_of(seen).alias("_s"), F.col(label).alias("_y"))
+        metrics = one_row(scored.agg(F.count(F.lit(1)).alias("n_test")), ranking_metrics(scored, "_s", "_y"))
+        return metrics.select(F.lit(name).alias("model"), F.lit(n).alias("n_features"), "*")
+
+    for name, fit in MODELS.items():
+        model = fit(train, features, label)
+        out.append(scores(name, model, len(features)))
+        if name in again:
+            order = sorted(zip(features, model.stages[-1].featureImportances.toArray()), key=lambda r: (-r[1], r[0]))
+            best = [f for f, _ in order[:top]]
+            out.append(scores(name, fit(train, best, label), len(best)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def save_model(model: PipelineModel, features: Sequence[str], chi_square: DataFrame, path: str, **notes) -> None:

@@ -52,6 +52,39 @@ PEOPLE = """people AS (SELECT pat_id, instance, CASE WHEN (pat_id, instance) IN
   round(date_diff('day', birth_date, DATE '2000-01-01') / 365.25, 1) AS age, CAST((SELECT count(*) FROM episode e WHERE e.pat_id = p.pat_id) AS DOUBLE) AS n_episodes,
   CAST(nation AS DOUBLE) AS nation FROM person p)"""
 
+_TRAIN = "CAST('0x' || substr(md5('0:' || pat_id), 1, 8) AS BIGINT) / 4294967296 >= 0.2"
+
+
+def _margin(x: str) -> str:
+    return f"(b[1] + b[2] * {x}balance + b[3] * {x}age + b[4] * {x}n_episodes + b[5] * {x}nation)"
+
+
+def _logistic_ctes(rows: str, seen: str = "people", steps: int = 800) -> str:
+    """CTEs ``z`` (the rows of ``seen``, covariates on the scale of those of ``rows``) and ``fit`` (b: intercept, coefficients).
+
+    ``rows`` has columns g (the model), w and those of people. Every model climbs by gradient steps until nothing changes.
+    """
+    names = ("balance", "age", "n_episodes", "nation")
+    scale = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in names)
+    scaled = lambda t: ", ".join(f"({t}.{c} - m_{c}) / s_{c} AS {c}" for c in names)
+    up = ", ".join(f"any_value(b[{k}]) + 4 * sum(r{x}) / sum(w)" for k, x in enumerate(["", *[f" * {c}" for c in names]], 1))
+    return f"""lr_rows AS MATERIALIZED ({rows}), lr_scale AS MATERIALIZED (SELECT g, {scale} FROM lr_rows GROUP BY g),
+  lr_x AS MATERIALIZED (SELECT r.g, r.w, r.treated, {scaled('r')} FROM lr_rows r JOIN lr_scale USING (g)),
+  lr_step AS (SELECT g, 0 AS i, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS b FROM lr_scale
+    UNION ALL SELECT g, any_value(i) + 1, [{up}] FROM (SELECT x.*, i, b, w * (treated - 1 / (1 + exp(-{_margin('x.')}))) AS r FROM lr_step JOIN lr_x x USING (g) WHERE i < {steps}) GROUP BY g),
+  fit AS MATERIALIZED (SELECT g, b FROM lr_step WHERE i = {steps}),
+  z AS MATERIALIZED (SELECT pat_id, treated, g, {scaled('p')} FROM {seen} p CROSS JOIN lr_scale)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH", "WITH RECURSIVE", 1)
+
+
+_PROPENSITY = PEOPLE + ", " + _logistic_ctes("""SELECT 0 AS g, p.*, n / (2 * CASE WHEN treated = 1 THEN t ELSE n - t END) AS w FROM people p, (SELECT sum(treated) AS t, count(*) AS n FROM people)""") + \
+    f", scored AS MATERIALIZED (SELECT pat_id, treated, {_margin('')} AS logit FROM z JOIN fit USING (g))"
+_TRAINED = PEOPLE + ", " + _logistic_ctes(f"SELECT 0 AS g, p.*, CASE WHEN treated = 1 THEN 0.4 ELSE 0.6 END AS w FROM people p WHERE {_TRAIN}", f"(SELECT * FROM people WHERE NOT ({_TRAIN}))")
+_PEOPLE_VIEWS = ("person", "episode", "dose")
+
 # ---- matching ----------------------------------------------------------------------------------------------------
 
 
@@ -64,16 +97,24 @@ def match_feature_frame(v):
     return matching.feature_frame(df, ["balance"], ["nation"]).withColumn("nation", F.round("nation", 8))
 
 
-@query("match_propensity_score")
+@query("match_propensity_score", _recursive(sql("SELECT pat_id, treated, round(1 / (1 + exp(-logit)), 4) AS propensity, round(logit, 4) AS logit FROM scored", *_PEOPLE_VIEWS, extra=_PROPENSITY)))
 def match_propensity_score(v):
-    return matching.propensity(people(v), "treated", COVARIATES).select("pat_id", "treated", "propensity", "logit")
+    df = matching.propensity(people(v), "treated", COVARIATES)
+    return df.select("pat_id", "treated", F.round("propensity", 4).alias("propensity"), F.round("logit", 4).alias("logit"))
+
 
+# Rounds over all pairs inside the caliper: those that are the closest for both sides are taken, and their people leave.
+_CLOSEST = """picks AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY gap, c) = 1 AND row_number() OVER (PARTITION BY c ORDER BY gap, t) = 1 AS taken
+    FROM (SELECT x.pat_id AS t, y.pat_id AS c, abs(x.logit - y.logit) AS gap FROM scored x JOIN scored y ON x.treated = 1 AND y.treated = 0 AND abs(x.logit - y.logit) <= 0.6)
+  UNION ALL SELECT t, c, gap, row_number() OVER (PARTITION BY t ORDER BY gap, c) = 1 AND row_number() OVER (PARTITION BY c ORDER BY gap, t) = 1
+    FROM (SELECT t, c, gap FROM (SELECT *, bool_or(taken) OVER (PARTITION BY t) OR bool_or(taken) OVER (PARTITION BY c) AS gone FROM picks) WHERE NOT gone))"""
 
-@query("match_caliper_1to1")
+
+@query("match_caliper_1to1", _recursive(sql("SELECT t AS treated_id, c AS control_id, round(gap, 5) AS distance FROM picks WHERE taken", *_PEOPLE_VIEWS, extra=f"{_PROPENSITY}, {_CLOSEST}")))
 def match_caliper_1to1(v):
     """Pairs within 0.6 on the propensity logit; each person at most once."""
     scored = matching.propensity(people(v), "treated", COVARIATES)
-    return matching.match_one_to_one(scored, "pat_id", "treated", "logit", 0.6)
+    return matching.match_one_to_one(scored, "pat_id", "treated", "logit", 0.6).withColumn("distance", F.round("distance", 5))
 
 
 @query("match_effect_size", sql("""SELECT c AS covariate, round(avg(x) FILTER (treated = 1), 6) AS mean_1, round(avg(x) FILTER (treated = 0), 6) AS mean_0,
@@ -329,46 +370,83 @@ def ml_latest_row_training_set(v):
     return models.latest_training_rows(df, "o_custkey", "y", "o_orderkey", ["o_totalprice"])
 
 
-@query("ml_logistic")
+def split(v):
+    """Training and test part of the people: a fifth is held out, by a hash of the person."""
+    df = models.split_by_hash(people(v), "pat_id")
+    return df.where("not is_test").drop("is_test"), df.where("is_test").drop("is_test")
+
+
+def fitted_scores(v):
+    """Test people with the probability from a weighted logistic model of the training part."""
+    train, test = split(v)
+    model = models.logistic(train.withColumn("w", F.when(F.col("treated") == 1, 0.4).otherwise(0.6)), COVARIATES, "treated", "w")
+    scored = model.transform(test)
+    return scored.select("pat_id", models.score_of(scored).alias("s"), F.col("treated").alias("y"))
+
+
+@query("ml_logistic", _recursive(sql("SELECT unnest(['balance', 'age', 'n_episodes', 'nation']) AS feature, unnest([round(c, 5) FOR c IN b[2:5]]) AS coefficient FROM fit", *_PEOPLE_VIEWS, extra=_TRAINED)))
 def ml_logistic(v):
-    df = people(v).withColumn("w", F.when(F.col("treated") == 1, 0.4).otherwise(0.6))
-    return models.coefficient_table(v.spark, models.logistic(df, COVARIATES, "treated", "w"), COVARIATES)
+    train, _ = split(v)
+    weighted = train.withColumn("w", F.when(F.col("treated") == 1, 0.4).otherwise(0.6))
+    df = models.coefficient_table(v.spark, models.logistic(weighted, COVARIATES, "treated", "w"), COVARIATES)
+    return df.withColumn("coefficient", F.round("coefficient", 5))
+
 
+_FOLD = "CAST(CAST('0x' || substr(md5('0:' || pat_id), 1, 8) AS BIGINT) % 10 AS INTEGER)"
 
-@query("ml_cross_validate")
+
+@query("ml_cross_validate", _recursive(sql(f"""SELECT g AS fold, round(avg(CASE WHEN ({_margin('')} > 0) = (treated = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM z JOIN fit USING (g)
+  WHERE {_FOLD} = g GROUP BY g""", *_PEOPLE_VIEWS, extra=PEOPLE + ", " + _logistic_ctes(
+    f"SELECT CAST(k AS INTEGER) AS g, p.*, 1.0 AS w FROM people p, range(10) f(k) WHERE {_TRAIN} AND {_FOLD} <> k", f"(SELECT * FROM people WHERE {_TRAIN})", 400))))
 def ml_cross_validate(v):
-    return models.cross_validate(people(v), "pat_id", COVARIATES, "treated", folds=10)
+    """Ten folds of the training part; the test part stays unseen."""
+    return models.cross_validate(split(v)[0], "pat_id", COVARIATES, "treated", folds=10).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("ml_boosted_classifier")
 def ml_boosted_classifier(v):
-    return models.importance_table(v.spark, models.boosted_classifier(people(v), COVARIATES, "treated"), COVARIATES)
+    return models.importance_table(v.spark, models.boosted_classifier(split(v)[0], COVARIATES, "treated"), COVARIATES)
 
 
 @query("ml_random_forest")
 def ml_random_forest(v):
-    return models.importance_table(v.spark, models.random_forest(people(v), COVARIATES, "treated", trees=100), COVARIATES)
+    return models.importance_table(v.spark, models.random_forest(split(v)[0], COVARIATES, "treated"), COVARIATES)
 
 
 @query("ml_gbt_regressor")
 def ml_gbt_regressor(v):
-    return models.importance_table(v.spark, models.boosted_regressor(people(v), COVARIATES, "treated"), COVARIATES)
+    return models.importance_table(v.spark, models.boosted_regressor(split(v)[0], COVARIATES, "treated"), COVARIATES)
 
 
-_SCORE = "SELECT o_totalprice / 600000 AS s, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y FROM orders"
+_SCORE = f"x AS MATERIALIZED (SELECT 1 / (1 + exp(-{_margin('')})) AS s, treated AS y FROM z JOIN fit USING (g))"
 
 
-@query("ml_metrics", f"""WITH x AS ({_SCORE}), r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM x), t AS (SELECT s, sum(y) AS p, count(*) AS n FROM x GROUP BY 1),
-  c AS (SELECT p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS k FROM t)
-  SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 8) AS auc, (SELECT round(sum(p * tp / k) / sum(p), 8) FROM c) AS average_precision,
-  round(avg((y - s) ** 2), 8) AS mse, round(1 - avg((y - s) ** 2) / var_pop(y), 8) AS r2 FROM r""")
+@query("ml_metrics", _recursive(sql("""SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc, (SELECT round(sum(p * tp / k) / sum(p), 6) FROM c) AS average_precision,
+  round(avg((y - s) ** 2), 6) AS mse, round(sqrt(avg((y - s) ** 2)), 6) AS rmse, round(avg(abs(y - s)), 6) AS mae, round(1 - avg((y - s) ** 2) / var_pop(y), 6) AS r2 FROM r""", *_PEOPLE_VIEWS,
+    extra=f"""{_TRAINED}, {_SCORE}, r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM x), t AS (SELECT s, sum(y) AS p, count(*) AS n FROM x GROUP BY 1),
+  c AS (SELECT p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS k FROM t)""")))
 def ml_metrics(v):
-    df = v.t("orders").select((F.col("o_totalprice") / 600000).alias("s"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    out = models.ranking_metrics(df, "s", "y")
-    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
+    """Scores of the fitted logistic model on the test part."""
+    out = models.ranking_metrics(fitted_scores(v), "s", "y")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("ml_roc_points", f"WITH x AS ({_SCORE}), t AS (SELECT s, sum(y) AS p, count(*) - sum(y) AS n FROM x GROUP BY 1) SELECT s, sum(p) OVER (ORDER BY s DESC)::BIGINT AS tp, sum(n) OVER (ORDER BY s DESC)::BIGINT AS fp FROM t")
+@query("ml_roc_points", _recursive(sql("SELECT round(s, 4) AS s, sum(p) OVER (ORDER BY s DESC)::BIGINT AS tp, sum(n) OVER (ORDER BY s DESC)::BIGINT AS fp FROM t", *_PEOPLE_VIEWS,
+    extra=f"{_TRAINED}, {_SCORE}, t AS (SELECT s, sum(y) AS p, count(*) - sum(y) AS n FROM x GROUP BY 1)")))
 def ml_roc_points(v):
-    df = v.t("orders").select((F.col("o_totalprice") / 600000).alias("s"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    return models.score_thresholds(df, "s", "y").select("s", "tp", "fp")
+    return models.score_thresholds(fitted_scores(v), "s", "y").select(F.round("s", 4).alias("s"), "tp", "fp")
+
+
+@query("ml_precision_recall", _recursive(sql("""SELECT round(s, 4) AS s, round(tp / k, 8) AS precision, round(tp / sum(p) OVER (), 8) AS recall FROM
+  (SELECT s, p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS k FROM t)""", *_PEOPLE_VIEWS, extra=f"{_TRAINED}, {_SCORE}, t AS (SELECT s, sum(y) AS p, count(*) AS n FROM x GROUP BY 1)")))
+def ml_precision_recall(v):
+    """Precision and recall of the fitted model at every distinct score of the test part."""
+    df = models.precision_recall(fitted_scores(v), "s", "y")
+    return df.select(F.round("s", 4).alias("s"), F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"))
+
+
+@query("ml_model_evaluation")
+def ml_model_evaluation(v):
+    """Tree models fitted on the training part: scores on the test part, the regressor also with its three most important covariates alone."""
+    train, test = split(v)
+    return models.evaluate(train, test, COVARIATES, "treated", top=3)
