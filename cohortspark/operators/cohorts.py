@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.arrays import any_covers, coverage_of_results
 from cohortspark.functions.categories import TRIMESTER_CUTS, preterm, trimester
 from cohortspark.functions.dates import gestation_days, pregnancy_start
+from cohortspark.operators.joins import fan_out
 from cohortspark.operators.timeline import daily, last_event, next_event
 
 PERSON = ["pat_id", "instance"]
@@ -45,6 +46,25 @@ def maternity(episodes: DataFrame) -> DataFrame:
     )
 
 
+# Episode types of the mother's and the child's blocks.
+MOTHER_TYPE = "PREGNANCY"
+CHILD_TYPES = ["DELIVERY", "DELIVERY SUMMARY", "STORK CONVERSION HBD"]
+
+
+def mothers_and_children(blocks: DataFrame, vessels: DataFrame, child_columns: Sequence[str], parent: str = "mother_episode_id",
+                         keys: Sequence[str] = ("episode_id", "instance")) -> DataFrame:
+    """Mothers' episodes with their children's blocks and cord vessels; mothers whose child is not born stay.
+
+    ``child_columns`` are read from the child's block and dropped from the mother's. ``vessels`` has child_episode_id, instance.
+    """
+    key, instance = keys
+    kids = blocks.where(F.col("type").isin(CHILD_TYPES)).select(
+        F.col(key).alias("child_episode_id"), instance, F.col("type").alias("child_type"), F.col(parent).alias(key), *child_columns)
+    kids = kids.join(vessels, ["child_episode_id", instance], "left")
+    mothers = blocks.where(F.col("type") == MOTHER_TYPE).drop("type", parent, *child_columns)
+    return maternity(fan_out(mothers, kids, list(keys)))
+
+
 def eligible(age: Column, gest_days: Column, fetuses: Column, delivery: Column, since: str) -> Column:
     """Single fetus, 18 <= age < 45, at least 140 days, delivered on or after the study start."""
     return (fetuses == 1) & (age >= 18) & (age < 45) & (gest_days >= 140) & (delivery >= F.to_date(F.lit(since)))
@@ -126,6 +146,17 @@ def breakthrough(states: DataFrame) -> DataFrame:
     return states.where((F.col("full_date") < F.col("infection_date")) & (F.col("prior_infection") == 0))
 
 
+def breakthrough_rates(infected: DataFrame, everyone: DataFrame) -> DataFrame:
+    """Breakthrough infections and fully exposed episodes per product class, with their ratio.
+
+    ``infected`` is ``breakthrough``'s result, ``everyone`` is ``exposure_state``; a product's class is its first word.
+    """
+    word = F.regexp_extract("full_product", r"^\S+", 0).alias("product_class")
+    marked = infected.select(word, F.lit(1).alias("hit")).unionByName(everyone.where("full_date is not null").select(word, F.lit(0).alias("hit")))
+    n = marked.groupBy("product_class").agg(F.count(F.when(F.col("hit") == 1, 1)).alias("n_breakthrough"), F.count(F.when(F.col("hit") == 0, 1)).alias("n_full"))
+    return n.withColumn("rate", F.try_divide("n_breakthrough", "n_full"))
+
+
 def unexposed(state: Column) -> Column:
     """Never dosed, or first dose after the index."""
     return state.isin("never", "later")

@@ -97,6 +97,17 @@ def encounter_summary(cohort: DataFrame, encounters: DataFrame, keys: Sequence[s
     return cohort.join(per, list(keys), "left").na.fill({"max_device": 0, "max_class": 0, "n_encounters": 0, "score": 2})
 
 
+def worst_encounter(cohort: DataFrame, encounters: DataFrame, keys: Sequence[str], keep: Sequence[str], score: str = "score",
+                    duration: str = "duration") -> DataFrame:
+    """Each person's worst encounter row: highest score (3 where missing), then longest duration, then the kept columns in turn.
+
+    People without encounters have score 2 and nulls. One aggregate, so a person with many encounters is combined before the shuffle.
+    """
+    rank = F.struct(F.coalesce(F.col(score), F.lit(3)).alias(score), F.col(duration).alias(duration), *keep)
+    worst = encounters.groupBy(*keys).agg(F.max(rank).alias("_worst")).select(*keys, "_worst.*")
+    return cohort.join(worst, list(keys), "left").na.fill({score: 2})
+
+
 def medication_counts(index: DataFrame, orders: DataFrame, keys: Sequence[str] = PERSON, at: str = "index_date",
                       day: str = "start_date", before: int = 14, after: int = 56) -> DataFrame:
     """Distinct drugs per person with start in [index - before, index + after): inpatient, outpatient, all.

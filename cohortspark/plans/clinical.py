@@ -121,6 +121,20 @@ def cohort_maternity(v):
     return cohorts.maternity(v.episode).select(*EPISODE, "gestational_days", "preterm_category", "lmp")
 
 
+@query("cohort_maternity_children", sql("""SELECT pat_id, instance, episode_id, -(l_orderkey * 10 + l_linenumber) AS child_episode_id, child_type, l_quantity AS birth_weight,
+  CASE cord WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS vessels, CAST(280 + date_diff('day', due, delivery) AS INTEGER) AS gestational_days
+  FROM episode LEFT JOIN (SELECT l_orderkey, l_linenumber, l_quantity, l_linestatus, CASE l_returnflag WHEN 'A' THEN 'DELIVERY' ELSE 'DELIVERY SUMMARY' END AS child_type FROM lineitem WHERE l_returnflag <> 'N')
+  ON l_orderkey = episode_id LEFT JOIN (SELECT l_orderkey AS o, l_linenumber AS n, l_linenumber % 2 AS cord FROM lineitem WHERE l_linestatus = 'F') ON o = l_orderkey AND n = l_linenumber""", "episode"))
+def cohort_maternity_children(v):
+    key = -(F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    kind = F.when(F.col("l_returnflag") == "A", "DELIVERY").when(F.col("l_returnflag") == "R", "DELIVERY SUMMARY").otherwise("OTHER")
+    kids = v.line.select("pat_id", "instance", key.alias("episode_id"), kind.alias("type"), F.col("l_orderkey").alias("mother_episode_id"), F.col("l_quantity").alias("birth_weight"))
+    mothers = v.episode.select(*EPISODE, "due", "delivery", F.lit("PREGNANCY").alias("type"))
+    vessels = v.line.where("l_linestatus = 'F'").select(key.alias("child_episode_id"), "instance", F.when(F.col("l_linenumber") % 2 == 0, "2 Vessels").otherwise("3 Vessels").alias("cord"))
+    df = cohorts.mothers_and_children(mothers.unionByName(kids, allowMissingColumns=True), vessels, ["birth_weight"])
+    return df.select(*EPISODE, "child_episode_id", "child_type", "birth_weight", cat.cord_vessels(F.col("cord")).alias("vessels"), "gestational_days")
+
+
 @query("cohort_positive_negative", sql("""SELECT e.pat_id, e.instance, e.episode_id, results_category FROM episode e JOIN person p USING (pat_id, instance) JOIN (
   SELECT pat_id, instance, min(test_date) AS first_test, CASE WHEN bool_or(result = 'positive') THEN '>= 1 positive' ELSE '>= 1 negative (no positive)' END AS results_category
   FROM test GROUP BY 1, 2 HAVING bool_or(result IN ('positive', 'negative'))) t USING (pat_id, instance)
@@ -176,6 +190,19 @@ def cohort_breakthrough(v):
     return cohorts.breakthrough(at_test).select(*EPISODE, "full_date", "infection_date")
 
 
+_AT_TEST = "infected AS (SELECT * FROM infection WHERE infection_date IS NOT NULL), " + state_sql("infected", "infection_date", "at_test") + ", " + state_sql("infection", "delivery")
+
+
+@query("cohort_breakthrough_by_class", sql("""SELECT product_class, count(*) FILTER (hit) AS n_breakthrough, count(*) FILTER (NOT hit) AS n_full, round(count(*) FILTER (hit) / nullif(count(*) FILTER (NOT hit), 0), 8) AS rate FROM (
+  SELECT string_split(full_product, ' ')[1] AS product_class, true AS hit FROM at_test WHERE full_date < infection_date AND prior_date IS NULL
+  UNION ALL SELECT string_split(full_product, ' ')[1], false FROM state WHERE full_date IS NOT NULL) GROUP BY 1""", "infection", "history", extra=_AT_TEST))
+def cohort_breakthrough_by_class(v):
+    history, rows = cohorts.exposure_history(v.dose), infections(v)
+    at_test = cohorts.exposure_state(rows.where("infection_date is not null"), history, index="infection_date")
+    df = cohorts.breakthrough_rates(cohorts.breakthrough(at_test), cohorts.exposure_state(rows, history))
+    return df.withColumn("rate", F.round("rate", 8))
+
+
 @query("cohort_unvaccinated", sql("""SELECT pat_id, instance, episode_id, CASE WHEN prior_date IS NOT NULL THEN 1 ELSE 0 END AS prior_infection FROM state
   WHERE state IN ('never', 'later')""", "infection", "history", extra=state_sql("infection", "delivery")))
 def cohort_unvaccinated(v):
@@ -300,6 +327,14 @@ def feature_encounter_summary(v):
     return features.encounter_summary(v.person.select(*PERSON), encounter_rows(v), PERSON)
 
 
+@query("feature_worst_encounter", sql("""SELECT pat_id, instance, coalesce(score, 2) AS score, duration, event_id FROM person LEFT JOIN (SELECT pat_id, instance, value AS duration, event_id,
+  coalesce(CASE WHEN value > 20 THEN CAST(event_id % 6 AS INTEGER) END, 3) AS score FROM measure QUALIFY row_number() OVER (PARTITION BY pat_id, instance ORDER BY score DESC, duration DESC, event_id DESC) = 1)
+  USING (pat_id, instance)""", "person", "measure"))
+def feature_worst_encounter(v):
+    rows = v.measure.select(*PERSON, F.when(F.col("value") > 20, (F.col("event_id") % 6).cast("int")).alias("score"), F.col("value").alias("duration"), "event_id")
+    return features.worst_encounter(v.person.select(*PERSON), rows, PERSON, ["event_id"])
+
+
 @query("score_three_level", sql("""SELECT severity, count(*) AS n FROM (SELECT CASE WHEN death_date IS NOT NULL OR coalesce(md, 0) >= 3 THEN 'Severe' WHEN coalesce(mc, 0) >= 3 OR coalesce(md, 0) = 1 THEN 'Moderate' ELSE 'Mild' END AS severity
   FROM person LEFT JOIN (SELECT pat_id, instance, CASE WHEN max(device_level) >= 3 THEN 3 ELSE CASE WHEN max(device_level) = 1 THEN 1 ELSE 0 END END AS md, max(class_level) AS mc FROM enc GROUP BY 1, 2) USING (pat_id, instance)) GROUP BY 1""",
                                 "person", "measure", extra=_ENC))

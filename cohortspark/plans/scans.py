@@ -37,13 +37,14 @@ def scan_encounters(v):
 
 
 @query("scan_procedure_orders", sql("""SELECT p.pat_id, p.instance, o_orderkey AS order_proc_id, o_orderpriority AS order_name,
-  round(date_diff('day', birth_date, CAST(o_orderdate AS DATE)) / 365.25, 1) AS age_at_order_dt, l_returnflag AS lab_code,
-  CASE WHEN l_returnflag = 'A' THEN l_linestatus END AS flag_a, CASE WHEN l_returnflag IN ('R', 'N') THEN l_linestatus END AS flag_r
-  FROM person p JOIN orders ON o_custkey = p.pat_id JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'""", "person"))
+  round(date_diff('day', birth_date, CAST(o_orderdate AS DATE)) / 365.25, 1) AS age_at_order_dt, l_returnflag AS lab_code, array_to_string(codes, ';') AS lab_codes,
+  CASE WHEN list_contains(codes, 'A') THEN l_linestatus END AS flag_a, CASE WHEN list_has_any(codes, ['R', 'N']) THEN l_linestatus END AS flag_r
+  FROM person p JOIN orders ON o_custkey = p.pat_id JOIN lineitem l ON l_orderkey = o_orderkey JOIN named ON first = (l.l_returnflag = 'A') WHERE l_linestatus = 'F'""", "person",
+  extra="named AS (SELECT l_returnflag = 'A' AS first, list_sort(list(DISTINCT l_returnflag)) AS codes FROM lineitem GROUP BY 1)"))
 def scan_procedure_orders(v):
     cohort = rec.person_cohort(v.records, include_race=False)
     df = rec.procedure_orders(v.records, cohort, ["birth_date"], "labresult", "result_value = 'F'", None, ["flag_a", "flag_r"])
-    return df.select("pat_id", "instance", "order_proc_id", "order_name", "age_at_order_dt", "lab_code", "flag_a", "flag_r")
+    return df.select("pat_id", "instance", "order_proc_id", "order_name", "age_at_order_dt", "lab_code", F.array_join("lab_codes", ";").alias("lab_codes"), "flag_a", "flag_r")
 
 
 @query("scan_medication_orders", sql("""SELECT pat_id, instance, l_orderkey * 10 + l_linenumber AS order_med_id, l_partkey AS medication_id, p_name AS name,
@@ -76,6 +77,52 @@ def scan_episode_blocks(v):
     return df.select("pat_id", "instance", "episode_id", "age_at_start_dt", "birth_weight", "outcome")
 
 
+# The other children of each getter: name, SQL of the child with its key, columns it adds. Default omissions are dropped.
+_VISIT_CHILDREN = {
+    "adtevent": ("l_quantity > 25", "day AS effective_date, l_returnflag AS adt_event_type", ["effective_date", "adt_event_type"]),
+    "admissionreason": ("l_linenumber <= 2", "l_returnflag AS reason", ["reason"]),
+    "chiefcomplaint": ("l_discount > 0.05", "l_linestatus AS complaint", ["complaint"]),
+    "medicalhistory": ("l_tax > 0.04", "l_suppkey AS dx_id, day AS medical_hx_date, s_name AS diagnosis_name", ["dx_id", "medical_hx_date", "diagnosis_name"]),
+    "notes": ("l_tax <= 0.04", "l_returnflag || ' ' || l_linestatus AS text", ["text"]),
+}
+
+
+def _scan_visits(child: str, where: str, select: str, added: list[str]) -> None:
+    text = f"""SELECT p.pat_id, p.instance, o_orderkey AS pat_enc_csn_id, CAST(o_orderdate AS DATE) AS contact_date, c.* EXCLUDE (k) FROM person p LEFT JOIN orders ON o_custkey = p.pat_id
+      LEFT JOIN (SELECT l_orderkey AS k, l_linenumber AS line, {select} FROM line JOIN supplier ON s_suppkey = l_suppkey WHERE {where}) c ON k = o_orderkey"""
+
+    @query(f"scan_encounters_{child}", sql(text, "person", "line"))
+    def scan(v):
+        df = rec.encounters(v.records, rec.person_cohort(v.records, include_race=False), [], child)
+        return df.select("pat_id", "instance", "pat_enc_csn_id", "contact_date", "line", *added)
+
+
+for _child, _parts in _VISIT_CHILDREN.items():
+    _scan_visits(_child, *_parts)
+
+
+@query("scan_procedure_findings", sql("""SELECT p.pat_id, p.instance, o_orderkey AS order_proc_id, o_orderpriority AS order_name, l_returnflag AS finding
+  FROM person p LEFT JOIN orders ON o_custkey = p.pat_id LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity <= 25""", "person"))
+def scan_procedure_findings(v):
+    df = rec.procedure_orders(v.records, rec.person_cohort(v.records, include_race=False), [], "cardiovascularfinding")
+    return df.select("pat_id", "instance", "order_proc_id", "order_name", "finding")
+
+
+@query("scan_medication_administrations", sql("""SELECT pat_id, instance, l_orderkey * 10 + l_linenumber AS order_med_id, p_name AS name, taken_date, action
+  FROM person LEFT JOIN line USING (pat_id, instance) LEFT JOIN part ON p_partkey = l_partkey
+  LEFT JOIN (SELECT l_orderkey * 10 + l_linenumber AS k, instance AS i, day + 1 AS taken_date, l_returnflag AS action FROM line WHERE l_linestatus = 'F') ON k = l_orderkey * 10 + l_linenumber AND i = instance""", "person", "line"))
+def scan_medication_administrations(v):
+    df = rec.medication_orders(v.records, rec.person_cohort(v.records, include_race=False), [], "medicationadministration")
+    return df.select("pat_id", "instance", "order_med_id", "name", "taken_date", "action")
+
+
+@query("scan_flowsheets_inpatient", sql("""SELECT pat_id, instance, event_id AS fsd_id, measure AS flo_meas_id, CASE WHEN value > 20 THEN measure END AS admission_type
+  FROM person LEFT JOIN measure USING (pat_id, instance)""", "person", "measure"))
+def scan_flowsheets_inpatient(v):
+    df = rec.flowsheets(v.records, rec.person_cohort(v.records, include_race=False), [], "inpatientdata")
+    return df.select("pat_id", "instance", "fsd_id", "flo_meas_id", "admission_type")
+
+
 @query("omit_default_columns", sql("SELECT pat_id, instance, birth_date, death_date, segment, balance, nation FROM person", "person"))
 def omit_default_columns(v):
     return v.person.drop(*rec.default_omissions(["person", "person_race"]))

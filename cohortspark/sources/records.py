@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.dates import age_years
 from cohortspark.functions.strings import lab_code
-from cohortspark.operators.concepts import add_concept_flags, add_concept_values
+from cohortspark.operators.concepts import add_concept_flags, add_concept_values, add_lab_codes
 from cohortspark.operators.joins import fan_out
 from cohortspark.session import broadcast_if_small
 
@@ -168,16 +168,20 @@ PROCEDURE_CHILDREN = {
 def procedure_orders(records: Records, cohort: DataFrame | None = None, cohort_columns: Sequence[str] | None = None,
                      join_table: str | None = None, where: str | None = None, omit: Sequence[str] | None = None,
                      concepts: Sequence[str] = ()) -> DataFrame:
-    """Procedure orders, optionally with lab results (mapped codes and a value column per lab label)."""
+    """Procedure orders, optionally with findings or lab results.
+
+    A result has its own code, the set of all codes its name ever had (``lab_codes``), and a value column per lab label,
+    filled when any code of the set belongs to the label.
+    """
     child, on = _child(records, PROCEDURE_CHILDREN, join_table)
     df = fan_out(_start(records, cohort, cohort_columns), records["procedureorders"], PERSON)
     if "birth_date" in df.columns:
         df = df.withColumn("age_at_order_dt", age_years(F.col("birth_date"), F.col("ordering_datetime")))
     if child is not None:
-        df = fan_out(df, child, on)
+        df = fan_out(df, add_lab_codes(child) if join_table == "labresult" else child, on)
         if join_table == "labresult":
             df = df.withColumn("lab_code", lab_code(F.col("loinc_code"), F.col("default_loinc_code")))
-            df = add_concept_values(df, F.array("lab_code"), "result_value", {c: records.code_labels[c] for c in concepts})
+            df = add_concept_values(df, F.col("lab_codes"), "result_value", {c: records.code_labels[c] for c in concepts})
     return _finish(df, "procedure_orders", where, omit)
 
 

@@ -125,6 +125,7 @@ class Views:
     def records(self) -> Records:
         key3 = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("instance")
         orders, line, ev = self.t("orders"), self.line, self.t("events")
+        visit = [F.col("l_orderkey").alias("pat_enc_csn_id"), "instance", F.col("l_linenumber").alias("line")]
         own = [F.col("o_custkey").alias("pat_id"), self._instance("o_custkey")]
         who = [F.col("user_id").alias("pat_id"), self._instance("user_id")]
         ids = self.t("supplier").select(
@@ -138,17 +139,28 @@ class Views:
                 "encounter": orders.select(*own, F.col("o_orderkey").alias("pat_enc_csn_id"), F.to_date("o_orderdate").alias("contact_date"),
                                            F.col("o_orderstatus").alias("encounter_type"), F.lit("x").alias("acuity")),
                 "encounterdiagnosis": line.select(F.col("l_orderkey").alias("pat_enc_csn_id"), "instance", F.col("l_suppkey").alias("dx_id")),
+                "adtevent": line.where("l_quantity > 25").select(*visit, F.col("day").alias("effective_date"), F.col("l_returnflag").alias("adt_event_type"), F.lit("x").alias("adt_bed_id")),
+                "admissionreason": line.where("l_linenumber <= 2").select(*visit, F.col("l_returnflag").alias("reason"), F.col("day").alias("pat_enc_date_real")),
+                "chiefcomplaint": line.where("l_discount > 0.05").select(*visit, F.col("l_linestatus").alias("complaint"), F.col("day").alias("pat_enc_date_real")),
+                "medicalhistory": line.where("l_tax > 0.04").select(*visit, F.col("l_suppkey").alias("dx_id"), F.col("day").alias("medical_hx_date")),
+                "notes": line.where("l_tax <= 0.04").select(*visit, F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("text"), F.col("l_suppkey").alias("author_user_id")),
+                "cardiovascularfinding": line.where("l_quantity <= 25").select(F.col("l_orderkey").alias("order_proc_id"), "instance", F.col("l_returnflag").alias("finding"),
+                                                                               F.col("l_linenumber").alias("finding_id")),
+                "medicationadministration": line.where("l_linestatus = 'F'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_med_id"), "instance",
+                                                                                    F.date_add("day", 1).alias("taken_date"), F.col("l_returnflag").alias("action"), F.col("day").alias("due_datetime")),
+                "inpatientdata": ev.where("value > 20").select(F.col("event_id").alias("inpatient_data_id"), self._instance("user_id"), F.col("event_type").alias("admission_type")),
                 "diagnosis": self.t("supplier").select(F.col("s_suppkey").alias("dx_id"), F.col("s_name").alias("diagnosis_name"), key3),
                 "procedureorders": orders.select(*own, F.col("o_orderkey").alias("order_proc_id"), F.to_date("o_orderdate").alias("ordering_datetime"),
                                                  F.col("o_orderpriority").alias("order_name")),
                 "labresult": line.select(F.col("l_orderkey").alias("order_proc_id"), "instance", F.col("l_linestatus").alias("result_value"),
+                                         F.when(F.col("l_returnflag") == "A", "first").otherwise("second").alias("result_name"),
                                          F.when(F.col("l_quantity") > 25, F.concat(F.lit("X"), "l_returnflag")).alias("loinc_code"),
                                          F.col("l_returnflag").alias("default_loinc_code")),
                 "medicationorders": line.select("pat_id", "instance", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_med_id"),
                                                 F.col("l_partkey").alias("medication_id"), F.col("day").alias("ordering_datetime"),
                                                 F.col("l_quantity").alias("quantity")),
                 "medication": self.t("part").select(F.col("p_partkey").alias("medication_id"), F.col("p_name").alias("name"), key3),
-                "flowsheet": ev.select(*who, F.col("event_id").alias("fsd_id")),
+                "flowsheet": ev.select(*who, F.col("event_id").alias("fsd_id"), F.col("event_id").alias("inpatient_data_id")),
                 "flowsheetentry": ev.select(F.col("event_id").alias("fsd_id"), self._instance("user_id"), F.col("event_type").alias("flo_meas_id"),
                                             F.col("ts").alias("recorded_time"), F.round(F.col("value") * 100).cast("bigint").cast("string").alias("value")),
                 "flowsheetdefinition": ev.select(F.col("event_type").alias("flo_meas_id"), self._instance("user_id")).distinct().withColumn(
