@@ -162,6 +162,11 @@ def delivery_method_group(method: Column) -> Column:
     return F.when(method.contains("Vaginal"), "Vaginal").when(method.contains("C-Section"), "C-Section")
 
 
+def living_status(text: Column) -> Column:
+    """A birth counts as living unless it is recorded as a fetal demise."""
+    return F.when(text == "Fetal Demise", text).otherwise("Living")
+
+
 def cord_vessels(text: Column) -> Column:
     return F.when(text == "2 Vessels", 0).when(text == "3 Vessels", 1).otherwise(-1)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,13 +145,19 @@ def aggregate_relative(df: DataFrame, keys, spec, ts: str, reference: str, bound
     return aggregate_by_index(marked, keys, index, spec, ts, names, max_wide)
 
 
-def category_counts(df: DataFrame, category: Column, domain: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Counts over a fixed domain, zero cells included: one conditional sum per label, then unpivoted."""
-    df = df.withColumn("_c", category)
-    sums = [F.coalesce(F.sum((F.col("_c") == v).cast("bigint")), F.lit(0)).alias(f"_v{i}") for i, v in enumerate(domain)]
-    counted = df.groupBy(*by).agg(*sums)
-    cells = F.array(*[F.struct(F.lit(v).alias("category"), F.col(f"_v{i}").alias("n")) for i, v in enumerate(domain)])
-    return counted.select(*by, F.inline(cells))
+REST = "none of these"
+
+
+def category_counts(df: DataFrame, measures: Mapping[str, tuple[Column, Sequence[str]]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, measure, category, n) over fixed domains, zero cells included, from one aggregate over one scan.
+
+    ``measures`` has a label column and its domain per name. Rows with another label, or null, are in the category ``REST``.
+    """
+    cells = [(m, label, c, d) for m, (c, domain) in measures.items() for label, d in [*((v, None) for v in domain), (REST, list(domain))]]
+    sums = [F.count_if(F.coalesce(c == label, F.lit(False)) if d is None else ~F.coalesce(c.isin(d), F.lit(False))).alias(f"_v{i}")
+            for i, (_, label, c, d) in enumerate(cells)]
+    rows = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(label).alias("category"), F.col(f"_v{i}").alias("n")) for i, (m, label, _, _) in enumerate(cells)])
+    return df.groupBy(*by).agg(*sums).select(*by, F.inline(rows))
 
 
 def proportions(counts: DataFrame, by: Sequence[str] = (), n: str = "n") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import categories as cat
 from cohortspark.functions.dates import days_from
-from cohortspark.functions.strings import lookup
+from cohortspark.functions.strings import COVERAGE_GROUPS, coverage_group, lookup
 from cohortspark.operators import aggregate as agg
 from cohortspark.operators import cohorts, features
 from cohortspark.operators.cohorts import PERSON
@@ -166,22 +166,104 @@ def agg_category_distribution(v):
     return distribution(v)
 
 
-@query("agg_category_demographics", sql("""SELECT segment, measure, category, count(*) AS n FROM (SELECT segment, unnest([
-  {'m': 'age', 'c': CASE WHEN a < 25 THEN '18-25' WHEN a < 30 THEN '25-30' WHEN a < 35 THEN '30-35' WHEN a < 40 THEN '35-40' WHEN a < 45 THEN '40-45' ELSE 'Missing' END},
-  {'m': 'bmi', 'c': CASE WHEN b >= 15 AND b < 18.5 THEN 'Underweight' WHEN b < 25 THEN 'Normal' WHEN b < 30 THEN 'Overweight' WHEN b < 35 THEN 'Obese' WHEN b < 40 THEN 'Severely Obese' ELSE 'Missing' END},
-  {'m': 'quintile', 'c': CASE WHEN q < 0 OR q > 1 THEN 'Missing' WHEN q < 0.2 THEN '1st Quintile' WHEN q < 0.4 THEN '2nd Quintile' WHEN q < 0.6 THEN '3rd Quintile' WHEN q < 0.8 THEN '4th Quintile' ELSE '5th Quintile' END},
-  {'m': 'parity', 'c': CASE WHEN p <= 1 THEN 'Nulliparity' WHEN p < 5 THEN 'Low Multiparity' ELSE 'Grand Multipara' END},
-  {'m': 'gravidity', 'c': CASE WHEN p <= 1 THEN 'Primagravida' WHEN p < 6 THEN 'Low Multigravidia' ELSE 'Grand Multigravidia' END},
-  {'m': 'ruca', 'c': CASE WHEN r < 4 THEN 'Metropolitan' WHEN r < 7 THEN 'Micropolitan' WHEN r < 10 THEN 'SmallTown' WHEN r < 99 THEN 'Rural' ELSE 'NotCoded' END}]) AS u
-  FROM (SELECT segment, 18 + pat_id % 30 AS a, 10 + floor(balance / 250) AS b, balance / 8000 AS q, pat_id % 8 AS p, CASE WHEN nation = 24 THEN 99 ELSE nation END AS r FROM person)) s,
-  LATERAL (SELECT u.m AS measure, u.c AS category) GROUP BY ALL""", "person"))
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _counts_sql(rows: str, by: str, measures: dict[str, tuple[str, list[str]]]) -> str:
+    """Counts of every label of every domain, and of the rows with no label of it, written plainly."""
+    parts = []
+    for m, (label, domain) in measures.items():
+        cells = ", ".join(f"({_quoted([d])})" for d in [*domain, "none of these"])
+        parts.append(f"""SELECT {by}, '{m}' AS measure, category, count(*) FILTER (CASE WHEN v IN ({_quoted(domain)}) THEN v ELSE 'none of these' END = category) AS n
+          FROM (SELECT {by}, {label} AS v FROM {rows}) CROSS JOIN (VALUES {cells}) d(category) GROUP BY ALL""")
+    return " UNION ALL ".join(parts)
+
+
+_AGES = ["18-25", "25-30", "30-35", "35-40", "40-45"]
+_BMIS = ["Underweight", "Normal", "Overweight", "Obese", "Severely Obese"]
+_QUINTILES = ["1st Quintile", "2nd Quintile", "3rd Quintile", "4th Quintile", "5th Quintile"]
+_PARITIES = ["Nulliparity", "Low Multiparity", "Grand Multipara"]
+_GRAVIDITIES = ["Primagravida", "Low Multigravidia", "Grand Multigravidia"]
+_RUCAS = ["Metropolitan", "Micropolitan", "SmallTown", "Rural", "NotCoded"]
+
+
+@query("agg_category_demographics", sql(_counts_sql("(SELECT segment, 18 + pat_id % 30 AS a, 10 + floor(balance / 250) AS b, balance / 8000 AS q, pat_id % 8 AS p, CASE WHEN nation = 24 THEN 99 ELSE nation END AS r FROM person)", "segment", {
+    "age": ("CASE WHEN a < 25 THEN '18-25' WHEN a < 30 THEN '25-30' WHEN a < 35 THEN '30-35' WHEN a < 40 THEN '35-40' WHEN a < 45 THEN '40-45' ELSE 'Missing' END", [*_AGES, "Missing"]),
+    "bmi": ("CASE WHEN b >= 15 AND b < 18.5 THEN 'Underweight' WHEN b < 25 THEN 'Normal' WHEN b < 30 THEN 'Overweight' WHEN b < 35 THEN 'Obese' WHEN b < 40 THEN 'Severely Obese' ELSE 'Missing' END", [*_BMIS, "Missing"]),
+    "quintile": ("CASE WHEN q < 0 OR q > 1 THEN 'Missing' WHEN q < 0.2 THEN '1st Quintile' WHEN q < 0.4 THEN '2nd Quintile' WHEN q < 0.6 THEN '3rd Quintile' WHEN q < 0.8 THEN '4th Quintile' ELSE '5th Quintile' END", [*_QUINTILES, "Missing"]),
+    "parity": ("CASE WHEN p <= 1 THEN 'Nulliparity' WHEN p < 5 THEN 'Low Multiparity' ELSE 'Grand Multipara' END", _PARITIES),
+    "gravidity": ("CASE WHEN p <= 1 THEN 'Primagravida' WHEN p < 6 THEN 'Low Multigravidia' ELSE 'Grand Multigravidia' END", _GRAVIDITIES),
+    "ruca": ("CASE WHEN r < 4 THEN 'Metropolitan' WHEN r < 7 THEN 'Micropolitan' WHEN r < 10 THEN 'SmallTown' WHEN r < 99 THEN 'Rural' ELSE 'NotCoded' END", _RUCAS)}), "person"))
 def agg_category_demographics(v):
     p = v.person.select("segment", "pat_id", (F.lit(18) + F.col("pat_id") % 30).alias("a"), (F.lit(10) + F.floor(F.col("balance") / 250)).cast("double").alias("b"),
                         (F.col("balance") / 8000).alias("q"), (F.col("pat_id") % 8).alias("par"), F.when(F.col("nation") == 24, 99).otherwise(F.col("nation")).alias("r"))
-    cells = {"age": cat.age_band(F.col("a")), "bmi": cat.bmi_band(F.col("b")), "quintile": cat.quintile(F.col("q")), "parity": cat.parity_band(F.col("par")),
-             "gravidity": cat.gravidity_band(F.col("par")), "ruca": cat.ruca(F.col("r"))}
-    long = p.select("segment", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), c.alias("category")) for m, c in cells.items()])))
-    return long.groupBy("segment", "measure", "category").agg(F.count(F.lit(1)).alias("n"))
+    measures = {"age": (cat.age_band(F.col("a")), [*_AGES, "Missing"]), "bmi": (cat.bmi_band(F.col("b")), [*_BMIS, "Missing"]),
+                "quintile": (cat.quintile(F.col("q")), [*_QUINTILES, "Missing"]), "parity": (cat.parity_band(F.col("par")), _PARITIES),
+                "gravidity": (cat.gravidity_band(F.col("par")), _GRAVIDITIES), "ruca": (cat.ruca(F.col("r")), _RUCAS)}
+    return agg.category_counts(p, measures, ["segment"])
+
+
+# Answers of the test episodes, by a rule on their keys (null stands for no answer).
+ANSWERS = {
+    "race": ["White", "Asian", "Black or African American", "Other", "Patient Refused", "American Indian or Alaska Native"],
+    "ethnicity": ["Hispanic or Latino", "Not Hispanic or Latino", "Hmong", "no such answer", None],
+    "method": ["Vaginal, Spontaneous", "C-Section, Low Transverse", "VBAC, Spontaneous", None],
+    "living": ["Living", "Living", None, "Fetal Demise", "Living", None, "Living"],
+    "payer": ["Medicaid", "Medicare HMO", "PREMERA", "Self-pay", "Uninsured", "Worker's Comp", "no such class"],
+    "device": ["room air", "nasal cannula", "heated", "T-piece", "no such device"],
+    "class": ["Emergency", "Inpatient", "Outpatient", None],
+    "cord": ["2 Vessels", "3 Vessels", "not seen"],
+}
+_GROUPS = sorted(set(COVERAGE_GROUPS.values()))
+_ERAS = [e[0] for e in cat.ERAS]
+
+
+def answer(name: str):
+    return F.get(F.array(*[F.lit(a) for a in ANSWERS[name]]), (F.col("episode_id") % len(ANSWERS[name])).cast("int"))
+
+
+_LATER = "delivery + 8766"
+_K = "episode_id"
+
+
+@query("agg_category_clinical", sql(_counts_sql("episode", "status", {
+    "race": (f"CASE {_K} % 6 WHEN 1 THEN 'Asian' WHEN 3 THEN CASE WHEN {_K} % 11 = 0 THEN 'Asian' ELSE 'Other' END WHEN 4 THEN CASE WHEN {_K} % 11 = 0 THEN 'Asian' ELSE 'Unknown' END ELSE CASE WHEN {_K} % 11 = 0 THEN 'Multiracial' "
+             f"ELSE ['White or Caucasian', '', 'Black or African American', '', '', 'American Indian or Alaska Native'][{_K} % 6 + 1] END END", cat.RACES),
+    "race_simple": (f"CASE WHEN {_K} % 11 = 0 AND {_K} % 6 <> 1 THEN 'Multiracial' ELSE ['White or Caucasian', 'Asian', 'Black or African American', 'Other', 'Unknown', 'American Indian or Alaska Native'][{_K} % 6 + 1] END", cat.RACES),
+    "ethnicity": (f"CASE {_K} % 5 WHEN 0 THEN 'Hispanic or Latino' WHEN 1 THEN 'Not Hispanic or Latino' WHEN 2 THEN 'Not Hispanic or Latino' ELSE 'Unknown' END", ["Hispanic or Latino", "Not Hispanic or Latino", "Unknown"]),
+    "delivery_method": (f"CASE {_K} % 4 WHEN 0 THEN 'Vaginal' WHEN 1 THEN 'C-Section' END", ["Vaginal", "C-Section"]),
+    "living_status": (f"CASE WHEN {_K} % 7 = 3 THEN 'Fetal Demise' ELSE 'Living' END", ["Living", "Fetal Demise"]),
+    "preterm_history": (f"CASE WHEN {_K} % 3 = 0 OR ({_K} % 3 = 1 AND gest_days < 259) THEN '0' ELSE '1' END", ["0", "1"]),
+    "variant": (f"CASE WHEN {_LATER} >= DATE '2022-07-02' THEN 'Omicron BA.5' WHEN {_LATER} >= DATE '2022-05-28' THEN 'Omicron BA.2.12.1' WHEN {_LATER} >= DATE '2022-03-26' THEN 'Omicron BA.2' "
+                f"WHEN {_LATER} >= DATE '2021-12-25' THEN 'Omicron' WHEN {_LATER} >= DATE '2021-07-03' THEN 'Delta' WHEN {_LATER} >= DATE '2021-04-24' THEN 'Alpha' ELSE 'Wild-type' END", cat.VARIANTS),
+    "era": (f"CASE WHEN {_LATER} <= DATE '2021-05-29' THEN 'pre-delta' WHEN {_LATER} BETWEEN DATE '2021-07-17' AND DATE '2021-12-11' THEN 'delta' WHEN {_LATER} >= DATE '2022-01-01' THEN 'omicron' END", _ERAS),
+    "insurance": (f"['1_Medicaid', '2_Medicare', '3_Commercial', '4_Uninsured-Self-Pay', '7_Uninsured', '6_Other', NULL][{_K} % 7 + 1]", _GROUPS),
+    "oxygen_device": (f"['0', '1', '2', '3', NULL][{_K} % 5 + 1]", ["0", "1", "2", "3"]),
+    "patient_class": (f"['2', '3', '1', NULL][{_K} % 4 + 1]", ["1", "2", "3"]),
+    "hospitalised": (f"CASE WHEN {_K} % 4 = 1 THEN '1' ELSE '0' END", ["0", "1"]),
+    "cord_vessels": (f"['0', '1', '-1'][{_K} % 3 + 1]", ["0", "1", "-1"]),
+    "exposure_trimester": (f"CASE WHEN {_K} % 280 <= 90 THEN '1st trimester' WHEN {_K} % 280 <= 181 THEN '2nd trimester' ELSE '3rd trimester' END", cat.TRIMESTERS)}), "episode"))
+def agg_category_clinical(v):
+    """Clinical and social categories of episodes by status: fixed domains, zero cells and a row for all other answers."""
+    both = F.when(F.col("episode_id") % 11 == 0, F.array_distinct(F.array(answer("race"), F.lit("Asian")))).otherwise(F.array(answer("race")))
+    later = F.date_add("delivery", 8766)
+    text = lambda c: c.cast("string")
+    measures = {
+        "race": (cat.race(both), cat.RACES), "race_simple": (cat.race_simple(both), cat.RACES),
+        "ethnicity": (cat.ethnicity(answer("ethnicity")), ["Hispanic or Latino", "Not Hispanic or Latino", "Unknown"]),
+        "delivery_method": (cat.delivery_method_group(answer("method")), ["Vaginal", "C-Section"]),
+        "living_status": (cat.living_status(answer("living")), ["Living", "Fetal Demise"]),
+        "preterm_history": (text(cat.preterm_history(text(F.col("episode_id") % 3), F.col("gest_days"))), ["0", "1"]),
+        "variant": (cat.variant(later), cat.VARIANTS), "era": (cat.period(later), _ERAS),
+        "insurance": (coverage_group(answer("payer")), _GROUPS),
+        "oxygen_device": (text(lookup(answer("device"), cat.OXYGEN_DEVICE_LEVELS)), ["0", "1", "2", "3"]),
+        "patient_class": (text(lookup(answer("class"), cat.PATIENT_CLASS_LEVELS)), ["1", "2", "3"]),
+        "hospitalised": (text(F.coalesce(cat.indicator(answer("class"), "Inpatient"), F.lit(0))), ["0", "1"]),
+        "cord_vessels": (text(cat.cord_vessels(answer("cord"))), ["0", "1", "-1"]),
+        "exposure_trimester": (cat.trimester(F.col("episode_id") % 280, cat.TRIMESTER_CUTS["exposure"]), cat.TRIMESTERS),
+    }
+    return agg.category_counts(v.episode, measures, ["status"])
 
 
 @query("agg_proportion_table", _DIST + """, m AS (SELECT measure, category FROM d UNION SELECT 'trimester', '3rd trimester'), g AS (SELECT DISTINCT s FROM d),
