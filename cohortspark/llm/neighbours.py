@@ -26,6 +26,8 @@ NEAREST = 10
 ROWS = 8192
 QUERIES = 2048
 SEED = 20
+CHUNK = 256
+PAIRS = 1 << 15
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -92,7 +94,7 @@ def probes(rows: DataFrame, tables: int, count: int) -> DataFrame:
                         first, second = rotated(unit, t, 0), rotated(unit, t, 1)
                         codes = second.shape[1]
                         both = (first[:, :, None] + second[:, None, :]).reshape(len(part), -1)
-                        best = np.argsort(-both, axis=1, kind="stable")[:, :count]
+                        best = np.argpartition(-both, min(count, both.shape[1]) - 1, axis=1)[:, :count]
                         for i, (vec_id, packed) in enumerate(zip(part["id"], part["packed"])):
                             for c1 in np.unique(best[i] // codes):
                                 mine = best[i][best[i] // codes == c1] % codes
@@ -103,29 +105,45 @@ def probes(rows: DataFrame, tables: int, count: int) -> DataFrame:
 
 
 def _best(group: pd.DataFrame, nearest: int) -> pd.DataFrame:
+    """Each query's nearest rows of a block among those with a probed second half (no list: among all)."""
     dim = int(group["dim"].iloc[0])
     asked = group["codes"].notna().to_numpy()
     queries, rows = group[asked], group[~asked].sort_values("id")
+    empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     if not len(rows) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-    x = np.frombuffer(b"".join(rows["packed"]), dtype="<f8").reshape(-1, dim)
-    ids, second = rows["id"].to_numpy(), rows["c2"].to_numpy()
-    found = []
-    for query_id, packed, codes in zip(queries["id"], queries["packed"], queries["codes"]):
-        wanted = np.frombuffer(codes, dtype="<u2")
-        near = np.ones(len(ids), dtype=bool)
-        if len(wanted):
-            allowed = np.zeros(max(int(second.max()), int(wanted.max())) + 1, dtype=bool)
-            allowed[wanted] = True
-            near = allowed[second]
-        at = np.flatnonzero(near & (ids != query_id))
-        if len(at):
-            gap = x[at] - np.frombuffer(packed, dtype="<f8")
-            score = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            # Rows are in order of id, so a stable sort leaves ties to the smaller one.
-            top = np.argsort(score, kind="stable")[:nearest]
-            found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at[top]], "score": score[top]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return empty
+    unpack = lambda packed: np.frombuffer(b"".join(packed), dtype="<f8").reshape(-1, dim)
+    x, ids, second = unpack(rows["packed"]), rows["id"].to_numpy(), rows["c2"].to_numpy()
+    found = [_nearest_of(queries.iloc[low:low + CHUNK], unpack(queries["packed"].iloc[low:low + CHUNK]), x, ids, second, nearest)
+             for low in range(0, len(queries), CHUNK)]
+    return pd.concat([empty, *found]) if len(found) > 1 else found[0]
+
+
+def _nearest_of(queries: pd.DataFrame, q: np.ndarray, x: np.ndarray, ids: np.ndarray, second: np.ndarray, nearest: int) -> pd.DataFrame:
+    """Squared lengths and products bound each distance up to rounding; what the bound leaves open is measured exactly."""
+    query_ids = queries["id"].to_numpy()
+    codes = [np.frombuffer(c, dtype="<u2") for c in queries["codes"]]
+    sizes = np.array([len(c) for c in codes])
+    allowed = np.zeros((len(q), max(int(second.max()), *(int(c.max()) for c in codes if len(c)), 0) + 1), dtype=bool)
+    allowed[sizes == 0] = True
+    allowed[np.repeat(np.arange(len(q)), sizes), np.concatenate(codes)] = True
+    near = allowed[:, second] & (ids[None, :] != query_ids[:, None])
+    with np.errstate(all="ignore"):
+        qq, xx = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+        rough = np.where(near, qq[:, None] + xx[None, :] - 2 * (q @ x.T), np.inf)
+        slack = 1e-9 * (qq + xx.max())
+        last = min(nearest, len(ids)) - 1
+        # Where numbers overflow the bound is no number and rules nothing out.
+        at, of = np.nonzero(near & ~(rough > (np.partition(rough, last, axis=1)[:, last] + slack)[:, None]))
+        score = np.empty(len(at))
+        for low in range(0, len(at), PAIRS):
+            gap = x[of[low:low + PAIRS]] - q[at[low:low + PAIRS]]
+            score[low:low + PAIRS] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    order = np.lexsort((ids[of], score, at))
+    at, of, score = at[order], of[order], score[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    keep = place < nearest
+    return pd.DataFrame({"query_id": query_ids[at[keep]], "vec_id": ids[of[keep]], "score": score[keep]})
 
 
 def _in_blocks(index: DataFrame, asked: DataFrame, sizes: DataFrame, nearest: int, rows: int, queries: int) -> DataFrame:
