@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import aggregate as agg
-from cohortspark.operators import cohorts, concepts, features, joins, ranks, timeline
+from cohortspark.operators import cohorts, concepts, features, joins, models, ranks, timeline
 from cohortspark.sources import registry, tables
 
 D0 = dt.date(2020, 1, 1)
@@ -180,3 +180,25 @@ def test_tables(spark):
     assert tables.append_table(a.select("s", "n"), name) and spark.table(name).count() == 2
     assert tables.write_table(a, name, replace=True) and spark.table(name).count() == 1
     assert name in tables.list_tables(spark) and tables.drop_table(spark, name) and not tables.drop_table(spark, name)
+
+
+def test_category_counts_keep_every_row(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "z"), (1, None), (2, "b"), (None, "a")], "g int, c string")
+    got = agg.category_counts(df, {"m": (F.col("c"), ["a", "b"])}, ["g"]).collect()
+    assert {(r["g"], r["category"]): r["n"] for r in got} == {
+        (1, "a"): 1, (1, "b"): 0, (1, agg.REST): 2, (2, "a"): 0, (2, "b"): 1, (2, agg.REST): 0,
+        (None, "a"): 1, (None, "b"): 0, (None, agg.REST): 0}
+
+
+def test_worst_encounter(spark):
+    people = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "pat_id int, instance int")
+    rows = spark.createDataFrame([(1, 1, 5, 1.0, 10), (1, 1, 5, 4.0, 11), (1, 1, 2, 9.0, 12), (2, 1, None, None, 13)],
+                                 "pat_id int, instance int, score int, duration double, visit int")
+    got = features.worst_encounter(people, rows, ["pat_id", "instance"], ["visit"]).collect()
+    assert sorted((r["pat_id"], r["score"], r["duration"], r["visit"]) for r in got) == [(1, 5, 4.0, 11), (2, 3, None, 13), (3, 2, None, None)]
+
+
+def test_metrics_without_positive_rows_are_null(spark):
+    df = spark.createDataFrame([(0.2, 0), (0.7, 0)], "s double, y int")
+    r = models.ranking_metrics(df, "s", "y").first()
+    assert r["auc"] is None and r["r2"] is None and abs(r["mae"] - 0.45) < 1e-12
