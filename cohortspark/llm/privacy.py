@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import BLANKS, no_null, span_list, span_text, stored, unwrapped, with_spans, wrapped
+from cohortspark.llm.common import BLANKS, broadcast_measured, no_null, span_list, span_text, stored, unwrapped, with_spans, wrapped
 from cohortspark.llm.registry import query, read
 from cohortspark.session import durable
 
@@ -27,7 +27,7 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 SHARE = 0.9
-SUPPORT = 5
+SUPPORT = 1
 
 
 def _luhn(digits: Column) -> Column:
@@ -75,23 +75,27 @@ def terms(text: Column) -> Column:
 def revealing(texts: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """Terms that reveal entities: ``entity, term, ratio`` (PMI over the entity's information).
 
-    ``texts`` has one row per distinct text (``text``) with its entities (``keys``). A pair needs ``support`` texts, so
-    entities with fewer texts are left out before pairs are made. Counts are combined before each shuffle.
+    ``texts`` has one row per distinct text (``text``) with its entities (``keys``). Every entity takes part; of one that
+    occurs in a single text, the terms too rare to occur by chance beside it reveal it. ``support`` above one asks for as
+    many texts per pair and leaves out entities with fewer before pairs are made. Counts are combined before each shuffle.
     """
     total = texts.count()
-    frequent = texts.select(F.explode("keys").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    frequent = durable(frequent)
-    if total == 0 or not frequent.limit(1).count():
+    holders = texts.where(F.size("keys") > 0)
+    known = holders.select(F.explode("keys").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    known = durable(known)
+    if total == 0 or not known.limit(1).count():
         return texts.sparkSession.createDataFrame([], "entity string, term string, ratio double")
-    held = texts.where(F.size("keys") > 0).select("text", F.explode("keys").alias("entity")).join(frequent.select("entity"), "entity")
-    pairs = held.select("entity", F.explode(terms(F.col("text"))).alias("term")).groupBy("entity", "term").agg(
+    held = holders.select(terms(F.col("text")).alias("terms"), F.explode("keys").alias("entity"))
+    if support > 1:
+        held = held.join(broadcast_measured(known.select("entity")), "entity")
+    pairs = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
         F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
-    pairs = durable(pairs)
     single = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    known = pairs.join(single, "term").join(frequent, "entity")
+    counted = pairs.join(single, "term").join(known, "entity")
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     information = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return known.select("entity", "term", F.when(information > 0, pmi / information).alias("ratio")).where(F.col("ratio") >= share - 1e-9)
+    told = counted.select("entity", "term", F.when(information > 0, pmi / information).alias("ratio")).where(F.col("ratio") >= share - 1e-9)
+    return durable(told)
 
 
 def find(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:

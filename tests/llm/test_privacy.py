@@ -74,3 +74,14 @@ def test_revealing_terms_equal_counting(spark, documents):
         assert got[doc_id] == [w for w in want if w.lower() in told], doc_id
     clean = {r["doc_id"]: r["clean"] for r in sanitise(find(documents(rows), share=0.8, support=4)).collect()}
     assert clean[101] == "([term]) again: [email]" and clean[102] == "alpha only"
+
+
+def test_entities_of_one_text_take_part(spark, documents):
+    rows = [(0, "Zorn of Quellburg writes from info@clinic.org about common matters"), (1, "call +49 30 1234567 about common matters at Nordwall"),
+            (2, "Nordwall again"), (3, "Nordwall once more")] + [(10 + i, f"common matters of note {chr(97 + i)} about from writes call at") for i in range(20)]
+    got = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["term"] or []] for r in find(documents(rows)).collect()}
+    bag = [set(t.lower().split()) for _, t in rows]
+    for doc_id, text in rows:
+        told = {w for w in text.split() if not re.search("[0-9@]", w) and 1 - math.log2(sum(w.lower() in b for b in bag)) / math.log2(len(rows)) >= 0.9}
+        assert got[doc_id] == ([w for w in text.split() if w in told] if doc_id < 2 else []), doc_id
+    assert got[0] == ["Zorn", "Quellburg"] and got[1] == []
