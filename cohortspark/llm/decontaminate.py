@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import broadcast_measured, no_null, null_safe
+from cohortspark.llm.common import broadcast_measured, no_null, null_safe, unwrapped, wrapped
 from cohortspark.llm.registry import query, read
 from cohortspark.session import durable
 
@@ -86,9 +86,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item; columns unchanged."""
-    hit = contained(docs, benchmark, threshold, width).select("doc_id").distinct()
-    return null_safe(docs, broadcast_measured(hit), ["doc_id"], "left_anti")
+    """``docs`` without the documents that contain a benchmark item; columns unchanged.
+
+    Each text is judged by itself, so a leak takes no other row of its doc_id (null included) with it.
+    """
+    digest = F.sha2(no_null(F.col("text")), 256)
+    hit = contained(docs.select(digest.alias("doc_id"), "text"), benchmark, threshold, width).select(F.col("doc_id").alias("_digest")).distinct()
+    rows = wrapped(docs, _digest=digest)
+    return unwrapped(rows.join(broadcast_measured(hit), "_digest", "left_anti"), docs.columns)
 
 
 CONTAINED_SQL = r"""

@@ -12,10 +12,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import components, null_safe
+from cohortspark.llm.common import components, no_null, null_safe, unwrapped, wrapped
 from cohortspark.llm.registry import query, read
 from cohortspark.session import durable
 
@@ -51,14 +51,21 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, fp`` (bigint, the fingerprint's 64 bits) for each row, from its whole text."""
+def _digest(text: Column) -> Column:
+    return F.sha2(no_null(text.cast("string")), 256)
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
+    """``doc_id, fp`` (bigint, the fingerprint's 64 bits) for each row, from its whole text; if asked for, its ``digest``."""
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            more = [b.column(i) for i in range(2, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *more], ["doc_id", "fp", "digest"][:2 + len(more)])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    more = [_digest(F.col("text")).alias("digest")] if digest else []
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(
+        run, "doc_id bigint, fp bigint" + ", digest string" * digest)
 
 
 def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -194,6 +201,13 @@ def _descend(pairs: DataFrame, nodes: DataFrame, depth: int, budget: int) -> Dat
         F.when(F.col("ykid").isNotNull(), depth).otherwise(F.col("db")).alias("db"), F.coalesce("ykid", "b").alias("b"), err.alias("err"))
 
 
+def _rooted(prints: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """``fp, least, root`` for each fingerprint of ``prints``: its smallest doc_id and its component's node."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(trie_links(durable(nodes.select("fp")), budget, leaf), "a", "b")
+    return durable(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
     """``doc_id, fp, component_id`` for each row: fingerprints at ``budget`` or fewer differing bits are linked.
 
@@ -201,25 +215,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET, l
     words have fingerprint 0 and link like any other. A row repeated comes out repeated; no rows give no rows.
     """
     prints = durable(fingerprints(docs, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(trie_links(durable(nodes.select("fp")), budget, leaf), "a", "b")
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = durable(rooted)
+    rooted = _rooted(prints, budget, leaf)
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(heads, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
-    """One row of ``docs`` per group of near-duplicates: the one of smallest doc_id.
+    """One row of ``docs`` per group of near-duplicates: the one of smallest doc_id, null last, then of least text hash.
 
-    doc_id names a document, so of rows that repeat one (null included) one stays; a null stays only where its group
-    has no other.
+    A row is told by its doc_id and a hash of its text, so rows that share an id (null included) but not a group all stay.
     """
-    found = near_duplicates(docs, width, budget)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = null_safe(docs, heads, ["doc_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    prints = durable(fingerprints(docs, width, digest=True))
+    rooted = _rooted(prints, budget, LEAF).select(F.col("fp").alias("_fp"), "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    heads = prints.join(rooted, F.col("fp") == F.col("_fp")).groupBy("root").agg(F.min(order).alias("h"))
+    heads = heads.select(F.col("h.doc_id").alias("_id"), F.col("h.digest").alias("_digest"))
+    rows = wrapped(docs, _id=F.col("doc_id").cast("bigint"), _digest=_digest(F.col("text")))
+    kept = null_safe(rows, heads, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"])
+    return unwrapped(kept, docs.columns)
 
 
 @query("op3_simhash")

@@ -44,3 +44,11 @@ def test_equals_all_pairs(spark, documents):
     hit = {d for d, _ in want}
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((d for d, _ in rows if d not in hit), key=str)
     assert contained(docs.limit(0), bench).collect() == [] and contained(docs, bench.limit(0)).collect() == []
+
+
+def test_a_leak_takes_no_other_row_of_its_id(spark, documents):
+    bench = spark.createDataFrame([(1, "seven words that make one benchmark item")], "item_id long, text string")
+    leak = "before it seven words that make one benchmark item after it"
+    docs = documents([(None, leak), (None, "clean words without any id"), (4, leak), (4, "clean words of a repeated id"), (5, None)])
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate(docs, bench).collect()) == [
+        (0, "clean words without any id"), (4, "clean words of a repeated id"), (5, "")]

@@ -87,3 +87,10 @@ def test_groups_and_edge_cases(spark, documents):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.collect())[1:] == [(True, 3), (True, 7), (True, 10), (True, 12)]
     assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_rows_sharing_an_id_are_told_by_text(spark, documents):
+    rows = [(3, "a b c d e f g h"), (5, "A b c d e f g h"), (5, "unlike anything else here"), (None, "one text without any id"), (None, "quite another set of words"),
+            (None, "quite another set of words"), (None, "a b c d\te f g h")]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in keep_one(documents(rows)).collect())
+    assert kept == [(0, "one text without any id"), (0, "quite another set of words"), (3, "a b c d e f g h"), (5, "unlike anything else here")]
