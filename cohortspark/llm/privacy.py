@@ -2,8 +2,8 @@
 
 Entities are found by pattern. A term reveals an entity when seeing the term makes the entity's presence likely: with
 counts over all texts, PMI(t; e) = log2(N n_te / (n_t n_e)) reaches a share of the entity's information
-IC(e) = log2(N / n_e). At the full share the term never occurs without the entity and is removed; from the threshold on
-it is generalised. Entities themselves are generalised to their kind.
+IC(e) = log2(N / n_e). From the threshold on the term is generalised to ``[term]``, whatever its ratio. Entities
+themselves are generalised to their kind.
 """
 
 from __future__ import annotations
