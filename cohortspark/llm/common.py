@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +72,15 @@ def unwrapped(df: DataFrame, columns: Sequence[str], **added: Column | str) -> D
     return df.select(*old, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in added.items()])
 
 
+def byte_runs(values: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of neighbouring values of about ``size`` bytes each; a longer value is a run of its own."""
+    if len(values):
+        group = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(values)]
+        for low, high in zip(cuts, cuts[1:]):
+            yield values.slice(low, high - low)
+
+
 def _running(values: Column) -> Column:
     return F.aggregate(values, F.array().cast("array<bigint>"),
                        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + x)))
