@@ -228,8 +228,8 @@ w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFG
 f AS (SELECT kind, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
 c AS (SELECT kind, id, f, count(*) AS n FROM f GROUP BY kind, id, f),
 h AS (SELECT f, xor(list_reduce(list_transform(range(CAST(length(hex(f)) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(f), 2 * i + 1, 2) AS BIGINT)),
-        lambda r, b: xor((SELECT t FROM tab)[CAST(xor(r, b) & 255 AS INTEGER) + 1], r >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 10000 AS b
-      FROM (SELECT DISTINCT f FROM f)),
+        lambda r, b: xor(tab.t[CAST(xor(r, b) & 255 AS INTEGER) + 1], r >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 10000 AS b
+      FROM (SELECT DISTINCT f FROM f), tab),
 k AS (SELECT b, sum(CASE WHEN kind = 'd' THEN n ELSE 0 END) AS s, sum(CASE WHEN kind = 'b' THEN n ELSE 0 END) AS t FROM c JOIN h USING (f) GROUP BY b),
 z AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM k),
 g AS (SELECT b, CAST(floor(1000 * ln((CAST(k.t AS DOUBLE) + 1) * (z.s + 10000) / ((CAST(k.s AS DOUBLE) + 1) * (z.t + 10000)))) AS BIGINT) AS gain FROM k, z),
