@@ -61,6 +61,21 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__{k}" for k in keys])
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Left join with ``right``, which holds each key once, where few keys may hold most rows of ``left``.
+
+    A key that repeats and has at least one in ``share`` rows is joined by broadcast, which at most ``share`` keys do; the rest
+    is shuffled. Null keys find nothing and are not shuffled. ``left`` is read three times, so it should be stored or a plain scan.
+    """
+    total = left.count()
+    hot = F.broadcast(durable(left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > 1) & (F.col("__n") * share >= total)).select(key)))
+    few = F.broadcast(durable(right.join(hot, key, "left_semi")))
+    nulls = left.where(F.col(key).isNull()).join(right.limit(0), key, "left")
+    some = left.join(hot, key, "left_semi").join(few, key, "left")
+    rest = left.where(F.col(key).isNotNull()).join(hot, key, "left_anti").join(right, key, "left")
+    return some.unionByName(rest).unionByName(nulls)
+
+
 def wrapped(df: DataFrame, **added: Column) -> DataFrame:
     """The whole row as one struct ``row`` beside the added columns, so that no name of the input can clash with them."""
     return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in added.items()])
@@ -72,13 +87,14 @@ def unwrapped(df: DataFrame, columns: Sequence[str], **added: Column | str) -> D
     return df.select(*old, *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in added.items()])
 
 
-def byte_runs(values: pa.Array, size: int) -> Iterator[pa.Array]:
-    """Runs of neighbouring values of about ``size`` bytes each; a longer value is a run of its own."""
-    if len(values):
-        group = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(values)]
+def byte_runs(held: pa.Array | pa.RecordBatch, size: int, by: int | None = None) -> Iterator[pa.Array | pa.RecordBatch]:
+    """Runs of neighbouring values (or rows, by column ``by``) of about ``size`` bytes each; a longer one is alone."""
+    if len(held):
+        lengths = pc.fill_null(pc.binary_length(held if by is None else held.column(by)), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(lengths.astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(held)]
         for low, high in zip(cuts, cuts[1:]):
-            yield values.slice(low, high - low)
+            yield held.slice(low, high - low)
 
 
 def _running(values: Column) -> Column:
