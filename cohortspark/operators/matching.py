@@ -10,11 +10,12 @@ from functools import partial, reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators import nearest
 from cohortspark.operators.ranks import exact_quantiles, ranked, running_totals
 from cohortspark.session import durable
 
@@ -171,85 +172,40 @@ def effect_sizes(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame
                       F.when(pooled > 0, (F.col("mean_1") - F.col("mean_0")) / pooled).alias("smd"))
 
 
-def standardized_axis(df: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """Adds the standardized covariates as an array ``x`` and their score on the first principal axis."""
+def standardized(df: DataFrame, covariates: Sequence[str]) -> DataFrame:
+    """Adds the standardized covariates as an array ``x``."""
     ready = VectorAssembler(inputCols=list(covariates), outputCol="_v").transform(df)
     scaled = StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True).fit(ready).transform(ready)
-    axis = PCA(k=1, inputCol="_z", outputCol="_a").fit(scaled).transform(scaled)
-    return axis.select(*df.columns, vector_to_array("_z").alias("x"), vector_to_array("_a")[0].alias("axis"))
+    return scaled.select(*df.columns, vector_to_array("_z").alias("x"))
 
 
 def nearest_controls(df: DataFrame, key: str, treated: str, covariates: Sequence[str], n: int = 1,
                      cell_rows: int = 256) -> DataFrame:
     """The n nearest controls of each treated row on standardized covariates, with replacement: (treated_id,
-    control_id, distance, place), ties to the smaller id.
+    control_id, distance, place), ties to the smaller id. Exact; see ``nearest.search``.
 
-    Exact. Of controls with equal covariates only the n smallest ids can be wanted, and equal treated rows are
-    looked up once. Controls are cut into cells of at most ``cell_rows`` along the first principal axis. Distance
-    on the axis bounds the full distance from below, so a treated row visits cells outwards from its own place
-    until the next cell is farther than its n-th best. The visited range doubles per round.
+    Of controls with equal covariates only the n smallest ids can be wanted, and equal treated rows are looked up once.
     """
-    placed = standardized_axis(df.select(F.col(key).alias("id"), F.col(treated).cast("int").alias("t"), *covariates),
-                               covariates)
-    controls = ranked(placed.where("t = 0").select("x", "axis", "id"), ["x"], ["id"], "copy").where(F.col("copy") <= n)
+    placed = durable(standardized(df.select(F.col(key).alias("id"), F.col(treated).cast("int").alias("t"), *covariates), covariates).select("id", "t", "x"))
+    controls = ranked(placed.where("t = 0").select("x", "id"), ["x"], ["id"], "copy").where(F.col("copy") <= n).select(F.col("id").alias("hit_id"), "x")
     wanted = placed.where("t = 1")
-    points = wanted.groupBy("x").agg(F.min("id").alias("id"), F.min("axis").alias("axis"))
-    both = controls.select("x", "axis", "id", F.lit(1).alias("c")).unionByName(
-        points.select("x", "axis", "id", F.lit(0).alias("c")))
-    line = durable(running_totals(both, [], ["axis", "c", "id"], {"place": F.col("c").cast("bigint")}))
-    cands = durable(line.where("c = 1").select(F.col("id").alias("control_id"), F.col("x").alias("cx"),
-                                               F.col("axis").alias("c_axis"), F.floor((F.col("place") - 1) / cell_rows).alias("cell")))
-    cells = durable(cands.groupBy("cell").agg(F.min("c_axis").alias("lo_axis"), F.max("c_axis").alias("hi_axis")))
-    n_cells = cells.count()
-    home = F.least(F.floor(F.col("place") / cell_rows), F.lit(n_cells - 1))
-    seek = line.where("c = 0").select("id", "x", "axis", home.alias("home"))
-    best_type = f"array<struct<d:double,control_id:{cands.schema['control_id'].dataType.simpleString()}>>"
-    open_rows = seek.withColumn("best", F.array().cast(best_type)).withColumn("lo", F.col("home")).withColumn("hi", F.col("home") - 1)
-    settled, width = None, 0
-    while n_cells:
-        lo, hi = F.greatest(F.col("home") - width, F.lit(0)), F.least(F.col("home") + width, F.lit(n_cells - 1))
-        fresh = F.filter(F.sequence(lo, hi), lambda c: (c < F.col("lo")) | (c > F.col("hi")))
-        worst = F.when(F.size("best") >= n, F.element_at("best", -1)["d"])
-        visits = open_rows.select("id", "x", "axis", worst.alias("worst"), F.explode(fresh).alias("cell")).join(cands, "cell").where(
-            F.col("worst").isNull() | (F.abs(F.col("axis") - F.col("c_axis")) <= F.col("worst")))
-        steps = [F.get("x", F.lit(i)) - F.get("cx", F.lit(i)) for i in range(len(covariates))]
-        gap = reduce(lambda a, b: a + b, [x * x for x in steps])
-        seen = visits.select("id", "worst", F.struct(F.sqrt(gap).alias("d"), "control_id").alias("hit")).where(
-            F.col("worst").isNull() | (F.col("hit.d") <= F.col("worst")))
-        per_cell = seen.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, n).alias("found"))
-        merged = open_rows.join(per_cell, "id", "left").withColumn(
-            "best", F.slice(F.array_sort(F.concat("best", F.coalesce("found", F.array().cast(best_type)))), 1, n)).drop("found")
-        merged = merged.withColumn("lo", lo).withColumn("hi", hi)
-        below = cells.select((F.col("cell") + 1).alias("lo"), F.col("hi_axis").alias("below"))
-        above = cells.select((F.col("cell") - 1).alias("hi"), F.col("lo_axis").alias("above"))
-        judged = merged.join(below, "lo", "left").join(above, "hi", "left")
-        worst = F.when(F.size("best") >= n, F.element_at("best", -1)["d"])
-        clear_below = F.col("below").isNull() | (F.col("axis") - F.col("below") > worst)
-        clear_above = F.col("above").isNull() | (F.col("above") - F.col("axis") > worst)
-        judged = durable(judged.withColumn("_done", F.coalesce(clear_below & clear_above, F.lit(False))))
-        finished = judged.where("_done").select("id", "x", "best")
-        settled = finished if settled is None else settled.unionByName(finished)
-        open_rows = judged.where("not _done").select(*seek.columns, "best", "lo", "hi")
-        if open_rows.isEmpty():
-            break
-        width = max(1, width * 2)
-    if settled is None:
-        settled = seek.select("id", "x", F.array().cast(best_type).alias("best"))
-    rows = wanted.select(F.col("id").alias("treated_id"), "x").join(settled.select("x", "best"), "x")
-    return rows.select("treated_id", F.posexplode("best").alias("place", "hit")).select(
-        "treated_id", "hit.control_id", F.col("hit.d").alias("distance"), (F.col("place") + 1).alias("place"))
+    points = durable(wanted.groupBy("x").agg(F.min("id").alias("id")))
+    found = nearest.search(points, controls, len(covariates), n, cell_rows)
+    rows = wanted.select(F.col("id").alias("treated_id"), "x").join(points, "x")
+    return rows.join(found, "id").select("treated_id", F.col("hit_id").alias("control_id"), "distance", "place")
 
 
 def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end: str, index: str,
-                   horizon: int = 182, max_shift: int | None = None) -> DataFrame:
-    """A control per case: same (else nearest) start day, under observation at the case's index date for ``horizon``
-    days; without replacement; the control inherits the index date. Every case is in the result once: those without
-    a control have nulls. Keys are unique; rows with a null take no part as controls and stay unmatched as cases.
-
-    For one day shift the control's start is fixed, so the rule is a threshold on its end: end >= index + horizon.
-    As many pairs are made as can be (``_most_pairs``): the k smallest thresholds meet the k latest ends in order, ties
-    by md5 of the key. Shifts go 0, -1, 1, -2, 2 and on until no control is left that a case left could take;
-    ``max_shift`` ends earlier where a calliper on the start day is wanted.
+                   horizon: int = 182, max_shift: int | None = None, seed: str = "0:") -> DataFrame:
+    """A control per case, drawn at random: same (else nearest) start day, under observation at the case's index date for
+    ``horizon`` days; without replacement; the control inherits the index date. Every case is in the result once: those
+    without a control have nulls. Keys are unique; rows with a null take no part as controls and stay unmatched as cases.
+
+    For one day shift the control's start is fixed, so the rule is a threshold on its end: end >= index + horizon, and the
+    sets of controls open to the cases of a day lie inside each other. As many pairs are made as can be (``_ends_above``),
+    with the cases of the smallest thresholds, ties by md5 of the key; the strictest of these draws first, and every
+    control open to it that is left has the same chance (``_drawn``). Shifts go 0, -1, 1, -2, 2 and on until no control is left
+    that a case left could take; ``max_shift`` ends earlier where a calliper on the start day is wanted.
     """
     everyone = cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date"))
     p = pool.select(F.col(key).alias("control_id"), F.col(start).alias("control_start"), F.col(end).alias("control_end"))
@@ -258,11 +214,14 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
         day = F.date_add("case_start", shift)
         a = c.withColumn("_day", day).where(F.col("_day") <= F.col("index_date")).withColumn("_at", F.date_add("index_date", horizon))
         b = p.withColumnRenamed("control_start", "_day").withColumnRenamed("control_end", "_at")
-        most = _most_pairs(a, b)
+        above = durable(_ends_above(a, b))
+        most = above.groupBy("_day").agg(F.least(F.min("_room"), F.max("_cases")).alias("_k")).where("_k > 0")
         a = ranked(a, ["_day"], ["_at", F.md5(F.col("case_id").cast("string")), "case_id"], "_i")
         b = ranked(b, ["_day"], [F.col("_at").desc(), F.md5(F.col("control_id").cast("string")), "control_id"], "_j")
-        a = a.join(most, "_day").where("_i <= _k").withColumn("_j", F.col("_k") + 1 - F.col("_i"))
-        new = durable(a.join(b.drop("_at"), ["_day", "_j"]).select("case_id", "control_id", F.col("_day").alias("control_start")))
+        # One line per calendar day.
+        a = a.join(F.broadcast(most), "_day").where("_i <= _k").withColumn("_q", F.col("_k") + 1 - F.col("_i"))
+        a = a.join(above.select("_day", "_at", "_ends"), ["_day", "_at"])
+        new = durable(_drawn(a, seed).join(b.drop("_at"), ["_day", "_j"]).select("case_id", "control_id", F.col("_day").alias("control_start")))
         done = new if done is None else done.unionByName(new)
         c = durable(c.join(new.select("case_id"), "case_id", "left_anti"))
         p = durable(p.join(new.select("control_id"), "control_id", "left_anti"))
@@ -272,22 +231,47 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
     return everyone.join(done, "case_id", "left").select("case_id", "control_id", "index_date", "case_start", "control_start")
 
 
+def _drawn(steps: DataFrame, seed: str) -> DataFrame:
+    """``_day, case_id, _j``: the place, among a day's controls by falling end, of each case's control.
+
+    ``steps`` has per day the cases numbered by ``_q`` from 1, the strictest first, and how many controls are open to each
+    (``_ends``, so the places 1.._ends). One after the other they would shuffle the places: step q takes what lies at a place p
+    drawn from q.._ends, and puts what lies at q there instead; the places behind q then hold what is left. What lies at p is
+    therefore what the latest earlier step that drew p moved there from its own place, and so on back to a control that was
+    never moved. Those links are followed by doubling, in rounds of one join; equal draws of a day are few.
+    """
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("case_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
+    drawn = durable(steps.select("_day", "case_id", "_q", (F.col("_q") + F.floor(u * (F.col("_ends") - F.col("_q") + 1))).alias("_p")))
+    before = Window.partitionBy("_day", "_p").orderBy("_q")
+    asked = drawn.withColumn("_from", F.lag("_q").over(before))
+    links = durable(drawn.where("_q < _p").groupBy("_day", F.col("_p").alias("_from")).agg(F.max("_q").alias("_to")))
+    while True:
+        onward = links.select("_day", F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        links, was = durable(links.join(onward, ["_day", "_to"], "left").select("_day", "_from", F.coalesce("_next", "_to").alias("_to"), "_next")), links
+        if not links.where("_next IS NOT NULL").limit(1).count():
+            links = was
+            break
+        links = links.drop("_next")
+    return asked.join(links, ["_day", "_from"], "left").select("_day", "case_id", F.coalesce("_to", "_from", "_p").alias("_j"))
+
+
 def _next_shift(shift: int) -> int:
     return -shift if shift < 0 else -shift - 1
 
 
-def _most_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per ``_day`` the greatest k for which the k smallest thresholds of ``a`` all find ends among ``b`` (both ``_at``).
+def _ends_above(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``_day, _at, _ends, _room, _cases`` for every threshold ``_at`` of the cases ``a``: the ends among ``b`` that reach it, how many
+    cases can be matched as far as it is concerned, and the day's cases.
 
-    At every threshold x the cases at or above it, k less those below, must not outnumber the ends at or above it; so k
-    is the least of (cases below x + ends not below x) over all x, and at most the number of cases.
+    Of the k smallest thresholds those at or above x must not outnumber the ends at or above x; so the most pairs of a day
+    are the least of (cases below x + ends not below x) over all x, and at most the number of cases.
     """
     marks = a.select("_day", "_at", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
         b.select("_day", "_at", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     counts = marks.groupBy("_day", "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     run = running_totals(counts, ["_day"], ["_at"], {"_ta": F.col("_a"), "_tb": F.col("_b")}, grand="_all")
-    room = F.col("_ta") - F.col("_a") + F.col("_all_tb") - (F.col("_tb") - F.col("_b"))
-    return run.groupBy("_day").agg(F.least(F.min(F.when(F.col("_a") > 0, room)), F.max("_all_ta")).alias("_k")).where("_k > 0")
+    ends = F.col("_all_tb") - (F.col("_tb") - F.col("_b"))
+    return run.where("_a > 0").select("_day", "_at", ends.alias("_ends"), (F.col("_ta") - F.col("_a") + ends).alias("_room"), F.col("_all_ta").alias("_cases"))
 
 
 def _reachable_shift(c: DataFrame, p: DataFrame, shift: int, horizon: int, max_shift: int | None) -> int | None:

@@ -99,6 +99,32 @@ def one_degree_tail(x: float) -> float:
     return chi2_tail(x, 1)
 
 
+# Fixed value: samples up to this size, without ties, have their rank sums counted instead of approximated.
+EXACT_RANKS = 8
+
+
+def rank_sum_exact(u: float, n1: float, n0: float) -> float:
+    """Two-sided tail of U among all ways to deal untied ranks to samples of the given sizes.
+
+    The number of ways with each U are the coefficients of a product of (1 - q^(n+i)) / (1 - q^i), one factor per member of the
+    smaller sample; they are symmetric, so only those up to the nearer end are worked out.
+    """
+    m, n = int(min(n1, n0)), int(max(n1, n0))
+    near = round(min(u, m * n - u))
+    ways = np.zeros(near + 1)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        if n + i <= near:
+            ways[n + i:] -= ways[:near + 1 - n - i].copy()
+        for first in range(min(i, near + 1)):
+            ways[first::i] = np.cumsum(ways[first::i])
+    return min(1.0, 2 * math.exp(math.log(ways.sum()) - math.lgamma(m + n + 1) + math.lgamma(m + 1) + math.lgamma(n + 1)))
+
+
+def rank_sum_tail(z: float, u: float, n1: float, n0: float, exact: float) -> float:
+    return rank_sum_exact(u, n1, n0) if exact else normal_tail(z)
+
+
 def with_p(df: DataFrame, tail, *inputs: str, out: str = "p_value") -> DataFrame:
     """Adds a two-sided tail to a result frame (one row per test, so plain values in Arrow batches suffice)."""
     @F.pandas_udf(T.DoubleType())
@@ -180,6 +206,8 @@ def fisher_simulated(counts: DataFrame, group: str, category: str, replicates: i
     Every replicate is seeded by its id, so the answer does not depend on partitioning.
     """
     spark, table = counts.sparkSession, _table(counts, group, category)
+    if min(table.shape, default=0) < 2:
+        return spark.range(1).select(F.lit(1.0).alias("p_value"), F.lit(0.0).alias("std_error"), F.lit("simulated").alias("method"))
     rows, cols = table.sum(axis=1), table.sum(axis=0)
     lgam = np.vectorize(math.lgamma)
     observed = -lgam(table + 1.0).sum()
@@ -239,13 +267,14 @@ def chi_square_independence(counts: DataFrame, group: str, category: str) -> Dat
     part = counts.select(group, category, "n", (F.col("n") * F.col("n") / (row * col)).alias("_q")).agg(
         F.sum("_q").alias("_q"), F.sum("n").alias("n"), F.count_distinct(group).alias("_r"), F.count_distinct(category).alias("_k"))
     return with_p(part.select((F.col("n") * (F.col("_q") - 1)).alias("chi_square"),
-                              ((F.col("_r") - 1) * (F.col("_k") - 1)).alias("df"), "n"), chi2_tail, "chi_square", "df")
+                              (F.greatest(F.col("_r") - 1, F.lit(0)) * F.greatest(F.col("_k") - 1, F.lit(0))).alias("df"), "n"), chi2_tail, "chi_square", "df")
 
 
 def chi_square_fit(observed: DataFrame, expected: DataFrame, category: str) -> DataFrame:
     """Goodness of fit of observed counts to another group's counts scaled to the same total.
 
-    Every category of either side counts. The statistic is null where one was observed that is not expected at all.
+    Every category of either side counts. The statistic is null where one was observed that is not expected at all, and
+    where nothing was observed.
     """
     sides = observed.select(category, F.col("n").alias("o"), F.lit(0).alias("e")).unionByName(
         expected.select(category, F.lit(0).alias("o"), F.col("n").alias("e")))
@@ -253,7 +282,7 @@ def chi_square_fit(observed: DataFrame, expected: DataFrame, category: str) -> D
     t = both.agg(F.sum("o").alias("_o"), F.sum("e").alias("_e"), F.sum(F.when(F.col("e") > 0, F.col("o") * F.col("o") / F.col("e"))).alias("_q"),
                  F.count(F.lit(1)).alias("_k"), F.coalesce(F.bool_or((F.col("e") == 0) & (F.col("o") > 0)), F.lit(False)).alias("_new"))
     # With e scaled by _o/_e: sum (o - e')^2 / e' = _q * _e / _o - _o.
-    fit = t.select(F.when(~F.col("_new"), F.col("_q") * F.col("_e") / F.col("_o") - F.col("_o")).alias("chi_square"), (F.col("_k") - 1).alias("df"))
+    fit = t.select(F.when(~F.col("_new"), F.try_divide(F.col("_q") * F.col("_e"), F.col("_o")) - F.col("_o")).alias("chi_square"), F.greatest(F.col("_k") - 1, F.lit(0)).alias("df"))
     return with_p(fit, chi2_tail, "chi_square", "df")
 
 
@@ -272,44 +301,53 @@ def chi_square_features(df: DataFrame, features: Sequence[str], label: str) -> D
 # ---- two-sample tests --------------------------------------------------------------------------------------------
 
 def t_test(df: DataFrame, group: str, value: Column) -> DataFrame:
-    """Pooled two-sample t from moments; null values are dropped."""
+    """Pooled two-sample t from moments; null values are dropped. Null where both groups are constant or one has no value."""
     v = value.cast("double")
     side = lambda f, k: f(F.when(F.col(group) == k, v))
     m = df.agg(side(F.count, 1).alias("n_1"), side(F.count, 0).alias("n_0"), side(F.avg, 1).alias("mean_1"), side(F.avg, 0).alias("mean_0"),
                side(F.var_samp, 1).alias("_v1"), side(F.var_samp, 0).alias("_v0"))
     dof = F.col("n_1") + F.col("n_0") - 2
-    pooled = ((F.col("n_1") - 1) * F.col("_v1") + (F.col("n_0") - 1) * F.col("_v0")) / dof
-    t = (F.col("mean_1") - F.col("mean_0")) / F.sqrt(pooled * (1 / F.col("n_1") + 1 / F.col("n_0")))
+    # A group of one value has no variance of its own and adds nothing to the pooled one.
+    spread = lambda k: (F.col(f"n_{k}") - 1) * F.coalesce(F.col(f"_v{k}"), F.lit(0.0))
+    pooled = F.try_divide(spread(1) + spread(0), dof)
+    t = F.try_divide(F.col("mean_1") - F.col("mean_0"), F.sqrt(pooled * (F.try_divide(F.lit(1.0), "n_1") + F.try_divide(F.lit(1.0), "n_0"))))
     return with_p(m.select("n_1", "n_0", "mean_1", "mean_0", t.alias("t"), dof.alias("df")), t_tail, "t", "df")
 
 
-def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Rank-sum test with tie correction and continuity correction.
+def mann_whitney(df: DataFrame, group: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rank-sum test of groups 1 and 0, one row (or one per ``keys``): ``n_1, n_0, u, z, method, p_value``.
+
+    ``method`` is exact for samples without ties of which one has ``EXACT_RANKS`` values or fewer: U is counted among all ways to
+    deal the ranks. Else the normal tail is taken, with tie and continuity correction. z and p_value are null for the latter
+    where one group is empty or all values are equal. Null values and groups take no part.
 
     Rows are counted per distinct value and group first; mid-ranks come from running totals over the values.
     """
-    g = F.col(group).cast("int")
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(
+    g, keys = F.col(group).cast("int"), list(keys)
+    counts = df.where(F.col(value).isNotNull() & g.isin(0, 1)).groupBy(*keys, value).agg(
         F.sum((g == 1).cast("bigint")).alias("_c1"), F.sum((g == 0).cast("bigint")).alias("_c0"))
-    run = running_totals(counts, [], [value], {"_upto": F.col("_c1") + F.col("_c0")})
+    run = running_totals(counts, keys, [value], {"_upto": F.col("_c1") + F.col("_c0")})
     t = (F.col("_c1") + F.col("_c0")).cast("double")
     mid = F.col("_upto") - t / 2 + 0.5
-    s = run.agg(F.sum("_c1").cast("double").alias("n_1"), F.sum("_c0").cast("double").alias("n_0"),
-                F.sum(F.col("_c1") * mid).alias("_r1"), F.sum(t * t * t - t).alias("_tie"))
+    total = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    s = run.groupBy(*keys).agg(total("_c1").alias("n_1"), total("_c0").alias("n_0"), total(F.col("_c1") * mid).alias("_r1"), total(t * t * t - t).alias("_tie"))
     n = F.col("n_1") + F.col("n_0")
     u = F.col("_r1") - F.col("n_1") * (F.col("n_1") + 1) / 2
     mean = F.col("n_1") * F.col("n_0") / 2
-    var = F.col("n_1") * F.col("n_0") / 12 * ((n + 1) - F.col("_tie") / (n * (n - 1)))
-    z = (u - mean - F.signum(u - mean) * 0.5) / F.sqrt(var)
-    out = s.select(F.col("n_1").cast("bigint").alias("n_1"), F.col("n_0").cast("bigint").alias("n_0"), u.alias("u"), z.alias("z"))
-    return with_p(out, normal_tail, "z")
+    var = F.col("n_1") * F.col("n_0") / 12 * ((n + 1) - F.try_divide(F.col("_tie"), n * (n - 1)))
+    z = F.try_divide(u - mean - F.signum(u - mean) * 0.5, F.sqrt(F.when(var > 1e-9, var)))
+    exact = (F.col("_tie") == 0) & F.least("n_1", "n_0").between(1, EXACT_RANKS)
+    out = s.select(*keys, F.col("n_1").cast("bigint").alias("n_1"), F.col("n_0").cast("bigint").alias("n_0"), u.alias("u"), z.alias("z"),
+                   F.when(exact, "exact").otherwise("asymptotic").alias("method"))
+    return with_p(out.withColumn("_exact", (F.col("method") == "exact").cast("int")), rank_sum_tail, "z", "u", "n_1", "n_0", "_exact").drop("_exact")
 
 
 # ---- proportions and association ---------------------------------------------------------------------------------
 
 def wilson(events: Column, total: Column, z: float = Z95) -> tuple[Column, Column]:
-    """Wilson interval of a proportion; ``total`` is the number of observations."""
-    p, n = events / total, total.cast("double")
+    """Wilson interval of a proportion; ``total`` is the number of observations. Null without any."""
+    n = F.nullif(total.cast("double"), F.lit(0.0))
+    p = events / n
     centre, half = (p + z * z / (2 * n)), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     scale = 1 + z * z / n
     return (centre - half) / scale, (centre + half) / scale
@@ -331,29 +369,44 @@ def pairwise_fisher(rates: DataFrame, group: str) -> DataFrame:
     return tests.select(name(0).alias("group_1"), name(1).alias("group_2"), "odds_ratio", "p_value")
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """Correlation over the rows that have both; null where one of them is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.when(spread > 0, spread)))
+
+
 def pearson(df: DataFrame, columns: Sequence[str], outcome: str) -> DataFrame:
-    """Correlation of every column with the outcome, number of pairs and p-value, in one aggregate."""
+    """Correlation of every column with the outcome, number of pairs and p-value, in one aggregate. Null for constant columns."""
     x, y = [F.col(c).cast("double") for c in columns], F.col(outcome).cast("double")
-    row = df.agg(*[F.corr(c, y).alias(f"_r{i}") for i, c in enumerate(x)],
+    row = df.agg(*[_correlation(c, y).alias(f"_r{i}") for i, c in enumerate(x)],
                  *[F.count(F.when(c.isNotNull() & y.isNotNull(), 1)).alias(f"_n{i}") for i, c in enumerate(x)])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("r"), F.col(f"_n{i}").alias("n")) for i, c in enumerate(columns)])
     return with_p(row.select(F.inline(cells)), r_tail, "r", "n")
 
 
 def variance_inflation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Diagonal of the inverse correlation matrix. The p x p matrix is built on the cluster and inverted on the driver."""
+    """1 / (1 - R2) of each column on the others, from the p x p correlation matrix, which is built on the cluster.
+
+    Infinite for a column that the others make up exactly; null for a constant one, which takes no part for the others either.
+    """
     cols = list(columns)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i)]
-    row = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"_{i}_{j}") for i, j in pairs]).first()
-    m = np.eye(len(cols))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = row[f"_{i}_{j}"]
-    vif = np.diag(np.linalg.inv(m))
-    return df.sparkSession.createDataFrame(list(zip(cols, map(float, vif))), "feature string, vif double")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1)]
+    row = df.agg(*[_correlation(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"_{i}_{j}") for i, j in pairs]).first()
+    used = [i for i in range(len(cols)) if row[f"_{i}_{i}"] is not None]
+    m = np.array([[row[f"_{max(i, j)}_{min(i, j)}"] or 0.0 for j in used] for i in used]).reshape(len(used), len(used))
+    found = dict.fromkeys(range(len(cols)))
+    for at, i in enumerate(used):
+        others = np.delete(np.arange(len(used)), at)
+        r = m[at, others]
+        left = 1 - float(r @ np.linalg.pinv(m[np.ix_(others, others)], rcond=1e-10) @ r)
+        found[i] = 1 / left if left > 1e-10 else math.inf
+    return df.sparkSession.createDataFrame([(c, found[i]) for i, c in enumerate(cols)], "feature string, vif double")
 
 
 def repeated_anova(df: DataFrame, subject: str, condition: str, value: str) -> DataFrame:
-    """One-way repeated-measures F from sums of squares (one value per subject and condition)."""
+    """One-way repeated-measures F from sums of squares (one value per subject and condition). Null where there is one
+    condition or one subject, or where nothing is left over after both."""
     per_s = df.groupBy(subject).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_k"))
     per_c = df.groupBy(condition).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)).alias("_nk"), F.avg(value).alias("_g"), F.var_pop(value).alias("_v"))
@@ -363,7 +416,8 @@ def repeated_anova(df: DataFrame, subject: str, condition: str, value: str) -> D
     grand = F.col("_nk") * F.col("_g") * F.col("_g")
     ss_total, ss_s, ss_c = F.col("_nk") * F.col("_v"), F.col("_ss") - grand, F.col("_cc") - grand
     df1, df2 = F.col("_c") - 1, (F.col("_c") - 1) * (F.col("_s") - 1)
-    f = (ss_c / df1) / ((ss_total - ss_s - ss_c) / df2)
+    rest = ss_total - ss_s - ss_c
+    f = F.try_divide(F.try_divide(ss_c, df1), F.try_divide(F.when(rest > 1e-12 * ss_total, rest), df2))
     return with_p(t.select(f.alias("f"), df1.alias("df_1"), df2.alias("df_2")), f_tail, "f", "df_1", "df_2")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators.stats import one_degree_tail, with_p
+from cohortspark.operators.stats import Z95, one_degree_tail, with_p
 from cohortspark.operators.timeline import daily, next_event
 
 HORIZON_DAYS = 182
@@ -39,11 +39,22 @@ def _by_time(df: DataFrame, group: str, time: str, event: str) -> DataFrame:
     return per.withColumn("at_risk", F.sum("n_here").over(later))
 
 
-def kaplan_meier(df: DataFrame, group: str, time: str = "time", event: str = "event") -> DataFrame:
-    """Survival after each observed time: running product of (1 - d / at risk)."""
+def kaplan_meier(df: DataFrame, group: str, time: str = "time", event: str = "event", z: float = Z95) -> DataFrame:
+    """Survival after each observed time, the running product of (1 - d / at risk), with ``std_error`` and a confidence band.
+
+    The standard error is Greenwood's, from the running sum of d / (n (n - d)); the band has its limits on the log(-log) scale,
+    so it stays inside 0 and 1. Where nobody has had an event (survival 1) and where nobody is left (0) the band is the
+    curve itself and the error 0.
+    """
     w = Window.partitionBy(group).orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = F.product(1 - F.col("d") / F.col("at_risk")).over(w)
-    return _by_time(df, group, time, event).withColumn("survival", curve).select(group, time, "at_risk", "d", "survival")
+    n, d, s = F.col("at_risk"), F.col("d"), F.col("survival")
+    curve = _by_time(df, group, time, event).withColumn("survival", F.product(1 - d / n).over(w)).withColumn(
+        "_v", F.sum(F.coalesce(F.try_divide(d.cast("double"), n * (n - d)), F.lit(0.0))).over(w))
+    inside = (s > 0) & (s < 1)
+    width = F.when(inside, z * F.sqrt("_v") / F.abs(F.ln(s)))
+    limit = lambda sign: F.when(inside, F.pow(s, F.exp(sign * width))).otherwise(s)
+    return curve.select(group, time, "at_risk", "d", "survival", F.when(inside, s * F.sqrt("_v")).otherwise(0.0).alias("std_error"),
+                        limit(1).alias("ci_low"), limit(-1).alias("ci_high"))
 
 
 def logrank(df: DataFrame, group: str, time: str = "time", event: str = "event") -> DataFrame:

@@ -139,7 +139,8 @@ def match_knn_euclidean(v):
 
 
 def _risk_set_sql(shifts: tuple[int, ...]) -> str:
-    """The rule tried out: for every start day each number of pairs k is tested rank by rank, and the largest is kept."""
+    """The rule tried out: for every start day each number of pairs k is tested rank by rank, and the largest is kept; a draw's
+    place is followed back move by move."""
     steps = ["""c0 AS MATERIALIZED (SELECT episode_id AS case_id, conception AS case_start, full_date AS index_date FROM state WHERE full_date IS NOT NULL AND full_date >= conception),
       p0 AS MATERIALIZED (SELECT episode_id AS control_id, conception AS d, delivery AS stop FROM state WHERE state IN ('never', 'later'))"""]
     for n, shift in enumerate(shifts):
@@ -147,21 +148,35 @@ def _risk_set_sql(shifts: tuple[int, ...]) -> str:
       b{n} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY d ORDER BY stop DESC, md5(CAST(control_id AS VARCHAR)), control_id) AS j FROM p{n}),
       k{n} AS MATERIALIZED (SELECT d, max(k) AS k FROM (SELECT q.d, q.i AS k FROM a{n} q JOIN a{n} a ON a.d = q.d AND a.i <= q.i JOIN b{n} b ON b.d = q.d AND b.j = q.i + 1 - a.i
         GROUP BY q.d, q.i HAVING count(*) FILTER (a.stop <= b.stop) = q.i) GROUP BY d),
-      m{n} AS MATERIALIZED (SELECT a.case_id, b.control_id, k.d AS control_start FROM k{n} k JOIN a{n} a ON a.d = k.d AND a.i <= k.k JOIN b{n} b ON b.d = k.d AND b.j = k.k + 1 - a.i),
+      s{n} AS MATERIALIZED (SELECT d, case_id, q, q + CAST(floor(u * (ends - q + 1)) AS BIGINT) AS p FROM (SELECT a.d, a.case_id, k + 1 - a.i AS q,
+        CAST(CAST('0x' || substr(md5('0:' || CAST(a.case_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u,
+        (SELECT count(*) FROM b{n} b WHERE b.d = a.d AND b.stop >= a.stop) AS ends FROM a{n} a JOIN k{n} k ON k.d = a.d AND a.i <= k.k)),
+      f{n} AS (SELECT d, q, p AS at, q AS t FROM s{n} UNION ALL SELECT f.d, f.q, max(s.q), max(s.q) FROM f{n} f JOIN s{n} s ON s.d = f.d AND s.p = f.at AND s.q < f.t GROUP BY f.d, f.q, f.at, f.t),
+      m{n} AS MATERIALIZED (SELECT s.case_id, b.control_id, s.d AS control_start FROM s{n} s JOIN (SELECT d, q, min(t) AS t, arg_min(at, t) AS at FROM f{n} GROUP BY d, q) f ON f.d = s.d AND f.q = s.q JOIN b{n} b ON b.d = s.d AND b.j = f.at),
       c{n + 1} AS MATERIALIZED (SELECT * FROM c{n} ANTI JOIN m{n} USING (case_id)), p{n + 1} AS MATERIALIZED (SELECT * FROM p{n} ANTI JOIN m{n} USING (control_id))""")
     pairs = " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(len(shifts)))
-    return sql(f"SELECT case_id, control_id, index_date, case_start, control_start FROM c0 LEFT JOIN ({pairs}) m USING (case_id)",
-               "episode", "history", extra=", ".join([state_sql("episode", "delivery"), *steps]))
+    return _recursive(sql(f"SELECT case_id, control_id, index_date, case_start, control_start FROM c0 LEFT JOIN ({pairs}) m USING (case_id)",
+                          "episode", "history", extra=", ".join([state_sql("episode", "delivery"), *steps])))
 
 
-@query("match_risk_set", _risk_set_sql((0, -1, 1)))
-def match_risk_set(v):
-    """Fully exposed episodes against never-exposed ones whose conception day is at most one day off (a caliper); cases
-    without such a control have nulls."""
+def _risk_set(v, max_shift=None):
     s = states(v)
     cases = s.where("full_date is not null and full_date >= conception").select("episode_id", "conception", "full_date")
     pool = s.where("state in ('never', 'later')").select("episode_id", "conception", "delivery")
-    return matching.match_risk_set(cases, pool, "episode_id", "conception", "delivery", "full_date", horizon=182, max_shift=1)
+    return matching.match_risk_set(cases, pool, "episode_id", "conception", "delivery", "full_date", horizon=182, max_shift=max_shift)
+
+
+@query("match_risk_set")
+def match_risk_set(v):
+    """Fully exposed episodes against never-exposed ones of the nearest conception day, drawn at random, until no control is left
+    that a case could take. How far the days go is not known beforehand, so SQL checks the first three in the next query."""
+    return _risk_set(v)
+
+
+@query("match_risk_set_caliper", _risk_set_sql((0, -1, 1)))
+def match_risk_set_caliper(v):
+    """The same with conception days at most one day apart; cases without such a control have nulls."""
+    return _risk_set(v, 1)
 
 
 # ---- survival ----------------------------------------------------------------------------------------------------
@@ -184,10 +199,13 @@ def surv_censor_frame(v):
     return survival_frame(v).select(*EPISODE, "time", "event", "days_since_start", "gest_age_at_start")
 
 
-@query("surv_kaplan_meier", sql("""SELECT state, time, at_risk, d, round(product(1 - d / at_risk) OVER (PARTITION BY state ORDER BY time), 8) AS survival FROM (SELECT state, time, sum(event)::BIGINT AS d,
-  sum(count(*)) OVER (PARTITION BY state ORDER BY time DESC)::BIGINT AS at_risk FROM surv GROUP BY 1, 2)""", *_SV, extra=SURV))
+@query("surv_kaplan_meier", sql("""SELECT state, time, at_risk, d, round(s, 8) AS survival, round(CASE WHEN s > 0 AND s < 1 THEN s * sqrt(v) ELSE 0 END, 8) AS std_error,
+  round(CASE WHEN s > 0 AND s < 1 THEN exp(-exp(ln(-ln(s)) + 1.959963984540054 * sqrt(v) / -ln(s))) ELSE s END, 8) AS ci_low, round(CASE WHEN s > 0 AND s < 1 THEN exp(-exp(ln(-ln(s)) - 1.959963984540054 * sqrt(v) / -ln(s))) ELSE s END, 8) AS ci_high
+  FROM (SELECT state, time, at_risk, d, product(1 - d / at_risk) OVER (PARTITION BY state ORDER BY time) AS s, sum(CASE WHEN at_risk > d THEN d / (CAST(at_risk AS DOUBLE) * (at_risk - d)) ELSE 0 END) OVER (PARTITION BY state ORDER BY time) AS v
+  FROM (SELECT state, time, sum(event)::BIGINT AS d, sum(count(*)) OVER (PARTITION BY state ORDER BY time DESC)::BIGINT AS at_risk FROM surv GROUP BY 1, 2))""", *_SV, extra=SURV))
 def surv_kaplan_meier(v):
-    return survival.kaplan_meier(survival_frame(v), "state").withColumn("survival", F.round("survival", 8))
+    df = survival.kaplan_meier(survival_frame(v), "state")
+    return df.withColumns({c: F.round(c, 8) for c in ("survival", "std_error", "ci_low", "ci_high")})
 
 
 @query("surv_logrank", sql(_tested("""SELECT sum(d1)::BIGINT AS observed, round(sum(e), 6) AS expected, round(sum(vv), 6) AS variance, (sum(d1) - sum(e)) ** 2 / sum(vv) AS chi_square FROM (SELECT d1, d * n1 / n AS e,
@@ -277,14 +295,35 @@ def stat_t_test(v):
     return stats.t_test(df, "g", F.col("price")).withColumns({c: F.round(c, 6) for c in ("mean_1", "mean_0", "t", "p_value")})
 
 
-@query("stat_mann_whitney", sql(_tested("""SELECT n1 AS n_1, n0 AS n_0, u, (u - n1 * n0 / 2 - sign(u - n1 * n0 / 2) * 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM (
-  SELECT count(*) FILTER (i) AS n1, count(*) FILTER (NOT i) AS n0, sum(r) FILTER (i) - count(*) FILTER (i) * (count(*) FILTER (i) + 1) / 2 AS u, sum(CAST(t AS DOUBLE) * t - 1) AS tie FROM (SELECT infection_date IS NOT NULL AS i,
-  rank() OVER (ORDER BY gest_days) + (count(*) OVER (PARTITION BY gest_days) - 1) / 2 AS r, count(*) OVER (PARTITION BY gest_days) AS t FROM infection))""", _chi_tail("(z * z)", "1"), "z"), "infection"))
+_RANK_SUMS = """SELECT {k}count(*) FILTER (i) AS n1, count(*) FILTER (NOT i) AS n0, coalesce(sum(r) FILTER (i), 0) - count(*) FILTER (i) * (count(*) FILTER (i) + 1) / 2 AS u, sum(CAST(t AS DOUBLE) * t - 1) AS tie
+  FROM (SELECT {k}i, rank() OVER ({p} ORDER BY x) + (count(*) OVER ({p2} x) - 1) / 2 AS r, count(*) OVER ({p2} x) AS t FROM ranked_rows) {g}"""
+_RANK_Z = "(u - n1 * n0 / 2 - sign(u - n1 * n0 / 2) * 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - tie / ((n1 + n0) * (n1 + n0 - 1))))"
+
+
+@query("stat_mann_whitney", sql(_tested(f"""SELECT n1 AS n_1, n0 AS n_0, u, {_RANK_Z} AS z, CASE WHEN tie = 0 AND least(n1, n0) BETWEEN 1 AND 8 THEN 'exact' ELSE 'asymptotic' END AS method
+  FROM ({_RANK_SUMS.format(k='', p='', p2='PARTITION BY', g='')})""", _chi_tail("(z * z)", "1"), "z"), "infection",
+                                extra="ranked_rows AS (SELECT infection_date IS NOT NULL AS i, gest_days AS x FROM infection)"))
 def stat_mann_whitney(v):
     df = infections(v).withColumn("g", F.col("infection_date").isNotNull().cast("int"))
     return stats.mann_whitney(df, "g", "gest_days").withColumns({c: F.round(c, 6) for c in ("z", "p_value")})
 
 
+# Ways to deal ranks: with m more members in the first sample and n in the second, the largest rank goes to either one.
+_WAYS = """ways AS (SELECT 0 AS m, 0 AS n, 0 AS u, 1.0::DOUBLE AS c
+  UNION ALL SELECT m, n, u, sum(c) FROM (SELECT m + 1 AS m, n, u + n AS u, c FROM ways WHERE m < 8 AND m + n < 30 UNION ALL SELECT m, n + 1, u, c FROM ways WHERE m + n < 30) GROUP BY ALL)"""
+
+
+@query("stat_mann_whitney_groups", _recursive(sql(f"""SELECT pat_id, n1 AS n_1, n0 AS n_0, u, round(z, 6) AS z, method, round(CASE WHEN method = 'exact' THEN least(2 * near / every, 1) WHEN z IS NOT NULL THEN {_chi_tail('(z * z)', '1')} END, 6) AS p_value FROM (
+  SELECT *, (SELECT sum(c) FROM ways w WHERE w.m = least(s.n1, s.n0) AND w.n = greatest(s.n1, s.n0) AND w.u <= least(s.u, s.n1 * s.n0 - s.u)) AS near, (SELECT sum(c) FROM ways w WHERE w.m = least(s.n1, s.n0) AND w.n = greatest(s.n1, s.n0)) AS every,
+    CASE WHEN tie = 0 AND least(n1, n0) BETWEEN 1 AND 8 THEN 'exact' ELSE 'asymptotic' END AS method,
+    CASE WHEN n1 * n0 > 0 AND n1 + n0 + 1 > tie / ((n1 + n0) * (n1 + n0 - 1)) + 1e-9 THEN {_RANK_Z} END AS z FROM ({_RANK_SUMS.format(k='pat_id, ', p='PARTITION BY pat_id', p2='PARTITION BY pat_id,', g='GROUP BY pat_id')}) s)""",
+    extra=f"{_WAYS}, ranked_rows AS (SELECT o_custkey AS pat_id, o_orderstatus = 'F' AS i, o_totalprice AS x FROM orders WHERE o_orderstatus IN ('F', 'O'))")))
+def stat_mann_whitney_groups(v):
+    """Closed against open orders' prices within every customer: samples of a few values, whose p-values are counted."""
+    rows = v.t("orders").where("o_orderstatus IN ('F', 'O')").select(F.col("o_custkey").alias("pat_id"), (F.col("o_orderstatus") == "F").cast("int").alias("g"), "o_totalprice")
+    return stats.mann_whitney(rows, "g", "o_totalprice", ["pat_id"]).withColumns({c: F.round(c, 6) for c in ("z", "p_value")})
+
+
 _WILSON = "((p + z*z/(2*n) {0} z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n))"
 
 

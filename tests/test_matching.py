@@ -1,10 +1,14 @@
 """Matching against brute force on small data, with partitions small enough to cross every boundary."""
 
+import hashlib
+import math
 import random
+from collections import Counter, defaultdict
+from datetime import date, timedelta
 
 import pytest
 
-from cohortspark.operators import matching
+from cohortspark.operators import matching, nearest
 
 
 def greedy(rows, caliper, h):
@@ -50,7 +54,7 @@ def test_nearest_controls_equal_brute_force(spark):
     rows = [(i, int(rng.random() < 0.4), float(rng.randint(0, 4)), rng.gauss(0, 1), 1.0 * rng.randint(0, 1)) for i in range(150)]
     df = spark.createDataFrame(rows, "id bigint, t int, a double, b double, c double")
     got = {(r["treated_id"], r["place"]): r["control_id"] for r in matching.nearest_controls(df, "id", "t", ["a", "b", "c"], 3, cell_rows=8).collect()}
-    scaled = {r["id"]: r["x"] for r in matching.standardized_axis(df, ["a", "b", "c"]).collect()}
+    scaled = {r["id"]: r["x"] for r in matching.standardized(df, ["a", "b", "c"]).collect()}
     want = {}
     for i, t, *_ in rows:
         if t:
@@ -102,3 +106,77 @@ def test_risk_set_keeps_late_ends_for_late_cases(spark):
     assert sorted((r["case_id"], r["control_id"] or 0) for r in got) == [(1, 8), (2, 7), (3, 0)]
     assert matching.match_risk_set(c.limit(0), p, "id", "s", "e", "x").count() == 0
     assert [r["control_id"] for r in matching.match_risk_set(c, p.limit(0), "id", "s", "e", "x").collect()] == [None] * 3
+
+
+def risk_sets(copies):
+    """Per copy, on a day of its own: five cases of three thresholds, the strictest open to two controls, and eight controls."""
+    day = lambda n: (date(1950, 1, 1) + timedelta(days=n)).isoformat()
+    cases, pool = [], []
+    for k in range(copies):
+        at = 3 * k
+        cases += [(100 * k + i, day(at), day(at + x)) for i, x in enumerate((50, 30, 30, 10, 10))]
+        pool += [(100 * k + 50 + i, day(at), day(at + 182 + e)) for i, e in enumerate((60, 55, 40, 40, 35, 20, 20, 9))]
+    return cases, pool
+
+
+def drawn_one_by_one(cases, pool):
+    """Per day the strictest case first: each takes a place among the open controls that are left, then the first place is filled up."""
+    out = {}
+    for start in {c[1] for c in cases}:
+        mine = sorted((c for c in cases if c[1] == start), key=lambda c: (c[2], hashlib.md5(str(c[0]).encode()).hexdigest()), reverse=True)
+        left = [p[0] for p in sorted((p for p in pool if p[1] == start), key=lambda p: (-date.fromisoformat(p[2]).toordinal(), hashlib.md5(str(p[0]).encode()).hexdigest()))]
+        ends = {p[0]: date.fromisoformat(p[2]) for p in pool}
+        for q, (name, _, index) in enumerate(mine):
+            room = sum(ends[x] >= date.fromisoformat(index) + timedelta(days=182) for x in ends if x // 100 == name // 100)
+            at = q + int(int(hashlib.md5(f"0:{name}".encode()).hexdigest()[:13], 16) / 16 ** 13 * (room - q))
+            out[name] = left[at]
+            left[at] = left[q]
+    return out
+
+
+def test_risk_set_draws_at_random(spark):
+    copies = 400
+    cases, pool = risk_sets(copies)
+    c = spark.createDataFrame(cases, "id bigint, s string, x string").selectExpr("id", "date(s) as s", "date(x) as x")
+    p = spark.createDataFrame(pool, "id bigint, s string, e string").selectExpr("id", "date(s) as s", "date(e) as e")
+    got = {r["case_id"]: r["control_id"] for r in matching.match_risk_set(c, p, "id", "s", "e", "x", max_shift=0).collect()}
+    assert got == drawn_one_by_one(cases, pool)
+    # The strictest case takes either of its two controls; of the last case's, each one open to it is as likely as drawing one by one makes it.
+    shares = Counter((case % 100, control % 100 - 50) for case, control in got.items())
+    chance = defaultdict(float)
+
+    def walk(q, left, rooms, p):
+        if q < len(rooms):
+            free = [x for x in range(rooms[q][1]) if x not in left]
+            for x in free:
+                chance[rooms[q][0], x] += p / len(free)
+                walk(q + 1, left | {x}, rooms, p / len(free))
+
+    # Equal thresholds stand in the order of a hash, so their cases are counted together.
+    walk(0, frozenset(), [("a", 2), ("b", 5), ("b", 5), ("c", 7), ("c", 7)], 1.0)
+    groups = {"a": (0,), "b": (1, 2), "c": (3, 4)}
+    for (g, control), p in chance.items():
+        seen = sum(shares[i, control] for i in groups[g])
+        assert abs(seen - copies * p) <= 5 * (copies * p) ** 0.5, (g, control)
+    assert sum(shares.values()) == 5 * copies and len(set(got.values())) == 5 * copies
+
+
+def test_nearest_rows_over_deep_trees(spark):
+    rng = random.Random(8)
+    points = [(i, [rng.gauss(0, 1), rng.choice([0.0, 1.0]), rng.expovariate(1), float(rng.randint(0, 2))]) for i in range(4000)]
+    points += [(5000 + i, [9.0, 0.0, 1e3, 0.0]) for i in range(40)]
+    queries = [(i, [rng.gauss(0, 1), rng.choice([0.0, 1.0]), rng.expovariate(1), rng.choice([0.0, 5.0])]) for i in range(60)]
+    q, p = spark.createDataFrame(queries, "id bigint, x array<double>"), spark.createDataFrame(points, "hit_id bigint, x array<double>")
+    got, compared = {}, {}
+    for r in nearest.search(q, p, 4, 3, cell_rows=8).collect():
+        got[r["id"], r["place"]], compared[r["id"]] = (r["hit_id"], r["distance"]), r["compared"]
+    for i, x in queries:
+        want = sorted((math.dist(x, y), j) for j, y in points)[:3]
+        assert [(got[i, k + 1][0], pytest.approx(got[i, k + 1][1])) for k in range(3)] == [(j, d) for d, j in want]
+    assert sum(compared.values()) < len(queries) * len(points) / 20
+    # Four times the points: clearly fewer than four times the comparisons.
+    quarter = p.where("hit_id % 4 = 0")
+    few = sum(r["compared"] for r in nearest.search(q, quarter, 4, 3, cell_rows=8).where("place = 1").collect())
+    assert sum(compared.values()) < 3 * few
+    assert nearest.search(q, p.limit(0), 4, 3).collect() == []
+    assert sorted(r["place"] for r in nearest.search(q.limit(1), p.limit(2), 4, 3).collect()) == [1, 2]

@@ -123,3 +123,72 @@ def test_auc_is_the_pair_share(spark):
     got = models.ranking_metrics(spark.createDataFrame(rows, "s double, y int"), "s", "y").first()
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     assert got["auc"] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg))
+
+
+def test_rank_sums_of_small_samples_are_counted(spark):
+    from itertools import combinations
+    for a, b in (([1, 2, 3], [4, 5, 6]), ([1, 5, 9, 10], [2, 3, 4, 6, 7]), ([3.5], [1, 2, 4]), ([2, 4, 6, 8, 10, 12, 14, 16], list(range(1, 24, 2)))):
+        got = stats.mann_whitney(spark.createDataFrame([(1, float(x)) for x in a] + [(0, float(x)) for x in b], "g int, x double"), "g", "x").first()
+        every, m, n = sorted(a + b), len(a), len(b)
+        ranks = [sum(every.index(x) + 1 for x in c) - m * (m + 1) / 2 for c in combinations(every, m)]
+        far = max(got["u"], m * n - got["u"])
+        assert got["method"] == "exact" and got["p_value"] == pytest.approx(min(1, 2 * sum(r >= far for r in ranks) / len(ranks)))
+    assert stats.rank_sum_exact(0, 3, 3) == pytest.approx(0.1)
+    # Against whole numbers, one sample far larger.
+    row = [1]
+    for i in range(1, 9):
+        row = [x - (row[k - 600 - i] if k >= 600 + i else 0) for k, x in enumerate(row + [0] * (600 * i + 1 - len(row)))]
+        for k in range(i, len(row)):
+            row[k] += row[k - i]
+    assert stats.rank_sum_exact(1500, 600, 8) == pytest.approx(2 * sum(row[:1501]) / sum(row), rel=1e-9)
+
+
+def test_rank_sums_per_key(spark):
+    rows = [("a", 1, 1.0), ("a", 0, 2.0), ("a", 0, 3.0), ("b", 1, 1.0), ("b", 0, 1.0), ("c", 1, 4.0), ("d", 0, None), ("d", None, 2.0), ("d", 1, 2.0), ("d", 0, 2.0), ("d", 0, 3.0)]
+    got = {r["k"]: r for r in stats.mann_whitney(spark.createDataFrame(rows, "k string, g int, x double"), "g", "x", ["k"]).collect()}
+    assert (got["a"]["method"], got["a"]["p_value"]) == ("exact", pytest.approx(2 / 3))
+    assert got["b"]["z"] is None and got["b"]["p_value"] is None and got["c"]["p_value"] is None and got["c"]["n_0"] == 0
+    assert (got["d"]["n_1"], got["d"]["n_0"], got["d"]["method"]) == (1, 2, "asymptotic")
+
+
+def test_degenerate_samples_give_nulls(spark):
+    two = lambda rows: spark.createDataFrame(rows, "g int, x double")
+    constant, one_group, empty = two([(1, 2.0), (1, 2.0), (0, 2.0)]), two([(1, 1.0), (1, 3.0)]), two([])
+    for df in (constant, one_group, empty):
+        t, u = stats.t_test(df, "g", F.col("x")).first(), stats.mann_whitney(df, "g", "x").first()
+        assert t["t"] is None and t["p_value"] is None and u["z"] is None and u["p_value"] is None
+        assert u["n_1"] + u["n_0"] == df.count()
+    lone = stats.t_test(two([(1, 9.0), (0, 1.0), (0, 2.0), (0, 3.0)]), "g", F.col("x")).first()
+    assert lone["t"] == pytest.approx(7 / math.sqrt(1 * (1 + 1 / 3))) and lone["df"] == 2
+    v = spark.createDataFrame([(float(i), 2.0 * i + 1, 5.0, float(i * i % 7)) for i in range(9)], "a double, b double, c double, d double")
+    vif = {r["feature"]: r["vif"] for r in stats.variance_inflation(v, ["a", "b", "c", "d"]).collect()}
+    assert vif["a"] == vif["b"] == math.inf and vif["c"] is None and vif["d"] >= 1
+    assert {r["vif"] for r in stats.variance_inflation(v.limit(0), ["a", "b"]).collect()} == {None}
+    r = {x["feature"]: x for x in stats.pearson(v, ["a", "c"], "b").collect()}
+    assert r["a"]["r"] == pytest.approx(1) and r["c"]["r"] is None and r["c"]["p_value"] is None and r["c"]["n"] == 9
+    long = lambda rows: spark.createDataFrame(rows, "s int, c string, y double")
+    for rows in ([(1, "p", 1.0), (2, "p", 3.0)], [(1, "p", 1.0), (1, "q", 2.0)], [(i, c, 4.0) for i in range(3) for c in "pq"], []):
+        assert stats.repeated_anova(long(rows), "s", "c", "y").first()["f"] is None
+    side = lambda d: spark.createDataFrame(list(d.items()), "k string, n bigint")
+    for seen, model in (({}, {"a": 3}), ({}, {}), ({"a": 0}, {"a": 2})):
+        assert stats.chi_square_fit(side(seen), side(model), "k").first()["chi_square"] is None
+    none = spark.createDataFrame([], "g int, c string, n bigint")
+    assert stats.chi_square_independence(none, "g", "c").first()["chi_square"] is None
+    assert stats.fisher_exact(none, "g", "c").first()["p_value"] == stats.fisher_simulated(none, "g", "c").first()["p_value"] == 1.0
+    assert stats.fisher_2x2(two([]), "g", "x").first()["p_value"] == 1.0
+    low, high = stats.wilson(F.lit(0), F.lit(0))
+    assert spark.range(1).select(low, high).first() == (None, None)
+
+
+def test_survival_bands(spark):
+    rows = [("a", t, e) for t, e in ((1, 0), (2, 1), (2, 1), (3, 0), (5, 1), (6, 0))] + [("b", 4, 1)] + [("c", 7, 0)]
+    got = {(r["g"], r["time"]): r for r in survival.kaplan_meier(spark.createDataFrame(rows, "g string, time int, event int"), "g").collect()}
+    v, s = 2 / (5 * 3), 3 / 5
+    r = got["a", 2]
+    assert r["survival"] == pytest.approx(s) and r["std_error"] == pytest.approx(s * math.sqrt(v))
+    width = 1.959963984540054 * math.sqrt(v) / abs(math.log(s))
+    assert (r["ci_low"], r["ci_high"]) == pytest.approx((s ** math.exp(width), s ** math.exp(-width)))
+    v, s = v + 1 / (2 * 1), s / 2
+    assert got["a", 6]["ci_low"] == pytest.approx(s ** math.exp(1.959963984540054 * math.sqrt(v) / -math.log(s)))
+    for key, end in ((("a", 1), 1.0), (("b", 4), 0.0), (("c", 7), 1.0)):
+        assert (got[key]["survival"], got[key]["std_error"], got[key]["ci_low"], got[key]["ci_high"]) == (end, 0.0, end, end)
