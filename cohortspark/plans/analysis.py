@@ -151,8 +151,8 @@ def _risk_set_sql(shifts: tuple[int, ...]) -> str:
       s{n} AS MATERIALIZED (SELECT d, case_id, q, q + CAST(floor(u * (ends - q + 1)) AS BIGINT) AS p FROM (SELECT a.d, a.case_id, k + 1 - a.i AS q,
         CAST(CAST('0x' || substr(md5('0:' || CAST(a.case_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u,
         (SELECT count(*) FROM b{n} b WHERE b.d = a.d AND b.stop >= a.stop) AS ends FROM a{n} a JOIN k{n} k ON k.d = a.d AND a.i <= k.k)),
-      f{n} AS (SELECT d, q, p AS at, q AS t FROM s{n} UNION ALL SELECT f.d, f.q, max(s.q), max(s.q) FROM f{n} f JOIN s{n} s ON s.d = f.d AND s.p = f.at AND s.q < f.t GROUP BY f.d, f.q, f.at, f.t),
-      m{n} AS MATERIALIZED (SELECT s.case_id, b.control_id, s.d AS control_start FROM s{n} s JOIN (SELECT d, q, min(t) AS t, arg_min(at, t) AS at FROM f{n} GROUP BY d, q) f ON f.d = s.d AND f.q = s.q JOIN b{n} b ON b.d = s.d AND b.j = f.at),
+      f{n} AS (SELECT d, q, p AS spot, q AS t FROM s{n} UNION ALL SELECT f.d, f.q, max(s.q), max(s.q) FROM f{n} f JOIN s{n} s ON s.d = f.d AND s.p = f.spot AND s.q < f.t GROUP BY f.d, f.q, f.spot, f.t),
+      m{n} AS MATERIALIZED (SELECT s.case_id, b.control_id, s.d AS control_start FROM s{n} s JOIN (SELECT d, q, arg_min(spot, t) AS spot FROM f{n} GROUP BY d, q) f ON f.d = s.d AND f.q = s.q JOIN b{n} b ON b.d = s.d AND b.j = f.spot),
       c{n + 1} AS MATERIALIZED (SELECT * FROM c{n} ANTI JOIN m{n} USING (case_id)), p{n + 1} AS MATERIALIZED (SELECT * FROM p{n} ANTI JOIN m{n} USING (control_id))""")
     pairs = " UNION ALL ".join(f"SELECT * FROM m{n}" for n in range(len(shifts)))
     return _recursive(sql(f"SELECT case_id, control_id, index_date, case_start, control_start FROM c0 LEFT JOIN ({pairs}) m USING (case_id)",
