@@ -96,53 +96,46 @@ def aggregate_per_person(df: DataFrame, spec, keys=(), person=("pat_id", "instan
     return aggregate(df, every, spec, order_by)
 
 
+OTHER = "other"
+
+
 def aggregate_by_index(df: DataFrame, keys, index: str, spec, order_by=None, names: Sequence[str] | None = None,
-                       max_wide: int = 100) -> DataFrame:
-    """Aggregates per (keys, index) and spreads the indexes into columns ``<col>_<fn>_<label>`` when few enough.
+                       wide: Sequence | None = None) -> DataFrame:
+    """Aggregates per (keys, index): a row each with the index and its label, null indexes included.
 
-    With more than ``max_wide`` columns the result stays long, with the index and its label. Null indexes stay
-    as rows in the long form and add no column to the wide form, whose rows are all the keys.
+    With ``wide``, the indexes to spread out, one row per key with columns ``<col>_<fn>_<label>`` for each of them; the rows of all
+    other indexes, null too, are aggregated together in ``<col>_<fn>_other``. So the columns follow from the arguments alone.
     """
     keys, spec, order = _checked(df, keys, spec, order_by)
-    label = f"{index}_label"
     idx = F.col(index)
-    if names is None:
-        text = idx.cast("string")
-    else:
-        listed = F.array(*[F.lit(str(n)) for n in names])
-        text = F.coalesce(F.get(listed, idx.cast("int")), idx.cast("string"))
-    long = aggregate(df, [*keys, index], spec, order)
     columns = [f"{c}_{f}" for c, fs in spec.items() for f in fs]
-    fits = max_wide // max(len(columns), 1)
-    if not fits:
-        return long.select(*keys, index, text.alias(label), *columns)
-    found = df.select(index).where(idx.isNotNull()).distinct().limit(fits + 1).collect()
-    if len(found) > fits:
-        return long.select(*keys, index, text.alias(label), *columns)
-    values = sorted(r[0] for r in found)
 
     def name_of(v) -> str:
-        if names is not None and isinstance(v, int) and v < len(names):
-            return str(names[v])
-        return str(v)
+        return str(names[v]) if names is not None and isinstance(v, int) and 0 <= v < len(names) else str(v)
 
-    wide = [F.first(F.when(idx == F.lit(v), F.col(c)), ignorenulls=True).alias(f"{c}_{name_of(v)}")
-            for v in values for c in columns]
-    return long.groupBy(*keys).agg(*wide) if wide else long.select(*keys).distinct()
-
-
-def aggregate_regular(df: DataFrame, keys, spec, ts: str, kind: str = "day", index: str | None = None,
-                      max_wide: int = 0) -> DataFrame:
-    """Per calendar block (year, month, day, 12-hour, 6-hour, hour), ordered by time inside a block."""
+    if wide is None:
+        text = idx.cast("string")
+        if names is not None:
+            text = F.coalesce(F.get(F.array(*[F.lit(str(n)) for n in names]), idx.cast("int")), text)
+        return aggregate(df, [*keys, index], spec, order).select(*keys, index, text.alias(f"{index}_label"), *columns)
+    slot = F.coalesce(*[F.when(idx == F.lit(v), F.lit(i)) for i, v in enumerate(wide)], F.lit(len(wide)))
+    long = aggregate(df.withColumn("_slot", slot), [*keys, "_slot"], spec, order)
+    spread = [F.first(F.when(F.col("_slot") == i, F.col(c)), ignorenulls=True).alias(f"{c}_{label}")
+              for i, label in enumerate([*map(name_of, wide), OTHER]) for c in columns]
+    return long.groupBy(*keys).agg(*spread)
+
+
+def aggregate_regular(df: DataFrame, keys, spec, ts: str, kind: str = "day", index: str | None = None) -> DataFrame:
+    """Per calendar block (year, month, day, 12-hour, 6-hour, hour), ordered by time inside a block; a row per block."""
     index = index or f"time_index_{kind.replace('-', '_')}"
-    return aggregate_by_index(df.withColumn(index, time_index(F.col(ts), kind)), keys, index, spec, ts, None, max_wide)
+    return aggregate_by_index(df.withColumn(index, time_index(F.col(ts), kind)), keys, index, spec, ts)
 
 
 def aggregate_relative(df: DataFrame, keys, spec, ts: str, reference: str, bounds: Sequence[int],
-                       names: Sequence[str] | None = None, index: str = "time_index", max_wide: int = 100) -> DataFrame:
-    """Per period between day bounds that are relative to a reference date on the row."""
+                       names: Sequence[str] | None = None, index: str = "time_index", wide: bool = True) -> DataFrame:
+    """Per period between day bounds that are relative to a reference date on the row: columns for every period, or rows."""
     marked = df.withColumn(index, defined_index(F.col(ts), F.col(reference), bounds))
-    return aggregate_by_index(marked, keys, index, spec, ts, names, max_wide)
+    return aggregate_by_index(marked, keys, index, spec, ts, names, range(len(bounds) + 1) if wide else None)
 
 
 REST = "none of these"

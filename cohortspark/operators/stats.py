@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortspark.operators.ranks import exact_quantiles, one_row, running_totals
+from cohortspark.session import durable
 
 Z95 = 1.959963984540054
 
@@ -231,33 +232,130 @@ def fisher_simulated(counts: DataFrame, group: str, category: str, replicates: i
         "method", F.lit("simulated"))
 
 
-def fisher_exact(counts: DataFrame, group: str, category: str) -> DataFrame:
-    """Exact r x c test: all tables with the observed margins, built one column at a time.
+def _ln_factorials(x: np.ndarray) -> np.ndarray:
+    """ln of x! for real x from 0 on: Stirling's series nine steps up."""
+    z, below = x + 9.0, np.ones_like(x, dtype=float)
+    for i in range(1, 9):
+        below = below * (x + i)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - np.log(below)
+
+
+def _digammas(x: np.ndarray) -> np.ndarray:
+    """Slope of ln x! for real x from 0 on."""
+    z = x + 9.0
+    out = np.log(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4) - 1 / (252 * z**6)
+    for i in range(1, 9):
+        out = out - 1 / (x + i)
+    return out
+
 
-    A state is what is left of the row margins with the log weight so far; a column's states come from exploding the counts
-    each row can take, and states that agree are merged with their number of ways, so the work follows distinct states and
-    not tables. There is no size limit; ``fisher_simulated`` is the choice for tables too rich to enumerate.
+def _longest_shortest(left: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds from above and below for the sum of -ln k! over all ways to fill the remaining columns; ``left`` has a row of
+    remaining row margins per state.
+
+    The sum is concave, so it lies below its tangent at the proportional table. There the tangent's slope is a row part, a column
+    part, both fixed by the margins, and a rest of about -1 / 2k, which is bounded by its best cell of each column or row. From
+    below: the cells of a column or row together never have a larger product of factorials than one cell with their sum.
+    """
+    if len(cols) == 1:
+        only = -_ln_factorials(left).sum(axis=1)
+        return only, only
+    total = left.sum(axis=1)
+    even = left[:, :, None] * cols / np.maximum(total, 1.0)[:, None, None]
+    held = even > 0
+    rest = np.where(held, np.log(np.where(held, even, 1.0)) - _digammas(even), -np.inf)
+    by_col = np.where(cols > 0, np.where(np.isfinite(best := rest.max(axis=1)), best, 0.0) * cols, 0.0).sum(axis=1)
+    by_row = np.where(left > 0, np.where(np.isfinite(best := rest.max(axis=2)), best, 0.0) * left, 0.0).sum(axis=1)
+    most = -_ln_factorials(even).sum(axis=(1, 2)) - np.where(held, np.where(held, rest, 0.0) * even, 0.0).sum(axis=(1, 2)) + np.minimum(by_col, by_row)
+    least = np.maximum(-_ln_factorials(cols).sum(), -_ln_factorials(left).sum(axis=1))
+    return most + 1e-9, least
+
+
+# A child whose tables together weigh less than e^-50 of the observed one is left out; the p-value is at least the latter's weight.
+NEGLIGIBLE = 50.0
+
+
+def _column_choices(left: np.ndarray, column: int, weigh, floor: float) -> Iterator[np.ndarray]:
+    """All ways to fill a column from the remaining row margins, as matrices of one way per line, without those ``weigh`` puts under
+    ``floor``. All rows but the last two are gone through one by one; the last two share what is left, by one vector."""
+    def heads(i: int, open_: int) -> Iterator[list[int]]:
+        if i == len(left) - 2:
+            yield []
+            return
+        for k in range(max(0, open_ - int(left[i + 1:].sum())), min(int(left[i]), open_) + 1):
+            for more in heads(i + 1, open_ - k):
+                yield [k, *more]
+
+    x, y = int(left[-2]), int(left[-1])
+    for head in heads(0, column):
+        open_ = column - sum(head)
+        low, high = max(0, open_ - y), min(x, open_)
+        of = lambda k: np.column_stack([*[np.full(len(k), h) for h in head], k, open_ - k])  # noqa: B023, E731
+        mean = open_ * x / max(x + y, 1)
+        spread = math.sqrt(mean * y / max(x + y, 1)) + 1
+        reach = 8 * spread
+        while True:
+            # The weight falls on both sides of its peak, so what lies behind an end under the floor is under it too.
+            a, b = max(low, math.floor(mean - reach)), min(high, math.ceil(mean + reach))
+            ends = weigh(of(np.array([a, b])))
+            if (a == low or ends[0] < floor) and (b == high or ends[1] < floor):
+                break
+            reach *= 2
+        yield of(np.arange(a, b + 1))
+
+
+def fisher_exact(counts: DataFrame, group: str, category: str) -> DataFrame:
+    """Exact r x c test: ``p_value, std_error, method, states``, over all tables with the observed margins.
+
+    Tables are built one column at a time. A state is what is left of the row margins with the log weight so far; states that
+    agree are merged with their number of ways. What the columns still to come can add at most and at least (the longest and
+    shortest path through the network of states) settles most states at once: if even the likeliest completion is no likelier
+    than the observed table, all completions count, with a weight in closed form; if even the least likely one is likelier, none
+    does. Only the states between are carried on. ``states`` is the number of states looked at. There is no size limit;
+    ``fisher_simulated`` is the choice for tables too rich even so.
     """
     spark, table = counts.sparkSession, _table(counts, group, category)
     if min(table.shape, default=0) < 2:
-        return spark.range(1).select(F.lit(1.0).alias("p_value"), F.lit(0.0).alias("std_error"), F.lit("exact").alias("method"))
+        return spark.range(1).select(F.lit(1.0).alias("p_value"), F.lit(0.0).alias("std_error"), F.lit("exact").alias("method"), F.lit(0).cast("bigint").alias("states"))
     table = table if table.shape[0] <= table.shape[1] else table.T
-    rows, cols = [int(x) for x in table.sum(axis=1)], sorted(int(x) for x in table.sum(axis=0))
-    names = [f"r{i}" for i in range(len(rows))]
-    total = lambda cs: reduce(lambda x, y: x + y, cs)
-    df = spark.range(1).select(*[F.lit(n).cast("bigint").alias(c) for n, c in zip(rows, names, strict=True)], F.lit(0.0).alias("lp"), F.lit(1.0).alias("ways"))
-    for c in cols[:-1]:
-        df = df.withColumn("left", F.lit(c).cast("bigint"))
-        for i, name in enumerate(names):
-            low = F.greatest(F.col("left") - total([F.col(n) for n in names[i + 1:]]), F.lit(0)) if i + 1 < len(names) else F.col("left")
-            df = df.select("*", F.explode(F.sequence(low, F.least("left", name))).alias("k")) if i + 1 < len(names) else df.withColumn("k", F.col("left"))
-            df = df.withColumns({name: F.col(name) - F.col("k"), "left": F.col("left") - F.col("k"), "lp": F.col("lp") - ln_factorial(F.col("k"))}).drop("k")
-        df = df.groupBy(*names, F.round("lp", 9).alias("lp")).agg(F.sum("ways").alias("ways"))
-    lp = F.col("lp") - total([ln_factorial(F.col(n)) for n in names])
-    ln_all = math.lgamma(sum(rows) + 1) - sum(math.lgamma(x + 1) for x in [*rows, *cols])
-    ln_obs = -sum(math.lgamma(x + 1) for x in table.ravel().tolist())
-    p = F.sum(F.when(lp <= ln_obs + 1e-7, F.col("ways") * F.exp(lp - ln_all)).otherwise(0.0))
-    return df.agg(F.least(p, F.lit(1.0)).alias("p_value")).withColumn("std_error", F.lit(0.0)).withColumn("method", F.lit("exact"))
+    rows, cols = np.sort(table.sum(axis=1)), np.sort(table.sum(axis=0))
+    ln_all = float(_ln_factorials(np.array([rows.sum()], float))[0] - _ln_factorials(rows.astype(float)).sum() - _ln_factorials(cols.astype(float)).sum())
+    ln_seen = float(-_ln_factorials(table.astype(float)).sum())
+
+    def step(at: int):
+        column, rest = int(cols[at]), cols[at + 1:].astype(float)
+        ln_rest = _ln_factorials(np.array([rest.sum()]))[0] - _ln_factorials(rest).sum()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                inside, seen, kept = 0.0, 0, []
+                for left, lp, ways in zip(batch["r"], batch["lp"], batch["ways"]):
+                    left = np.asarray(left, dtype=np.int64)
+                    path = lambda k: lp - _ln_factorials(k.astype(float)).sum(axis=1)  # noqa: B023, E731
+                    mass = lambda k: path(k) + ln_rest - _ln_factorials((left - k).astype(float)).sum(axis=1)  # noqa: B023, E731
+                    for k in _column_choices(left, column, mass, ln_seen - NEGLIGIBLE):
+                        after = left - k
+                        most, least = _longest_shortest(after.astype(float), rest)
+                        so_far = path(k)
+                        all_in = so_far + most <= ln_seen + 1e-7
+                        inside += ways * float(np.exp(mass(k[all_in]) - ln_all).sum())
+                        seen += len(k)
+                        for i in np.flatnonzero(~all_in & (so_far + least <= ln_seen + 1e-7)):
+                            kept.append((after[i].tolist(), float(so_far[i]), ways, None, None))
+                yield pd.DataFrame([*kept, (None, None, None, inside, seen)], columns=["r", "lp", "ways", "inside", "seen"])
+
+        return run
+
+    schema, total, seen = "r array<bigint>, lp double, ways double, inside double, seen bigint", 0.0, 0
+    states = spark.createDataFrame([([int(x) for x in rows], 0.0, 1.0)], "r array<bigint>, lp double, ways double")
+    for at in range(len(cols) - 1):
+        # Few rows can be much work, so they are spread by number and not by size.
+        spread = states.repartition(4 * spark.sparkContext.defaultParallelism, "r", "lp")
+        found = durable(spread.mapInPandas(step(at), schema))
+        part = found.agg(F.sum("inside"), F.sum("seen")).first()
+        total, seen = total + (part[0] or 0.0), seen + (part[1] or 0)
+        states = found.where("r IS NOT NULL").groupBy("r", F.round("lp", 9).alias("lp")).agg(F.sum("ways").alias("ways"))
+    return spark.range(1).select(F.lit(min(total, 1.0)).alias("p_value"), F.lit(0.0).alias("std_error"), F.lit("exact").alias("method"), F.lit(seen).cast("bigint").alias("states"))
 
 
 def chi_square_independence(counts: DataFrame, group: str, category: str) -> DataFrame:

@@ -57,12 +57,13 @@ def agg_per_person(v):
 
 
 @query("agg_by_time_index", sql("""SELECT pat_id, instance, count(value) FILTER (w = 1) AS value_count_early, max(value) FILTER (w = 1) AS value_max_early,
-  count(value) FILTER (w = 2) AS value_count_late, max(value) FILTER (w = 2) AS value_max_late FROM (SELECT *,
-  CASE WHEN extract(day FROM recorded_time) < 15 THEN 1 ELSE 2 END AS w FROM measure) GROUP BY 1, 2""", "measure"))
+  count(value) FILTER (w = 2) AS value_count_late, max(value) FILTER (w = 2) AS value_max_late, count(value) FILTER (w IS NULL) AS value_count_other, max(value) FILTER (w IS NULL) AS value_max_other FROM (SELECT *,
+  CASE WHEN extract(day FROM recorded_time) < 15 THEN 1 WHEN extract(day FROM recorded_time) >= 15 THEN 2 END AS w FROM measure) GROUP BY 1, 2""", "measure"))
 def agg_by_time_index(v):
-    df = v.measure.withColumn("half", F.when(F.dayofmonth("recorded_time") < 15, 0).otherwise(1))
-    out = agg.aggregate_by_index(df, PERSON, "half", {"value": ["count", "max"]}, None, ["early", "late"])
-    return out.na.fill(0, ["value_count_early", "value_count_late"])
+    """Halves of the month side by side; measures without a time are the other ones."""
+    df = v.measure.withColumn("half", (F.dayofmonth("recorded_time") >= 15).cast("int"))
+    out = agg.aggregate_by_index(df, PERSON, "half", {"value": ["count", "max"]}, None, ["early", "late"], wide=[0, 1])
+    return out.na.fill(0, ["value_count_early", "value_count_late", "value_count_other"])
 
 
 @query("agg_regular_windows", sql("""SELECT pat_id, instance, strftime(recorded_time, '%Y-%m-%d-') || lpad(CAST(hour(recorded_time) // 6 AS VARCHAR), 2, '0') AS time_index_6_hour,
@@ -73,7 +74,7 @@ def agg_regular_windows(v):
 
 
 @query("agg_custom_windows", sql("""SELECT pat_id, instance, count(value) FILTER (d < 0) AS value_count_0, count(value) FILTER (d >= 0 AND d < 7) AS value_count_1,
-  count(value) FILTER (d >= 7 AND d < 14) AS value_count_2, count(value) FILTER (d >= 14) AS value_count_3 FROM (SELECT *,
+  count(value) FILTER (d >= 7 AND d < 14) AS value_count_2, count(value) FILTER (d >= 14) AS value_count_3, count(value) FILTER (d IS NULL) AS value_count_other FROM (SELECT *,
   date_diff('day', DATE '2024-01-05', CAST(recorded_time AS DATE)) - instance AS d FROM measure) GROUP BY 1, 2""", "measure"))
 def agg_custom_windows(v):
     df = v.measure.withColumn("ref", F.date_add(F.lit("2024-01-05").cast("date"), F.col("instance")))

@@ -6,12 +6,16 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
+from cohortspark.functions import categories as cat
 from cohortspark.functions.dates import age_years
-from cohortspark.operators import cohorts, matching, models, stats, survival
+from cohortspark.functions.strings import coverage_group
+from cohortspark.operators import cohorts, encoders, matching, models, stats, survival
 from cohortspark.operators.cohorts import PERSON
+from cohortspark.plans.aggregates import answer
 from cohortspark.plans.clinical import infections, states
 from cohortspark.plans.registry import query
 from cohortspark.plans.relational import EPISODE
+from cohortspark.session import durable, scratch_path
 from cohortspark.sources.views import sql, state_sql
 
 COVARIATES = ["balance", "age", "n_episodes", "nation"]
@@ -97,6 +101,50 @@ def match_feature_frame(v):
     return matching.feature_frame(df, ["balance"], ["nation"]).withColumn("nation", F.round("nation", 8))
 
 
+# The covariates of an episode, by name: how SQL says them, and the values the encoder finds, the most frequent of which are not known beforehand.
+_ENCODED = {
+    "race": ("['White or Caucasian', 'Asian', 'Black or African American', 'Other', 'Unknown', 'American Indian or Alaska Native'][episode_id % 6 + 1]",
+             ["White or Caucasian", "Asian", "Black or African American", "Other", "Unknown", "American Indian or Alaska Native"]),
+    "ethnicity": ("CASE episode_id % 5 WHEN 0 THEN 'Hispanic or Latino' WHEN 1 THEN 'Not Hispanic or Latino' WHEN 2 THEN 'Not Hispanic or Latino' ELSE 'Unknown' END", ["Hispanic or Latino", "Not Hispanic or Latino", "Unknown"]),
+    "method": ("CASE episode_id % 4 WHEN 0 THEN 'Vaginal' WHEN 1 THEN 'C-Section' END", ["Vaginal", "C-Section"]),
+    "insurance": ("['1_Medicaid', '2_Medicare', '3_Commercial', '4_Uninsured-Self-Pay', '7_Uninsured', '6_Other', NULL][episode_id % 7 + 1]",
+                  ["1_Medicaid", "2_Medicare", "3_Commercial", "4_Uninsured-Self-Pay", "7_Uninsured", "6_Other"]),
+    "ruca": ("CASE WHEN nation < 4 THEN 'Metropolitan' WHEN nation < 7 THEN 'Micropolitan' WHEN nation < 10 THEN 'SmallTown' ELSE 'Rural' END", ["Metropolitan", "Micropolitan", "SmallTown", "Rural"]),
+    "timing": ("CASE WHEN d IS NULL THEN NULL WHEN d < 0 THEN 'before' WHEN d <= 90 THEN '1st trimester' WHEN d <= 181 THEN '2nd trimester' ELSE '3rd trimester' END", ["before", "1st trimester", "2nd trimester", "3rd trimester"]),
+}
+
+
+def _encoded_sql() -> str:
+    cells = []
+    for c, (_, domain) in _ENCODED.items():
+        listed = ", ".join(f"'{d}'" for d in domain)
+        cells += [f"CAST(coalesce({c} = '{d}', false) AS INTEGER) AS {c}_{encoders.slug(d)}" for d in domain]
+        cells += [f"CAST(coalesce({c} NOT IN ({listed}), false) AS INTEGER) AS {c}_unseen", f"CAST({c} IS NULL AS INTEGER) AS {c}_missing"]
+    said = ", ".join(f"{text} AS {c}" for c, (text, _) in _ENCODED.items())
+    return f"""SELECT episode_id, treated, parity, {', '.join(cells)} FROM (SELECT episode_id, CASE WHEN state IN ('full', 'boosted') THEN 1 ELSE 0 END AS treated, count(*) OVER (PARTITION BY pat_id)::BIGINT AS parity, {said}
+      FROM (SELECT s.*, p.nation, date_diff('day', conception, full_date) AS d FROM state s JOIN person p ON p.pat_id = s.pat_id))"""
+
+
+def covariate_frame(v):
+    """Episodes with the exposure and their covariates as categories: race, ethnicity, delivery method, insurance, place and timing."""
+    s = states(v).join(v.person.select(*PERSON, "nation"), PERSON)
+    n = v.episode.groupBy(*PERSON).agg(F.count(F.lit(1)).alias("parity"))
+    day = F.datediff("full_date", "conception")
+    return s.join(n, PERSON).select(
+        "episode_id", F.col("state").isin("full", "boosted").cast("int").alias("treated"), "parity", cat.race_simple(F.array(answer("race"))).alias("race"),
+        cat.ethnicity(answer("ethnicity")).alias("ethnicity"), cat.delivery_method_group(answer("method")).alias("method"), coverage_group(answer("payer")).alias("insurance"),
+        cat.ruca(F.col("nation")).alias("ruca"), F.when(day < 0, "before").when(day <= 90, "1st trimester").when(day <= 181, "2nd trimester").when(day > 181, "3rd trimester").alias("timing"))
+
+
+@query("match_covariate_frame", sql(_encoded_sql(), "person", "episode", "history", extra=state_sql("episode", "delivery")))
+def match_covariate_frame(v):
+    """All covariates one-hot by an encoder that was fitted on four fifths of the episodes, stored, and read again."""
+    frame = durable(covariate_frame(v))
+    path = scratch_path(v.spark, "encoder")
+    encoders.save(encoders.fit(models.split_by_hash(frame, "episode_id").where("not is_test"), list(_ENCODED)), path)
+    return encoders.one_hot(frame, encoders.load(v.spark, path), list(_ENCODED))
+
+
 @query("match_propensity_score", _recursive(sql("SELECT pat_id, treated, round(1 / (1 + exp(-logit)), 4) AS propensity, round(logit, 4) AS logit FROM scored", *_PEOPLE_VIEWS, extra=_PROPENSITY)))
 def match_propensity_score(v):
     df = matching.propensity(people(v), "treated", COVARIATES)
@@ -243,19 +291,26 @@ def stat_fisher_rxc_mc(v):
     return stats.fisher_simulated(stats.contingency(df, "infected", "state"), "infected", "state", 2000)
 
 
-@query("stat_fisher_rxc_exact", sql("""SELECT round(least(sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp) ELSE 0 END), 1), 6) AS p_value, 'exact' AS method FROM (
-  SELECT lp, (SELECT lc(c1, x1) + lc(c2, x2) + lc(c3, x3) - lc(c1 + c2 + c3, x1 + x2 + x3) FROM t) AS lo FROM (
-  SELECT lc(c1, i) + lc(c2, j) + lc(c3, x1 + x2 + x3 - i - j) - lc(c1 + c2 + c3, x1 + x2 + x3) AS lp FROM t, LATERAL (SELECT unnest(range(0, c1 + 1)) AS i), LATERAL (SELECT unnest(range(0, c2 + 1)) AS j)
-  WHERE x1 + x2 + x3 - i - j BETWEEN 0 AND c3))""", "infection", "history", extra=INF + """, t AS (SELECT count(*) FILTER (g = 1) AS c1, count(*) FILTER (g = 1 AND i) AS x1, count(*) FILTER (g = 2) AS c2,
-  count(*) FILTER (g = 2 AND i) AS x2, count(*) FILTER (g = 3) AS c3, count(*) FILTER (g = 3 AND i) AS x3 FROM (SELECT CASE state WHEN 'boosted' THEN 1 WHEN 'full' THEN 2 ELSE 3 END AS g, infection_date IS NOT NULL AS i FROM state))""")
-       .replace("lc(c1 + c2 + c3, x1 + x2 + x3)", "(lgamma(c1 + c2 + c3 + 1.0::DOUBLE) - lgamma(x1 + x2 + x3 + 1.0::DOUBLE) - lgamma(c1 + c2 + c3 - x1 - x2 - x3 + 1.0::DOUBLE))")
-       .replace("lc(c3, x1 + x2 + x3 - i - j)", "(lgamma(c3 + 1.0::DOUBLE) - lgamma(x1 + x2 + x3 - i - j + 1.0::DOUBLE) - lgamma(c3 - x1 - x2 - x3 + i + j + 1.0::DOUBLE))")
-       .replace("lc(c1, i)", "(lgamma(c1 + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(c1 - i + 1.0::DOUBLE))").replace("lc(c2, j)", "(lgamma(c2 + 1.0::DOUBLE) - lgamma(j + 1.0::DOUBLE) - lgamma(c2 - j + 1.0::DOUBLE))")
-       .replace("lc(c1, x1)", "(lgamma(c1 + 1.0::DOUBLE) - lgamma(x1 + 1.0::DOUBLE) - lgamma(c1 - x1 + 1.0::DOUBLE))").replace("lc(c2, x2)", "(lgamma(c2 + 1.0::DOUBLE) - lgamma(x2 + 1.0::DOUBLE) - lgamma(c2 - x2 + 1.0::DOUBLE))")
-       .replace("lc(c3, x3)", "(lgamma(c3 + 1.0::DOUBLE) - lgamma(x3 + 1.0::DOUBLE) - lgamma(c3 - x3 + 1.0::DOUBLE))"))
+def _ln_ways(n: str, k: str) -> str:
+    """SQL for ln of the number of ways to choose k of n."""
+    return f"(lgamma({n} + 1.0::DOUBLE) - lgamma({k} + 1.0::DOUBLE) - lgamma({n} - ({k}) + 1.0::DOUBLE))"
+
+
+# All tables of the five states: the first three columns are tried out, for the last two the weights of each sum are ordered and added up.
+_FIVE = f""", t AS MATERIALIZED (SELECT n, x, row_number() OVER (ORDER BY n, state) AS j FROM (SELECT state, count(*) AS n, count(*) FILTER (infection_date IS NOT NULL) AS x FROM state GROUP BY 1)),
+  o AS MATERIALIZED (SELECT sum(n)::BIGINT AS n, sum(x)::BIGINT AS x, sum(n) FILTER (j > 2)::BIGINT AS n3, sum(n) FILTER (j > 3)::BIGINT AS n2, sum({_ln_ways('n', 'x')}) AS lo FROM t),
+  w AS MATERIALIZED (SELECT j, k, {_ln_ways('n', 'k')} AS w FROM (SELECT j, t.n, unnest(range(0, least(t.n, o.x) + 1)) AS k FROM t, o)),
+  a2 AS MATERIALIZED (SELECT k, w FROM (SELECT p.k + q.k AS k, p.w + q.w AS w FROM w p JOIN w q ON p.j = 1 AND q.j = 2), o WHERE o.x - k BETWEEN 0 AND n3 AND CASE WHEN o.x - k BETWEEN 0 AND n3 THEN w + {_ln_ways('n3', 'o.x - k')} END > lo - 50),
+  a3 AS MATERIALIZED (SELECT s, v.w, lo + 1e-7 - v.w AS room FROM (SELECT o.x - p.k - q.k AS s, p.w + q.w AS w FROM a2 p, o, w q WHERE q.j = 3) v, o WHERE s BETWEEN 0 AND n2 AND CASE WHEN s BETWEEN 0 AND n2 THEN v.w + {_ln_ways('n2', 's')} END > lo - 50),
+  e AS MATERIALIZED (SELECT s, w, max(w) OVER (PARTITION BY s) AS top FROM (SELECT p.k + q.k AS s, p.w + q.w AS w FROM w p JOIN w q ON p.j = 4 AND q.j = 5) WHERE s <= (SELECT x FROM o)),
+  f AS MATERIALIZED (SELECT s, w, top, sum(exp(w - top)) OVER (PARTITION BY s ORDER BY w) AS upto FROM e)"""
+
+
+@query("stat_fisher_rxc_exact", sql(f"""SELECT round(least(sum(exp(a3.w + f.top - {_ln_ways('o.n', 'o.x')}) * upto), 1), 6) AS p_value, 'exact' AS method
+  FROM a3 ASOF JOIN f ON a3.s = f.s AND a3.room >= f.w, o""", "infection", "history", extra=INF + _FIVE))
 def stat_fisher_rxc_exact(v):
-    df = exposed_infected(v).withColumn("g", F.when(F.col("state").isin("boosted", "full"), F.col("state")).otherwise("none"))
-    out = stats.fisher_exact(stats.contingency(df, "infected", "g"), "infected", "g")
+    """Infection by all five exposure states."""
+    out = stats.fisher_exact(stats.contingency(exposed_infected(v), "infected", "state"), "infected", "state")
     return out.select(F.round("p_value", 6).alias("p_value"), "method")
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from cohortspark.functions import sqlrules
 from cohortspark.functions.dates import age_years
 from cohortspark.functions.numbers import bmi_from
 from cohortspark.functions.strings import coverage_group
@@ -31,6 +32,16 @@ def filter_sql_string(v):
     return v.t("orders").where("o_totalprice > 250000 and o_orderpriority like '1%'").select("o_orderkey", "o_totalprice")
 
 
+@query("filter_sql_rule", """SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders
+  WHERE right('0000' || o_orderkey, 4) >= '0500' AND lower(replace(o_orderpriority, '-', '')) IN ('1urgent', '4not specified') AND o_orderstatus <> 'P'""")
+def filter_sql_rule(v):
+    """A filter string that calls column rules by name."""
+    sqlrules.register(v.spark)
+    kept = v.t("orders").where("""zero_pad_front(CAST(o_orderkey AS STRING), 4) >= '0500' AND clean_text(o_orderpriority) IN ('1urgent', '4not specified')
+                                  AND code_of(concat('STATUS#', o_orderstatus)) <> 'P'""")
+    return kept.select("o_orderkey", "o_orderpriority", "o_orderstatus")
+
+
 @query("filter_any_concept", sql("""SELECT pat_id, order_med_id, heavy, note FROM (SELECT pat_id, l_orderkey * 10 + l_linenumber AS order_med_id,
   l_quantity > 45 AS heavy, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS note FROM line) WHERE heavy OR note IS NOT NULL""", "line"))
 def filter_any_concept(v):
@@ -232,7 +243,7 @@ def coverage_tables(v):
                                F.when(F.col("o_orderstatus") != "P", "Personal/Family").otherwise("Workers Comp").alias("type"),
                                F.when(F.col("o_orderpriority") == "1-URGENT", "Medicaid").when(F.col("o_orderpriority") == "2-HIGH", "Commercial")
                                .when(F.col("o_orderpriority") == "3-MEDIUM", "OTHER GOVERNMENT").when(F.col("o_orderpriority") == "5-LOW", "Self-pay").alias("financial_class"))
-    ac = v.line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("account_id"), "instance", F.col("l_suppkey").alias("coverage_id"))
+    ac = v.line.select(F.col("l_orderkey").alias("account_id"), "instance", F.col("l_suppkey").alias("coverage_id")).distinct()
     cov = v.t("supplier").select(F.col("s_suppkey").alias("coverage_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("instance"),
                                  F.when(F.col("s_suppkey") % 5 == 0, "Medi-Cal plan").when(F.col("s_suppkey") % 5 == 1, "MEDICARE A")
                                  .when(F.col("s_suppkey") % 5 == 2, "Victims fund").when(F.col("s_suppkey") % 5 == 3, "Blue Plan").alias("payor"))
@@ -242,7 +253,7 @@ def coverage_tables(v):
 CHAIN = """chain AS (SELECT p.pat_id, p.instance, o_orderkey AS account_id, l_suppkey AS coverage_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Medicaid' WHEN '2-HIGH' THEN 'Commercial' WHEN '3-MEDIUM' THEN 'OTHER GOVERNMENT' WHEN '5-LOW' THEN 'Self-pay' END AS financial_class,
   CASE l_suppkey % 5 WHEN 0 THEN 'Medi-Cal plan' WHEN 1 THEN 'MEDICARE A' WHEN 2 THEN 'Victims fund' WHEN 3 THEN 'Blue Plan' END AS payor
-  FROM person p JOIN orders ON o_custkey = p.pat_id LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1
+  FROM person p JOIN orders ON o_custkey = p.pat_id LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey
   WHERE o_orderkey % 11 <> 0 AND o_orderstatus <> 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'))"""
 
 
@@ -282,10 +293,19 @@ def join_hierarchy_expand(v):
     return concepts.expand_by_hierarchy(label_codes(v), concept, ancestor)
 
 
-@query("join_relationship_expand", sql("SELECT DISTINCT label, code FROM codes", extra=CODES))
+# Nations related by their suppliers' numbers: a relation with loops and in both directions, unlike the hierarchy.
+RELATED = """start AS (SELECT CASE WHEN r_regionkey < 2 THEN 'west' ELSE 'east' END AS label, 'R' || r_regionkey AS code FROM region UNION SELECT 'west', 'N' || n_nationkey FROM nation WHERE n_nationkey = 7),
+  codes AS (SELECT label, code FROM start UNION SELECT label, 'N' || to_nation FROM start JOIN (SELECT 'N' || s_nationkey AS code, s_suppkey % 25 AS to_nation FROM supplier UNION ALL SELECT 'R' || s_nationkey % 5, s_nationkey FROM supplier WHERE s_suppkey % 2 = 0) USING (code))"""
+
+
+@query("join_relationship_expand", sql("SELECT DISTINCT label, code FROM codes", extra=RELATED))
 def join_relationship_expand(v):
-    concept, ancestor, _ = concept_tables(v)
-    relation = ancestor.withColumnsRenamed({"ancestor_concept_id": "concept_id_1", "descendant_concept_id": "concept_id_2"})
+    """Codes one relation away. Suppliers relate their nation to another one, and every other supplier a region to a nation of any region."""
+    concept, _, _ = concept_tables(v)
+    s = v.t("supplier")
+    nation, other = F.col("s_nationkey").cast("bigint"), (F.col("s_suppkey") % 25).cast("bigint")
+    relation = s.select(nation.alias("concept_id_1"), other.alias("concept_id_2")).unionByName(
+        s.where("s_suppkey % 2 = 0").select((nation % 5 + 1000).alias("concept_id_1"), nation.alias("concept_id_2")))
     return concepts.expand_by_relationship(label_codes(v), concept, relation)
 
 

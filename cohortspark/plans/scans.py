@@ -244,9 +244,11 @@ def profile_table_details(v):
     return profile.table_details(v.person.select("pat_id", "instance", "death_date", "segment", "nation"))
 
 
-@query("model_info_io", "SELECT 'price' AS feature, 50 AS max_iter, count(*) AS n_orders FROM orders UNION ALL SELECT 'days', 50, count(*) FROM orders")
+@query("model_info_io", """WITH x AS (SELECT unnest([{'f': 'price', 'v': floor(o_totalprice / 1000 / 100)}, {'f': 'days', 'v': floor((o_orderkey % 161 + 140) / 30)}]) AS u, o_orderstatus = 'F' AS y FROM orders),
+  c AS (SELECT u.f AS f, u.v AS v, y, count(*) AS n FROM x GROUP BY ALL), e AS (SELECT f, v, y, n, sum(n) OVER (PARTITION BY f, v) * sum(n) OVER (PARTITION BY f, y) / sum(n) OVER (PARTITION BY f) AS e FROM c)
+  SELECT f AS feature, round(sum((n - e) ** 2 / e), 5) AS chi_square, (count(DISTINCT v) - 1) * (count(DISTINCT y) - 1) AS df, 1000 AS max_iter, (SELECT count(*) FROM orders) AS n_rows, 'price,days' AS features FROM e GROUP BY 1""")
 def model_info_io(v):
-    """A fitted model, its coefficient table and its notes survive a round trip through storage."""
+    """A fitted model, its coefficient table with the features' tests, and its notes survive a round trip through storage."""
     df = v.episode.select((F.col("price") / 1000).alias("price"), F.col("gest_days").cast("double").alias("days"),
                           (F.col("status") == "F").cast("int").alias("y"))
     features = ["price", "days"]
@@ -254,8 +256,9 @@ def model_info_io(v):
     banded = df.select(F.floor(F.col("price") / 100).alias("price"), F.floor(F.col("days") / 30).alias("days"), "y")
     tests = stats.with_p(stats.chi_square_features(banded, features, "y"), stats.chi2_tail, "chi_square", "df")
     path = scratch_path(v.spark, "model")
-    models.save_model(model, features, tests, path, max_iter=50)
-    _, coefficients, notes = models.load_model(v.spark, path)
-    total = v.t("orders").agg(F.count(F.lit(1)).alias("n_orders"))
-    return coefficients.where("p_value is not null and coefficient is not null").select(
-        "feature", F.lit(notes["max_iter"]).alias("max_iter"), F.lit(total.first()[0]).cast("bigint").alias("n_orders"))
+    models.save_model(model, features, tests, path, max_iter=model.stages[-1].getMaxIter(), n_rows=df.count())
+    again, coefficients, notes = models.load_model(v.spark, path)
+    # The stored table must be that of the stored model.
+    found = coefficients.join(models.coefficient_table(v.spark, again, notes["features"]), ["feature", "coefficient"], "left_semi")
+    return found.where("p_value is not null").select("feature", F.round("chi_square", 5).alias("chi_square"), "df", F.lit(notes["max_iter"]).alias("max_iter"),
+                                                     F.lit(notes["n_rows"]).cast("bigint").alias("n_rows"), F.lit(",".join(notes["features"])).alias("features"))

@@ -1,14 +1,18 @@
 """Operators against plain Python on small data, with few rows per partition and a hot key."""
 
 import datetime as dt
+import math
+import os
 import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from cohortspark.functions import dates, sqlrules, strings
 from cohortspark.operators import aggregate as agg
-from cohortspark.operators import cohorts, concepts, features, joins, models, ranks, timeline
+from cohortspark.operators import cohorts, concepts, encoders, features, joins, models, ranks, timeline
+from cohortspark.session import durable
 from cohortspark.sources import registry, tables
 
 D0 = dt.date(2020, 1, 1)
@@ -82,12 +86,15 @@ def test_aggregate_semantics(spark):
         agg.aggregate(df, "nope", {"s": "min"})
 
 
-def test_wide_and_long_index_agree(spark):
-    df = spark.createDataFrame([(1, 0, 5), (1, 1, 7), (2, 1, 3), (3, None, 4)], "k int, i int, n int")
-    wide = {r["k"]: (r["n_sum_pre"], r["n_sum_1"]) for r in agg.aggregate_by_index(df, "k", "i", {"n": "sum"}, None, ["pre"]).collect()}
-    assert wide == {1: (5, 7), 2: (None, 3), 3: (None, None)}
-    long = {(r["k"], r["i"], r["i_label"]): r["n_sum"] for r in agg.aggregate_by_index(df, "k", "i", {"n": "sum"}, None, ["pre"], max_wide=1).collect()}
-    assert long == {(1, 0, "pre"): 5, (1, 1, "1"): 7, (2, 1, "1"): 3, (3, None, None): 4}
+def test_wide_and_long_index_hold_the_same(spark):
+    df = spark.createDataFrame([(1, 0, 5), (1, 1, 7), (1, None, 1), (2, 1, 3), (2, None, 9), (3, None, 4), (3, 6, 2)], "k int, i int, n int")
+    wide = agg.aggregate_by_index(df, "k", "i", {"n": "sum"}, None, ["pre"], wide=[0, 1])
+    assert wide.columns == ["k", "n_sum_pre", "n_sum_1", "n_sum_other"]
+    assert {tuple(r) for r in wide.collect()} == {(1, 5, 7, 1), (2, None, 3, 9), (3, None, None, 6)}
+    # The columns do not follow the rows.
+    assert agg.aggregate_by_index(df.limit(0), "k", "i", {"n": "sum"}, None, ["pre"], wide=[0, 1]).columns == wide.columns
+    long = {(r["k"], r["i"], r["i_label"]): r["n_sum"] for r in agg.aggregate_by_index(df, "k", "i", {"n": "sum"}, None, ["pre"]).collect()}
+    assert long == {(1, 0, "pre"): 5, (1, 1, "1"): 7, (1, None, None): 1, (2, 1, "1"): 3, (2, None, None): 9, (3, None, None): 4, (3, 6, "6"): 2}
 
 
 def test_weekly_rate_and_histogram(spark):
@@ -182,6 +189,86 @@ def test_tables(spark):
     assert name in tables.list_tables(spark) and tables.drop_table(spark, name) and not tables.drop_table(spark, name)
 
 
+def failing(spark, n):
+    """Rows of which the last ones cannot be computed."""
+    return spark.range(0, n, 1, 4).select(F.col("id").alias("n"), F.when(F.col("id") < n - 2, F.lit("new")).otherwise(F.raise_error(F.lit("broken"))).cast("string").alias("s"))
+
+
+@pytest.mark.parametrize("at_path", [False, True])
+def test_a_failed_replacement_keeps_the_old_table(spark, tmp_path, at_path):
+    name = f"stage_replace_{at_path}".lower()
+    tables.drop_table(spark, name)
+    put = (lambda df, **k: tables.write_path_table(df, name, str(tmp_path / "t"), **k)) if at_path else (lambda df, **k: tables.write_table(df, name, **k))
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "n long, s string")
+    assert put(first) and not put(first)
+    was = tables.location(spark, name)
+    with pytest.raises(Exception, match="broken"):
+        put(failing(spark, 4000), replace=True)
+    assert sorted(spark.table(name).collect()) == [(1, "a"), (2, "b")] and tables.location(spark, name) == was
+    assert put(first.where("n = 2"), replace=True)
+    assert spark.table(name).collect() == [(2, "b")] and tables.location(spark, name) != was
+    # The old version is gone, and a version with other columns can follow.
+    assert not os.path.exists(was.removeprefix("file:"))
+    assert tables.append_table(first, name) and spark.table(name).count() == 3
+    assert put(spark.createDataFrame([(1.5,)], "x double"), replace=True) and spark.table(name).collect() == [(1.5,)]
+    assert put(spark.table(name).selectExpr("x + 1 AS x"), replace=True) and spark.table(name).collect() == [(2.5,)]
+    assert tables.drop_table(spark, name)
+
+
+def test_sql_rules_say_what_the_column_rules_say(spark):
+    assert set(sqlrules.register(spark)) == set(sqlrules.RULES) and sqlrules.register(spark)
+    texts = [" Not  Detected. ", "DETECTED", None, "a-b (c)\t", "negative:", "12", "1234567"]
+    df = spark.createDataFrame([(t, "LOINC#X12-3" if i % 2 else None, D0 + dt.timedelta(days=400 * i)) for i, t in enumerate(texts)], "t string, c string, d date")
+    pairs = {
+        "clean_text(t)": strings.clean_text(F.col("t")), "zero_pad_front(t, 4)": strings.pad_front(F.col("t"), 4),
+        "code_of(c)": strings.split_code(F.col("c"))["code"], "vocabulary_of(c)": strings.split_code(F.col("c"))["vocabulary"],
+        "lab_code(code_of(c), 'X9')": strings.lab_code(strings.split_code(F.col("c"))["code"], F.lit("X9")),
+        "age_years(date'2020-01-01', d)": dates.age_years(F.lit("2020-01-01").cast("date"), F.col("d")),
+        "gestation_days(d, date'2020-05-05')": dates.gestation_days(F.col("d"), F.lit("2020-05-05").cast("date")),
+        "is_positive_result(t)": strings.clean_text(F.col("t")).isin(strings.POSITIVE_RESULTS),
+        "is_negative_result(t)": strings.clean_text(F.col("t")).isin(strings.NEGATIVE_RESULTS)}
+    rows = df.select(*[F.expr(f"{q}").alias(f"s{i}") for i, q in enumerate(pairs)], *[c.alias(f"c{i}") for i, c in enumerate(pairs.values())]).collect()
+    for i, q in enumerate(pairs):
+        assert [r[f"s{i}"] for r in rows] == [r[f"c{i}"] for r in rows], q
+
+
+def test_folds_are_fitted_together(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(5, 100), 3.0) for i in range(900)]
+    rows = [(*r, int(rng.random() < 1 / (1 + math.exp(-1.5 * r[1] + r[2] / 100)))) for r in rows]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y int")
+    got = {r["fold"]: (r["accuracy"], r["n"]) for r in models.cross_validate(df, "id", ["a", "b", "c"], "y", folds=4).collect()}
+    marked = df.withColumn("fold", models._fold_of(F.col("id"), 4, 0))
+    for k in range(4):
+        seen = models.logistic(marked.where(F.col("fold") != k), ["a", "b"], "y").transform(marked.where(F.col("fold") == k))
+        want = seen.agg(F.avg((F.col("prediction") == F.col("y")).cast("double")), F.count(F.lit(1))).first()
+        assert got[k] == (pytest.approx(want[0], abs=1e-9), want[1])
+    held = durable(marked.select("fold", F.array("a").alias("x"), F.col("y").cast("double").alias("y")))
+    b, scans = models.fold_models(held, 2, 4)
+    assert scans <= 12 and all(0.5 < g[1] < 3 for g in b)
+    # Rows a line can part have no largest likelihood; the models still part them.
+    parted = spark.createDataFrame([(i, float(i - 50), int(i >= 50)) for i in range(100)], "id long, a double, y int")
+    assert all(r["accuracy"] > 0.9 for r in models.cross_validate(parted, "id", ["a"], "y", folds=3).collect())
+
+
+def test_stored_encoders_meet_new_values(spark, tmp_path):
+    train = spark.createDataFrame([("a b", 1), ("a b", 2), ("c", 2), (None, None), ("d", 2)], "x string, y int")
+    encoders.save(encoders.fit(train, ["x", "y"]), str(tmp_path / "e"))
+    e = encoders.load(spark, str(tmp_path / "e"))
+    assert encoders.values_of(e) == {"x": ["a b", "c", "d"], "y": ["2", "1"]}
+    new = spark.createDataFrame([(1, "c", 1), (2, "z", 2), (3, None, 9), (4, "a b", None)], "id int, x string, y int")
+    hot = encoders.one_hot(new, e, ["x", "y"])
+    assert hot.columns == ["id", "x_a_b", "x_c", "x_d", "x_unseen", "x_missing", "y_2", "y_1", "y_unseen", "y_missing"]
+    assert sorted(tuple(r) for r in hot.collect()) == [(1, 0, 1, 0, 0, 0, 0, 1, 0, 0), (2, 0, 0, 0, 1, 0, 1, 0, 0, 0), (3, 0, 0, 0, 0, 1, 0, 0, 1, 0), (4, 1, 0, 0, 0, 0, 0, 0, 0, 1)]
+    assert encoders.one_hot(new, e, ["y"], reference=True).columns == ["id", "x", "y_1", "y_unseen", "y_missing"]
+    assert sorted(tuple(r) for r in encoders.codes(new, e, ["x", "y"]).collect()) == [(1, 1, 1), (2, -1, 0), (3, None, -1), (4, 0, None)]
+    assert encoders.fit(train, ["x"], least=2).count() == 1 and encoders.fit(train.limit(0), ["x"]).count() == 0
+    for wrong in (lambda: encoders.one_hot(new, e, ["id"]), lambda: encoders.values_of(e, most=2),
+                  lambda: encoders.one_hot(new, encoders.fit(spark.createDataFrame([("a-b",), ("a b",)], "x string"), ["x"]), ["x"])):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_category_counts_keep_every_row(spark):
     df = spark.createDataFrame([(1, "a"), (1, "z"), (1, None), (2, "b"), (None, "a")], "g int, c string")
     got = agg.category_counts(df, {"m": (F.col("c"), ["a", "b"])}, ["g"]).collect()

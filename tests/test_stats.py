@@ -3,6 +3,7 @@
 import math
 from math import comb
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,55 @@ def test_survival_bands(spark):
     assert got["a", 6]["ci_low"] == pytest.approx(s ** math.exp(1.959963984540054 * math.sqrt(v) / -math.log(s)))
     for key, end in ((("a", 1), 1.0), (("b", 4), 0.0), (("c", 7), 1.0)):
         assert (got[key]["survival"], got[key]["std_error"], got[key]["ci_low"], got[key]["ci_high"]) == (end, 0.0, end, end)
+
+
+def plain_fisher(table):
+    """All tables with the margins, one by one, in whole numbers."""
+    rows, cols = [sum(r) for r in table], [sum(c) for c in zip(*table)]
+    weights = []
+
+    def fill(left, at, weight):
+        if at == len(cols):
+            weights.append(weight)
+            return
+
+        def column(i, open_, taken, w):
+            if i == len(left):
+                if not open_:
+                    fill([a - b for a, b in zip(left, taken)], at + 1, w)
+                return
+            for k in range(min(left[i], open_) + 1):
+                column(i + 1, open_ - k, [*taken, k], w * math.comb(left[i], k))
+
+        column(0, cols[at], [], weight)
+
+    fill(rows, 0, 1)
+    seen = math.prod(math.comb(sum(r[j:]), r[j]) for r in table for j in range(len(r)))
+    assert sum(weights) == math.prod(math.comb(sum(cols[j:]), c) for j, c in enumerate(cols))
+    return sum(w for w in weights if w <= seen * (1 + 1e-9)) / sum(weights), len(weights)
+
+
+@pytest.mark.parametrize("table", [[[3, 9, 4, 1, 7], [8, 2, 6, 12, 5]], [[0, 5, 5], [5, 0, 5], [4, 4, 0]], [[40, 3], [2, 30]], [[2, 1], [0, 3], [4, 0], [1, 1]], [[9, 8, 9], [7, 9, 8]], [[0, 4], [0, 6]]])
+def test_fisher_network_equals_full_enumeration(spark, table):
+    want, n = plain_fisher(table)
+    got = stats.fisher_exact(_counts(spark, table), "g", "c").first()
+    assert got["p_value"] == pytest.approx(want, rel=1e-7) and 0 <= got["states"] <= 2 * n + 2
+
+
+def test_fisher_bounds_hold_and_settle(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        m, j = rng.integers(2, 4), rng.integers(2, 4)
+        k = rng.integers(0, 9, (m, j))
+        most, least = stats._longest_shortest(k.sum(axis=1)[None].astype(float), k.sum(axis=0).astype(float))
+        value = -sum(math.lgamma(x + 1) for x in k.ravel())
+        assert least[0] - 1e-9 <= value <= most[0]
+    # Of the tables of these margins a small part is looked at.
+    got = stats.fisher_exact(_counts(spark, [[60, 75, 90, 110], [640, 700, 820, 900]]), "g", "c").first()
+    assert got["states"] < 150_000 < 701 * 776 * 336 / 1000 and 0 < got["p_value"] < 1
+
+
+def test_simulated_fisher_agrees_with_the_exact_one(spark):
+    counts = _counts(spark, [[12, 5, 9], [6, 14, 11]])
+    exact, drawn = stats.fisher_exact(counts, "g", "c").first(), stats.fisher_simulated(counts, "g", "c", 4000).first()
+    assert abs(exact["p_value"] - drawn["p_value"]) <= 4 * drawn["std_error"]
