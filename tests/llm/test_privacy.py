@@ -57,31 +57,83 @@ def test_base_spans_equal_plain_ones(spark, documents):
     assert find(docs.limit(0)).collect() == []
 
 
-def test_revealing_terms_equal_counting(spark, documents):
-    rows = [(i, f"Dr Zorn's clinic Alpha, write to zorn@clinic.org today number{i} filler") for i in range(6)]
-    rows += [(10 + i, f"filler today other words item{i}") for i in range(40)]
-    rows += [(60 + i, f"clinic of another kind {i}") for i in range(3)] + [(100, rows[0][1]), (101, "(ALPHA) again: zorn@clinic.org"), (102, "alpha only")]
-    got = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["term"] or []] for r in find(documents(rows), share=0.8, support=4).collect()}
-    texts = {t for _, t in rows}
-    bag = {t: {w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for w in t.split()} for t in texts}
-    n_t, n = Counter(w for t in texts for w in bag[t] if w and not re.search("[0-9@]", w)), len(texts)
-    with_e = [t for t in texts if "zorn@clinic.org" in t]
-    n_te = Counter(w for t in with_e for w in bag[t])
-    told = {w for w in n_t if n_te[w] >= 4 and math.log2(n_te[w] * n / (n_t[w] * len(with_e))) / math.log2(n / len(with_e)) >= 0.8 - 1e-9}
-    assert {"zorn's", "alpha", "dr"} <= told and "filler" not in told and "today" not in told
-    for doc_id, text in rows:
-        want = [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in text.split()] if text in with_e else []
-        assert got[doc_id] == [w for w in want if w.lower() in told], doc_id
-    clean = {r["doc_id"]: r["clean"] for r in sanitise(find(documents(rows), share=0.8, support=4)).collect()}
-    assert clean[101] == "([term]) again: [email]" and clean[102] == "alpha only"
-
-
-def test_entities_of_one_text_take_part(spark, documents):
-    rows = [(0, "Zorn of Quellburg writes from info@clinic.org about common matters"), (1, "call +49 30 1234567 about common matters at Nordwall"),
-            (2, "Nordwall again"), (3, "Nordwall once more")] + [(10 + i, f"common matters of note {chr(97 + i)} about from writes call at") for i in range(20)]
-    got = {r["doc_id"]: [r["text"][s["start"]:s["end"]] for s in r["term"] or []] for r in find(documents(rows)).collect()}
-    bag = [set(t.lower().split()) for _, t in rows]
-    for doc_id, text in rows:
-        told = {w for w in text.split() if not re.search("[0-9@]", w) and 1 - math.log2(sum(w.lower() in b for b in bag)) / math.log2(len(rows)) >= 0.9}
-        assert got[doc_id] == ([w for w in text.split() if w in told] if doc_id < 2 else []), doc_id
-    assert got[0] == ["Zorn", "Quellburg"] and got[1] == []
+PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SHAPE = re.compile("|".join([PLAIN["email"], PLAIN["ip"], PLAIN["phone"], r"[0-9]([\x20-]?[0-9]){11,}"]))
+
+
+def low(both, seen, z=1.96):
+    p = both / seen
+    return (p + z * z / (2 * seen) - z * math.sqrt(p * (1 - p) / seen + z * z / (4 * seen * seen))) / (1 + z * z / seen)
+
+
+def groups(text):
+    out = set()
+    for *_, k, m in plain_spans(text):
+        digits = re.sub("[^0-9]", "", m)
+        out.add(k + ":" + {"email": m.split("@")[-1].lower(), "ip": ".".join(m.split(".")[:3]), "card": digits[:6], "phone": digits[:6]}[k])
+    return out
+
+
+def bag(text):
+    return {w.strip(PUNCT).lower() for w in re.split(r"[\x20\x09-\x0D]+", text)} - {""}
+
+
+def plain_told(texts):
+    """Ratio of every (group, term) that is disclosed, counted over different texts."""
+    texts, told = {t or "" for t in texts}, {}
+    of = {t: groups(t) for t in texts}
+    words = {t: bag(SHAPE.sub(" ", t) if of[t] else t) for t in texts}
+    for e in set().union(*of.values()):
+        n_e = sum(e in g for g in of.values())
+        for w in set().union(*(words[t] for t in texts if e in of[t])):
+            n_t, n_te = sum(w in x for x in words.values()), sum(w in words[t] and e in of[t] for t in texts)
+            p, ic = low(n_te, n_t), math.log2(len(texts) / n_e)
+            if p >= 0.5 and ic > 0 and math.log2(p * len(texts) / n_e) / ic >= 0.6:
+                told[e, w] = math.log2(p * len(texts) / n_e) / ic
+    return told
+
+
+def plain_words(text, told):
+    """Spans of the disclosing words outside entities, by what becomes of them."""
+    mine, taken, out = groups(text), [(a, b) for a, _, b, _, _ in plain_spans(text)], {"term": [], "gone": []}
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        start, word = m.start() + len(m.group()) - len(m.group().lstrip(PUNCT)), m.group().strip(PUNCT)
+        ratio = max((told.get((e, word.lower()), 0) for e in mine), default=0)
+        if ratio and not any(a < start + len(word) and start < b for a, b in taken):
+            out["gone" if ratio >= 0.9 else "term"].append((start, start + len(word)))
+    return out
+
+
+def clinic(n):
+    rows = [(i, f"Dr Zorn's clinic Alpha, write to p{i}@Clinic.org today, staff jdoe42 number{i} İ filler") for i in range(6)]
+    rows += [(10 + i, f"filler today other words item{i}") for i in range(n)] + [(900 + i, f"clinic of another kind {i}") for i in range(4)]
+    rows += [(920 + i, f"Call +49 30 12345{i}0, Nordwall or (Nordwall) today {i} filler") for i in range(9)] + [(930, "nordwall without number")]
+    rows += [(940, rows[0][1]), (941, "(ALPHA) again: zorn@clinic.org, JDOE42"), (942, "alpha only"), (None, rows[1][1]), (943, rows[12][1]), (944, None), (945, "")]
+    return rows + [(950, "one 10.1.2.3 rare words that stand nowhere else")]
+
+
+def test_disclosing_terms_equal_counting(documents):
+    rows = clinic(400)
+    told = plain_told([t for _, t in rows])
+    names = {w for _, w in told}
+    assert {"zorn's", "alpha", "jdoe42", "nordwall"} <= names and not names & {"filler", "today", "clinic", "rare", "nowhere"}
+    assert {r >= 0.9 for r in told.values()} == {True, False}
+    found = find(documents(rows)).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in found) == sorted(map(str, rows))
+    for r in found:
+        got = {k: [(s["start"], s["end"]) for s in r[k] or []] for k in ("term", "gone")}
+        assert got == plain_words(r["text"], told), r["doc_id"]
+    assert "text" not in find(documents(rows), texts=False).columns
+
+
+def test_entities_of_one_text_disclose_nothing(documents):
+    rows = [(0, "Zorn of Quellburg writes from info@clinic.org about " + " ".join(f"rare{i}" for i in range(20000)))] + [(i, f"about item {i}") for i in range(1, 40)]
+    assert all(not r["term"] and not r["gone"] for r in find(documents(rows)).collect())
+
+
+def test_sanitised_texts(documents):
+    clean = {r["doc_id"]: r["clean"] for r in sanitise(find(documents(clinic(400)))).collect()}
+    assert clean[930] == "nordwall without number" and clean[942] == "alpha only" and clean[944] == clean[945] == ""
+    assert clean[950] == "one [ip] rare words that stand nowhere else"
+    assert "[email]" in clean[941] and "ALPHA" not in clean[941] and "JDOE42" not in clean[941]
+    assert "[phone]" in clean[925] and "Nordwall" not in clean[925]
