@@ -1,8 +1,8 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger holds one row per blob, rule and rule
-version that has been scanned, with or without findings. A scan visits only pairs the ledger lacks; findings go back to
-all paths that hold the blob by a join on the address.
+version that has been scanned, with or without findings, and the update it came with. A scan visits only pairs the ledger
+lacks; findings go back to all paths that hold the blob by a join on the address, in which often repeated blobs are broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import no_null, span_list, span_text, unwrapped, with_spans, wrapped
+from cohortspark.llm.common import no_null, span_list, span_text, split_join, unwrapped, with_spans, wrapped
 from cohortspark.llm.registry import query, read
 from cohortspark.session import scratch_path
 
@@ -36,12 +36,15 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{16,}"),
 )
-# The scan's own additions to the base kinds.
+# The scan's own additions to the base kinds, as they were at first and as they are.
+FIRST = (
+    Rule("pem", 1, r"-----BEGIN PRIVATE KEY-----"),
+)
 ADDED = (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("pem", 2, r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
 )
 RULES = BASE + ADDED
-LEDGER_SCHEMA = "blob string, kind string, version int, found array<struct<start:bigint,end:bigint>>"
+LEDGER_SCHEMA = "blob string, kind string, version int, found array<struct<start:bigint,end:bigint>>, update int"
 
 
 def address():
@@ -87,26 +90,33 @@ def _fresh(todo: DataFrame, rules: Sequence[Rule], key: dict[str, str]) -> DataF
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Every row of ``docs`` with one array column per rule, named as its kind (in place of one so named): its spans by the ledger's row of the rule's version.
+    """Every row of ``docs`` with one array column per rule, named as its kind (in place of one so named): its spans by the ledger's
+    row of the rule's version; and ``first_scan``, the update with which the ledger first had the row's text.
 
     A column is null where the ledger has no row yet. Rows that share a text share its findings.
     """
-    wanted = ledger.where(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
-    per_blob = wanted.groupBy(F.col("blob").alias("_of")).agg(*[F.first(F.when(F.col("kind") == r.kind, F.col("found")), True).alias(r.kind) for r in rules])
-    joined = wrapped(docs, blob=address()).join(per_blob, F.col("blob") == F.col("_of"), "left")
-    return unwrapped(joined, docs.columns, **{r.kind: r.kind for r in rules})
+    wanted = lambda r: (F.col("kind") == r.kind) & (F.col("version") == r.version)
+    per_blob = ledger.groupBy("blob").agg(*[F.first(F.when(wanted(r), F.col("found")), True).alias(r.kind) for r in rules], F.min("update").alias("first_scan"))
+    joined = split_join(wrapped(docs, blob=address()), per_blob, "blob")
+    return unwrapped(joined, docs.columns, **{r.kind: r.kind for r in rules}, first_scan="first_scan")
 
 
 def update_ledger(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Scans what the ledger under ``path`` lacks, appends it there and returns the whole ledger."""
+    """Scans what the ledger under ``path`` lacks, appends it there and returns the whole ledger. Updates are numbered from 1."""
     spark = docs.sparkSession
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
     known = spark.read.schema(LEDGER_SCHEMA).parquet(path) if exists else None
-    scan(docs, known, rules).write.mode("append").parquet(path)
+    number = 1 + (known.agg(F.max("update")).first()[0] or 0 if exists else 0)
+    scan(docs, known, rules).withColumn("update", F.lit(number)).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
+def scanned_pairs(ledger: DataFrame) -> DataFrame:
+    """``update, kind, version, pairs``: how many blobs each update has scanned with each rule version."""
+    return ledger.groupBy("update", "kind", "version").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 _SPAN_SQL = """list_transform(range(1, len(m) + 1), lambda i: {{'start': CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT),
  'rank': {rank}, 'end': CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT), 'kind': '{kind}', 'part': {part}}})"""
 
@@ -131,16 +141,21 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 k AS ({" UNION ALL ".join(_kind_sql(*x) for x in _KINDS_SQL)}),
 d AS (SELECT doc_id, max(CASE WHEN rank = 1 THEN len(s) END) AS n_assign, max(CASE WHEN rank = 2 THEN len(s) END) AS n_access,
       max(CASE WHEN rank = 3 THEN len(s) END) AS n_hex, flatten(list(s ORDER BY rank) FILTER (rank <= 3)) AS base, flatten(list(s ORDER BY rank)) AS every FROM k GROUP BY doc_id)
-SELECT doc_id, CAST(n_assign AS BIGINT) AS n_assign, CAST(n_access AS BIGINT) AS n_access, CAST(n_hex AS BIGINT) AS n_hex,
-       sha256({_JOINED.format("base")}) AS base_sha256, {_JOINED.format("every")} AS spans FROM d
+SELECT d.doc_id, CAST(n_assign AS BIGINT) AS n_assign, CAST(n_access AS BIGINT) AS n_access, CAST(n_hex AS BIGINT) AS n_hex,
+       sha256({_JOINED.format("base")}) AS base_sha256, {_JOINED.format("every")} AS spans, CAST(first_scan AS BIGINT) AS first_scan
+FROM d JOIN (SELECT doc_id, min(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY text) AS first_scan FROM t) f ON f.doc_id = d.doc_id
 """
 
 
 @query("op4_secrets", SECRETS_SQL)
 def op4_secrets(spark, folder):
+    """Findings of all documents from a ledger kept over two crawls: the first knows a third of the documents and the first rules,
+    the second is the whole table, under the rules as they are. Of texts known by then, only the changed rule is scanned again."""
     docs = read(spark, folder, "documents").select("doc_id", "text")
-    ledger = update_ledger(docs, scratch_path(spark, "ledger"))
+    path = scratch_path(spark, "ledger")
+    update_ledger(docs.where("doc_id % 3 = 0"), path, BASE + FIRST)
+    found = findings(docs, update_ledger(docs, path, RULES))
     base = [r.kind for r in BASE]
-    found = findings(docs, ledger)
     return found.select("doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
-                        F.sha2(span_text(span_list(base)), 256).alias("base_sha256"), span_text(span_list([r.kind for r in RULES])).alias("spans"))
+                        F.sha2(span_text(span_list(base)), 256).alias("base_sha256"), span_text(span_list([r.kind for r in RULES])).alias("spans"),
+                        F.col("first_scan").cast("bigint").alias("first_scan"))

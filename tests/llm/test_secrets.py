@@ -1,7 +1,7 @@
 import re
 
 from cohortspark.llm.common import span_list, span_text
-from cohortspark.llm.secrets import BASE, RULES, Rule, findings, scan, update_ledger
+from cohortspark.llm.secrets import BASE, FIRST, RULES, Rule, findings, scan, scanned_pairs, update_ledger
 
 PLAIN = {
     "assign": (r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -44,7 +44,23 @@ def test_only_unseen_pairs_are_scanned(spark, documents, tmp_path):
     again = scan(later, update_ledger(later, path), newer).collect()
     assert {(r["kind"], r["version"]) for r in again} == {("assign", 2)} and len(again) == 2
     whole = update_ledger(later, path, newer)
+    pairs = {(r["update"], r["kind"], r["version"]): r["pairs"] for r in scanned_pairs(whole).collect()}
+    first_rules = {(n, r.kind, r.version): k for n, k in ((1, 2), (2, 1)) for r in RULES}
+    assert pairs == {**first_rules, (3, "assign", 2): 2}
+    assert {r["doc_id"]: r["first_scan"] for r in findings(later, whole, newer).collect()} == {4: 1, 5: 2}
     got = {r["doc_id"]: len(r["assign"]) for r in findings(later, whole, newer).collect()}
     assert got == {4: 0, 5: 1}
     assert whole.count() == whole.select("blob", "kind", "version").distinct().count()
     assert scan(first.limit(0)).collect() == [] and findings(first.limit(0), whole).collect() == []
+
+
+def test_a_raised_rule_is_the_only_one_scanned_again(spark, documents, tmp_path):
+    texts = ["-----BEGIN PRIVATE KEY-----", "-----BEGIN EC PRIVATE KEY----- token=aaaaaaaaaaaa", "plain"]
+    docs, path = documents([(i, t) for i, t in enumerate(texts * 40)]), str(tmp_path / "ledger")
+    old = update_ledger(docs.where("doc_id < 2"), path, BASE + FIRST)
+    assert {r["doc_id"]: (r["pem"], len(r["assign"])) for r in findings(docs.where("doc_id = 1"), old, BASE + FIRST).collect()} == {1: ([], 1)}
+    whole = update_ledger(docs, path)
+    pairs = {(r["update"], r["kind"], r["version"]): r["pairs"] for r in scanned_pairs(whole).collect()}
+    assert pairs == {**{(1, r.kind, 1): 2 for r in BASE + FIRST}, **{(2, r.kind, 1): 1 for r in BASE}, (2, "pem", 2): 3}
+    got = findings(docs, whole).collect()
+    assert len(got) == 120 and all(len(r["pem"]) == (r["doc_id"] % 3 < 2) and r["first_scan"] == 1 + (r["doc_id"] % 3 == 2) for r in got)
