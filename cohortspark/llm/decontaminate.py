@@ -5,6 +5,9 @@ floor((1 - t) u) + 1 least shingle hashes (a bottom-k MinHash of the partition's
 share t of the item misses at most (1 - t) of its shingles, so it holds one of the sketch. Documents are far longer than
 items and need no sketch of their own; each streams past the sketches and is compared only with the items it meets, and
 only if it is long enough. Candidates are then verified on the shingles themselves.
+
+An item shorter than a shingle is one shingle of its own length; documents make shingles of such lengths as well, where the
+benchmark has them.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from cohortspark.llm.registry import query, read
 from cohortspark.session import durable
 
 WIDTH = 5
+# Sketches up to this size are broadcast; beyond it the documents' shingles are shuffled to them.
+SKETCH_BYTES = 64 * 1024 * 1024
 THRESHOLD = 0.8
 
 
@@ -35,6 +40,31 @@ def _hashes(tokens: str, width: int) -> Column:
     return F.when(F.size(tokens) > 0, F.transform(_positions(F.col(tokens), width), lambda i: F.xxhash64(*[at(i, k) for k in range(width)])))
 
 
+def _runs(tokens: str, length: int, each) -> Column:
+    """``each`` run of ``length`` words; shorter texts have none."""
+    return F.when(F.size(tokens) >= length, F.transform(F.sequence(F.lit(0), F.size(tokens) - length), each)).otherwise(F.array())
+
+
+def short_lengths(benchmark: DataFrame, width: int = WIDTH) -> list[int]:
+    """Numbers of words below ``width`` that items have: at most ``width - 1`` numbers."""
+    n = F.size(plain_words(F.col("text")))
+    return sorted(r[0] for r in benchmark.select(n.alias("n")).where((F.col("n") > 0) & (F.col("n") < width)).distinct().collect())
+
+
+def _all_hashes(tokens: str, width: int, lengths: list[int]) -> Column:
+    def of(n: int) -> Column:
+        return _runs(tokens, n, lambda i: F.xxhash64(*[F.get(F.col(tokens), i + k) for k in range(n)])).cast("array<bigint>")
+
+    return F.concat(_hashes(tokens, width), *map(of, lengths)) if lengths else _hashes(tokens, width)
+
+
+def _all_shingles(tokens: str, width: int, lengths: list[int]) -> Column:
+    def of(n: int) -> Column:
+        return _runs(tokens, n, lambda i: F.array_join(F.slice(F.col(tokens), i + 1, F.lit(n)), " ")).cast("array<string>")
+
+    return F.array_distinct(F.concat(_shingles(tokens, width), *map(of, lengths))) if lengths else _shingles(tokens, width)
+
+
 def _shingles(tokens: str, width: int) -> Column:
     return F.when(F.size(tokens) > 0, F.array_distinct(F.transform(
         _positions(F.col(tokens), width), lambda i: F.array_join(F.slice(F.col(tokens), i + 1, F.lit(width)), " "))))
@@ -56,9 +86,9 @@ def sketches(benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WI
 
 def candidates(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """Distinct ``doc, item`` that share a sketch hash; none that reaches the threshold is missing."""
-    table = broadcast_measured(sketches(benchmark, threshold, width))
+    table, lengths = broadcast_measured(sketches(benchmark, threshold, width), SKETCH_BYTES), short_lengths(benchmark, width)
     hashed = docs.select(F.col("doc_id").alias("doc"), _word_hashes(F.col("text")).alias("wh"))
-    met = hashed.select("doc", F.size("wh").alias("n"), F.explode(_hashes("wh", width)).alias("h")).join(table, F.col("h") == F.col("hash"))
+    met = hashed.select("doc", F.size("wh").alias("n"), F.explode(_all_hashes("wh", width, lengths)).alias("h")).join(table, F.col("h") == F.col("hash"))
     return met.where(F.greatest(F.col("n") - width + 1, F.lit(1)) >= F.col("least")).select("doc", "item").distinct()
 
 
@@ -67,14 +97,14 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     of an item's distinct shingles.
 
     doc_id and item_id name documents and items: of rows that repeat one the highest containment counts, null is an id.
-    Null and empty texts have no shingles and match nothing; an item shorter than ``width`` words matches documents made
-    of exactly its words. Empty tables give no rows.
+    Null and empty texts have no shingles and match nothing; an item shorter than ``width`` words matches wherever its words
+    follow each other. Empty tables give no rows.
     """
     met = durable(candidates(docs, benchmark, threshold, width))
     # Stored candidates are few unless the corpus is full of items; then the texts are shuffled once to meet them.
     per_doc = met.groupBy("doc").agg(F.collect_set(F.struct("item")).alias("items"))
     suspects = null_safe(docs.select(F.col("doc_id").alias("doc"), "text"), broadcast_measured(per_doc), ["doc"])
-    suspects = suspects.select("doc", "items", plain_words(F.col("text")).alias("ws")).select("doc", "items", _shingles("ws", width).alias("held"))
+    suspects = suspects.select("doc", "items", plain_words(F.col("text")).alias("ws")).select("doc", "items", _all_shingles("ws", width, short_lengths(benchmark, width)).alias("held"))
     wanted = benchmark.select(F.col("item_id").alias("item"), plain_words(F.col("text")).alias("ws")) \
         .select("item", _shingles("ws", width).alias("wanted")).where(F.size("wanted") > 0)
     pairs = suspects.select("doc", "held", F.explode("items").alias("i")).select("doc", "held", F.col("i.item").alias("item"))
@@ -97,9 +127,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 CONTAINED_SQL = r"""
-WITH sh AS (SELECT kind, id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) AS s
-  FROM (SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
-        FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)) WHERE len(w) > 0),
+WITH x AS (SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+        FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark)),
+sh AS (SELECT kind, id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM x WHERE len(w) > 0
+  UNION SELECT kind, id, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' ')))) AS s
+  FROM x, (SELECT DISTINCT len(w) AS n FROM x WHERE kind = 'b' AND len(w) BETWEEN 1 AND 4) WHERE kind = 'd' AND len(w) >= n),
 n AS (SELECT id, count(*) AS n FROM sh WHERE kind = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, CAST(max(n.n) AS BIGINT) AS n_shingles, CAST(count(*) AS BIGINT) AS n_found, count(*) / max(n.n) AS containment
 FROM sh d JOIN sh b ON d.kind = 'd' AND b.kind = 'b' AND d.s = b.s JOIN n ON n.id = b.id
