@@ -254,3 +254,16 @@ def adjusted_score(nominal: Column, crrt: Column, ecmo: Column, pressor: Column,
     expired = F.coalesce(F.lower(disposition).contains("expired"), F.lit(False))
     supported = present(crrt) | present(ecmo) | F.coalesce(pressor > 0, F.lit(False))
     return F.when(expired, 8).when((nominal == 6) & supported, 7).otherwise(nominal)
+
+
+SIZES_FOR_AGE = ["SGA", "normal"]
+
+
+def size_for_age(percentile: Column) -> Column:
+    """Small for gestational age up to the tenth percentile of growth; null without a percentile."""
+    return F.when(percentile <= 10, "SGA").when(percentile.isNotNull(), "normal")
+
+
+def any_given(total: Column) -> Column:
+    """Whether a drug was given at all; no record means it was not."""
+    return F.when(F.coalesce(total, F.lit(0)) > 0, "Yes").otherwise("No")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortspark.functions import categories as cat
+from cohortspark.functions import numbers
 from cohortspark.functions.dates import days_from
 from cohortspark.functions.strings import COVERAGE_GROUPS, coverage_group, lookup
 from cohortspark.operators import aggregate as agg
@@ -205,6 +206,29 @@ def agg_category_demographics(v):
     return agg.category_counts(p, measures, ["segment"])
 
 
+# The percentile of a birth weight on the chart, for every episode, and how many small packs were ordered with it.
+_OUTCOMES = """growth AS (SELECT episode_id, CASE WHEN n_above = 0 THEN 95.0 WHEN n_above = 5 THEN 5.0 ELSE plo + (phi - plo) * (w - glo) / (ghi - glo) END AS gp FROM (
+  SELECT episode_id, w, count(*) FILTER (w < g) AS n_above, min(p) FILTER (w < g) AS phi, min(g) FILTER (w < g) AS ghi, max(p) FILTER (w >= g) AS plo, max(g) FILTER (w >= g) AS glo FROM (
+    SELECT e.episode_id, a.percentile AS p, a.grams + (e.age - e.wk) * (b.grams - a.grams) AS g, e.w FROM (SELECT episode_id, gest_days / 7.0 AS age, least(greatest(CAST(floor(gest_days / 7.0) AS INTEGER), 14), 39) AS wk,
+      CASE WHEN weight_oz < 500 THEN weight_oz * 28.3495 ELSE weight_oz END AS w, CASE WHEN sex = 'Male' THEN 'male' WHEN sex = 'Female' THEN 'female' ELSE 'unknown' END AS sx FROM episode) e
+    JOIN chart a ON a.sex = e.sx AND a.week = e.wk JOIN chart b ON b.sex = a.sex AND b.percentile = a.percentile AND b.week = e.wk + 1) GROUP BY ALL)),
+  pressor AS (SELECT l_orderkey AS episode_id, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size <= 10 GROUP BY 1),
+  outcome AS (SELECT status, gp, n FROM episode LEFT JOIN growth USING (episode_id) LEFT JOIN pressor USING (episode_id))"""
+
+
+@query("agg_category_outcomes", sql(_counts_sql("outcome", "status", {"size_for_age": ("CASE WHEN gp <= 10 THEN 'SGA' WHEN gp > 10 THEN 'normal' END", cat.SIZES_FOR_AGE),
+                                                                      "vasopressor": ("CASE WHEN n > 0 THEN 'Yes' ELSE 'No' END", ["Yes", "No"])}), "episode", "chart", extra=_OUTCOMES))
+def agg_category_outcomes(v):
+    """Episodes by status: small for gestational age by the growth chart, and whether a vasopressor (here: a part of a small size) was given."""
+    key = ["episode_id"]
+    grown = features.growth_percentile(v.episode, v.chart, numbers.grams(F.col("weight_oz")), F.col("gest_days"), F.col("sex"), key)
+    small = v.t("part").where("p_size <= 10").select(F.col("p_partkey").alias("l_partkey"))
+    given = v.t("lineitem").join(small, "l_partkey").groupBy(F.col("l_orderkey").alias("episode_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = v.episode.select("episode_id", "status").join(grown, key, "left").join(given, key, "left")
+    return agg.category_counts(rows, {"size_for_age": (cat.size_for_age(F.col("growth_percentile")), cat.SIZES_FOR_AGE),
+                                      "vasopressor": (cat.any_given(F.col("n")), ["Yes", "No"])}, ["status"])
+
+
 # Answers of the test episodes, by a rule on their keys (null stands for no answer).
 ANSWERS = {
     "race": ["White", "Asian", "Black or African American", "Other", "Patient Refused", "American Indian or Alaska Native"],
