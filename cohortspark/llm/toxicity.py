@@ -27,6 +27,7 @@ FOLDS = 3
 LEAST_DOCS = 3
 PENALTY = 3e-5
 ITERATIONS = 30
+TOLERANCE = 1e-5
 PREFIXES = (4, 5, 6)
 CUTOFF = 0.5
 
@@ -95,7 +96,7 @@ def _with_earlier(rows: DataFrame, earlier: Sequence[str]) -> DataFrame:
 
 
 def _fit(rows: DataFrame, category: str) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol="features", labelCol=category, maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=0.0, standardization=False, tol=1e-5,
+    return LogisticRegression(featuresCol="features", labelCol=category, maxIter=ITERATIONS, regParam=PENALTY, elasticNetParam=0.0, standardization=False, tol=TOLERANCE,
                               probabilityCol="probability", predictionCol="prediction", rawPredictionCol="raw").fit(rows)
 
 
