@@ -31,7 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Upper estimate of a plan's output size from the optimizer's statistics (no job is run)."""
+    """The optimizer's estimate of a plan's output size (no job is run); it may be too low after rows are exploded."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
 
