@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 from functools import partial, reduce
@@ -12,7 +14,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.operators import nearest
@@ -196,7 +198,7 @@ def nearest_controls(df: DataFrame, key: str, treated: str, covariates: Sequence
 
 
 def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end: str, index: str,
-                   horizon: int = 182, max_shift: int | None = None, seed: str = "0:") -> DataFrame:
+                   horizon: int = 182, max_shift: int | None = None, seed: str = "0:", local_rows: int = 200_000) -> DataFrame:
     """A control per case, drawn at random: same (else nearest) start day, under observation at the case's index date for
     ``horizon`` days; without replacement; the control inherits the index date. Every case is in the result once: those
     without a control have nulls. Keys are unique; rows with a null take no part as controls and stay unmatched as cases.
@@ -206,11 +208,18 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
     with the cases of the smallest thresholds, ties by md5 of the key; the strictest of these draws first, and every
     control open to it that is left has the same chance (``_drawn``). Shifts go 0, -1, 1, -2, 2 and on until no control is left
     that a case left could take; ``max_shift`` ends earlier where a calliper on the start day is wanted.
+
+    Each shift is a few jobs over all rows left. Once at most ``local_rows`` cases and controls are left, one task goes through
+    the shifts that remain, by the same rule and the same draws, so the pairs are the same wherever they are made.
     """
     everyone = cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date"))
     p = pool.select(F.col(key).alias("control_id"), F.col(start).alias("control_start"), F.col(end).alias("control_end"))
     c, p, done, shift = durable(everyone.dropna()), durable(p.dropna()), None, 0
     while (shift := _reachable_shift(c, p, shift, horizon, max_shift)) is not None:
+        if c.count() + p.count() <= local_rows:
+            new = _settled_in_one_task(c, p, shift, horizon, max_shift, seed)
+            done = new if done is None else done.unionByName(new)
+            break
         day = F.date_add("case_start", shift)
         a = c.withColumn("_day", day).where(F.col("_day") <= F.col("index_date")).withColumn("_at", F.date_add("index_date", horizon))
         b = p.withColumnRenamed("control_start", "_day").withColumnRenamed("control_end", "_at")
@@ -231,6 +240,56 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
     return everyone.join(done, "case_id", "left").select("case_id", "control_id", "index_date", "case_start", "control_start")
 
 
+def _chance(seed: str) -> Column:
+    """A case's number in [0, 1)."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("case_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
+
+
+def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, max_shift: int | None, seed: str) -> DataFrame:
+    """All pairs from ``shift`` on of a bounded number of cases and controls: ``case_id, control_id, control_start``."""
+    def run(cases: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        open_, free, at, out = {}, {}, shift, []
+        for row in cases.itertuples(index=False):
+            open_.setdefault(row.start, []).append((row.index_day + horizon, row.h, row.case_id, row.index_day, row.u))
+        for row in pool.itertuples(index=False):
+            free.setdefault(row.start, []).append((-row.end, row.h, row.control_id))
+        for rows in [*open_.values(), *free.values()]:
+            rows.sort()
+        last = max(max(open_, default=0) - min(free, default=0), max(free, default=0) - min(open_, default=0), 0)
+        last = last if max_shift is None else min(last, max_shift)
+        while open_ and free and abs(at) <= last:
+            for start in [d for d in open_ if d + at in free]:
+                day, ends = start + at, free[start + at]
+                asked = [a for a in open_[start] if day <= a[3]]
+                # Controls that reach each threshold; the cases of the smallest thresholds find a place, as many as there is room for.
+                reach = [bisect.bisect_right(ends, (-a[0], chr(0x10FFFF))) for a in asked]
+                below = [bisect.bisect_left(asked, (a[0],)) for a in asked]
+                k = min([len(asked), *[b + r for b, r in zip(below, reach)]])
+                taken, gone = list(ends), set()
+                for q in range(k):
+                    i = k - 1 - q
+                    place = q + math.floor(asked[i][4] * (reach[i] - q))
+                    out.append((asked[i][2], taken[place][2], day))
+                    gone.add(asked[i][2])
+                    taken[place] = taken[q]
+                if k:
+                    used = {control for _, control, _ in out[-k:]}
+                    open_[start] = [a for a in open_[start] if a[2] not in gone]
+                    free[day] = [e for e in ends if e[2] not in used]
+                    for held, d in ((open_, start), (free, day)):
+                        if not held[d]:
+                            del held[d]
+            at = _next_shift(at)
+        return pd.DataFrame(out, columns=["case_id", "control_id", "day"])
+
+    day, text = F.unix_date, lambda c: F.md5(F.col(c).cast("string"))
+    left = c.select(F.lit(0).alias("g"), "case_id", day("case_start").alias("start"), day("index_date").alias("index_day"), text("case_id").alias("h"), _chance(seed).alias("u"))
+    right = p.select(F.lit(0).alias("g"), "control_id", day("control_start").alias("start"), day("control_end").alias("end"), text("control_id").alias("h"))
+    schema = f"case_id {c.schema['case_id'].dataType.simpleString()}, control_id {p.schema['control_id'].dataType.simpleString()}, day int"
+    pairs = durable(left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(run, schema))
+    return pairs.select("case_id", "control_id", F.date_from_unix_date("day").alias("control_start"))
+
+
 def _drawn(steps: DataFrame, seed: str) -> DataFrame:
     """``_day, case_id, _j``: the place, among a day's controls by falling end, of each case's control.
 
@@ -240,8 +299,7 @@ def _drawn(steps: DataFrame, seed: str) -> DataFrame:
     therefore what the latest earlier step that drew p moved there from its own place, and so on back to a control that was
     never moved. Those links are followed by doubling, in rounds of one join; equal draws of a day are few.
     """
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("case_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
-    drawn = durable(steps.select("_day", "case_id", "_q", (F.col("_q") + F.floor(u * (F.col("_ends") - F.col("_q") + 1))).alias("_p")))
+    drawn = durable(steps.select("_day", "case_id", "_q", (F.col("_q") + F.floor(_chance(seed) * (F.col("_ends") - F.col("_q") + 1))).alias("_p")))
     before = Window.partitionBy("_day", "_p").orderBy("_q")
     asked = drawn.withColumn("_from", F.lag("_q").over(before))
     links = durable(drawn.where("_q < _p").groupBy("_day", F.col("_p").alias("_from")).agg(F.max("_q").alias("_to")))

@@ -63,15 +63,15 @@ def test_nearest_controls_equal_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("max_shift", [1, None])
-def test_risk_set_pairs_are_valid_and_complete(spark, max_shift):
+@pytest.mark.parametrize("max_shift,local", [(1, 0), (1, 10 ** 6), (None, 10 ** 6)])
+def test_risk_set_pairs_are_valid_and_complete(spark, max_shift, local):
     rng = random.Random(9)
     day = lambda n: f"2020-{1 + n // 28:02d}-{1 + n % 28:02d}"
     cases = [(i, day(rng.randint(0, 5)), day(rng.randint(20, 60))) for i in range(40)]
     pool = [(1000 + i, day(rng.randint(0, 5)), day(rng.randint(200, 300))) for i in range(60)]
     c = spark.createDataFrame(cases, "id bigint, s string, x string").selectExpr("id", "date(s) as s", "date(x) as x")
     p = spark.createDataFrame(pool, "id bigint, s string, e string").selectExpr("id", "date(s) as s", "date(e) as e")
-    rows = matching.match_risk_set(c, p, "id", "s", "e", "x", horizon=182, max_shift=max_shift).collect()
+    rows = matching.match_risk_set(c, p, "id", "s", "e", "x", horizon=182, max_shift=max_shift, local_rows=local).collect()
     assert sorted(r["case_id"] for r in rows) == list(range(40))
     got = [r for r in rows if r["control_id"] is not None]
     end = {r["id"]: r["e"] for r in p.collect()}
@@ -139,8 +139,8 @@ def test_risk_set_draws_at_random(spark):
     cases, pool = risk_sets(copies)
     c = spark.createDataFrame(cases, "id bigint, s string, x string").selectExpr("id", "date(s) as s", "date(x) as x")
     p = spark.createDataFrame(pool, "id bigint, s string, e string").selectExpr("id", "date(s) as s", "date(e) as e")
-    got = {r["case_id"]: r["control_id"] for r in matching.match_risk_set(c, p, "id", "s", "e", "x", max_shift=0).collect()}
-    assert got == drawn_one_by_one(cases, pool)
+    got, local = ({r["case_id"]: r["control_id"] for r in matching.match_risk_set(c, p, "id", "s", "e", "x", max_shift=0, local_rows=n).collect()} for n in (0, 10 ** 6))
+    assert got == local == drawn_one_by_one(cases, pool)
     # The strictest case takes either of its two controls; of the last case's, each one open to it is as likely as drawing one by one makes it.
     shares = Counter((case % 100, control % 100 - 50) for case, control in got.items())
     chance = defaultdict(float)
@@ -180,3 +180,14 @@ def test_nearest_rows_over_deep_trees(spark):
     assert sum(compared.values()) < 3 * few
     assert nearest.search(q, p.limit(0), 4, 3).collect() == []
     assert sorted(r["place"] for r in nearest.search(q.limit(1), p.limit(2), 4, 3).collect()) == [1, 2]
+
+
+def test_risk_sets_are_the_same_in_one_task(spark):
+    rng = random.Random(2)
+    day = lambda n: (date(2020, 1, 1) + timedelta(days=n)).isoformat()
+    cases = [(i, day(s := rng.randint(0, 3)), day(s + rng.randint(0, 40))) for i in range(90)]
+    pool = [(500 + i, day(rng.randint(0, 6)), day(rng.choice([150, 190, 200, 215, 230, 300]))) for i in range(70)]
+    c = spark.createDataFrame(cases, "id bigint, s string, x string").selectExpr("id", "date(s) as s", "date(x) as x")
+    p = spark.createDataFrame(pool, "id bigint, s string, e string").selectExpr("id", "date(s) as s", "date(e) as e")
+    first, second = (sorted(tuple(r) for r in matching.match_risk_set(c, p, "id", "s", "e", "x", max_shift=3, local_rows=n).fillna(-1, ["control_id"]).drop("control_start").collect()) for n in (0, 10 ** 6))
+    assert first == second and sum(r[1] > 0 for r in first) > 30
