@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
 import heapq
-import math
 from collections.abc import Iterator, Sequence
 from datetime import timedelta
 from functools import partial, reduce
@@ -209,14 +207,15 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
     control open to it that is left has the same chance (``_drawn``). Shifts go 0, -1, 1, -2, 2 and on until no control is left
     that a case left could take; ``max_shift`` ends earlier where a calliper on the start day is wanted.
 
-    Each shift is a few jobs over all rows left. Once at most ``local_rows`` cases and controls are left, one task goes through
-    the shifts that remain, by the same rule and the same draws, so the pairs are the same wherever they are made.
+    Each shift is a few jobs over all rows left. Once at most ``local_rows`` cases are left, one task goes through the shifts that
+    remain, with one line per start and end day instead of the controls, by the same rule and the same draws, so the pairs are the
+    same wherever they are made.
     """
     everyone = cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date"))
     p = pool.select(F.col(key).alias("control_id"), F.col(start).alias("control_start"), F.col(end).alias("control_end"))
     c, p, done, shift = durable(everyone.dropna()), durable(p.dropna()), None, 0
     while (shift := _reachable_shift(c, p, shift, horizon, max_shift)) is not None:
-        if c.count() + p.count() <= local_rows:
+        if c.count() <= local_rows:
             new = _settled_in_one_task(c, p, shift, horizon, max_shift, seed)
             done = new if done is None else done.unionByName(new)
             break
@@ -246,48 +245,73 @@ def _chance(seed: str) -> Column:
 
 
 def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, max_shift: int | None, seed: str) -> DataFrame:
-    """All pairs from ``shift`` on of a bounded number of cases and controls: ``case_id, control_id, control_start``."""
-    def run(cases: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        open_, free, at, out = {}, {}, shift, []
-        for row in cases.itertuples(index=False):
-            open_.setdefault(row.start, []).append((row.index_day + horizon, row.h, row.case_id, row.index_day, row.u))
-        for row in pool.itertuples(index=False):
-            free.setdefault(row.start, []).append((-row.end, row.h, row.control_id))
-        for rows in [*open_.values(), *free.values()]:
-            rows.sort()
-        last = max(max(open_, default=0) - min(free, default=0), max(free, default=0) - min(open_, default=0), 0)
-        last = last if max_shift is None else min(last, max_shift)
-        while open_ and free and abs(at) <= last:
-            for start in [d for d in open_ if d + at in free]:
-                day, ends = start + at, free[start + at]
-                asked = [a for a in open_[start] if day <= a[3]]
-                # Controls that reach each threshold; the cases of the smallest thresholds find a place, as many as there is room for.
-                reach = [bisect.bisect_right(ends, (-a[0], chr(0x10FFFF))) for a in asked]
-                below = [bisect.bisect_left(asked, (a[0],)) for a in asked]
-                k = min([len(asked), *[b + r for b, r in zip(below, reach)]])
-                taken, gone = list(ends), set()
-                for q in range(k):
-                    i = k - 1 - q
-                    place = q + math.floor(asked[i][4] * (reach[i] - q))
-                    out.append((asked[i][2], taken[place][2], day))
-                    gone.add(asked[i][2])
-                    taken[place] = taken[q]
-                if k:
-                    used = {control for _, control, _ in out[-k:]}
-                    open_[start] = [a for a in open_[start] if a[2] not in gone]
-                    free[day] = [e for e in ends if e[2] not in used]
-                    for held, d in ((open_, start), (free, day)):
-                        if not held[d]:
-                            del held[d]
-            at = _next_shift(at)
-        return pd.DataFrame(out, columns=["case_id", "control_id", "day"])
+    """All pairs from ``shift`` on of a bounded number of cases: ``case_id, control_id, control_start``.
+
+    Controls of the same days differ by their place only, so the task gets one line per start and end day, bounded by the calendar,
+    and answers with a place among the start day's controls by falling end; a join turns the places into controls.
+    """
+    def run(cases: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(cases) and len(lines):
+            cases = cases.assign(t=cases["index_day"] + horizon).sort_values(["start", "t", "h", "case_id"], ignore_index=True)
+            lines = lines.sort_values(["start", "end"], ascending=[True, False], ignore_index=True)
+            ids, t, u = cases["case_id"].to_numpy(), cases["t"].to_numpy(dtype=np.int64), cases["u"].to_numpy()
+            low, high = int(min(cases["start"].min(), lines["start"].min())), int(max(cases["start"].max(), lines["start"].max()))
+            # Per start day: the cases left; and falling ends, how many controls reach each, and the places taken, in order.
+            open_ = {int(d): g.to_numpy() for d, g in cases.index.to_series().groupby(cases["start"])}
+            ends = {int(d): (-g["end"].to_numpy(dtype=np.int64), np.concatenate([[0], np.cumsum(g["n"].to_numpy(dtype=np.int64))])) for d, g in lines.groupby("start")}
+            used = {d: np.zeros(0, dtype=np.int64) for d in ends}
+            never = 1 << 40
+            best, least, latest = np.full(high - low + 1, -never), np.full(high - low + 1, never), np.full(high - low + 1, -never)
+            for d, (e, _) in ends.items():
+                best[d - low] = -e[0]
+            for d, rows in open_.items():
+                least[d - low], latest[d - low] = t[rows[0]], t[rows[-1]]
+            last = max(max(open_) - min(ends), max(ends) - min(open_), 0)
+            last, at = last if max_shift is None else min(last, max_shift), shift
+            while open_ and abs(at) <= last:
+                starts = np.array(sorted(open_))
+                starts = starts[(starts + at >= low) & (starts + at <= high)]
+                day = starts + at
+                ready = (day + horizon <= latest[starts - low]) & (best[day - low] >= np.maximum(least[starts - low], day + horizon))
+                for start in starts[ready].tolist():
+                    day, rows = start + at, open_[start]
+                    e, reached = ends[day]
+                    first = np.searchsorted(t[rows], day + horizon)
+                    asked, taken = rows[first:], used[day]
+                    # Controls left that reach each threshold; the cases of the smallest thresholds find a place, as many as there is room for.
+                    reach = reached[np.searchsorted(e, -t[asked], side="right")]
+                    reach = reach - np.searchsorted(taken, reach)
+                    k = min(len(asked), int((np.searchsorted(t[asked], t[asked]) + reach).min()))
+                    if not k:
+                        continue
+                    q = np.arange(k)
+                    drawn = q + np.floor(u[asked[k - 1 - q]] * (reach[k - 1 - q] - q)).astype(np.int64)
+                    moved, place = {}, np.zeros(k, dtype=np.int64)
+                    for i, x in enumerate(drawn.tolist()):
+                        place[i] = moved.get(x, x)
+                        moved[x] = moved.get(i, i)
+                    # From a place among the controls left to one among all.
+                    place += np.searchsorted(taken - np.arange(len(taken)), place, side="right")
+                    out.append(pd.DataFrame({"case_id": ids[asked[k - 1 - q]], "day": day, "place": place + 1}))
+                    used[day] = taken = np.sort(np.concatenate([taken, place]))
+                    front = int(np.searchsorted(taken - np.arange(len(taken)), 0, side="right"))
+                    best[day - low] = -e[np.searchsorted(reached, front, side="right") - 1] if front < reached[-1] else -never
+                    rows = open_[start] = np.concatenate([rows[:first], asked[k:]])
+                    if len(rows):
+                        least[start - low], latest[start - low] = t[rows[0]], t[rows[-1]]
+                    else:
+                        del open_[start]
+                at = _next_shift(at)
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"case_id": cases["case_id"].iloc[:0], "day": [], "place": []})
 
     day, text = F.unix_date, lambda c: F.md5(F.col(c).cast("string"))
     left = c.select(F.lit(0).alias("g"), "case_id", day("case_start").alias("start"), day("index_date").alias("index_day"), text("case_id").alias("h"), _chance(seed).alias("u"))
-    right = p.select(F.lit(0).alias("g"), "control_id", day("control_start").alias("start"), day("control_end").alias("end"), text("control_id").alias("h"))
-    schema = f"case_id {c.schema['case_id'].dataType.simpleString()}, control_id {p.schema['control_id'].dataType.simpleString()}, day int"
-    pairs = durable(left.groupBy("g").cogroup(right.groupBy("g")).applyInPandas(run, schema))
-    return pairs.select("case_id", "control_id", F.date_from_unix_date("day").alias("control_start"))
+    lines = p.groupBy("control_start", "control_end").agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("g"), day("control_start").alias("start"), day("control_end").alias("end"), "n")
+    found = durable(left.groupBy("g").cogroup(lines.groupBy("g")).applyInPandas(run, f"case_id {c.schema['case_id'].dataType.simpleString()}, day int, place bigint"))
+    pairs = found.select("case_id", F.date_from_unix_date("day").alias("control_start"), "place")
+    numbered = ranked(p, ["control_start"], [F.col("control_end").desc(), text("control_id"), "control_id"], "place").drop("control_end")
+    return durable(pairs.join(numbered, ["control_start", "place"]).select("case_id", "control_id", "control_start"))
 
 
 def _drawn(steps: DataFrame, seed: str) -> DataFrame:

@@ -220,3 +220,16 @@ def test_nearest_rows_meet_in_blocks(spark, monkeypatch):
     for i, x in queries:
         want = sorted((math.dist(x, y), j) for j, y in points)[:70]
         assert [got[i, k + 1] for k in range(70)] == [(j, pytest.approx(d)) for d, j in want]
+
+
+def test_risk_sets_of_few_cases_and_many_controls_take_one_task(spark, monkeypatch):
+    rng = random.Random(3)
+    day = lambda n: (date(2020, 1, 1) + timedelta(days=n)).isoformat()
+    cases = [(i, day(s := rng.randint(0, 4)), day(s + rng.randint(0, 40))) for i in range(60)]
+    pool = [(500 + i, day(rng.randint(0, 6)), day(rng.choice([150, 190, 200, 215, 230, 300]))) for i in range(150)]
+    c = spark.createDataFrame(cases, "id bigint, s string, x string").selectExpr("id", "date(s) as s", "date(x) as x")
+    p = spark.createDataFrame(pool, "id bigint, s string, e string").selectExpr("id", "date(s) as s", "date(e) as e")
+    made = lambda n: sorted((r["case_id"], r["control_id"] or 0) for r in matching.match_risk_set(c, p, "id", "s", "e", "x", max_shift=1, local_rows=n).collect())
+    want, rounds, plain = made(0), [], matching._ends_above
+    monkeypatch.setattr(matching, "_ends_above", lambda a, b: rounds.append(1) or plain(a, b))
+    assert made(60) == want and not rounds
