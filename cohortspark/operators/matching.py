@@ -207,15 +207,15 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
     control open to it that is left has the same chance (``_drawn``). Shifts go 0, -1, 1, -2, 2 and on until no control is left
     that a case left could take; ``max_shift`` ends earlier where a calliper on the start day is wanted.
 
-    Each shift is a few jobs over all rows left. Once at most ``local_rows`` cases are left, one task goes through the shifts that
-    remain, with one line per start and end day instead of the controls, by the same rule and the same draws, so the pairs are the
+    Each shift is a few jobs over all rows left. Once at most ``local_rows`` cases (and controls whose key repeats) are left, one task
+    goes through the shifts that remain, with one line per start and end day instead of the controls, by the same rule and the same draws, so the pairs are the
     same wherever they are made.
     """
     everyone = cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date"))
     p = pool.select(F.col(key).alias("control_id"), F.col(start).alias("control_start"), F.col(end).alias("control_end"))
     c, p, done, shift = durable(everyone.dropna()), durable(p.dropna()), None, 0
     while (shift := _reachable_shift(c, p, shift, horizon, max_shift)) is not None:
-        if c.count() <= local_rows:
+        if (few := c.count()) <= local_rows and few + _repeated(p) <= local_rows:
             new = _settled_in_one_task(c, p, shift, horizon, max_shift, seed)
             done = new if done is None else done.unionByName(new)
             break
@@ -244,17 +244,26 @@ def _chance(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("case_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
+def _repeated(p: DataFrame) -> int:
+    """Rows of controls whose key repeats."""
+    return p.groupBy("control_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, max_shift: int | None, seed: str) -> DataFrame:
     """All pairs from ``shift`` on of a bounded number of cases: ``case_id, control_id, control_start``.
 
     Controls of the same days differ by their place only, so the task gets one line per start and end day, bounded by the calendar,
-    and answers with a place among the start day's controls by falling end; a join turns the places into controls.
+    and answers with a place among the start day's controls by falling end; a join turns the places into controls. Controls with the
+    same key and day leave together, so the task is told their places too.
     """
     def run(cases: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(cases) and len(lines):
             cases = cases.assign(t=cases["index_day"] + horizon).sort_values(["start", "t", "h", "case_id"], ignore_index=True)
-            lines = lines.sort_values(["start", "end"], ascending=[True, False], ignore_index=True)
+            again = lines[lines["place"] > 0]
+            twins = {(d, x): g["place"].to_numpy() - 1 for (d, _), g in again.groupby(["start", "first"]) for x in g["place"] - 1}
+            doubled = bool(cases.duplicated(["start", "case_id"]).any())
+            lines = lines[lines["place"] == 0].sort_values(["start", "end"], ascending=[True, False], ignore_index=True)
             ids, t, u = cases["case_id"].to_numpy(), cases["t"].to_numpy(dtype=np.int64), cases["u"].to_numpy()
             low, high = int(min(cases["start"].min(), lines["start"].min())), int(max(cases["start"].max(), lines["start"].max()))
             # Per start day: the cases left; and falling ends, how many controls reach each, and the places taken, in order.
@@ -294,10 +303,13 @@ def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, m
                     # From a place among the controls left to one among all.
                     place += np.searchsorted(taken - np.arange(len(taken)), place, side="right")
                     out.append(pd.DataFrame({"case_id": ids[asked[k - 1 - q]], "day": day, "place": place + 1}))
+                    if twins:
+                        place = np.unique(np.concatenate([twins.get((day, x), np.array([x])) for x in place.tolist()]))
                     used[day] = taken = np.sort(np.concatenate([taken, place]))
                     front = int(np.searchsorted(taken - np.arange(len(taken)), 0, side="right"))
                     best[day - low] = -e[np.searchsorted(reached, front, side="right") - 1] if front < reached[-1] else -never
-                    rows = open_[start] = np.concatenate([rows[:first], asked[k:]])
+                    rows = np.concatenate([rows[:first], asked[k:]])
+                    rows = open_[start] = rows[~np.isin(ids[rows], ids[asked[:k]])] if doubled else rows
                     if len(rows):
                         least[start - low], latest[start - low] = t[rows[0]], t[rows[-1]]
                     else:
@@ -307,10 +319,15 @@ def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, m
 
     day, text = F.unix_date, lambda c: F.md5(F.col(c).cast("string"))
     left = c.select(F.lit(0).alias("g"), "case_id", day("case_start").alias("start"), day("index_date").alias("index_day"), text("case_id").alias("h"), _chance(seed).alias("u"))
-    lines = p.groupBy("control_start", "control_end").agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("g"), day("control_start").alias("start"), day("control_end").alias("end"), "n")
-    found = durable(left.groupBy("g").cogroup(lines.groupBy("g")).applyInPandas(run, f"case_id {c.schema['case_id'].dataType.simpleString()}, day int, place bigint"))
+    numbered = durable(ranked(p, ["control_start"], [F.col("control_end").desc(), text("control_id"), "control_id"], "place").drop("control_end"))
+    none = F.lit(0).cast("bigint")
+    lines = p.groupBy("control_start", "control_end").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(0).alias("g"), day("control_start").alias("start"), day("control_end").alias("end"), "n", none.alias("place"), none.alias("first"))
+    # At most ``local_rows`` in all.
+    again = numbered.groupBy("control_start", "control_id").agg(F.collect_list("place").alias("places")).where(F.size("places") > 1).select(
+        F.lit(0).alias("g"), day("control_start").alias("start"), F.lit(0).alias("end"), none.alias("n"), F.explode("places").alias("place"), F.array_min("places").alias("first"))
+    found = durable(left.groupBy("g").cogroup(lines.unionByName(again).groupBy("g")).applyInPandas(run, f"case_id {c.schema['case_id'].dataType.simpleString()}, day int, place bigint"))
     pairs = found.select("case_id", F.date_from_unix_date("day").alias("control_start"), "place")
-    numbered = ranked(p, ["control_start"], [F.col("control_end").desc(), text("control_id"), "control_id"], "place").drop("control_end")
     return durable(pairs.join(numbered, ["control_start", "place"]).select("case_id", "control_id", "control_start"))
 
 

@@ -233,3 +233,10 @@ def test_risk_sets_of_few_cases_and_many_controls_take_one_task(spark, monkeypat
     want, rounds, plain = made(0), [], matching._ends_above
     monkeypatch.setattr(matching, "_ends_above", lambda a, b: rounds.append(1) or plain(a, b))
     assert made(60) == want and not rounds
+
+
+def test_risk_set_copies_of_a_control_leave_together(spark):
+    c = spark.sql("SELECT * FROM VALUES (1L, date'2020-01-01', date'2020-01-10'), (2L, date'2020-01-02', date'2020-01-10') AS t(id, s, x)")
+    p = spark.sql("SELECT * FROM VALUES (7L, date'2020-01-01', date'2020-08-20'), (7L, date'2020-01-01', date'2020-08-20') AS t(id, s, e)")
+    got = matching.match_risk_set(c, p, "id", "s", "e", "x").collect()
+    assert sorted((r["case_id"], r["control_id"] or 0) for r in got) == [(1, 7), (2, 0)]
