@@ -273,6 +273,14 @@ def _longest_shortest(left: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, n
 
 # A child whose tables together weigh less than e^-50 of the observed one is left out; the p-value is at least the latter's weight.
 NEGLIGIBLE = 50.0
+# With ``digits``, all that is left out together weighs less than this part of the last digit; states go on in lots of LOT rows.
+SPARE, LOT = 1e-4, 20_000
+
+
+def _ln_fillings(left: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """ln of a number that the ways to fill all columns ``cols`` cannot exceed, per line of remaining row margins ``left``: every
+    column but the last has at most margin + 1 choices for each row but one."""
+    return sum((np.log1p(np.minimum(left[:, :-1], c)).sum(axis=1) for c in cols[:-1]), np.zeros(len(left)))
 
 
 def _column_choices(left: np.ndarray, column: int, weigh, floor: float) -> Iterator[np.ndarray]:
@@ -304,14 +312,18 @@ def _column_choices(left: np.ndarray, column: int, weigh, floor: float) -> Itera
         yield of(np.arange(a, b + 1))
 
 
-def fisher_exact(counts: DataFrame, group: str, category: str) -> DataFrame:
+def fisher_exact(counts: DataFrame, group: str, category: str, digits: int | None = None) -> DataFrame:
     """Exact r x c test: ``p_value, std_error, method, states``, over all tables with the observed margins.
 
     Tables are built one column at a time. A state is what is left of the row margins with the log weight so far; states that
     agree are merged with their number of ways. What the columns still to come can add at most and at least (the longest and
     shortest path through the network of states) settles most states at once: if even the likeliest completion is no likelier
     than the observed table, all completions count, with a weight in closed form; if even the least likely one is likelier, none
-    does. Only the states between are carried on. ``states`` is the number of states looked at. There is no size limit;
+    does. Only the states between are carried on. ``states`` is the number of states looked at.
+
+    Without ``digits`` even the smallest p-value has all its digits. With it the p-value is found to that many decimals: the tables
+    that count have the observed one's weight at most, so their number, bounded by the margins, bounds what a state can add; states
+    are left out that all together cannot add SPARE of the last decimal. There is no size limit;
     ``fisher_simulated`` is the choice for tables too rich even so.
     """
     spark, table = counts.sparkSession, _table(counts, group, category)
@@ -321,9 +333,15 @@ def fisher_exact(counts: DataFrame, group: str, category: str) -> DataFrame:
     rows, cols = np.sort(table.sum(axis=1)), np.sort(table.sum(axis=0))
     ln_all = float(_ln_factorials(np.array([rows.sum()], float))[0] - _ln_factorials(rows.astype(float)).sum() - _ln_factorials(cols.astype(float)).sum())
     ln_seen = float(-_ln_factorials(table.astype(float)).sum())
+    # What one way to a state may be left out with: the spare part, shared among the steps and all the ways there can be.
+    spare = -math.inf if digits is None else math.log(SPARE) - digits * math.log(10) - math.log(len(cols))
+    whole = rows[None].astype(float)
+    settled = float(_ln_fillings(whole, cols.astype(float))[0]) + ln_seen + 1e-7 - ln_all <= spare
 
     def step(at: int):
         column, rest = int(cols[at]), cols[at + 1:].astype(float)
+        share = ln_all + spare - float(_ln_fillings(whole, cols[:at + 2].astype(float))[0])
+        floor = max(ln_seen - NEGLIGIBLE, share)
         ln_rest = _ln_factorials(np.array([rest.sum()]))[0] - _ln_factorials(rest).sum()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,22 +351,26 @@ def fisher_exact(counts: DataFrame, group: str, category: str) -> DataFrame:
                     left = np.asarray(left, dtype=np.int64)
                     path = lambda k: lp - _ln_factorials(k.astype(float)).sum(axis=1)  # noqa: B023, E731
                     mass = lambda k: path(k) + ln_rest - _ln_factorials((left - k).astype(float)).sum(axis=1)  # noqa: B023, E731
-                    for k in _column_choices(left, column, mass, ln_seen - NEGLIGIBLE):
+                    for k in _column_choices(left, column, mass, floor):
                         after = left - k
                         most, least = _longest_shortest(after.astype(float), rest)
                         so_far = path(k)
                         all_in = so_far + most <= ln_seen + 1e-7
                         inside += ways * float(np.exp(mass(k[all_in]) - ln_all).sum())
                         seen += len(k)
-                        for i in np.flatnonzero(~all_in & (so_far + least <= ln_seen + 1e-7)):
+                        adds = _ln_fillings(after.astype(float), rest) + ln_seen + 1e-7 > share
+                        for i in np.flatnonzero(~all_in & adds & (so_far + least <= ln_seen + 1e-7)):
                             kept.append((after[i].tolist(), float(so_far[i]), ways, None, None))
+                        if len(kept) >= LOT:
+                            yield pd.DataFrame(kept, columns=["r", "lp", "ways", "inside", "seen"])
+                            kept = []
                 yield pd.DataFrame([*kept, (None, None, None, inside, seen)], columns=["r", "lp", "ways", "inside", "seen"])
 
         return run
 
     schema, total, seen = "r array<bigint>, lp double, ways double, inside double, seen bigint", 0.0, 0
     states = spark.createDataFrame([([int(x) for x in rows], 0.0, 1.0)], "r array<bigint>, lp double, ways double")
-    for at in range(len(cols) - 1):
+    for at in range(0 if settled else len(cols) - 1):
         # Few rows can be much work, so they are spread by number and not by size.
         spread = states.repartition(4 * spark.sparkContext.defaultParallelism, "r", "lp")
         found = durable(spread.mapInPandas(step(at), schema))

@@ -310,7 +310,7 @@ _FIVE = f""", t AS MATERIALIZED (SELECT n, x, row_number() OVER (ORDER BY n, sta
   FROM a3 ASOF JOIN f ON a3.s = f.s AND a3.room >= f.w, o""", "infection", "history", extra=INF + _FIVE))
 def stat_fisher_rxc_exact(v):
     """Infection by all five exposure states."""
-    out = stats.fisher_exact(stats.contingency(exposed_infected(v), "infected", "state"), "infected", "state")
+    out = stats.fisher_exact(stats.contingency(exposed_infected(v), "infected", "state"), "infected", "state", digits=6)
     return out.select(F.round("p_value", 6).alias("p_value"), "method")
 
 

@@ -245,3 +245,14 @@ def test_simulated_fisher_agrees_with_the_exact_one(spark):
     counts = _counts(spark, [[12, 5, 9], [6, 14, 11]])
     exact, drawn = stats.fisher_exact(counts, "g", "c").first(), stats.fisher_simulated(counts, "g", "c", 4000).first()
     assert abs(exact["p_value"] - drawn["p_value"]) <= 4 * drawn["std_error"]
+
+
+def test_fisher_to_some_digits(spark, monkeypatch):
+    # A table far from chance has a p-value of 0 to six decimals, however many tables its margins allow.
+    far = stats.fisher_exact(_counts(spark, [[1366, 14083, 27044, 29981, 32009], [8396, 99455, 225472, 232135, 230059]]), "g", "c", digits=6).first()
+    assert 0 <= far["p_value"] < 1e-9 and far["states"] < 1000
+    monkeypatch.setattr(stats, "LOT", 7)
+    for table in ([[5, 1, 4, 9], [6, 9, 3, 2]], [[3, 1, 2], [0, 4, 1], [2, 2, 5]], [[3, 15, 2], [6, 9, 8]]):
+        plain, short = (stats.fisher_exact(_counts(spark, table), "g", "c", digits=d).first() for d in (None, 6))
+        assert short["p_value"] == pytest.approx(plain["p_value"], abs=1e-9) and short["states"] <= plain["states"]
+        assert plain["p_value"] == pytest.approx(plain_fisher(table)[0], rel=1e-7)
