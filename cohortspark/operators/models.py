@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +24,11 @@ from cohortspark.session import durable
 # Class weights of the positive and negative rows.
 POSITIVE_WEIGHT, NEGATIVE_WEIGHT = 0.99, 0.01
 
+# Rows that make a task of their own worth while, and the most of one task.
+TASK_ROWS, MOST_TASK_ROWS = 8192, 500_000
+# A fit of a forest keeps one count per row and tree: the most of one fit, and the trees of a fit above that.
+FOREST_COUNTS, LOT_TREES = 64_000_000, 50
+
 
 def latest_training_rows(df: DataFrame, person: str, outcome: str, encounter: str, features: Sequence[str]) -> DataFrame:
     """Last positive encounter of people who ever have the outcome, last encounter of the others, with class weights."""
@@ -41,6 +46,17 @@ def split_by_hash(df: DataFrame, key: str, test_share: float = 0.2, seed: int =
     return df.withColumn("is_test", point < test_share)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Stores the rows in tasks of one size, one per core or more; up to two tasks' rows stay as they lie.
+
+    Fits of trees pass over the rows hundreds of times, so one large task among small ones, or a few tasks on many cores, costs its time every time.
+    """
+    stored = durable(df)
+    rows, cores = stored.count(), stored.sparkSession.sparkContext.defaultParallelism
+    tasks = min(rows // TASK_ROWS, cores * -(-rows // (cores * MOST_TASK_ROWS)))
+    return durable(stored.repartition(tasks)) if tasks > 1 else stored
+
+
 def _assembled(features: Sequence[str]) -> list:
     return [VectorAssembler(inputCols=list(features), outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)]
@@ -57,9 +73,18 @@ def coefficient_table(spark: SparkSession, model: PipelineModel, features: Seque
     return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
+def importances(model: PipelineModel) -> np.ndarray:
+    """Importance of every feature; all trees count alike, in however many forests they were fitted."""
+    fitted = [s for s in model.stages if hasattr(s, "featureImportances")]
+    values = [s.featureImportances.toArray() for s in fitted]
+    if len(values) == 1:
+        return values[0]
+    total = np.average(values, axis=0, weights=[s.getNumTrees for s in fitted])
+    return total / (total.sum() or 1.0)
+
+
 def importance_table(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray()
-    rows = sorted(zip(features, map(float, values)), key=lambda r: (-r[1], r[0]))
+    rows = sorted(zip(features, map(float, importances(model))), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -69,8 +94,21 @@ def boosted_classifier(df: DataFrame, features: Sequence[str], label: str, trees
 
 
 def random_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = 1000, depth: int = 5, seed: int = 1) -> PipelineModel:
-    rf = RandomForestRegressor(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[*_assembled(features), rf]).fit(df)
+    """A forest; for many rows it is fitted in lots of trees, whose predictions are averaged by their number of trees.
+
+    A fit keeps a count per row and tree, and adds up bins for every node of a level of all its trees: with all trees at once the counts
+    outgrow the executors' memory and the bins their caches. Lots draw from seeds farther apart than a fit has partitions.
+    """
+    size = trees if df.count() * trees <= FOREST_COUNTS else LOT_TREES
+    lots = [min(size, trees - first) for first in range(0, trees, size)]
+    scale = Pipeline(stages=_assembled(features)).fit(df)
+    x = scale.transform(df)
+    names = ["prediction"] if len(lots) == 1 else [f"_forest{i}" for i in range(len(lots))]
+    forests = [RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol=name, numTrees=n, maxDepth=depth, seed=seed + 1_000_003 * i).fit(x)
+               for i, (name, n) in enumerate(zip(names, lots))]
+    mean = " + ".join(f"{n} * {name}" for name, n in zip(names, lots))
+    joint = [SQLTransformer(statement=f"SELECT *, ({mean}) / {trees} AS prediction FROM __THIS__")] if len(lots) > 1 else []
+    return PipelineModel([*scale.stages, *forests, *joint])
 
 
 def boosted_regressor(df: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 3, seed: int = 1) -> PipelineModel:
@@ -184,12 +222,12 @@ MODELS = {"boosted_classifier": boosted_classifier, "random_forest": random_fore
 def evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, top: int = 5, again: Sequence[str] = ("boosted_regressor",)) -> DataFrame:
     """(model, n_features, n_test, metrics): each tree model scored on rows it has not seen; the models named in ``again``
     are also fitted on their ``top`` most important features alone."""
-    train, test = durable(train), durable(test)
+    train, test = spread(train), spread(test)
     out = []
 
     def scores(name: str, model: PipelineModel, n: int) -> DataFrame:
         seen = model.transform(test)
-        scored = seen.select(score_of(seen).alias("_s"), F.col(label).alias("_y"))
+        scored = durable(seen.select(score_of(seen).alias("_s"), F.col(label).alias("_y")))
         metrics = one_row(scored.agg(F.count(F.lit(1)).alias("n_test")), ranking_metrics(scored, "_s", "_y"))
         return metrics.select(F.lit(name).alias("model"), F.lit(n).alias("n_features"), "*")
 
@@ -197,7 +235,7 @@ def evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], label:
         model = fit(train, features, label)
         out.append(scores(name, model, len(features)))
         if name in again:
-            order = sorted(zip(features, model.stages[-1].featureImportances.toArray()), key=lambda r: (-r[1], r[0]))
+            order = sorted(zip(features, importances(model)), key=lambda r: (-r[1], r[0]))
             best = [f for f, _ in order[:top]]
             out.append(scores(name, fit(train, best, label), len(best)))
     return reduce(DataFrame.unionByName, out)

@@ -499,17 +499,17 @@ def ml_cross_validate(v):
 
 @query("ml_boosted_classifier")
 def ml_boosted_classifier(v):
-    return models.importance_table(v.spark, models.boosted_classifier(split(v)[0], COVARIATES, "treated"), COVARIATES)
+    return models.importance_table(v.spark, models.boosted_classifier(models.spread(split(v)[0]), COVARIATES, "treated"), COVARIATES)
 
 
 @query("ml_random_forest")
 def ml_random_forest(v):
-    return models.importance_table(v.spark, models.random_forest(split(v)[0], COVARIATES, "treated"), COVARIATES)
+    return models.importance_table(v.spark, models.random_forest(models.spread(split(v)[0]), COVARIATES, "treated"), COVARIATES)
 
 
 @query("ml_gbt_regressor")
 def ml_gbt_regressor(v):
-    return models.importance_table(v.spark, models.boosted_regressor(split(v)[0], COVARIATES, "treated"), COVARIATES)
+    return models.importance_table(v.spark, models.boosted_regressor(models.spread(split(v)[0]), COVARIATES, "treated"), COVARIATES)
 
 
 _SCORE = f"x AS MATERIALIZED (SELECT 1 / (1 + exp(-{_margin('')})) AS s, treated AS y FROM z JOIN fit USING (g))"

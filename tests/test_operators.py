@@ -289,3 +289,41 @@ def test_metrics_without_positive_rows_are_null(spark):
     df = spark.createDataFrame([(0.2, 0), (0.7, 0)], "s double, y int")
     r = models.ranking_metrics(df, "s", "y").first()
     assert r["auc"] is None and r["r2"] is None and abs(r["mae"] - 0.45) < 1e-12
+
+
+def test_trees_are_fitted_on_even_tasks(spark, monkeypatch):
+    df = spark.range(20_000, numPartitions=1).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b", "CAST(id % 7 > 3 AS INT) AS y")
+    tasks = []
+
+    def fit(train, features, label):
+        tasks.append(train.rdd.glom().map(len).collect())
+        return models.boosted_regressor(train, features, label, trees=2)
+
+    monkeypatch.setattr(models, "MODELS", {"boosted_regressor": fit})
+    monkeypatch.setattr(models, "TASK_ROWS", 1000, raising=False)
+    got = models.evaluate(df, df.where("id < 100"), ["a", "b"], "y", top=1).collect()
+    assert [(r["n_features"], r["n_test"]) for r in got] == [(2, 100), (1, 100)]
+    assert all(len(t) == 8 and sum(t) == 20_000 and max(t) - min(t) <= 8 for t in tasks), tasks
+    monkeypatch.setattr(models, "TASK_ROWS", 10_001)
+    small = models.spread(df)
+    assert small.rdd.getNumPartitions() == 1 and small.count() == 20_000
+    assert models.spread(df.limit(0)).collect() == []
+
+
+def test_forest_in_lots_of_trees(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 11 AS DOUBLE) AS b", "CAST(id % 13 AS DOUBLE) AS c", "CAST(id % 7 > 3 OR id % 11 = 1 AS INT) AS y").coalesce(2)
+    one = models.random_forest(df, ["a", "b", "c"], "y", trees=12)
+    monkeypatch.setattr(models, "FOREST_COUNTS", 400 * 12 - 1, raising=False)
+    monkeypatch.setattr(models, "LOT_TREES", 5, raising=False)
+    lots = models.random_forest(df, ["a", "b", "c"], "y", trees=12)
+    forests = [s for s in lots.stages if hasattr(s, "getNumTrees")]
+    assert [s.getNumTrees for s in forests] == [5, 5, 2] and one.stages[-1].getNumTrees == 12
+    assert len({t.toDebugString.split("\n", 1)[1] for s in forests for t in s.trees}) > 6
+    seen = lots.transform(df).collect()
+    assert len(seen) == 400
+    for r in seen[:40]:
+        assert r["prediction"] == pytest.approx(sum(t.predict(r["_x"]) for s in forests for t in s.trees) / 12, abs=1e-12)
+    a, b = models.importances(one), models.importances(lots)
+    assert a.sum() == pytest.approx(1) and b.sum() == pytest.approx(1) and a.argmax() == b.argmax() == 0
+    table = models.importance_table(spark, lots, ["a", "b", "c"]).collect()
+    assert [r["importance"] for r in table] == pytest.approx(sorted(b, reverse=True))
