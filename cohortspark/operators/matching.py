@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator, Sequence
-from datetime import timedelta
 from functools import partial, reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import nearest
 from cohortspark.operators.ranks import exact_quantiles, ranked, running_totals
-from cohortspark.session import durable
+from cohortspark.session import durable, scratch_path
 
 
 def fill_with_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -207,36 +207,50 @@ def match_risk_set(cases: DataFrame, pool: DataFrame, key: str, start: str, end:
     control open to it that is left has the same chance (``_drawn``). Shifts go 0, -1, 1, -2, 2 and on until no control is left
     that a case left could take; ``max_shift`` ends earlier where a calliper on the start day is wanted.
 
-    Each shift is a few jobs over all rows left. Once at most ``local_rows`` cases (and controls whose key repeats) are left, one task
-    goes through the shifts that remain, with one line per start and end day instead of the controls, by the same rule and the same draws, so the pairs are the
-    same wherever they are made.
+    Controls are numbered once, along each start day by falling end; from then on they are one line per start and end day and the
+    places that are gone. For every case it is worked out at which shift it can find a control at the earliest (``_plan``). The next
+    shifts, as many as have at most ``local_rows`` such cases (and controls whose key repeats), are gone through in one task with
+    these cases; a shift with more of them is a few jobs over its cases. Rule and draws are the same, so the pairs are the same
+    wherever they are made.
     """
-    everyone = cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date"))
-    p = pool.select(F.col(key).alias("control_id"), F.col(start).alias("control_start"), F.col(end).alias("control_end"))
-    c, p, done, shift = durable(everyone.dropna()), durable(p.dropna()), None, 0
-    while (shift := _reachable_shift(c, p, shift, horizon, max_shift)) is not None:
-        if (few := c.count()) <= local_rows and few + _repeated(p) <= local_rows:
-            new = _settled_in_one_task(c, p, shift, horizon, max_shift, seed)
-            done = new if done is None else done.unionByName(new)
+    everyone = durable(cases.select(F.col(key).alias("case_id"), F.col(start).alias("case_start"), F.col(index).alias("index_date")))
+    p = pool.select(F.col(key).alias("control_id"), F.col(start).alias("control_start"), F.col(end).alias("control_end")).dropna()
+    numbered = durable(ranked(p, ["control_start"], [F.col("control_end").desc(), F.md5(F.col("control_id").cast("string")), "control_id"], "place"))
+    whole = durable(numbered.groupBy("control_start", "control_end").agg(F.max("place").alias("upto")))
+    twice = numbered.groupBy("control_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = durable(numbered.join(twice, "control_id", "left_semi").select("control_id", "control_start", "place"))
+    spark, kept, steps = everyone.sparkSession, scratch_path(everyone.sparkSession, "riskset"), 0
+    repeated, c, done, gone, turn = again.count(), everyone.dropna(), None, None, 0
+    while True:
+        lines = _left(whole, gone)
+        when, counts = _plan(c, lines, turn, horizon, max_shift)
+        if not counts:
+            break
+        # How many of the turns ahead fit one task; the task goes on to the turn before the next one, or to the end.
+        fit = sum(n + repeated <= local_rows for n in accumulate(n for _, n in counts))
+        turn, until = counts[0][0], counts[fit][0] - 1 if fit < len(counts) else None
+        ready = c.join(when.where(F.col("turn") <= counts[max(fit, 1) - 1][0]), ["case_start", "index_date"], "left_semi")
+        if fit:
+            new = _settled_in_one_task(ready, lines, _still(again, gone) if repeated else again, turn, until, horizon, max_shift, seed)
+        else:
+            new, until = _settled_at_once(ready, lines, _shift(turn), horizon, seed), turn
+        # In files, each step beside those before: a checkpoint of a union would hold them all again, and its size would be estimated from the last one's, squared.
+        new, steps = _placed(new, gone), steps + 1
+        new.write.parquet(f"{kept}/pairs/{steps}")
+        done = spark.read.schema(new.schema).parquet(*[f"{kept}/pairs/{n + 1}" for n in range(steps)])
+        if until is None:
             break
-        day = F.date_add("case_start", shift)
-        a = c.withColumn("_day", day).where(F.col("_day") <= F.col("index_date")).withColumn("_at", F.date_add("index_date", horizon))
-        b = p.withColumnRenamed("control_start", "_day").withColumnRenamed("control_end", "_at")
-        above = durable(_ends_above(a, b))
-        most = above.groupBy("_day").agg(F.least(F.min("_room"), F.max("_cases")).alias("_k")).where("_k > 0")
-        a = ranked(a, ["_day"], ["_at", F.md5(F.col("case_id").cast("string")), "case_id"], "_i")
-        b = ranked(b, ["_day"], [F.col("_at").desc(), F.md5(F.col("control_id").cast("string")), "control_id"], "_j")
-        # One line per calendar day.
-        a = a.join(F.broadcast(most), "_day").where("_i <= _k").withColumn("_q", F.col("_k") + 1 - F.col("_i"))
-        a = a.join(above.select("_day", "_at", "_ends"), ["_day", "_at"])
-        new = durable(_drawn(a, seed).join(b.drop("_at"), ["_day", "_j"]).select("case_id", "control_id", F.col("_day").alias("control_start")))
-        done = new if done is None else done.unionByName(new)
-        c = durable(c.join(new.select("case_id"), "case_id", "left_anti"))
-        p = durable(p.join(new.select("control_id"), "control_id", "left_anti"))
-        shift = _next_shift(shift)
+        gone = done.select("control_start", "place")
+        if repeated:
+            keys = again.join(gone, ["control_start", "place"], "left_semi").select("control_id")
+            gone = durable(gone.unionByName(again.join(keys, "control_id", "left_semi").select("control_start", "place")).distinct())
+        c = durable(c.join(done.select("case_id"), "case_id", "left_anti"))
+        turn = until + 1
     if done is None:
-        done = p.limit(0).select(F.lit(None).cast(everyone.schema["case_id"].dataType).alias("case_id"), "control_id", "control_start")
-    return everyone.join(done, "case_id", "left").select("case_id", "control_id", "index_date", "case_start", "control_start")
+        pairs = numbered.limit(0).select(F.lit(None).cast(everyone.schema["case_id"].dataType).alias("case_id"), "control_id", "control_start")
+    else:
+        pairs = durable(done.join(numbered, ["control_start", "place"]).select("case_id", "control_id", "control_start"))
+    return everyone.join(pairs, "case_id", "left").select("case_id", "control_id", "index_date", "case_start", "control_start")
 
 
 def _chance(seed: str) -> Column:
@@ -244,17 +258,100 @@ def _chance(seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("case_id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
-def _repeated(p: DataFrame) -> int:
-    """Rows of controls whose key repeats."""
-    return p.groupBy("control_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def _shift(turn: int) -> int:
+    """Turns 0, 1, 2, 3, 4 are the shifts 0, -1, 1, -2, 2."""
+    return -(turn + 1) // 2 if turn % 2 else turn // 2
+
+
+def _past(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Adds ``_past``: how many of the day's places up to ``place`` are gone."""
+    marks = rows.withColumn("_g", F.lit(0)).unionByName(gone.withColumn("_g", F.lit(1)), allowMissingColumns=True)
+    return running_totals(marks, ["control_start"], ["place", F.col("_g").desc()], {"_past": F.col("_g")}).where("_g = 0").drop("_g")
+
+
+def _left(whole: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """``control_start, control_end, n``: the controls left, per start and end day."""
+    lines = whole.withColumnRenamed("upto", "place")
+    if gone is not None:
+        lines = _past(lines, gone).withColumn("place", F.col("place") - F.col("_past"))
+    longer = Window.partitionBy("control_start").orderBy(F.col("control_end").desc())
+    n = F.col("place") - F.coalesce(F.lag("place").over(longer), F.lit(0))
+    return lines.select("control_start", "control_end", n.alias("n")).where("n > 0")
+
+
+def _still(again: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Controls whose key repeats, those that are left, with their place among the controls left."""
+    if gone is None:
+        return again
+    left = again.join(gone, ["control_start", "place"], "left_anti").select("control_id", "control_start", "place")
+    return _past(left, gone).select("control_id", "control_start", (F.col("place") - F.col("_past")).alias("place"))
+
 
+def _placed(new: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """``case_id, control_start, place``: from a place ``_j`` among the controls left to one among all, which has as many more
+    before it as there are places gone with fewer than ``_j`` left before them."""
+    if gone is None:
+        return new.select("case_id", "control_start", F.col("_j").alias("place"))
+    before = ranked(gone, ["control_start"], ["place"], "_i").select("control_start", (F.col("place") - F.col("_i")).alias("_j"), F.lit(1).alias("_g"))
+    marks = new.select("case_id", "control_start", "_j", F.lit(0).alias("_g")).unionByName(before, allowMissingColumns=True)
+    found = running_totals(marks, ["control_start"], ["_j", "_g"], {"_before": F.col("_g")}).where("_g = 0")
+    return found.select("case_id", "control_start", (F.col("_j") + F.col("_before")).alias("place"))
 
-def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, max_shift: int | None, seed: str) -> DataFrame:
-    """All pairs from ``shift`` on of a bounded number of cases: ``case_id, control_id, control_start``.
+
+def _plan(c: DataFrame, lines: DataFrame, turn: int, horizon: int, max_shift: int | None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``case_start, index_date, turn``: the first turn, from ``turn`` on, at which such cases can find a control among those left, and
+    the number of cases per turn; cases without such a turn are left out. Since controls only leave, no case finds one earlier.
+
+    Works on one line per start and index day; what reaches the driver is one line per day or turn.
+    """
+    day = F.unix_date
+    best = {r[0]: r[1] for r in lines.groupBy(day("control_start")).agg(F.max(day("control_end"))).collect()}
+    low, high = min(best, default=0), max(best, default=-1)
+    ends = np.full(high - low + 1, -(1 << 40))
+    for d, e in best.items():
+        ends[d - low] = e
+    longest = max((e - d for d, e in best.items()), default=0)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            start, t = b["start"].to_numpy(dtype=np.int64), b["index_day"].to_numpy(dtype=np.int64) + horizon
+            found, left, at = np.full(len(b), -1, dtype=np.int32), np.arange(len(b) if best else 0), turn
+            while len(left) and (max_shift is None or abs(_shift(at)) <= max_shift):
+                there, need, far = start[left] + _shift(at), t[left], abs(_shift(at))
+                hit = (there >= low) & (there <= high) & (there + horizon <= need) & (ends[np.clip(there, low, high) - low] >= need)
+                found[left[hit]] = at
+                # From here on all days are too early to reach the case's threshold or begin after its index day, or lie outside.
+                over = (start[left] - far < np.maximum(need - longest, low)) & (start[left] + far > np.minimum(need - horizon, high))
+                left = left[~(hit | over)]
+                at += 1
+            yield b[["case_start", "index_date", "n"]].assign(turn=found)[found >= 0]
+
+    days = c.groupBy("case_start", "index_date").agg(F.count(F.lit(1)).alias("n")).withColumns({"start": day("case_start"), "index_day": day("index_date")})
+    kinds = ", ".join(f"{k} {c.schema[k].dataType.simpleString()}" for k in ("case_start", "index_date"))
+    when = durable(days.mapInPandas(first, f"{kinds}, n bigint, turn int"))
+    return when, sorted((r[0], r[1]) for r in when.groupBy("turn").agg(F.sum("n")).collect())
+
+
+def _settled_at_once(c: DataFrame, lines: DataFrame, shift: int, horizon: int, seed: str) -> DataFrame:
+    """The pairs of one shift, of any number of cases: ``case_id, control_start, _j`` with the place among the day's controls left."""
+    a = c.select("case_id", F.date_add("case_start", shift).alias("_day"), F.date_add("index_date", horizon).alias("_at"))
+    above = durable(_ends_above(a, lines.select(F.col("control_start").alias("_day"), F.col("control_end").alias("_at"), "n")))
+    most = above.groupBy("_day").agg(F.least(F.min("_room"), F.max("_cases")).alias("_k")).where("_k > 0")
+    a = ranked(a, ["_day"], ["_at", F.md5(F.col("case_id").cast("string")), "case_id"], "_i")
+    # One line per calendar day.
+    a = a.join(F.broadcast(most), "_day").where("_i <= _k").withColumn("_q", F.col("_k") + 1 - F.col("_i"))
+    a = a.join(above.select("_day", "_at", "_ends"), ["_day", "_at"])
+    return _drawn(a, seed).withColumnRenamed("_day", "control_start")
+
+
+def _settled_in_one_task(c: DataFrame, lines: DataFrame, again: DataFrame, turn: int, until: int | None, horizon: int, max_shift: int | None,
+                         seed: str) -> DataFrame:
+    """The pairs of the turns from ``turn`` to ``until`` (null: to the end) of a bounded number of cases: ``case_id, control_start, _j``
+    with the place among the day's controls left.
 
     Controls of the same days differ by their place only, so the task gets one line per start and end day, bounded by the calendar,
-    and answers with a place among the start day's controls by falling end; a join turns the places into controls. Controls with the
-    same key and day leave together, so the task is told their places too.
+    and answers with a place among the start day's controls by falling end. Controls with the same key and day leave together,
+    so the task is told their places too.
     """
     def run(cases: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -276,10 +373,10 @@ def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, m
                 best[d - low] = -e[0]
             for d, rows in open_.items():
                 least[d - low], latest[d - low] = t[rows[0]], t[rows[-1]]
-            last = max(max(open_) - min(ends), max(ends) - min(open_), 0)
-            last, at = last if max_shift is None else min(last, max_shift), shift
-            while open_ and abs(at) <= last:
-                starts = np.array(sorted(open_))
+            widest = max(max(open_) - min(ends), max(ends) - min(open_), 0)
+            widest = widest if max_shift is None else min(widest, max_shift)
+            for at in map(_shift, range(turn, (2 * widest if until is None else until) + 1)):
+                starts = np.array(sorted(open_), dtype=np.int64)
                 starts = starts[(starts + at >= low) & (starts + at <= high)]
                 day = starts + at
                 ready = (day + horizon <= latest[starts - low]) & (best[day - low] >= np.maximum(least[starts - low], day + horizon))
@@ -314,21 +411,17 @@ def _settled_in_one_task(c: DataFrame, p: DataFrame, shift: int, horizon: int, m
                         least[start - low], latest[start - low] = t[rows[0]], t[rows[-1]]
                     else:
                         del open_[start]
-                at = _next_shift(at)
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"case_id": cases["case_id"].iloc[:0], "day": [], "place": []})
 
     day, text = F.unix_date, lambda c: F.md5(F.col(c).cast("string"))
     left = c.select(F.lit(0).alias("g"), "case_id", day("case_start").alias("start"), day("index_date").alias("index_day"), text("case_id").alias("h"), _chance(seed).alias("u"))
-    numbered = durable(ranked(p, ["control_start"], [F.col("control_end").desc(), text("control_id"), "control_id"], "place").drop("control_end"))
     none = F.lit(0).cast("bigint")
-    lines = p.groupBy("control_start", "control_end").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(0).alias("g"), day("control_start").alias("start"), day("control_end").alias("end"), "n", none.alias("place"), none.alias("first"))
+    lines = lines.select(F.lit(0).alias("g"), day("control_start").alias("start"), day("control_end").alias("end"), "n", none.alias("place"), none.alias("first"))
     # At most ``local_rows`` in all.
-    again = numbered.groupBy("control_start", "control_id").agg(F.collect_list("place").alias("places")).where(F.size("places") > 1).select(
+    copies = again.groupBy("control_start", "control_id").agg(F.collect_list("place").alias("places")).where(F.size("places") > 1).select(
         F.lit(0).alias("g"), day("control_start").alias("start"), F.lit(0).alias("end"), none.alias("n"), F.explode("places").alias("place"), F.array_min("places").alias("first"))
-    found = durable(left.groupBy("g").cogroup(lines.unionByName(again).groupBy("g")).applyInPandas(run, f"case_id {c.schema['case_id'].dataType.simpleString()}, day int, place bigint"))
-    pairs = found.select("case_id", F.date_from_unix_date("day").alias("control_start"), "place")
-    return durable(pairs.join(numbered, ["control_start", "place"]).select("case_id", "control_id", "control_start"))
+    found = left.groupBy("g").cogroup(lines.unionByName(copies).groupBy("g")).applyInPandas(run, f"case_id {c.schema['case_id'].dataType.simpleString()}, day int, place bigint")
+    return durable(found.select("case_id", F.date_from_unix_date("day").alias("control_start"), F.col("place").alias("_j")))
 
 
 def _drawn(steps: DataFrame, seed: str) -> DataFrame:
@@ -354,46 +447,21 @@ def _drawn(steps: DataFrame, seed: str) -> DataFrame:
     return asked.join(links, ["_day", "_from"], "left").select("_day", "case_id", F.coalesce("_to", "_from", "_p").alias("_j"))
 
 
-def _next_shift(shift: int) -> int:
-    return -shift if shift < 0 else -shift - 1
-
-
 def _ends_above(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``_day, _at, _ends, _room, _cases`` for every threshold ``_at`` of the cases ``a``: the ends among ``b`` that reach it, how many
+    """``_day, _at, _ends, _room, _cases`` for every threshold ``_at`` of the cases ``a``: the ends among ``b`` (``n`` at ``_at``) that reach it, how many
     cases can be matched as far as it is concerned, and the day's cases.
 
     Of the k smallest thresholds those at or above x must not outnumber the ends at or above x; so the most pairs of a day
     are the least of (cases below x + ends not below x) over all x, and at most the number of cases.
     """
     marks = a.select("_day", "_at", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
-        b.select("_day", "_at", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+        b.select("_day", "_at", F.lit(0).alias("_a"), F.col("n").alias("_b")))
     counts = marks.groupBy("_day", "_at").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     run = running_totals(counts, ["_day"], ["_at"], {"_ta": F.col("_a"), "_tb": F.col("_b")}, grand="_all")
     ends = F.col("_all_tb") - (F.col("_tb") - F.col("_b"))
     return run.where("_a > 0").select("_day", "_at", ends.alias("_ends"), (F.col("_ta") - F.col("_a") + ends).alias("_room"), F.col("_all_ta").alias("_cases"))
 
 
-def _reachable_shift(c: DataFrame, p: DataFrame, shift: int, horizon: int, max_shift: int | None) -> int | None:
-    """The next shift, from ``shift`` on, at which some start day's cases may find a control; none: null.
-
-    Works on one line per calendar day of either side, so what reaches the driver is bounded by the calendar.
-    """
-    cases = c.groupBy("case_start").agg(F.min("index_date"), F.max("index_date")).collect()
-    ends = {r[0]: r[1] for r in p.groupBy("control_start").agg(F.max("control_end")).collect()}
-    limit = max_shift
-    if cases and ends:
-        days = [r[0] for r in cases]
-        widest = max((max(days) - min(ends)).days, (max(ends) - min(days)).days, 0)
-        limit = widest if max_shift is None else min(widest, max_shift)
-    while cases and ends and abs(shift) <= limit:
-        for day, first, last in cases:
-            there = day + timedelta(days=shift)
-            if there <= last and there in ends and ends[there] >= first + timedelta(days=horizon):
-                return shift
-        shift = _next_shift(shift)
-    return None
-
-
 def keep_matched(df: DataFrame, ids: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full rows of the matched keys."""
     return df.join(ids.select(*keys).distinct(), list(keys), "left_semi")

@@ -240,3 +240,48 @@ def test_risk_set_copies_of_a_control_leave_together(spark):
     p = spark.sql("SELECT * FROM VALUES (7L, date'2020-01-01', date'2020-08-20'), (7L, date'2020-01-01', date'2020-08-20') AS t(id, s, e)")
     got = matching.match_risk_set(c, p, "id", "s", "e", "x").collect()
     assert sorted((r["case_id"], r["control_id"] or 0) for r in got) == [(1, 7), (2, 0)]
+
+
+def paired_shift_by_shift(cases, pool, horizon=182):
+    """The rule tried out: per shift and start day the most cases of the smallest thresholds, then draws one by one; copies of a control leave together."""
+    mark = lambda x: (hashlib.md5(str(x).encode()).hexdigest(), x)
+    chance = lambda x: int(hashlib.md5(f"0:{x}".encode()).hexdigest()[:13], 16) / 16 ** 13
+    cases, pool, out = list(cases), list(pool), {}
+    for shift in sorted(range(-400, 401), key=lambda s: (abs(s), s)):
+        for start in sorted({c[1] for c in cases}):
+            day = start + shift
+            asked = sorted((x + horizon, mark(i)) for i, s, x in cases if s == start and day <= x)
+            left = sorted((-e, mark(i)) for i, s, e in pool if s == day)
+            reach = [sum(-e >= t for e, _ in left) for t, _ in asked]
+            k = min([len(asked), *(sum(u < t for u, _ in asked) + r for (t, _), r in zip(asked, reach))])
+            for q in range(k):
+                case = asked[k - 1 - q][1][1]
+                at = q + int(chance(case) * (reach[k - 1 - q] - q))
+                out[case] = left[at][1][1]
+                left[at] = left[q]
+            cases, pool = [c for c in cases if c[0] not in out], [p for p in pool if not (p[1] == day and p[0] in out.values())]
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 15])
+def test_risk_sets_of_many_shifts_take_few_tasks(spark, monkeypatch, copies):
+    rng = random.Random(11)
+    cases = [(i, s := rng.randint(0, 9), s + rng.randint(0, 110)) for i in range(240)] + [(240 + i, i, 400) for i in range(5)]
+    pool = [(1000 + i, s := rng.randint(0, 120), s + rng.randint(150, 230)) for i in range(1200)]
+    pool += [p for p in pool if p[1] < 12 and p[2] - p[1] > 200][:copies]
+    day = "date_add(date'2020-01-01', {0}) as {0}".format
+    c = spark.createDataFrame(cases, "id bigint, s int, x int").selectExpr("id", day("s"), day("x"))
+    p = spark.createDataFrame(pool, "id bigint, s int, e int").selectExpr("id", day("s"), day("e"))
+    rounds, tasks, plain, alone = [], [], matching._ends_above, matching._settled_in_one_task
+
+    def told(cases, *more):
+        tasks.append(cases.count())
+        return alone(cases, *more)
+
+    monkeypatch.setattr(matching, "_ends_above", lambda a, b: rounds.append(1) or plain(a, b))
+    monkeypatch.setattr(matching, "_settled_in_one_task", told)
+    want = paired_shift_by_shift(cases, pool)
+    found = matching.match_risk_set(c, p, "id", "s", "e", "x", local_rows=90).collect()
+    assert {r["case_id"]: r["control_id"] for r in found if r["control_id"]} == want and len(want) == 240 < len(found) == 245
+    # A shift with many cases is a round of its own; the many shifts with few cases share tasks, each within its bound.
+    assert len(rounds) <= 1 and max(tasks) <= 90 - 2 * copies and 2 <= len(tasks) <= 8
